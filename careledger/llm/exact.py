@@ -48,7 +48,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keyed.groupBy("gid", "digits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("next", F.monotonically_increasing_id()),
             "radix-groups",
         )
-        joined = keyed.join(groups, ["gid", "digits"], "left")
+        # The groups grow with the input, so they are never broadcast: the same plan holds at every size.
+        joined = keyed.join(groups.hint("merge"), ["gid", "digits"], "left")
         ended = F.octet_length("rest") < width
         out = materialize(
             joined.select(
