@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger.llm import exact, html, mixing, sharding, warc
+from careledger.llm import ann, exact, html, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 from careledger.llm.storage import table
 
 SHARDS = 16
@@ -36,16 +36,42 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring_sharding": op1_ring_sharding,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_html_extraction": op4_html_extraction,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -56,6 +82,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100""",
+    "op6_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b, k = na.n AND k = nb.n AS same FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE k >= 0.8 * (na.n + nb.n - k)),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM r JOIN l ON r.doc_id = a)
+        SELECT d.doc_id, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS class_id,
+               (SELECT count(*) FROM l WHERE a = d.doc_id) AS n_links, 1 + (SELECT count(*) FROM l WHERE a = d.doc_id AND same) AS copies
+        FROM documents d""",
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n FROM documents),
         k AS (SELECT n, count(*) AS group_size, arg_min(doc_id, {'c': -length(t), 'i': doc_id}) AS keep_id FROM d GROUP BY n)
