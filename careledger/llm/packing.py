@@ -8,7 +8,7 @@ the curve share sequences, and only the last sequence is padded.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,45 +22,33 @@ from careledger.llm.storage import materialize
 
 WIDTH, END_ID = 1024, 0
 DIMS, BITS = 3, 10
-#: A cut before a space or line feed that follows another character never splits a token, where a text has no other white space.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class _Encoder:
-    """Token ids of texts; ids of pieces between white space are remembered, in a table of bounded size."""
+    """Ids of the byte-level BPE whose ranks ``path`` lists, as the tokenizers library gives them for the same vocabulary.
+
+    The end-of-text mark in a text is its own id, as there. Ids come in a buffer and never become Python numbers.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known = self.known
-        missing = list({p for pieces in split if pieces for p in pieces if p not in known})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            known.update((p, e.ids) for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            ids: list[int] = []
-            if pieces is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                for p in pieces:
-                    ids += known[p]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        mark = {"<|endoftext|>": len(ranks)}
+        self.allowed = set(mark)
+        self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=mark)._core_bpe
+
+    def encode(self, text: str) -> np.ndarray:
+        ids = np.frombuffer(self.bpe.encode_to_tiktoken_buffer(text, self.allowed), np.uint32)
+        return np.append(ids, np.uint32(END_ID))
 
 
 @lru_cache(maxsize=2)
@@ -77,7 +65,7 @@ def project(ids: np.ndarray, dims: int = DIMS, buckets: int = 1 << 16) -> np.nda
     """The hashed bag of ``ids`` (one bucket per id), projected at random to ``dims`` numbers in 0..1."""
     if len(ids) == 0:
         return np.full(dims, 0.5)
-    mean = _projection(buckets, dims)[ids & np.uint32(buckets - 1)].mean(axis=0, dtype=np.float64)
+    mean = _projection(buckets, dims).take(ids & np.uint32(buckets - 1), axis=0).sum(axis=0) / len(ids)
     return 0.5 + 0.5 * np.tanh(4 * mean)
 
 
@@ -120,7 +108,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> Da
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.iloc[i : i + 512]
-                ids = _encoder(tokenizer).encode([t or "" for t in part["text"]])
+                encoder = _encoder(tokenizer)
+                ids = [encoder.encode(t or "") for t in part["text"]]
                 grid = np.array([project(x[:-1]) for x in ids]) * ((1 << BITS) - 1)
                 wide = [bool(x.max() > 0xFFFF) for x in ids]
                 yield pd.DataFrame(
