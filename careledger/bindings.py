@@ -83,4 +83,5 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
+    start = re.match(r"WITH (RECURSIVE )?", sql)
+    return f"{start[0]}{ctes}, {sql[start.end():]}" if start else f"WITH {ctes} {sql}"

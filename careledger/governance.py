@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 # Keys that never reach an audit row, and field names that would state an assessment.
@@ -21,7 +22,7 @@ def _scrub(x):
     return f"<{len(x)} item(s)>" if isinstance(x, list) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _scrub_json(rows: pd.Series) -> pd.Series:
     return rows.map(lambda s: None if s is None else json.dumps(_scrub(json.loads(s)), sort_keys=True))
 
@@ -40,7 +41,7 @@ def _walk(x, trail: str, out: list):
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _assessment_fields(rows: pd.Series) -> pd.Series:
     return rows.map(lambda s: [] if s is None else _walk(json.loads(s), "$", []))
 
@@ -179,7 +180,7 @@ def apply_policy(requests: DataFrame, grants: DataFrame, purposes: DataFrame) ->
     return rows.withColumns({"reason": reason, "allowed": reason.isNull()}).join(F.broadcast(purposes), "purpose", "left").drop("_role", "_purpose", "_action")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(rows: pd.Series) -> pd.Series:
     def fold(s):
         if s is None:
