@@ -337,8 +337,8 @@ def append_chain(t):
 
 
 @query(f"""WITH RECURSIVE {_CHAIN}, k AS (SELECT chain, id, prev_hash, hash, payload || CASE WHEN id % 997 = 5 THEN '!' ELSE '' END AS payload FROM h WHERE id % 499 <> 7),
-    m AS (SELECT chain, row_number() OVER w - 1 AS at, CASE WHEN prev_hash <> coalesce(lag(hash) OVER w, repeat('0', 64)) THEN 'inserted or removed' WHEN hash <> sha256(prev_hash || payload) THEN 'modified' END AS kind FROM k WINDOW w AS (PARTITION BY chain ORDER BY id))
-    SELECT chain, count(*) AS rows, min(at) FILTER (kind IS NOT NULL) AS first_break, arg_min(kind, at) FILTER (kind IS NOT NULL) AS kind FROM m GROUP BY 1""")
+    m AS (SELECT chain, row_number() OVER w - 1 AS pos, CASE WHEN prev_hash <> coalesce(lag(hash) OVER w, repeat('0', 64)) THEN 'inserted or removed' WHEN hash <> sha256(prev_hash || payload) THEN 'modified' END AS kind FROM k WINDOW w AS (PARTITION BY chain ORDER BY id))
+    SELECT chain, count(*) AS rows, min(pos) FILTER (kind IS NOT NULL) AS first_break, arg_min(kind, pos) FILTER (kind IS NOT NULL) AS kind FROM m GROUP BY 1""")
 def verify_chain(t):
     tampered = _chain(t).filter("id % 499 <> 7").withColumn("payload", F.when(F.col("id") % 997 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
     return governance.verify_chain(tampered, "chain", "id")
