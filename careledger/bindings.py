@@ -47,6 +47,9 @@ BINDINGS: dict[str, str] = {
     "session": """SELECT user_id AS session_id, 'c' || CAST(user_id AS STRING) AS consent_ref, min(ts) AS created_at, max(ts) AS last_at,
         CASE WHEN user_id % 6 = 0 THEN max(ts) END AS purged_at, CASE user_id % 3 WHEN 0 THEN 'immediate' WHEN 1 THEN 'urgent' ELSE 'routine' END AS priority
         FROM {events} GROUP BY user_id""",
+    "script_result": """SELECT o_orderkey AS script_id, CASE WHEN o_orderkey % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split, o_orderkey % 9 AS facts, CASE WHEN o_orderkey % 45 = 8 THEN 1 ELSE 0 END AS unsourced, o_orderkey % 3 AS flags_expected,
+        CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 3 END AS flags_caught, o_orderkey % 4 AS slots_expected, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 4 END AS slots_matched, o_custkey % 3 AS priority_rank,
+        CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE o_custkey % 3 END AS expected_rank, CAST(o_orderkey % 8 AS DOUBLE) / 8 AS completeness, o_custkey % 400 AS ms FROM {orders}""",
     "audit": """SELECT event_id AS id, user_id AS chain, ts, event_type AS action, CAST(CAST(floor(value) AS INT) AS STRING) AS summary, 'c' || CAST(user_id % 20 AS STRING) AS consent_ref FROM {events}""",
     "utterance": """SELECT conv_id AS session_id, turn AS turn_id, 'q' || CAST(turn % 3 AS STRING) AS question_id, text,
         CASE WHEN turn % 4 = 0 THEN NULL ELSE CAST((conv_id * 7 + turn) % 100 AS DOUBLE) / 100 END AS asr_confidence FROM {conversations} WHERE role = 'user'""",
