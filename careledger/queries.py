@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, ledger, longitudinal, promotion, rules
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules
 from careledger.bindings import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,4 +480,5 @@ def verify_codes(t):
 
 documents.register(query)
 evaluation.register(query)
+intake.register(query)
 promotion.register(query)
