@@ -82,6 +82,37 @@ def gate_proposals(proposals: DataFrame, utterances: DataFrame, allowed: DataFra
     return rows.withColumns({"reason": reason, "confidence": sure}).drop("_text", "asr_confidence", "options")
 
 
+# Words of agreement and refusal in the languages that patients speak.
+YES = ["yes", "yeah", "haan", "haa", "ji haan", "ho", "aan", "correct", "true", "sahi"]
+NO = ["no", "nahin", "nahi", "never", "kabhi nahin", "not", "illa", "false"]
+
+
+def extract_slots(utterances: DataFrame, questions: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """One slot per utterance by its question's kind (few, broadcast), or none, and then the text is unplaced.
+
+    ``hits`` (of documents.match_options) decide choices: the best one for a single choice, all but none for several, with the
+    least of their scores. Refusal beats agreement, as whole words; a scale takes the first whole number to 10; open text is itself.
+    """
+    rows = utterances.join(F.broadcast(questions.select("question_id", "kind")), "question_id", "left")
+    none = F.lit(None).cast("string")
+    if hits is not None:
+        some = F.filter(F.array_sort(F.collect_list(F.struct("rank", "option_value", "score"))), lambda h: h["option_value"] != "none")
+        by = hits.groupBy("session_id", "turn_id").agg(F.min_by("option_value", "rank").alias("_top"), F.max_by("score", -F.col("rank")).alias("_score"), some.alias("_all"))
+        rows = rows.join(by, ["session_id", "turn_id"], "left")
+        single, several = F.col("_top"), F.when(F.size("_all") > 0, F.array_join(F.transform("_all", lambda h: h["option_value"]), ","))
+        sure = F.when(F.col("kind") == "multi", F.array_min(F.transform("_all", lambda h: h["score"]))).otherwise(F.col("_score"))
+    else:
+        single, several, sure = none, none, F.lit(None).cast("double")
+    word = lambda w: F.lower("text").rlike(rf"(?<!\w)(?:{'|'.join(w)})(?!\w)")
+    kind, text = F.col("kind"), F.nullif(F.trim("text"), F.lit(""))
+    value = (
+        F.when(kind == "single", single).when(kind == "multi", several).when(kind == "boolean", F.when(word(NO), "false").when(word(YES), "true"))
+        .when(kind == "scale", F.nullif(F.regexp_extract("text", r"\b(10|[0-9])\b", 1), F.lit(""))).otherwise(F.coalesce(single, text))
+    )
+    given = F.when(kind == "boolean", 0.8).when(kind == "scale", 0.75).when(kind.isin("single", "multi") | single.isNotNull(), sure).otherwise(0.9)
+    return rows.select("session_id", "turn_id", value.alias("value"), F.when(value.isNotNull(), given).alias("confidence"), F.when(value.isNull(), text).alias("unplaced"))
+
+
 DIAGNOSIS = r"(?i)\b(?:diagnosis|impression|diagnosed with)\b\s*[:\-]?\s*(.+)$"
 PROCEDURE = r"(?i)\b(?:procedure|surgery|operation)\b\s*[:\-]?\s*(.+)$"
 HEADINGS = r"(?i)^(?:date|name|age|sex|patient|ref|dr|reg|opd|uhid)"
@@ -313,3 +344,19 @@ def register(query) -> None:
     def summary_lines(t):
         facts = t("fact").select("session_id", F.col("seq").alias("ord"), F.col("value").alias("text"))
         return globals()["summary_lines"]([("facts", facts), ("turns", t("utterance").select("session_id", F.col("turn_id").alias("ord"), "text"))], {"turns": 12})
+
+    yes, no = "|".join(YES), "|".join(NO)
+
+    @query(f"""WITH v AS (SELECT session_id, turn_id, question_id, nullif(trim(text), '') AS text, CASE question_id WHEN 'q0' THEN CASE WHEN regexp_matches(lower(text), '\\b({no})\\b') THEN 'false' WHEN regexp_matches(lower(text), '\\b({yes})\\b') THEN 'true' END
+        WHEN 'q1' THEN nullif(regexp_extract(text, '\\b(10|[0-9])\\b', 1), '') ELSE nullif(trim(text), '') END AS value FROM utterance)
+        SELECT session_id, turn_id, value, CAST(CASE WHEN value IS NOT NULL THEN CASE question_id WHEN 'q0' THEN 0.8 WHEN 'q1' THEN 0.75 ELSE 0.9 END END AS DOUBLE) AS confidence, CASE WHEN value IS NULL THEN text END AS unplaced FROM v""")
+    def extract_slots(t):
+        u = t("utterance")
+        return globals()["extract_slots"](u, u.sparkSession.createDataFrame([("q0", "boolean"), ("q1", "scale"), ("q2", "open")], "question_id string, kind string"))
+
+    @query("""WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS n, doc_id % 7 = 0 AS cued, CASE WHEN doc_id % 7 IN (0, 1) THEN CAST(o_orderdate AS DATE) WHEN doc_id % 7 = 2 THEN make_date(year(o_orderdate), 3, 12) WHEN doc_id % 7 = 3 THEN make_date(year(o_orderdate), 3, 1) WHEN doc_id % 7 IN (4, 5) THEN make_date(year(o_orderdate), 1, 1) END AS day,
+        CASE WHEN doc_id % 7 < 3 THEN 'exact' WHEN doc_id % 7 = 3 THEN 'month' ELSE 'year' END AS precision FROM date_line d JOIN orders ON d.doc_id = o_orderkey),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT cued, n) AS r FROM l WHERE day IS NOT NULL) SELECT doc_id, day AS document_date, precision FROM r WHERE r = 1""".replace("doc_id % 7", "d.doc_id % 7"))
+    def document_date(t):
+        lines = t("date_line").join(t("orders"), F.col("doc_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), "page", F.col("o_orderkey").alias("line_no"), "text")
+        return documents.document_date(lines)

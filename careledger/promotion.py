@@ -99,6 +99,35 @@ def fhir_observations(observations: DataFrame) -> DataFrame:
     return observations.filter("value is not null").select("patient_id", F.to_json(resource).alias("resource"))
 
 
+def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame, observations: DataFrame) -> DataFrame:
+    """One document bundle as JSON per encounter: Composition, Patient, Consent, MedicationStatements, Observations, then a Provenance per fact.
+
+    Absent elements are left out, never empty. Entries of a visit are few.
+    """
+    kind = lambda name: F.lit(name).alias("resourceType")
+    of = lambda df, place, order, *fields: df.select("encounter_id", F.lit(place).alias("place"), order.alias("at"), F.to_json(F.struct(F.struct(*fields).alias("resource"))).alias("entry"))
+    key, subject = F.col("encounter_id").cast("string"), F.struct(F.concat(F.lit("Patient/"), F.col("patient_id").cast("string")).alias("reference")).alias("subject")
+    taken = F.when(F.col("status") == "patient-reported-current", "active").otherwise("unknown").alias("status")
+    entries = (
+        of(encounters, 0, F.lit(""), kind("Composition"), F.lit("preliminary").alias("status"), subject)
+        .unionByName(of(encounters, 1, F.lit(""), kind("Patient"), F.col("patient_id").cast("string").alias("id")))
+        .unionByName(of(encounters.filter("consent_ref is not null"), 2, F.lit(""), kind("Consent"), F.col("consent_ref").alias("id")))
+        .unionByName(of(medications, 3, F.concat_ws("|", "name", "status"), kind("MedicationStatement"), taken, F.col("name").alias("medication")))
+        .unionByName(of(observations.filter("value is not null"), 4, F.concat_ws("|", "analyte_key", F.col("value").cast("string"), "unit"), kind("Observation"), F.col("analyte_key").alias("code"), F.struct("value", "unit").alias("valueQuantity")))
+        .unionByName(of(facts, 5, F.col("fact_id"), kind("Provenance"), F.col("fact_id").alias("target")))
+    )
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "at", "entry"))), lambda e: e["entry"]), ",")
+    bundles = entries.groupBy("encounter_id").agg(F.concat(F.lit('{"resourceType":"Bundle","type":"document","entry":['), body, F.lit("]}")).alias("bundle"))
+    return encounters.select("encounter_id").join(bundles, "encounter_id", "left").select("encounter_id", "bundle")
+
+
+def write_durable(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None) -> None:
+    """Append each durable table under ``path``, partitioned by its column in ``partition_by`` if it has one."""
+    for name, df in tables.items():
+        by = (partition_by or {}).get(name)
+        (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{path}/{name}")
+
+
 def bundle_resource_counts(resources: DataFrame) -> DataFrame:
     """Resources per type, read from their JSON."""
     return resources.groupBy(F.get_json_object("resource", "$.resourceType").alias("resource_type"), "patient_id").agg(F.count(F.lit(1)).alias("n"))
@@ -197,6 +226,21 @@ def register(query) -> None:
         rows = t("events").select(F.col("event_type").alias("difficulty"), F.col("event_id").alias("expected_value"), F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("actual_value"))
         return globals()["by_difficulty"](rows)
 
+    entry = lambda place, at, body, source: f"SELECT encounter_id, {place} AS place, {at} AS k, '{{\"resource\":' || {body} || '}}' AS entry FROM {source}"
+    sources = [
+        entry(0, "''", """'{"resourceType":"Composition","status":"preliminary","subject":{"reference":"Patient/' || patient_id || '"}}'""", "encounter"),
+        entry(1, "''", """'{"resourceType":"Patient","id":"' || patient_id || '"}'""", "encounter"),
+        entry(2, "''", """'{"resourceType":"Consent","id":"' || consent_ref || '"}'""", "encounter WHERE consent_ref IS NOT NULL"),
+        entry(3, "name || '|' || status", """'{"resourceType":"MedicationStatement","status":"' || CASE status WHEN 'patient-reported-current' THEN 'active' ELSE 'unknown' END || '","medication":"' || name || '"}'""", "medication"),
+        entry(4, "concat_ws('|', analyte_key, CAST(CAST(value AS DOUBLE) AS VARCHAR), unit)", """'{"resourceType":"Observation","code":"' || analyte_key || '","valueQuantity":{"value":' || CAST(CAST(value AS DOUBLE) AS VARCHAR) || coalesce(',"unit":"' || unit || '"', '') || '}}'""", "observation WHERE value IS NOT NULL"),
+        entry(5, "fact_id", """'{"resourceType":"Provenance","target":"' || fact_id || '"}'""", "clinical_fact"),
+    ]
+
+    @query(f"""WITH x AS ({" UNION ALL ".join(sources)}), b AS (SELECT encounter_id, '{{"resourceType":"Bundle","type":"document","entry":[' || string_agg(entry, ',' ORDER BY place, k, entry) || ']}}' AS bundle FROM x GROUP BY 1)
+        SELECT e.encounter_id, bundle FROM encounter e LEFT JOIN b ON e.encounter_id = b.encounter_id""")
+    def to_fhir_bundles(t):
+        return fhir_bundles(t("encounter"), t("clinical_fact"), t("medication"), t("observation"))
+
     @query("SELECT 'Observation' AS resource_type, patient_id, count(*) AS n FROM observation WHERE value IS NOT NULL GROUP BY 2")
     def bundle_resource_counts(t):
         return globals()["bundle_resource_counts"](fhir_observations(t("observation")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams
 from careledger.bindings import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,6 +320,37 @@ def detect_cross_tier(t):
     return rules.detect_cross_tier(t("fact"), ["hpi.click", "hpi.view"])
 
 
+@query("SELECT 's' || session_id AS id, session_id FROM fact WHERE path = 'hpi.error' AND seq % 3 <> 0")
+def open_contradictions(t):
+    rows = t("fact").filter("path = 'hpi.error'").withColumn("status", F.when(F.col("seq") % 3 == 0, "resolved").otherwise("open"))
+    return rules.open_contradictions(rows).select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("id"), "session_id")
+
+
+@query("""WITH n AS (SELECT session_id, max(seq) + 1 AS seq FROM fact GROUP BY 1 HAVING session_id % 4 = 0), u AS (SELECT session_id, seq, fact_id, path, supersede FROM fact UNION ALL SELECT session_id, seq, 'e' || session_id || '-' || seq, 'hpi.click', true FROM n),
+    a AS (SELECT *, min(CASE WHEN supersede THEN seq END) OVER (PARTITION BY session_id, path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS by_seq FROM u)
+    SELECT a.session_id, a.fact_id, u.fact_id AS superseded_by FROM a LEFT JOIN u ON a.session_id = u.session_id AND a.path = u.path AND a.by_seq = u.seq""")
+def physician_edit(t):
+    edits = t("session").filter("session_id % 4 = 0").select("session_id", F.lit("hpi.click").alias("path"), F.lit("3").alias("value"), F.lit("dr").alias("actor"), F.lit(1).alias("at"))
+    return ledger.physician_edit(t("fact"), edits).select("session_id", "fact_id", "superseded_by")
+
+
+@query("""WITH p AS (SELECT session_id, CASE WHEN tier = 'stated' THEN 'medications' ELSE 'problems' END AS grp, seq % 5 AS idx, CASE WHEN seq % 2 = 0 THEN 'name' ELSE 'dose' END AS field, {'t': recorded_at, 's': -seq, 'v': value} AS x FROM fact)
+    SELECT session_id, grp, idx, (max(x) FILTER (field = 'name')).v AS name, (max(x) FILTER (field = 'dose')).v AS dose FROM p GROUP BY 1, 2, 3""")
+def project_groups(t):
+    path = F.concat(F.when(F.col("tier") == "stated", "medications").otherwise("problems"), F.lit("["), (F.col("seq") % 5).cast("string"), F.lit("]."), F.when(F.col("seq") % 2 == 0, "name").otherwise("dose"))
+    return ledger.project_groups(t("fact").withColumn("path", path), ["name", "dose"])
+
+
+@query("SELECT DISTINCT session_id, path, " + _DIGEST + " AS digest FROM fact")
+def stream_dedupe(t):
+    return promotion.stream_dedupe(_digested(t).withColumnRenamed("recorded_at", "ts")).select("session_id", "path", "digest")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS folded FROM part")
+def fold_text(t):
+    return governance.fold_text(t("part"), "p_name", "folded").select("p_partkey", "folded")
+
+
 # ---- audit, consent, retention, policy
 
 _CHAIN = """r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY id) AS n, '{"action":"' || action || '","id":"' || CAST(id AS VARCHAR) || '","summary":"' || summary || '"}' AS payload FROM audit),
@@ -482,3 +513,4 @@ documents.register(query)
 evaluation.register(query)
 intake.register(query)
 promotion.register(query)
+streams.register(query)

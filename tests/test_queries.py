@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from careledger import documents, governance, ledger, queries
+from careledger import documents, governance, intake, ledger, promotion, queries, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,54 @@ def test_scrub_redacts_at_any_depth(spark):
 def test_folding_drops_case_and_marks(spark):
     df = spark.createDataFrame([("Méningite-À",), (None,)], "t string")
     assert {r[1] for r in governance.fold_text(df, "t", "f").collect()} == {"meningite a", None}
+
+
+def test_gold_scripts_are_read_by_id(spark, tmp_path):
+    for name in ("s01-x", "s02-y"):
+        (tmp_path / f"{name}.json").write_text('{\n"id": "%s", "turns": [{"question_id": "q", "asr_confidence": 0.5}], "expected": {"p": "[1]"}}' % name)
+    rows = intake.read_gold_scripts(spark, str(tmp_path), "y").collect()
+    assert [(r.id, r.turns[0].question_id, r.expected) for r in rows] == [("s02-y", "q", {"p": "[1]"})]
+
+
+def test_scale_anchors(spark):
+    df = spark.createDataFrame([(0,), (5,), (10,)], "n int")
+    assert [r[0] for r in df.select(intake.scale_anchor(F.col("n"), 10, ["low", "mid", "high"])).collect()] == ["low", "mid", "high"]
+
+
+def test_choices_are_extracted_unless_negated(spark):
+    u = spark.createDataFrame([(1, 1, "q", "heavy like pressure, not sharp"), (2, 1, "q", "nothing")], "session_id int, turn_id int, question_id string, text string")
+    phrases = spark.createDataFrame([("q", "heavy", "heavy"), ("q", "pressure", "pressure"), ("q", "sharp", "sharp")], "question_id string, option_value string, phrase string")
+    hits = documents.match_options(u, phrases)
+    of = lambda kind: {r.session_id: (r.value, r.unplaced) for r in intake.extract_slots(u, spark.createDataFrame([("q", kind)], "question_id string, kind string"), hits).collect()}
+    assert of("multi") == {1: ("heavy,pressure", None), 2: (None, "nothing")}
+    assert of("single")[1] == ("heavy", None)
+
+
+def run_stream(spark, df, tmp_path, mode, make):
+    """``df`` read as a stream of files through ``make``; the rows of the sink."""
+    df.write.parquet(str(tmp_path / "in"))
+    stream = make(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("found").outputMode(mode).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table("found").collect()
+
+
+def test_failed_speech_forces_touch(spark, tmp_path):
+    turns = [(1, "a", 1, "failed"), (1, "a", 2, "answered"), (1, "b", 1, "failed"), (2, "a", 1, "heard"), *[(2, "b", i, "failed") for i in range(6)]]
+    df = spark.createDataFrame(turns, "session_id int, question_id string, seq int, outcome string").coalesce(1)
+    rows = run_stream(spark, df, tmp_path, "update", streams.stream_touch_fallback)
+    assert {(r.session_id, r.question_id): (r.presentations, r.mode) for r in rows} == {(1, "a"): (2, "answered"), (1, "b"): (1, "touch"), (2, "a"): (1, "voice"), (2, "b"): (4, "given up")}
+
+
+def test_old_papers_are_not_late(spark, tmp_path):
+    df = spark.sql("SELECT TIMESTAMP '2024-03-01 10:00:00' AS ts, DATE '1999-01-01' AS document_date UNION ALL SELECT TIMESTAMP '2024-03-01 12:00:00', DATE '2024-02-01'").coalesce(1)
+    rows = run_stream(spark, df, tmp_path, "complete", streams.stream_documents)
+    assert {(r.document_year, r.documents) for r in rows} == {(1999, 1), (2024, 1)}
+
+
+def test_durable_tables_are_appended(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, kind string")
+    for _ in range(2):
+        promotion.write_durable({"patient": df, "fact": df}, str(tmp_path), {"fact": "kind"})
+    assert spark.read.parquet(str(tmp_path / "patient")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "fact" / "kind=a")).count() == 2
