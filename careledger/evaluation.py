@@ -43,7 +43,7 @@ def eval_report(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("scripts"), F.when(s("facts") == 0, F.lit(0.0)).otherwise(F.round(s("unsourced") / s("facts"), 4)).alias("hallucination_rate"),
         ratio(s("flags_caught"), s("flags_expected")).alias("flag_sensitivity"), ratio(F.count_if(F.col("flags_caught") == F.col("flags_expected")), F.count(F.lit(1))).alias("script_recall"),
         ratio(F.count_if(F.col("priority_rank") == F.col("expected_rank")), F.count(F.lit(1))).alias("priority_accuracy"), F.count_if(F.col("priority_rank") < F.col("expected_rank")).alias("under_calls"),
-        ratio(s("slots_matched"), s("slots_expected")).alias("extraction_accuracy"), F.round(F.avg("completeness"), 4).alias("mean_completeness"), F.max("ms").alias("max_ms"),
+        ratio(s("slots_matched"), s("slots_expected")).alias("extraction_accuracy"), F.round(F.avg("completeness"), 4).alias("mean_completeness"), F.max("ms").alias("max_ms"), F.round(F.avg("ms"), 4).alias("mean_ms"),
     )
     return by.join(index_percentiles(results, "split", "ms", {"median_ms": 0.5, "p95_ms": 0.95}), "split")
 
@@ -84,7 +84,7 @@ def register(query) -> None:
 
     report = """q AS (SELECT split, list_sort(list(ms)) AS l FROM script_result r GROUP BY 1), e AS (SELECT r.split, count(*) AS scripts, round(sum(unsourced) / sum(facts), 4) AS hallucination_rate, round(sum(flags_caught) / sum(flags_expected), 4) AS flag_sensitivity,
         round(count(*) FILTER (flags_caught = flags_expected) / count(*), 4) AS script_recall, round(count(*) FILTER (priority_rank = expected_rank) / count(*), 4) AS priority_accuracy, count(*) FILTER (priority_rank < expected_rank) AS under_calls,
-        round(sum(slots_matched) / sum(slots_expected), 4) AS extraction_accuracy, round(avg(completeness), 4) AS mean_completeness, max(ms) AS max_ms FROM script_result r GROUP BY 1),
+        round(sum(slots_matched) / sum(slots_expected), 4) AS extraction_accuracy, round(avg(completeness), 4) AS mean_completeness, max(ms) AS max_ms, round(avg(ms), 4) AS mean_ms FROM script_result r GROUP BY 1),
         p AS (SELECT e.*, l[len(l) // 2 + 1] AS median_ms, l[least(CAST(floor(len(l) * 0.95) AS BIGINT), len(l) - 1) + 1] AS p95_ms FROM e JOIN q ON e.split = q.split)"""
 
     @query(f"WITH {report} SELECT * FROM p")

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from careledger import documents
 from careledger.ledger import value_is_echoed
+from careledger.shared import shared_path
 
 GOLD_SCRIPT = """id string, title string, language string, difficulty string, expected map<string,string>, expected_red_flags array<string>, forbidden_red_flags array<string>, expected_priority string,
     turns array<struct<question_id:string,utterance:string,tap:string,asr_confidence:double,decline:boolean>>"""
 CODE_SYSTEM = "url string, version string, name string, concepts array<struct<code:string,display:string,classKind:string,selectable:boolean>>"
 
 
-def read_gold_scripts(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
-    """A folder of scripts, one JSON document a file; ``only`` keeps those whose id holds it."""
-    scripts = spark.read.schema(GOLD_SCRIPT).option("multiLine", True).json(path)
+def read_gold_scripts(spark: SparkSession, path: str, only: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A folder of scripts, one JSON document a file (``multi_line``) or a line; ``only`` keeps those whose id holds it."""
+    scripts = spark.read.schema(GOLD_SCRIPT).option("multiLine", multi_line).json(path)
     return scripts.filter(F.contains("id", F.lit(only))) if only else scripts
 
 
@@ -302,7 +303,7 @@ def register(query) -> None:
         return globals()["promote_medications"](t("part").select(key.alias("entry_id"), F.col("p_name").alias("name"), F.when(key % 4 != 0, key).alias("document_ref")), sources)
 
     @query("""WITH x AS (SELECT p_partkey AS doc_id, p_partkey % 6 AS k, p_partkey % 4 AS r, p_size + CASE p_partkey % 4 WHEN 0 THEN 0.5 ELSE 0 END::DOUBLE AS value FROM part WHERE p_partkey % 6 <> 5),
-        y AS (SELECT *, ['hba1c', 'creatinine', 'haemoglobin', 'fasting_glucose', 'urea'][k + 1] AS analyte, CASE r WHEN 0 THEN 4.0 WHEN 2 THEN 40.0 WHEN 3 THEN [4.0, 0.7, 13.0, 70.0, 15.0][k + 1] END AS low, CASE r WHEN 0 THEN 5.6 WHEN 1 THEN 20.0 WHEN 3 THEN [5.6, 1.3, 17.0, 99.0, 40.0][k + 1] END AS high FROM x)
+        y AS (SELECT *, ['hba1c', 'creatinine', 'haemoglobin', 'fasting_glucose', 'urea'][k + 1] AS analyte, CASE r WHEN 0 THEN 4.0 WHEN 2 THEN 40.0 WHEN 3 THEN (CASE WHEN doc_id % 3 = 1 THEN [4.0, 0.6, 12.0, 70.0, 15.0] ELSE [4.0, 0.7, 13.0, 70.0, 15.0] END)[k + 1] END AS low, CASE r WHEN 0 THEN 5.6 WHEN 1 THEN 20.0 WHEN 3 THEN (CASE WHEN doc_id % 3 = 1 THEN [5.6, 1.1, 15.0, 99.0, 40.0] ELSE [5.6, 1.3, 17.0, 99.0, 40.0] END)[k + 1] END AS high FROM x)
         SELECT doc_id, analyte, value, CASE WHEN doc_id % 7 = 0 THEN 'high' WHEN value < low THEN 'low' WHEN value > high THEN 'high' ELSE 'in_range' END AS flag, CASE WHEN doc_id % 7 = 0 THEN 'report' WHEN r = 3 THEN 'table' ELSE 'printed' END AS flag_source FROM y""")
     def promote_observations(t):
         own = F.when(F.col("doc_id") % 7 == 0, "high").when(F.col("doc_id") % 7 == 1, "unknown")
@@ -345,6 +346,16 @@ def register(query) -> None:
         facts = t("fact").select("session_id", F.col("seq").alias("ord"), F.col("value").alias("text"))
         return globals()["summary_lines"]([("facts", facts), ("turns", t("utterance").select("session_id", F.col("turn_id").alias("ord"), "text"))], {"turns": 12})
 
+    @query("""SELECT 's' || CAST(user_id AS VARCHAR) AS id, count(*) AS turns, count(*) FILTER (event_type = 'error') AS declined, round(sum(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS confidence FROM events WHERE CAST(user_id AS VARCHAR) LIKE '%3%' GROUP BY 1""")
+    def read_gold_scripts(t):
+        spark = t("events").sparkSession
+        path = shared_path(spark, "scripts")
+        turn = F.struct(F.col("event_id").cast("string").alias("question_id"), F.col("event_type").alias("utterance"), (F.col("event_id") % 100 / 100).alias("asr_confidence"), (F.col("event_type") == "error").alias("decline"))
+        scripts = t("events").groupBy(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+        scripts.write.json(path)
+        found = globals()["read_gold_scripts"](spark, path, "3", multi_line=False).select("id", F.explode("turns").alias("t"))
+        return found.groupBy("id").agg(F.count(F.lit(1)).alias("turns"), F.count_if("t.decline").alias("declined"), F.round(F.sum("t.asr_confidence"), 6).alias("confidence"))
+
     yes, no = "|".join(YES), "|".join(NO)
 
     @query(f"""WITH v AS (SELECT session_id, turn_id, question_id, nullif(trim(text), '') AS text, CASE question_id WHEN 'q0' THEN CASE WHEN regexp_matches(lower(text), '\\b({no})\\b') THEN 'false' WHEN regexp_matches(lower(text), '\\b({yes})\\b') THEN 'true' END

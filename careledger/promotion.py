@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careledger.rules import rank_of
+from careledger.shared import shared_path
 
 
 def upsert_patients(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def write_snapshots(briefs: DataFrame, path: str, version: str, generated_at) ->
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The newest snapshot per encounter and audience."""
+    """The newest snapshot per encounter and audience, by the time of writing, then id."""
     newest = Window.partitionBy("encounter_id", "audience").orderBy(F.desc("generated_at"), F.desc("id"))
     return snapshots.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
 
@@ -99,8 +100,9 @@ def fhir_observations(observations: DataFrame) -> DataFrame:
     return observations.filter("value is not null").select("patient_id", F.to_json(resource).alias("resource"))
 
 
-def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame, observations: DataFrame) -> DataFrame:
-    """One document bundle as JSON per encounter: Composition, Patient, Consent, MedicationStatements, Observations, then a Provenance per fact.
+def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame, observations: DataFrame, problems: DataFrame, flags: DataFrame, papers: DataFrame) -> DataFrame:
+    """One document bundle as JSON per encounter: Composition, Patient, Consent, Conditions (problems: term; never confirmed), MedicationStatements, Observations,
+    Flags (level, label), DocumentReferences (papers: title), then a Provenance per fact.
 
     Absent elements are left out, never empty. Entries of a visit are few.
     """
@@ -112,9 +114,12 @@ def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame
         of(encounters, 0, F.lit(""), kind("Composition"), F.lit("preliminary").alias("status"), subject)
         .unionByName(of(encounters, 1, F.lit(""), kind("Patient"), F.col("patient_id").cast("string").alias("id")))
         .unionByName(of(encounters.filter("consent_ref is not null"), 2, F.lit(""), kind("Consent"), F.col("consent_ref").alias("id")))
-        .unionByName(of(medications, 3, F.concat_ws("|", "name", "status"), kind("MedicationStatement"), taken, F.col("name").alias("medication")))
-        .unionByName(of(observations.filter("value is not null"), 4, F.concat_ws("|", "analyte_key", F.col("value").cast("string"), "unit"), kind("Observation"), F.col("analyte_key").alias("code"), F.struct("value", "unit").alias("valueQuantity")))
-        .unionByName(of(facts, 5, F.col("fact_id"), kind("Provenance"), F.col("fact_id").alias("target")))
+        .unionByName(of(problems, 3, F.col("term"), kind("Condition"), F.lit("unconfirmed").alias("verificationStatus"), F.col("term").alias("code")))
+        .unionByName(of(medications, 4, F.concat_ws("|", "name", "status"), kind("MedicationStatement"), taken, F.col("name").alias("medication")))
+        .unionByName(of(observations.filter("value is not null"), 5, F.concat_ws("|", "analyte_key", F.col("value").cast("string"), "unit"), kind("Observation"), F.col("analyte_key").alias("code"), F.struct("value", "unit").alias("valueQuantity")))
+        .unionByName(of(flags, 6, F.concat_ws("|", "level", "label"), kind("Flag"), F.lit("active").alias("status"), F.concat(F.lit("["), F.upper("level"), F.lit("] "), F.col("label")).alias("code")))
+        .unionByName(of(papers, 7, F.col("title"), kind("DocumentReference"), F.lit("current").alias("status"), F.col("title").alias("description")))
+        .unionByName(of(facts, 8, F.col("fact_id"), kind("Provenance"), F.col("fact_id").alias("target")))
     )
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "at", "entry"))), lambda e: e["entry"]), ",")
     bundles = entries.groupBy("encounter_id").agg(F.concat(F.lit('{"resourceType":"Bundle","type":"document","entry":['), body, F.lit("]}")).alias("bundle"))
@@ -207,6 +212,23 @@ def register(query) -> None:
     def unresolved(t):
         return globals()["unresolved"](t("clinical_fact"))
 
+    @query("SELECT encounter_id, o_orderstatus AS audience, 'v' || CAST(2 - encounter_id % 2 AS VARCHAR) AS version, encounter_id % 2 = 1 AS outdated FROM encounter JOIN orders ON encounter_id = o_orderkey")
+    def write_snapshots(t):
+        path = shared_path(t("orders").sparkSession, "snapshots")
+        briefs = t("orders").select(F.col("o_orderkey").alias("encounter_id"), F.col("o_orderstatus").alias("audience"), F.col("o_orderkey").alias("id"), F.col("o_comment" if "o_comment" in t("orders").columns else "o_orderstatus").alias("brief"))
+        globals()["write_snapshots"](briefs, path, "v1", "2024-03-01 00:00:00")
+        globals()["write_snapshots"](briefs.filter("encounter_id % 2 = 0"), path, "v2", "2024-03-02 00:00:00")
+        newest = globals()["latest_snapshot"](t("orders").sparkSession.read.parquet(path))
+        return newest.select("encounter_id", "audience", "version", (F.col("version") != "v2").alias("outdated"))
+
+    @query("""SELECT 'encounter' AS name, kind, count(*) AS n FROM encounter GROUP BY 2 UNION ALL SELECT 'medication', status, count(*) FROM medication GROUP BY 2""")
+    def write_durable(t):
+        spark = t("encounter").sparkSession
+        path = shared_path(spark, "durable")
+        globals()["write_durable"]({"encounter": t("encounter"), "medication": t("medication")}, path, {"encounter": "kind"})
+        of = lambda name, by: spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("name"), F.col(by).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        return of("encounter", "kind").unionByName(of("medication", "status"))
+
     @query("""WITH r AS (SELECT o_custkey AS encounter_id, o_orderstatus AS audience, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT encounter_id, audience, id FROM r WHERE r = 1""")
     def latest_snapshot(t):
         rows = t("orders").select(F.col("o_custkey").alias("encounter_id"), F.col("o_orderstatus").alias("audience"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("generated_at"))
@@ -231,15 +253,21 @@ def register(query) -> None:
         entry(0, "''", """'{"resourceType":"Composition","status":"preliminary","subject":{"reference":"Patient/' || patient_id || '"}}'""", "encounter"),
         entry(1, "''", """'{"resourceType":"Patient","id":"' || patient_id || '"}'""", "encounter"),
         entry(2, "''", """'{"resourceType":"Consent","id":"' || consent_ref || '"}'""", "encounter WHERE consent_ref IS NOT NULL"),
-        entry(3, "name || '|' || status", """'{"resourceType":"MedicationStatement","status":"' || CASE status WHEN 'patient-reported-current' THEN 'active' ELSE 'unknown' END || '","medication":"' || name || '"}'""", "medication"),
-        entry(4, "concat_ws('|', analyte_key, CAST(CAST(value AS DOUBLE) AS VARCHAR), unit)", """'{"resourceType":"Observation","code":"' || analyte_key || '","valueQuantity":{"value":' || CAST(CAST(value AS DOUBLE) AS VARCHAR) || coalesce(',"unit":"' || unit || '"', '') || '}}'""", "observation WHERE value IS NOT NULL"),
-        entry(5, "fact_id", """'{"resourceType":"Provenance","target":"' || fact_id || '"}'""", "clinical_fact"),
+        entry(3, "term", """'{"resourceType":"Condition","verificationStatus":"unconfirmed","code":"' || term || '"}'""", "(SELECT encounter_id, value AS term FROM clinical_fact WHERE path = 'hpi.associated' AND value <> 'none')"),
+        entry(4, "name || '|' || status", """'{"resourceType":"MedicationStatement","status":"' || CASE status WHEN 'patient-reported-current' THEN 'active' ELSE 'unknown' END || '","medication":"' || name || '"}'""", "medication"),
+        entry(5, "concat_ws('|', analyte_key, CAST(CAST(value AS DOUBLE) AS VARCHAR), unit)", """'{"resourceType":"Observation","code":"' || analyte_key || '","valueQuantity":{"value":' || CAST(CAST(value AS DOUBLE) AS VARCHAR) || coalesce(',"unit":"' || unit || '"', '') || '}}'""", "observation WHERE value IS NOT NULL"),
+        entry(6, "level || '|R2'", """'{"resourceType":"Flag","status":"active","code":"[' || upper(level) || '] R2"}'""", "(SELECT encounter_id, priority AS level FROM encounter WHERE priority <> 'routine')"),
+        entry(7, "title", """'{"resourceType":"DocumentReference","status":"current","description":"' || title || '"}'""", "(SELECT encounter_id, 'paper ' || encounter_id AS title FROM encounter WHERE kind = 'document')"),
+        entry(8, "fact_id", """'{"resourceType":"Provenance","target":"' || fact_id || '"}'""", "clinical_fact"),
     ]
 
     @query(f"""WITH x AS ({" UNION ALL ".join(sources)}), b AS (SELECT encounter_id, '{{"resourceType":"Bundle","type":"document","entry":[' || string_agg(entry, ',' ORDER BY place, k, entry) || ']}}' AS bundle FROM x GROUP BY 1)
         SELECT e.encounter_id, bundle FROM encounter e LEFT JOIN b ON e.encounter_id = b.encounter_id""")
     def to_fhir_bundles(t):
-        return fhir_bundles(t("encounter"), t("clinical_fact"), t("medication"), t("observation"))
+        problems = t("clinical_fact").filter("path = 'hpi.associated' and value <> 'none'").select("encounter_id", F.col("value").alias("term"))
+        flags = t("encounter").filter("priority <> 'routine'").select("encounter_id", F.col("priority").alias("level"), F.lit("R2").alias("label"))
+        papers = t("encounter").filter("kind = 'document'").select("encounter_id", F.concat(F.lit("paper "), F.col("encounter_id").cast("string")).alias("title"))
+        return fhir_bundles(t("encounter"), t("clinical_fact"), t("medication"), t("observation"), problems, flags, papers)
 
     @query("SELECT 'Observation' AS resource_type, patient_id, count(*) AS n FROM observation WHERE value IS NOT NULL GROUP BY 2")
     def bundle_resource_counts(t):

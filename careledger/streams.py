@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,8 +16,15 @@ def stream_touch_fallback(turns: DataFrame) -> DataFrame:
     """A stream of turns (session_id, question_id, seq, outcome: failed, heard or answered) to how the question is asked next.
 
     Each turn presents its question once. Failed speech forces touch until an answer; after four presentations without one it is
-    given up. Nothing follows an answer or giving up. State is one short row per session and question.
+    given up. Nothing follows an answer or giving up. State is one short row per session and question. A batch of turns gives
+    the same rows by ranks alone: no more than the first presentations of a question matter.
     """
+    if not turns.isStreaming:
+        first = Window.partitionBy("session_id", "question_id").orderBy("seq")
+        shown = turns.withColumn("nth", F.row_number().over(first).cast("long")).filter(F.col("nth") <= MOST_PRESENTATIONS)
+        by = shown.groupBy("session_id", "question_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("outcome") == "answered", F.col("nth"))).alias("answered"), F.bool_or(F.col("outcome") == "failed").alias("failed"))
+        mode = F.when(F.col("answered").isNotNull(), "answered").when(F.col("n") >= MOST_PRESENTATIONS, "given up").when(F.col("failed"), "touch").otherwise("voice")
+        return by.select("session_id", "question_id", F.coalesce("answered", "n").alias("presentations"), mode.alias("mode"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shown, mode = state.get if state.exists else (0, "voice")
@@ -50,6 +57,14 @@ def stream_documents(papers: DataFrame, late: str = "1 day") -> DataFrame:
 def register(query) -> None:
     """The queries of this module, over whole tables read as a batch."""
 
+    @query("""WITH r AS (SELECT user_id AS session_id, 'q' || event_type AS question_id, event_id % 9 AS o, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events),
+        s AS (SELECT session_id, question_id, count(*) AS n, min(nth) FILTER (o = 8) AS a, bool_or(o < 5) AS failed FROM r WHERE nth <= 4 GROUP BY 1, 2)
+        SELECT session_id, question_id, coalesce(a, n) AS presentations, CASE WHEN a IS NOT NULL THEN 'answered' WHEN n >= 4 THEN 'given up' WHEN failed THEN 'touch' ELSE 'voice' END AS mode FROM s""")
+    def stream_touch_fallback(t):
+        outcome = F.when(F.col("event_id") % 9 == 8, "answered").when(F.col("event_id") % 9 < 5, "failed").otherwise("heard")
+        turns = t("events").select(F.col("user_id").alias("session_id"), F.concat(F.lit("q"), "event_type").alias("question_id"), F.col("event_id").alias("seq"), outcome.alias("outcome"))
+        return globals()["stream_touch_fallback"](turns)
+
     @query("""SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS arrived, 2000 + event_id % 7 AS document_year, count(*) AS documents FROM events GROUP BY 1, 2""")
     def stream_documents(t):
         return globals()["stream_documents"](t("events").withColumn("document_date", F.make_date((2000 + F.col("event_id") % 7).cast("int"), F.lit(5), F.lit(2))))
