@@ -208,12 +208,23 @@ def evidence_for_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return facts.select("fact_id").join(evidence.groupBy("fact_id").agg(F.array_join(rows, ",").alias("evidence")), "fact_id", "left").fillna("", ["evidence"])
 
 
-def patient_view(lines: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Lines of a brief (encounter_id, path, value, kinds, confirmed) by what a patient is shown: told us or from documents, and besides awaiting verification."""
+def patient_view(lines: DataFrame, labels: dict[str, str], medicines: DataFrame, series: DataFrame, changes: DataFrame) -> DataFrame:
+    """Lines of a brief (encounter_id, path, value, kinds, confirmed) by what a patient is shown: told us or from documents, and besides awaiting verification.
+
+    ``medicines`` (name, dose, earlier) come from a paper or an earlier visit. Previous visits also hold ``series`` (display, first and last: value and day,
+    points) of two points or more, and ``changes`` (fresh, same: numbers) since the last visit. Blank values are left out.
+    """
     known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     groups = F.array_compact(F.array(F.when(F.array_contains("kinds", "document"), "from documents").otherwise("told us"), F.when(~F.col("confirmed"), "awaiting verification")))
     rows = lines.filter(F.coalesce("value", F.lit("")) != "")
-    return rows.select("encounter_id", F.explode(groups).alias("part"), F.coalesce(F.try_element_at(known, F.col("path")), F.col("path")).alias("label"), "value")
+    shown = rows.select("encounter_id", F.explode(groups).alias("part"), F.coalesce(F.try_element_at(known, F.col("path")), F.col("path")).alias("label"), "value")
+    row = lambda df, part, label, value: df.select("encounter_id", part.alias("part"), label.alias("label"), value.alias("value")).filter("value <> ''")
+    before, point = F.lit("previous visits"), lambda p: F.concat(F.col(p)["value"].cast("string"), F.lit(" on "), F.col(p)["day"].cast("string"))
+    text = F.concat_ws(" ", F.nullif("name", F.lit("")), F.col("dose").cast("string"))
+    kept = row(medicines, F.when(F.col("earlier"), before).otherwise("from documents"), F.when(F.col("earlier"), "Medicine from an earlier visit").otherwise("Medicine on your prescription"), text)
+    runs = row(series.filter("points >= 2"), before, F.concat("display", F.lit(" over time")), F.concat(point("first"), F.lit(", "), point("last")))
+    moved = row(changes, before, F.lit("Compared with your last visit"), F.concat(F.col("fresh").cast("string"), F.lit(" new thing(s) recorded, "), F.col("same").cast("string"), F.lit(" the same as before")))
+    return shown.unionByName(kept).unionByName(runs).unionByName(moved)
 
 
 def summary_lines(sections: list[tuple[str, DataFrame]], limits: dict[str, int]) -> DataFrame:
@@ -334,11 +345,20 @@ def register(query) -> None:
     def evidence_for_facts(t):
         return globals()["evidence_for_facts"](t("clinical_fact"), t("evidence"))
 
-    @query("""WITH l AS (SELECT encounter_id, CASE path WHEN 'hpi.site' THEN 'Where it is' WHEN 'chief_complaint' THEN 'What brought you in' ELSE path END AS label, value, tier FROM clinical_fact)
-        SELECT encounter_id, CASE WHEN tier = 'document' THEN 'from documents' ELSE 'told us' END AS part, label, value FROM l UNION ALL SELECT encounter_id, 'awaiting verification', label, value FROM l WHERE tier <> 'confirmed'""")
+    @query("""WITH s AS (SELECT encounter_id, analyte_key, count(*) AS points, min({'day': observed_on, 'value': CAST(value AS DOUBLE)}) AS f, max({'day': observed_on, 'value': CAST(value AS DOUBLE)}) AS g FROM observation WHERE value IS NOT NULL AND observed_on IS NOT NULL GROUP BY 1, 2),
+        c AS (SELECT encounter_id, count(*) FILTER (superseded_by IS NULL) AS fresh, count(*) FILTER (superseded_by IS NOT NULL) AS same FROM clinical_fact GROUP BY 1),
+        l AS (SELECT encounter_id, CASE path WHEN 'hpi.site' THEN 'Where it is' WHEN 'chief_complaint' THEN 'What brought you in' ELSE path END AS label, value, tier FROM clinical_fact)
+        SELECT encounter_id, CASE WHEN tier = 'document' THEN 'from documents' ELSE 'told us' END AS part, label, value FROM l UNION ALL SELECT encounter_id, 'awaiting verification', label, value FROM l WHERE tier <> 'confirmed'
+        UNION ALL SELECT encounter_id, CASE status WHEN 'documented' THEN 'from documents' ELSE 'previous visits' END, CASE status WHEN 'documented' THEN 'Medicine on your prescription' ELSE 'Medicine from an earlier visit' END, name || ' ' || dose FROM medication WHERE status <> 'stopped-reported'
+        UNION ALL SELECT encounter_id, 'previous visits', analyte_key || ' over time', f.value || ' on ' || f.day || ', ' || g.value || ' on ' || g.day FROM s WHERE points >= 2
+        UNION ALL SELECT encounter_id, 'previous visits', 'Compared with your last visit', fresh || ' new thing(s) recorded, ' || same || ' the same as before' FROM c""")
     def patient_view(t):
         lines = t("clinical_fact").select("encounter_id", "path", "value", F.array(F.when(F.col("tier") == "document", "document").otherwise("utterance")).alias("kinds"), (F.col("tier") == "confirmed").alias("confirmed"))
-        return globals()["patient_view"](lines, {"hpi.site": "Where it is", "chief_complaint": "What brought you in"})
+        medicines = t("medication").filter("status <> 'stopped-reported'").select("encounter_id", "name", "dose", (F.col("status") != "documented").alias("earlier"))
+        point = F.struct(F.col("observed_on").alias("day"), F.col("value").cast("double").alias("value"))
+        series = t("observation").filter("value is not null and observed_on is not null").groupBy("encounter_id", F.col("analyte_key").alias("display")).agg(F.count(F.lit(1)).alias("points"), F.min(point).alias("first"), F.max(point).alias("last"))
+        changes = t("clinical_fact").groupBy("encounter_id").agg(F.count_if(F.col("superseded_by").isNull()).alias("fresh"), F.count_if(F.col("superseded_by").isNotNull()).alias("same"))
+        return globals()["patient_view"](lines, {"hpi.site": "Where it is", "chief_complaint": "What brought you in"}, medicines, series, changes)
 
     @query("""SELECT session_id, 0 AS section_no, 'facts' AS section, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS line_no, value AS text FROM fact
         UNION ALL SELECT * FROM (SELECT session_id, 1, 'turns', row_number() OVER (PARTITION BY session_id ORDER BY turn_id) AS r, text FROM utterance) WHERE r <= 12""")
