@@ -2,13 +2,14 @@
 
 A page is a sequence of blocks of text, each under a path of tags from the root to its leaf. Per path the text
 length and the punctuation are summed over the page; their ratios to the number of blocks, smoothed over neighbouring
-blocks and fused with link density, separate content paths from boilerplate ones. Elements that never
+blocks and fused with link density and with being inside an article or main element, separate content paths from boilerplate ones. Elements that never
 hold content (scripts, forms, navigation, ...) are left out beforehand by what they are.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,6 +37,10 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACES = re.compile(r"\s+")
 PUNCT = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
+HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+ITEM = re.compile(r"/(?:li|dt|dd|td|th|caption|figcaption|pre)(?:[./]|$)")
+#: Weight of blocks inside an article or main element; marks a block from which on text in links counts as prose.
+INSIDE, PROSE = 4, 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -141,29 +146,51 @@ def blocks_of(page: str) -> list[tuple[str, str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The article of a page: its content blocks in order, joined by line feeds; empty for a null, empty or textless page.
 
-    With an article or main element only blocks within it are candidates. Otherwise blocks are kept by the fused ratio of their path: text and
-    punctuation per block, smoothed over the neighbours, against the page's own mean; headings follow the block after them.
+    On every page blocks are kept by the fused ratio of their path: text and punctuation per block, smoothed over the neighbours in the same
+    zone, against the page's own mean. Being inside an article or main element is one weight in it. Text in links counts as far as it is
+    punctuated, and blocks that are mostly links without it are left out. Headings follow the block after them; lists and tables in an
+    article or main element follow the text around them.
     """
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    if any(b[3] for b in blocks):
-        return "\n".join(b[1] for b in blocks if b[3] and not (b[2] >= 0.9 * len(b[1]) and "/li" in b[0]))
+    n = len(blocks)
     count: dict[str, int] = defaultdict(int)
-    chars: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    for path, text, linked, _ in blocks:
+    chars: dict[str, int] = defaultdict(int)
+    links: dict[str, int] = defaultdict(int)
+    marks: dict[str, int] = defaultdict(int)
+    dots = [len(PUNCT.findall(b[1])) for b in blocks]
+    for (path, text, linked, _), d in zip(blocks, dots, strict=True):
         count[path] += 1
-        chars[path] += max(0, len(text) - linked)
-        marks[path] += len(PUNCT.findall(text))
-    fused = [(chars[p] / count[p]) * (1 + marks[p] / count[p]) for p, *_ in blocks]
-    n = len(fused)
-    smooth = [0.5 * fused[i] + 0.25 * fused[max(0, i - 1)] + 0.25 * fused[min(n - 1, i + 1)] for i in range(n)]
-    level = 0.1 * sum(smooth) / n
-    heading = re.compile(r"/h[1-6](?:\.|$)")
-    keep = [smooth[i] >= level and b[2] < 0.5 * len(b[1]) for i, b in enumerate(blocks)]
+        chars[path] += len(text)
+        links[path] += min(linked, len(text))
+        marks[path] += d
+    ratio = {p: (chars[p] - links[p] * max(0.0, 1 - marks[p] / k / PROSE)) / k * (1 + marks[p] / k) for p, k in count.items()}
+    zone = [b[3] for b in blocks]
+    raw = [math.log1p(ratio[b[0]]) for b in blocks]
+    near = lambda i, j: raw[j] if 0 <= j < n and zone[j] == zone[i] else raw[i]
+    # Neighbours lift a block of prose; a small one doesn't pull down its neighbour's path.
+    score = [math.expm1(max(raw[i], (0.5 * raw[i] + 0.25 * near(i, i - 1) + 0.25 * near(i, i + 1)) * (marks[b[0]] > 0))) * (INSIDE if b[3] else 1) for i, b in enumerate(blocks)]
+    level = 0.1 * sum(score) / n
+
+    def listed(i: int) -> bool:
+        path, text, linked, inside = blocks[i]
+        part, whole, d = (links[path], chars[path], marks[path] / count[path]) if inside else (linked, len(text), dots[i])
+        return part >= 0.5 * whole and d < PROSE
+
+    keep = [score[i] >= level and not listed(i) for i in range(n)]
+    # Items between blocks of text: kept with either neighbour of their run.
+    i = 0
+    while i < n:
+        j = i
+        while j < n and blocks[j][3] and ITEM.search("/" + blocks[j][0]):
+            j += 1
+        if j > i and ((i > 0 and zone[i - 1] == zone[i] and keep[i - 1]) or (j < n and zone[j] == zone[i] and keep[j])):
+            for k in range(i, j):
+                keep[k] = not listed(k)
+        i = max(j, i + 1)
     for i in range(n - 2, -1, -1):
-        if heading.search("/" + blocks[i][0]):
+        if HEADING.search("/" + blocks[i][0]):
             keep[i] = keep[i + 1]
     return "\n".join(b[1] for b, k in zip(blocks, keep, strict=True) if k)
 

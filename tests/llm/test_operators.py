@@ -136,6 +136,22 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "A long sentence of the story, with commas, that goes on for a while; then it ends. And another one follows, as stories do."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=story><h1>T</h1><div>{STORY}</div><div>{STORY}</div></div><article><p>A teaser, it leads elsewhere.</p></article>", f"T\n{STORY}\n{STORY}\nA teaser, it leads elsewhere."),
+        (f"<div><h2>T</h2><p>{STORY}</p><p>Short end.</p></div><div class=links><a href=x>More of this</a></div>", f"T\n{STORY}\nShort end."),
+        (f"<article><p>{STORY}</p><div class=x>Advertisement</div><p>{STORY}</p><ul><li><a href=x>More of this</a></li></ul></article>", f"{STORY}\n{STORY}"),
+        (f"<main><p>{STORY}</p><ul><li><a href=x>Smith, J. (2001). On things. Journal, 3.</a></li></ul><ol><li>Two eggs</li></ol></main>", f"{STORY}\nSmith, J. (2001). On things. Journal, 3.\nTwo eggs"),
+    ],
+)
+def test_ratios_decide_on_every_page(page, text):
+    assert html.main_text(page) == text
+
+
 def test_packing_covers_every_id_once(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
