@@ -2,7 +2,7 @@
 
 A page is a sequence of blocks of text, each under a path of tags from the root to its leaf. Per path the text
 length and the punctuation are summed over the page; their ratios to the number of blocks, smoothed over neighbouring
-blocks and fused with link density and with being inside an article or main element, separate content paths from boilerplate ones. Elements that never
+blocks and fused with link density, with being inside an article or main element and with class and id names, separate content paths from boilerplate ones. Elements that never
 hold content (scripts, forms, navigation, ...) are left out beforehand by what they are.
 """
 
@@ -26,11 +26,15 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 STOP = {"table", "ul", "ol", "dl", "body", "html", "article", "section", "div", "main", "blockquote"}
+#: Parts of class and id names that are a penalty: those of boilerplate, and those that content has as well.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|topbar|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social"
-    r"|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?\w*|commentlist|disqus|replies|reply|respond|reader-comments|pagination|pager|copyright|legal|skip|toolbar|tags?|meta|byline)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:(ads?|advert\w*|adsense|adslot|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|footer|masthead|topbar|sidebar\w*|widget\w*|share|sharing"
+    r"|cookies?|gdpr|popup|newsletter|subscribe|signup|login|comments?\w*|commentlist|disqus|replies|reply|pagination|pager|copyright|toolbar)"
+    r"|(header|side|related|recommend\w*|social|consent|notice\w*|modal|overlay|subscription|respond|legal|skip|tags?|meta|byline))(?:$|[_-])",
     re.I,
 )
+#: Names that say what stands beside an element, not what it is.
+BESIDE = re.compile(r"(?:has|no|not|with|without|layout)[_-]", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -41,6 +45,10 @@ HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 ITEM = re.compile(r"/(?:li|dt|dd|td|th|caption|figcaption|pre)(?:[./]|$)")
 #: Weight of blocks inside an article or main element; marks a block from which on text in links counts as prose.
 INSIDE, PROSE = 4, 3
+#: Factors for names of boilerplate and for names that content has as well; share of a page's text from which on a name is no penalty.
+NAMED, MAYBE_NAMED, MOST = 0.003, 0.3, 2 / 3
+
+Names = tuple[tuple[str, str, bool], ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -54,16 +62,28 @@ def _is_boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bo
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    return any(BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(k, ""))) for k in ("class", "id", "itemprop"))
+    return attrs.get("role", "").lower() in ROLES
 
 
-def blocks_of(page: str) -> list[tuple[str, str, int, bool]]:
-    """(tag path, text, characters in links, inside an article or main element) of each block outside boilerplate elements."""
-    stack: list[tuple[str, bool, str]] = []  # tag, skipped, name in the path
-    out: list[tuple[str, str, int, bool]] = []
+def _named(tag: str, attrs: dict[str, str], path: str) -> Names:
+    """What the element's class and id names say: (path, part of a name, whether only boilerplate has it)."""
+    if tag in ("html", "body", "article", "main"):
+        return ()
+    found = []
+    for k in ("class", "id", "itemprop"):
+        for name in attrs.get(k, "").split():
+            m = None if BESIDE.match(name) else BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name))
+            if m:
+                found.append((path, (m[1] or m[2]).lower(), m[1] is not None))
+    return tuple(found)
+
+
+def blocks_of(page: str) -> list[tuple[str, str, int, bool, Names]]:
+    """(tag path, text, characters in links, inside an article or main element, names of the elements around most of it) of each block outside elements that never hold content."""
+    stack: list[tuple[str, bool, str, Names]] = []  # tag, skipped, name in the path, names around
+    out: list[tuple[str, str, int, bool, Names]] = []
     parts: list[str] = []
+    under: dict[Names, int] = {}
     linked = 0
     path, at, end = "", 0, len(page)
 
@@ -72,15 +92,16 @@ def blocks_of(page: str) -> list[tuple[str, str, int, bool]]:
         if parts:
             text = SPACES.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((path, text, linked, any(t in ("article", "main") for t, _, _ in stack)))
+                out.append((path, text, linked, any(x[0] in ("article", "main") for x in stack), max(under, key=under.get, default=())))
             parts, linked = [], 0
+            under.clear()
 
     def rebuild() -> None:
         nonlocal path
-        path = "/".join(n for t, _, n in stack if t not in INLINE)
+        path = "/".join(x[2] for x in stack if x[0] not in INLINE)
 
     def pop(to: int) -> None:
-        if any(t not in INLINE for t, _, _ in stack[to:]):
+        if any(x[0] not in INLINE for x in stack[to:]):
             flush()
         del stack[to:]
         rebuild()
@@ -91,7 +112,9 @@ def blocks_of(page: str) -> list[tuple[str, str, int, bool]]:
         if stop > at and not (stack and stack[-1][1]):
             text = html.unescape(page[at:stop])
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            around = stack[-1][3] if stack else ()
+            under[around] = under.get(around, 0) + len(text.strip())
+            if any(x[0] == "a" for x in stack):
                 linked += len(text.strip())
         if not m:
             break
@@ -133,11 +156,13 @@ def blocks_of(page: str) -> list[tuple[str, str, int, bool]]:
         if tag not in INLINE:
             flush()
         attrs = _attributes(m[3]) if m[3] and m[3] != "/" else {}
-        skipped = bool(stack and stack[-1][1]) or _is_boilerplate(tag, attrs, any(t in ("article", "main") for t, _, _ in stack))
+        skipped = bool(stack and stack[-1][1]) or _is_boilerplate(tag, attrs, any(x[0] in ("article", "main") for x in stack))
         name = tag + ("." + attrs["class"].split()[0] if attrs.get("class", "").split() else "")
         if m[3].rstrip().endswith("/") and tag in ("path", "circle", "rect", "use"):
             continue
-        stack.append((tag, skipped, name))
+        around = stack[-1][3] if stack else ()
+        named = _named(tag, attrs, f"{path}/{name}") if attrs and not skipped else ()
+        stack.append((tag, skipped, name, around + named))
         rebuild()
     flush()
     return out
@@ -148,7 +173,8 @@ def main_text(page: str | None) -> str:
 
     On every page blocks are kept by the fused ratio of their path: text and punctuation per block, smoothed over the neighbours in the same
     zone, against the page's own mean. Being inside an article or main element is one weight in it. Text in links counts as far as it is
-    punctuated, and blocks that are mostly links without it are left out. Headings follow the block after them; lists and tables in an
+    punctuated, and blocks that are mostly links without it are left out. Names of classes and ids are a penalty, but not those of elements
+    that hold most of the page's text. Headings follow the block after them; lists and tables in an
     article or main element follow the text around them.
     """
     blocks = blocks_of(page or "")
@@ -160,21 +186,30 @@ def main_text(page: str | None) -> str:
     links: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
     dots = [len(PUNCT.findall(b[1])) for b in blocks]
-    for (path, text, linked, _), d in zip(blocks, dots, strict=True):
+    for (path, text, linked, *_), d in zip(blocks, dots, strict=True):
         count[path] += 1
         chars[path] += len(text)
         links[path] += min(linked, len(text))
         marks[path] += d
     ratio = {p: (chars[p] - links[p] * max(0.0, 1 - marks[p] / k / PROSE)) / k * (1 + marks[p] / k) for p, k in count.items()}
-    zone = [b[3] for b in blocks]
+    # What names hold of the page's text; text in an article or main element weighs more.
+    weight = [(len(b[1]) - min(b[2], len(b[1]))) * (INSIDE if b[3] else 1) for b in blocks]
+    held: dict[tuple[str, str, bool], int] = defaultdict(int)
+    for b, w in zip(blocks, weight, strict=True):
+        for name in set(b[4]):
+            held[name] += w
+    factor = [min((NAMED if x[2] else MAYBE_NAMED for x in b[4] if held[x] < MOST * sum(weight)), default=1.0) for b in blocks]
+    zone = [(b[3], f) for b, f in zip(blocks, factor, strict=True)]
     raw = [math.log1p(ratio[b[0]]) for b in blocks]
     near = lambda i, j: raw[j] if 0 <= j < n and zone[j] == zone[i] else raw[i]
     # Neighbours lift a block of prose; a small one doesn't pull down its neighbour's path.
-    score = [math.expm1(max(raw[i], (0.5 * raw[i] + 0.25 * near(i, i - 1) + 0.25 * near(i, i + 1)) * (marks[b[0]] > 0))) * (INSIDE if b[3] else 1) for i, b in enumerate(blocks)]
-    level = 0.1 * sum(score) / n
+    score = [math.expm1(max(raw[i], (0.5 * raw[i] + 0.25 * near(i, i - 1) + 0.25 * near(i, i + 1)) * (marks[b[0]] > 0))) * (INSIDE if b[3] else 1) * factor[i] for i, b in enumerate(blocks)]
+    # Boilerplate by name has no part in the mean if there is other text.
+    counted = [s for s, f in zip(score, factor, strict=True) if f != NAMED] or score
+    level = 0.1 * sum(counted) / len(counted)
 
     def listed(i: int) -> bool:
-        path, text, linked, inside = blocks[i]
+        path, text, linked, inside, _ = blocks[i]
         part, whole, d = (links[path], chars[path], marks[path] / count[path]) if inside else (linked, len(text), dots[i])
         return part >= 0.5 * whole and d < PROSE
 
@@ -191,7 +226,11 @@ def main_text(page: str | None) -> str:
         i = max(j, i + 1)
     for i in range(n - 2, -1, -1):
         if HEADING.search("/" + blocks[i][0]):
-            keep[i] = keep[i + 1]
+            # A heading in a header of its own belongs to what comes after the header.
+            j = i + 1
+            while blocks[i][4] and blocks[i][4][-1][1] == "header" and j < n - 1 and blocks[i][4][-1] in blocks[j][4]:
+                j += 1
+            keep[i] = keep[j]
     return "\n".join(b[1] for b, k in zip(blocks, keep, strict=True) if k)
 
 

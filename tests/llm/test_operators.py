@@ -152,6 +152,20 @@ def test_ratios_decide_on_every_page(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *[(f"<div class='{name}'><h1>T</h1><p>{STORY}</p><p>{STORY}</p></div><div class=footer>Made by us.</div>", f"T\n{STORY}\n{STORY}") for name in ("post hentry category-x tag-y", "has-sidebar", "no-sidebar", "layout-side", "notice", "legal", "sidebar-main")],
+        *[(f"<article><div class='{name}'><h1>T</h1><p class=byline>By X</p></div><p>{STORY}</p><p>{STORY}</p></article>", f"T\n{STORY}\n{STORY}") for name in ("entry-header", "article-header")],
+        (f"<article><p>{STORY}</p><p>{STORY}</p><section class=related-work><h2>Related work</h2><p>{STORY}</p></section></article>", f"{STORY}\n{STORY}\nRelated work\n{STORY}"),
+        ("".join(f"<div class=col><div class='box widget-text'><p>{i} {STORY}</p></div></div>" for i in range(4)), "\n".join(f"{i} {STORY}" for i in range(4))),
+        (f"<div class=body><p>{STORY}</p><p>See <a class=nav-link href=x>this</a>, too.</p></div><div class=comments><h2>Said</h2><p>Me first, and long. {STORY}</p></div>", f"{STORY}\nSee this, too."),
+    ],
+)
+def test_names_are_a_penalty_only(page, text):
+    assert html.main_text(page) == text
+
+
 def test_packing_covers_every_id_once(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
