@@ -80,6 +80,15 @@ def test_choices_are_extracted_unless_negated(spark):
     assert of("single")[1] == ("heavy", None)
 
 
+def test_absence_options_are_not_negated(spark):
+    u = spark.createDataFrame([(1, 1, "q", "no, I never smoke"), (2, 1, "q", "no, not daily")], "session_id int, turn_id int, question_id string, text string")
+    phrases = spark.createDataFrame([("q", "never", "never smoke"), ("q", "daily", "daily")], "question_id string, option_value string, phrase string")
+    hits = documents.match_options(u, phrases)
+    assert [tuple(r) for r in hits.collect()] == [(1, 1, "never", 0.61, 6, 1)]
+    slots = intake.extract_slots(u, spark.createDataFrame([("q", "single")], "question_id string, kind string"), hits).collect()
+    assert {r.session_id: r.value for r in slots} == {1: "never", 2: None}
+
+
 def run_stream(spark, df, tmp_path, mode, make):
     """``df`` read as a stream of files through ``make``; the rows of the sink."""
     df.write.parquet(str(tmp_path / "in"))
