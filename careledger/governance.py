@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,16 +60,25 @@ def audit_payload(*columns: str) -> Column:
 
 
 def append_chain(rows: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
-    """``rows`` with prev_hash and hash: a sequential chain per key, folded over the key's ordered payloads."""
-    items = rows.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), payload.alias("p")))).alias("items"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("o"), F.lit("").alias("p"), F.lit("").alias("prev"), F.lit(GENESIS).alias("h")))
+    """``rows`` with prev_hash and hash: a sequential chain per key over its payloads in order.
 
-    def link(acc, x):
-        prev = F.element_at(acc, -1)["h"]
-        return F.concat(acc, F.array(F.struct(x["o"].cast("long").alias("o"), x["p"].alias("p"), prev.alias("prev"), F.sha2(F.concat(prev, x["p"]), 256).alias("h"))))
-
-    done = items.select(chain, F.explode(F.slice(F.aggregate("items", start, link), 2, 2_000_000_000)).alias("x"))
-    return done.select(chain, F.col("x.o").alias(order), F.col("x.p").alias("payload"), F.col("x.prev").alias("prev_hash"), F.col("x.h").alias("hash"))
+    A chain's rows stream through one task, which keeps only the last hash.
+    """
+    items = rows.select(F.col(chain), F.col(order).cast("long").alias(order), payload.alias("payload")).repartition(chain).sortWithinPartitions(chain, order, "payload")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), None
+        for batch in batches:
+            before, after = [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not (k == key or (k != k and key != key)):  # NaN is one key
+                    key, last = k, GENESIS
+                before.append(last)
+                last = None if last is None or p is None else hashlib.sha256((last + p).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
+
+    return items.mapInArrow(link, T.StructType([*items.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]))
 
 
 def verify_chain(rows: DataFrame, chain: str, order: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every query of the library against its SQL, on the smallest tables; single operators on small cases."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,20 @@ def test_scrub_redacts_at_any_depth(spark):
     assert df.select(governance.scrub_payload(F.col("p"))).first()[0] == '{"a": {"name": "<redacted>"}, "l": "<2 item(s)>"}'
 
 
+def test_chains_are_streamed(spark):
+    n = 25_000  # more rows than an Arrow batch holds
+    df = spark.range(n).selectExpr("nullif(id % 5 div 4, 1) as chain", "id", "concat('p', id) as p").repartition(3)
+    found = governance.append_chain(df, "chain", "id", F.col("p"))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = []
+    for chain, ids in ((0, (i for i in range(n) if i % 5 != 4)), (None, range(4, n, 5))):
+        last = governance.GENESIS
+        for i in ids:
+            want.append((chain, i, f"p{i}", last, last := hashlib.sha256(f"{last}p{i}".encode()).hexdigest()))
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    assert {tuple(r) for r in governance.verify_chain(found, "chain", "id").collect()} == {(0, 20_000, None, None), (None, 5000, None, None)}
+
+
 def test_folding_drops_case_and_marks(spark):
     df = spark.createDataFrame([("Méningite-À",), (None,)], "t string")
     assert {r[1] for r in governance.fold_text(df, "t", "f").collect()} == {"meningite a", None}
