@@ -275,10 +275,13 @@ def _block_pairs(cells: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, with all columns; of rows that repeat such an id one stays.
+    """One row of ``docs`` per class, with all columns: that of the smallest id, null ids last.
 
-    Rows with a null id can't be told apart by it and stay.
+    Rows are told apart by a key of their own, so ids may repeat across different texts or be null.
     """
-    first = ngram_jaccard_join(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    digest = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_digest": digest}), "ngram-rows")
+    classes = ngram_jaccard_join(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), "class_id")
+    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_digest", "_row")
+    first = keyed.select("_row", place.alias("place")).join(classes, "_row").groupBy("class_id").agg(F.min("place").alias("first"))
+    return keyed.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

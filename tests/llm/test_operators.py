@@ -80,6 +80,38 @@ def test_a_large_group_of_near_copies_keeps_every_link(spark):
     assert all(r["class_id"] == 0 and r["n_links"] == 149 for r in found if r["doc_id"] < 1000)
 
 
+def test_one_row_per_class_whatever_its_id(spark):
+    base, other, third = long_text(1), long_text(2), long_text(3)
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    rows = [(1, base), (1, other), (2, near(base)), (None, third), (None, near(third)), (None, near(other)), (None, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, ngram_join.keep_one_per_class(docs.repartition(3)).collect()))
+    assert sum(found[r] for r in ((None, third), (None, near(third)))) == 1
+    assert found - Counter([(None, third), (None, near(third))]) == Counter([(1, base), (1, other), (None, ""), (4, None)])
+
+
+def test_stages_match_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [long_text(i) for i in range(40)]
+    near = [" ".join("changed" if k == 30 else w for k, w in enumerate(t.split())) for t in texts[:5]]
+    clean = [*texts, *texts[:10], *near, "", ""]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate([*clean, *[f"vile slur {t}" for t in texts[20:40]]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= len(clean))) for i in range(len(rows))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        left.append(sorted(r[0] for r in docs.select("doc_id").collect()))
+    assert left[0] == list(range(len(clean)))
+    assert left[1] == [*range(40), *range(50, 56)]
+    assert left[2] == [*range(40), 55]
+    assert set(left[3]) <= set(left[2])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert Counter(r[0] for r in packed.filter("start = 0").select("doc_id").collect()) == Counter(left[3])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(edges).collect()}
