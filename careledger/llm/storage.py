@@ -1,11 +1,17 @@
-"""Reading tables and cutting lineage through written tables in the cluster's shared folder."""
+"""Reading tables, cutting lineage through written tables in the cluster's shared folder, and keeping Python workers small."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes in an Arrow batch, about, whatever the size of a row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one that is set for the session."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one; a cluster has no
+    folder that its machines are known to share, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="careledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,4 +41,48 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialize wrote, once no table still to be written reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session in bytes, unless it has a smaller bound: a batch counted in rows may hold any number of long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not (now or "").isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(work: Callable, *caches: dict) -> Callable:
+    """``work`` over the batches of a partition; at its end ``caches`` are cleared and Arrow's free memory goes back, since workers are reused."""
+
+    @functools.wraps(work)
+    def run(batches):
+        import pyarrow
+
+        try:
+            yield from work(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pyarrow.default_memory_pool().release_unused()
+
+    return run
+
+
+def with_row_keys(docs: DataFrame, what: str, **columns) -> DataFrame:
+    """``docs`` written once as row (a struct of all its columns), rid (a key of its own per row) and ``columns``.
+
+    The caller's columns stay inside the struct, so no name of theirs can clash.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return materialize(docs.select(row, F.monotonically_increasing_id().alias("rid"), *[c.alias(k) for k, c in columns.items()]), what)
