@@ -1,10 +1,10 @@
 """Jaccard self-join of documents on word n-grams by MinHash banding.
 
 Documents with the same set of n-grams form one node, so copies never multiply. Band and row counts follow from the
-target recall; nodes that share a band hash are candidates, and every candidate pair is verified on
-the full sets. Buckets of up to SMALL nodes become pairs of node keys; nodes of larger buckets are put
-together in cells, and a cell is compared block by block in tasks that return counts and a spanning
-forest, never the pairs. Nothing is capped: whatever the size of a bucket, all its pairs are verified.
+target recall; two nodes are candidates exactly if they share a band hash, and every candidate pair is verified on
+the full sets. Nodes are kept in blocks of bounded size: a node's home is the largest bucket that it is in, and
+a home is cut into blocks. Buckets give pairs of blocks, each once, and a pair of blocks is compared in one step of a task
+that returns counts and a spanning forest, never the pairs of nodes. Nothing is capped: the rule is the same for buckets of any size.
 """
 
 from __future__ import annotations
@@ -17,18 +17,24 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careledger.llm.components import components
-from careledger.llm.storage import materialize
+from careledger.llm.storage import bounded_batches, discard, materialize, tidy, with_row_keys
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that share a band at least; pairs above it are found more often still.
 RECALL, MAX_HASHES = 0.9999, 300
-SMALL, BLOCK = 32, 64
+#: N-gram hashes in a block of nodes, about; a block is what one step of a task holds of a side.
+BLOCK_GRAMS = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _COLUMNS = 8192
+#: Up to so many candidates in a pair of blocks are intersected one by one.
+_FEW = 64
+#: Words whose hashes a worker remembers.
+_REMEMBERED = 1 << 17
 
 
 def bands_and_rows(threshold: float, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -44,7 +50,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > _REMEMBERED:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -98,24 +104,25 @@ def _node_key(x: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n: int) -> DataFrame:
-    """doc_id, node (key of the n-gram set; null without words), bands."""
+    """doc_id, node (key of the n-gram set; null without words), grams (size of the set), bands."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, hashes = [], []
+            nodes, hashes, grams = [], [], []
             for text in batch["text"]:
                 x = shingles(text, n)
                 nodes.append(_node_key(x))
+                grams.append(len(x))
                 hashes.append(band_hashes(x, bands, rows) if len(x) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "bands": hashes})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "grams": grams, "bands": hashes})
 
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_.mapInPandas(sign, f"doc_id {id_type}, node binary, bands array<bigint>")
+    return rows_.mapInPandas(tidy(sign, _words), f"doc_id {id_type}, node binary, grams long, bands array<bigint>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """node, shingles (binary) of the nodes in ``wanted`` (node, rep), from the texts of their representatives."""
+    """nid, shingles (binary) of the nodes in ``wanted`` (nid, node, rep), from the texts of their representatives."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,28 +133,29 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     reps = wanted.select(F.col("rep").alias("_rep")).distinct()
     texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    found = texts.mapInPandas(sets, f"doc_id {id_type}, node binary, shingles binary")
+    found = texts.mapInPandas(tidy(sets, _words), f"doc_id {id_type}, node binary, shingles binary")
     # A repeated id may bring other sets along; repeats of the same set are one node.
-    found = found.join(wanted.select("node", F.col("rep").alias("_rep")), "node").filter(F.col("doc_id").eqNullSafe(F.col("_rep")))
-    return found.dropDuplicates(["node"]).select("node", "shingles")
+    found = found.join(wanted.select("nid", "node", F.col("rep").alias("_rep")), "node").filter(F.col("doc_id").eqNullSafe(F.col("_rep")))
+    return found.dropDuplicates(["nid"]).select("nid", "shingles")
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b, x, y: two sets) whose Jaccard similarity is at least ``threshold``."""
+class _Block:
+    """The nodes of a block as arrays: nid, n (documents), bands (one row per node) and sets."""
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+    def __init__(self, items: pa.StructArray):
+        self.nid, self.n = (items.field(k).to_numpy(zero_copy_only=False) for k in ("nid", "n"))
+        self.bands = items.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1)
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in items.field("shingles")]
+        self.size = np.array([len(x) for x in self.sets])
 
-    return pairs.mapInPandas(verify, "a binary, b binary")
+
+def _candidates(left: _Block, right: _Block, threshold: float) -> np.ndarray:
+    """For each pair of nodes: whether they share a band and their sizes allow the threshold."""
+    hit = np.zeros((len(left.nid), len(right.nid)), bool)
+    for p, q in zip(left.bands.T, right.bands.T, strict=True):
+        hit |= p[:, None] == q[None, :]
+    low, high = np.minimum(left.size[:, None], right.size[None, :]), np.maximum(left.size[:, None], right.size[None, :])
+    return hit & (low >= threshold * high)
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -169,38 +177,59 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _dense_links(block_pairs: DataFrame, threshold: float) -> DataFrame:
-    """node, root, n for every node with links in a pair of blocks: its number of linked documents there, and its root in a forest that spans them."""
+def _links(left: _Block, right: _Block, same: bool, threshold: float) -> np.ndarray:
+    """For each pair of nodes whether it is a link: a candidate whose full sets reach the threshold."""
+    ask = _candidates(left, right, threshold)
+    if same:
+        np.fill_diagonal(ask, False)
+    i, j = np.nonzero(ask)
+    if len(i) <= _FEW:
+        both = np.array([len(np.intersect1d(left.sets[a], right.sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+    else:
+        rows, cols = np.unique(i), np.unique(j)
+        both = _intersections([left.sets[k] for k in rows], [right.sets[k] for k in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+    hit = np.zeros_like(ask)
+    if len(i):
+        hit[i, j] = both >= threshold * (left.size[i] + right.size[j] - both)
+    return hit
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
+    """Root of each of ``n`` members after joining i and j."""
+    up = list(range(n))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = root(p), root(q)
+        up[max(p, q)] = min(p, q)
+    return [root(k) for k in range(n)]
+
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(block_pairs: DataFrame, threshold: float) -> DataFrame:
+    """nid, root, n for every node with links in a pair of blocks: its number of linked documents there, and its root in a forest that spans them."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, left, right in zip(batch["same"], batch["left"], batch["right"], strict=True):
-                rows_l = [(bytes(r["node"]), int(r["n"]), np.frombuffer(r["shingles"], np.uint64)) for r in left]
-                rows_r = rows_l if same else [(bytes(r["node"]), int(r["n"]), np.frombuffer(r["shingles"], np.uint64)) for r in right]
-                both = _intersections([r[2] for r in rows_l], [r[2] for r in rows_r])
-                size_l, size_r = (np.array([len(r[2]) for r in rows]) for rows in (rows_l, rows_r))
-                hit = both >= threshold * (size_l[:, None] + size_r[None, :] - both)
-                if same:
-                    np.fill_diagonal(hit, False)
-                names = [r[0] for r in rows_l] + ([] if same else [r[0] for r in rows_r])
-                weight_l, weight_r = np.array([r[1] for r in rows_l]), np.array([r[1] for r in rows_r])
-                count = [*(hit @ weight_r)] + ([] if same else [*(hit.T @ weight_l)])
-                up = list(range(len(names)))
-
-                def root(k: int, up: list[int] = up) -> int:
-                    while up[k] != k:
-                        up[k] = up[up[k]]
-                        k = up[k]
-                    return k
-
-                for i, j in zip(*np.nonzero(hit), strict=True):
-                    p, q = root(int(i)), root(int(j) + (0 if same else len(rows_l)))
-                    if p != q:
-                        up[max(p, q)] = min(p, q)
-                rows = [(names[k], names[root(k)], int(c)) for k, c in enumerate(count) if c]
-                yield pd.DataFrame(rows, columns=["node", "root", "n"])
-
-    return block_pairs.select("same", "left", "right").mapInPandas(link, "node binary, root binary, n bigint")
+            for k in range(batch.num_rows):
+                same = batch.column("same")[k].as_py()
+                left = _Block(batch.column("left")[k].values)
+                right = left if same else _Block(batch.column("right")[k].values)
+                hit = _links(left, right, same, threshold)
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                names = left.nid if same else np.concatenate([left.nid, right.nid])
+                count = hit @ right.n if same else np.concatenate([hit @ right.n, hit.T @ left.n])
+                root = names[_forest(i, j if same else j + len(left.nid), len(names))]
+                some = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (names, root, count)], ["nid", "root", "n"])
+
+    return block_pairs.select("same", "left", "right").mapInArrow(tidy(link), "nid bigint, root bigint, n bigint")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
@@ -212,76 +241,62 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n-grams and is a class of its own; a text of fewer than n words is one n-gram. Null ids are
     kept and lose against other ids. An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     signed = materialize(signatures(docs, id_col, text_col, bands, rows, n), "ngram-signatures")
     worded = signed.filter("node is not null")
-    nodes = materialize(worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-nodes")
-
-    # Buckets with at least two different nodes; the half key of a node is a long, which hash aggregation keeps in place.
-    occurs = worded.select("node", F.explode("bands").alias("band"))
-    half = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
-    shared = occurs.groupBy("band").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).filter("lo < hi").select("band")
-    hits = occurs.join(shared, "band").distinct()
-    hits = materialize(hits, "ngram-hits")
-    sizes = hits.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center"))
-    sized = materialize(hits.join(sizes, "band"), "ngram-buckets")
-
-    # Nodes of large buckets, in cells.
-    cells = materialize(components(sized.filter(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "cell"), "ngram-cells")
-    pairs = _bucket_pairs(sized.filter(F.col("n") <= SMALL), cells)
-    pairs = materialize(pairs, "ngram-pairs")
-
-    # Full sets of the nodes that need comparing, each once.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(cells.select("node")).distinct().join(nodes.select("node", "rep"), "node")
-    sets = materialize(_sets_of(docs, materialize(wanted, "ngram-wanted"), id_col, text_col, n), "ngram-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links = materialize(_verified(both.select("a", "b", "x", "y"), threshold), "ngram-links")
-    dense = materialize(_dense_links(_block_pairs(cells, sets, nodes), threshold), "ngram-dense")
-
-    copies = nodes.select("node", "copies")
-    counts = links.select(F.col("a").alias("to"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("to"), F.col("a").alias("node")))
-    counts = counts.join(copies, "node").select(F.col("to").alias("node"), F.col("copies").alias("n")).unionByName(dense.select("node", "n"))
-    counts = counts.groupBy("node").agg(F.sum("n").alias("linked"))
-    roots = components(links.unionByName(dense.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    classes = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = roots.join(classes, "root").join(counts, "node").select("node", "class_id", "linked")
-    known = nodes.join(linked, "node", "left").select("node", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "ngram-nodes")
+
+    # Buckets with at least two nodes, and the nodes in them. Copies were one node before bands are taken apart.
+    occurs = nodes.select("nid", F.explode("bands").alias("band"))
+    sizes = materialize(occurs.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "ngram-buckets")
+    hits = materialize(occurs.join(sizes, "band").select("nid", "band", "size"), "ngram-hits")
+    home = hits.groupBy("nid").agg(F.max(F.struct("size", "band")).alias("home"))
+    home = home.join(nodes.select("nid", "node", "rep", "copies", "grams", "bands"), "nid").withColumn("home", F.col("home.band"))
+    home = materialize(home, "ngram-home")
+    cuts = materialize(home.groupBy("home").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("cuts")), "ngram-cuts")
+    # A block's name may be shared by chance; that only makes a larger block.
+    named = materialize(home.select("nid", "home").join(cuts, "home").select("nid", F.xxhash64("home", F.pmod(F.xxhash64("nid"), "cuts")).alias("block")), "ngram-named")
+
+    seen = materialize(hits.join(named, "nid").select("band", "block").distinct(), "ngram-seen")
+    other = seen.select("band", F.col("block").alias("b"))
+    pairs = materialize(seen.select("band", F.col("block").alias("a")).join(other, "band").filter("a <= b").select("a", "b").distinct(), "ngram-pairs")
+
+    sets = _sets_of(docs, home.select("nid", "node", "rep"), id_col, text_col, n)
+    items = home.select("nid", F.col("copies").alias("n"), "bands").join(sets, "nid").join(named, "nid")
+    blocks = materialize(items.groupBy("block").agg(F.collect_list(F.struct("nid", "n", "bands", "shingles")).alias("items")), "ngram-blocks")
+    left, right = (blocks.select(F.col("block").alias(k), F.col("items").alias(v)) for k, v in (("a", "left"), ("b", "right")))
+    met = pairs.join(left, "a").join(right, "b").select((F.col("a") == F.col("b")).alias("same"), "left", "right")
+    links = materialize(_linked(met, threshold), "ngram-links")
+    discard(sizes, hits, cuts, named, seen, pairs, blocks)
+
+    counts = links.groupBy("nid").agg(F.sum("n").alias("linked"))
+    roots = components(links.select(F.col("nid").alias("a"), F.col("root").alias("b")).distinct())
+    roots = materialize(roots.withColumnRenamed("node", "nid").join(nodes.select("nid", "rep"), "nid"), "ngram-roots")
+    classes = materialize(roots.groupBy("root").agg(F.min("rep").alias("class_id")), "ngram-classes")
+    linked = roots.join(classes, "root").join(counts, "nid").select("nid", "class_id", "linked")
+    known = nodes.select("nid", "node", "rep", "copies").join(linked, "nid", "left")
+    known = known.select("node", "copies", F.when(F.col("linked").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    known = materialize(known, "ngram-known")
+    discard(home, links, roots, classes, nodes)
     out = worded.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "copies")
     bare = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return out.unionByName(bare)
 
 
-def _bucket_pairs(buckets: DataFrame, cells: DataFrame) -> DataFrame:
-    """a, b: distinct pairs of nodes that share a bucket, but for those of one cell, which is compared as a whole."""
-    members = buckets.join(cells, "node", "left").groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "cell"))).alias("m"))
-    every = F.expr(
-        """flatten(transform(sequence(1, size(m) - 1), i -> transform(
-             filter(slice(m, i + 1, size(m)), y -> not coalesce(y.cell = m[i - 1].cell, false)),
-             y -> named_struct('a', m[i - 1].node, 'b', y.node))))"""
-    )
-    return members.filter(F.size("m") > 1).select(F.explode(every).alias("p")).select("p.a", "p.b").distinct()
-
-
-def _block_pairs(cells: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """same, left, right: every pair of blocks of a cell, a block being up to about BLOCK nodes with their sets."""
-    count = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = cells.join(count, "cell").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    full = placed.join(sets, "node").join(nodes.select("node", F.col("copies").alias("n")), "node")
-    blocks = materialize(full.groupBy("cell", "blk", "blocks").agg(F.collect_list(F.struct("node", "n", "shingles")).alias("items")), "ngram-blocks")
-    # Both blocks of a pair come by equality on (cell, block): each left block is joined with the right ones at or after it.
-    left = blocks.select("cell", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("blk"), F.col("items").alias("left"))
-    right = blocks.select("cell", "blk", F.col("items").alias("right"))
-    return left.join(right, ["cell", "blk"]).select((F.col("i") == F.col("blk")).alias("same"), "left", "right")
-
-
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` per class, with all columns: that of the smallest id, null ids last.
 
-    Rows are told apart by a key of their own, so ids may repeat across different texts or be null.
+    Rows are told apart by a key of their own, so ids may repeat across different texts or be null; of rows with one id the
+    smaller hash of the text decides, and repeats of one row are interchangeable. Rows without words all stay. Columns may have any
+    names. An empty table gives no rows.
     """
-    digest = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_digest": digest}), "ngram-rows")
-    classes = ngram_jaccard_join(keyed, "_row", text_col).select(F.col("doc_id").alias("_row"), "class_id")
-    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_digest", "_row")
-    first = keyed.select("_row", place.alias("place")).join(classes, "_row").groupBy("class_id").agg(F.min("place").alias("first"))
-    return keyed.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    columns = docs.columns
+    keyed = with_row_keys(docs, "ngram-rows")
+    texts = keyed.select("rid", F.col(f"row.{text_col}").alias("text"))
+    classes = ngram_jaccard_join(texts, "rid", "text").select(F.col("doc_id").alias("rid"), "class_id")
+    place = F.struct(F.col(f"row.{id_col}").isNull().alias("no_id"), F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("digest"), "rid")
+    first = keyed.select("rid", place.alias("place")).join(classes, "rid").groupBy("class_id").agg(F.min("place").alias("first"))
+    kept = materialize(first.select(F.col("first.rid").alias("rid")), "ngram-kept")
+    return keyed.join(kept, "rid", "left_semi").select(*[F.col(f"row.`{c}`") for c in columns])
