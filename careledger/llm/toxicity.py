@@ -14,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careledger.llm.labelled import labelled_texts, sample_labels
-from careledger.llm.storage import materialize
+from careledger.llm.storage import bounded_batches, discard, materialize, tidy
 
 #: Most labelled rows that the model is fitted on, and most features that it weighs.
 SAMPLE, MOST_FEATURES = 20_000, 2_000
 LEAST_DOCS, RIDGE, LASSO, ROUNDS = 3, 1e-5, 2e-5, 1500
 WORD = re.compile(r"\w+")
+#: Words whose features a task remembers, and counts that it holds before it passes them on.
+REMEMBERED, HELD = 1 << 17, 200_000
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -93,10 +96,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
 
     Labels say toxic or not. Among toxic texts the half that holds more of the telling words is graded 2, the rest 1.
     """
+    bounded_batches(docs.sparkSession)
     sampled = materialize(sample_labels(labels, label_col, sample), "toxicity-labels")
     texts = materialize(labelled_texts(docs, sampled).select("label", "text"), "toxicity-texts")
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
+        discard(sampled, texts)
         return OrdinalModel({}, [4.0, 8.0])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,12 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
         for batch in batches:
             for label, text in zip(batch["label"], batch["text"], strict=True):
                 by[label].update({f for w in set(words_of(text)) for f in features_of(w)})
-            if len(by[0]) + len(by[1]) > 500_000:
+            if len(by[0]) + len(by[1]) > HELD:
                 yield pd.DataFrame([(f, by[1][f], by[0][f]) for f in by[0].keys() | by[1].keys()], columns=["f", "pos", "neg"])
                 by[0].clear(), by[1].clear()
         yield pd.DataFrame([(f, by[1][f], by[0][f]) for f in by[0].keys() | by[1].keys()], columns=["f", "pos", "neg"])
 
-    counts = texts.mapInPandas(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = texts.mapInPandas(tidy(count), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
     telling = counts.filter(F.col("pos") + F.col("neg") >= LEAST_DOCS).withColumn("z", odds * F.sqrt(F.when(odds > 0, F.col("pos")).otherwise(F.col("neg"))))
     chosen = telling.orderBy(F.desc(F.abs("z")), "f").limit(MOST_FEATURES).collect()
@@ -121,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
             found = [Counter(f for w in words_of(t) for f in features_of(w) if f in index) for t in batch["text"]]
             yield pd.DataFrame({"label": batch["label"], "cols": [[index[f] for f in c] for c in found], "n": [list(c.values()) for c in found], "hits": [sum(n for f, n in c.items() if f in strong) for c in found]})
 
-    data = texts.mapInPandas(encode, "label int, cols array<int>, n array<int>, hits long").toPandas()
+    data = texts.mapInPandas(tidy(encode), "label int, cols array<int>, n array<int>, hits long").toPandas()
+    discard(sampled, texts)
     lengths = data["cols"].map(len).to_numpy()
     rows = np.repeat(np.arange(len(data)), lengths)
     cols, values = (np.concatenate([np.asarray(x, float) for x in data[c]] or [np.empty(0)]) for c in ("cols", "n"))
@@ -135,55 +141,57 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
     return model
 
 
+def _judge(model: OrdinalModel, texts, known: dict[str, tuple[str, ...]]) -> np.ndarray:
+    """P(grade > k) of each text and k; ``known`` remembers the weighed features of words."""
+    logits = []
+    for text in texts:
+        counts: Counter = Counter()
+        for w in words_of(text):
+            found = known.get(w)
+            if found is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                found = known[w] = tuple(f for f in features_of(w) if f in model.weights)
+            for f in found:
+                counts[f] += 1
+        logits.append(model.logit(counts))
+    return model.exceed(np.array(logits, float))
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, severity (expected grade), p_toxic, grade (the likeliest by the thresholds), toxic.
 
-    Whole texts are read; a null or empty text has no features and the scores of the intercepts alone. Narrow: one pass, no shuffle.
+    Whole texts are read, however long; a null or empty text has no features and the scores of the intercepts alone. Equal texts score alike, and
+    repeated rows and null ids are rows like others. An empty table gives no rows; other columns are ignored. Narrow: one pass, no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        known: dict[str, tuple[str, ...]] = {}
+        model, known = shared.value, {}
         for batch in batches:
-            logits = []
-            for text in batch["text"]:
-                counts: Counter = Counter()
-                for w in words_of(text):
-                    found = known.get(w)
-                    if found is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        found = known[w] = tuple(f for f in features_of(w) if f in model.weights)
-                    for f in found:
-                        counts[f] += 1
-                logits.append(model.logit(counts))
-            p = model.exceed(np.array(logits, float))
+            p = _judge(model, batch["text"], known)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "severity": p.sum(axis=1), "p_toxic": p[:, 0], "grade": (p >= 0.5).sum(axis=1).astype("int32"), "toxic": p[:, 0] >= model.toxic_from})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(score, f"doc_id {id_type}, severity double, p_toxic double, grade int, toxic boolean")
+    return rows.mapInPandas(tidy(score), f"doc_id {id_type}, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns; each row is judged by its own text."""
+    """The rows of ``docs`` that aren't toxic, with all their columns as they are; each row is judged by its own whole text.
+
+    A null or empty text is judged by the intercepts alone; repeated rows stay or go together; columns may have any names. Batches of
+    rows are filtered as they come, bounded in bytes. An empty table gives no rows.
+    """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value, {}
+        for batch in batches:
+            p = _judge(model, (x.as_py() for x in batch.column(at)), known)
+            yield batch.filter(pa.array(p[:, 0] < model.toxic_from))
 
-    @F.pandas_udf("boolean")
-    def is_clean(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        known: dict[str, tuple[str, ...]] = {}
-        logits = []
-        for text in texts:
-            counts: Counter = Counter()
-            for w in words_of(text):
-                found = known.get(w)
-                if found is None:
-                    found = known[w] = tuple(f for f in features_of(w) if f in model.weights)
-                for f in found:
-                    counts[f] += 1
-            logits.append(model.logit(counts))
-        return pd.Series(model.exceed(np.array(logits, float))[:, 0] < model.toxic_from)
-
-    return docs.filter(is_clean(F.col(text_col)))
+    return docs.mapInArrow(tidy(clean), docs.schema)
