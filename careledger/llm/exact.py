@@ -3,17 +3,18 @@
 Documents are split by successive runs of bytes of their normalised text. After each round a
 group is either a single document (settled: unique), ended (all its bytes were read, so its
 members are equal), or carried into the next round with the bytes not yet read. Groups are keys of
-hash aggregations and joins on the bytes themselves, so equality never rests on a digest.
+hash aggregations and joins on the bytes themselves, so equality never rests on a digest. Only a round's bytes are dealt by group;
+texts move by a key of their row, so a group of any size never gathers its texts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careledger.llm.storage import materialize
+from careledger.llm.storage import discard, materialize, with_row_keys
 
 #: White space that doesn't count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,8 +27,8 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, chars, text_sha256, round, gid, n.
+def radix_groups(docs: DataFrame, row_col: str = "rid", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``, whose ``row_col`` is unique: rid, id, chars, text_sha256, round, gid, n.
 
     Rows with equal (round, gid) have equal normalised texts and n is their number; a unique row has n = 1
     and a null gid. The width of the bytes read grows by GROWTH each round, so the number of
@@ -35,38 +36,42 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = normalized(F.col(text_col))
     active = docs.select(
+        F.col(row_col).alias("rid"),
         F.col(id_col).alias("id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"),
         F.sha2(text, 256).alias("text_sha256"),
-        F.lit(0).cast("long").alias("gid"),
         F.encode(text, "UTF-8").alias("rest"),
     )
+    active = materialize(active.withColumn("gid", F.lit(0).cast("long")), "radix-texts")
     settled, width, step = [], FIRST_WIDTH, 0
     while True:
-        keyed = active.withColumn("digits", F.expr(f"substring(rest, 1, {width})"))
+        keyed = active.select("rid", "id", "chars", "text_sha256", "gid", F.expr(f"substring(rest, 1, {width})").alias("digits"), (F.octet_length("rest") < width).alias("ended"))
         groups = materialize(
             keyed.groupBy("gid", "digits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("next", F.monotonically_increasing_id()),
             "radix-groups",
         )
         # The groups grow with the input, so they are never broadcast: the same plan holds at every size.
         joined = keyed.join(groups.hint("merge"), ["gid", "digits"], "left")
-        ended = F.octet_length("rest") < width
-        out = materialize(
-            joined.select(
-                "id",
-                "chars",
-                "text_sha256",
-                F.coalesce("n", F.lit(1)).cast("long").alias("n"),
-                F.col("next").alias("gid"),
-                F.when(F.col("n").isNotNull() & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
-            ),
-            "radix-round",
-        )
-        settled.append(out.filter("rest is null").select("id", "chars", "text_sha256", F.lit(step).alias("round"), "gid", "n"))
-        active = out.filter("rest is not null").select("id", "chars", "text_sha256", "gid", "rest")
-        if active.isEmpty():
+        out = joined.select("rid", "id", "chars", "text_sha256", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.col("next").alias("gid"), (F.col("n").isNotNull() & ~F.col("ended")).alias("open"))
+        out = materialize(out, "radix-round")
+        settled.append(out.filter("not open").select("rid", "id", "chars", "text_sha256", F.lit(step).alias("round"), "gid", "n"))
+        still = out.filter("open").select("rid", "gid")
+        if still.isEmpty():
+            discard(groups, active)
             return reduce(DataFrame.unionByName, settled)
-        width, step = min(width * GROWTH, MAX_WIDTH), step + 1
+        rest = active.select("rid", "id", "chars", "text_sha256", F.expr(f"substring(rest, {width + 1})").alias("rest")).join(still.hint("merge"), "rid")
+        following = materialize(rest, "radix-texts")
+        discard(groups, active)
+        active, width, step = following, min(width * GROWTH, MAX_WIDTH), step + 1
+
+
+def _with_kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The unique rows of radix_groups, and the others with their group's ``best``: the row (chars, id, rid) that stays."""
+    many = rows.filter("n > 1")
+    place = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), "rid")
+    # Written before it is joined: of two plain shuffles Spark can split the part of a large group.
+    best = materialize(many.groupBy("round", "gid").agg(F.min(place).alias("best")), "radix-best")
+    return rows.filter("n = 1"), many.join(best, ["round", "gid"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,33 +81,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts are equal to one another. A null id loses a tie against any other id; of rows that repeat both
     id and length exactly one stays. An empty table gives no rows; other columns are ignored.
     """
-    rows = radix_groups(docs, id_col, text_col)
-    single = rows.filter("n = 1").select(
-        F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
-    many = rows.filter("n > 1")
-    best = many.groupBy("round", "gid").agg(F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id").alias("id"))).alias("best"))
-    again = Window.partitionBy("round", "gid", "id").orderBy(F.desc("chars"))
-    many = many.withColumn("again", F.row_number().over(again)).join(best, ["round", "gid"])
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    single, many = _with_kept(radix_groups(keyed, "rid", "id", "text"))
+    single = single.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return single.unionByName(
-        many.select(
-            F.col("id").alias("doc_id"),
-            F.col("best.id").alias("keep_id"),
-            F.col("n").alias("group_size"),
-            (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("again") == 1)).alias("kept"),
-            "text_sha256",
-        )
+        many.select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
     )
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns.
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns, whose names may be any.
 
-    Rows are matched by id and digest, so ids may repeat across different texts; of fully repeated rows one stays.
+    Rows are told apart by a key of their own, so ids may repeat or be null: of each text exactly one row stays, null and empty
+    texts being one text. Very long texts are compared whole. An empty table gives no rows.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("_sha", F.sha2(normalized(F.col(text_col)), 256)).withColumn("_chars", chars)
-    one = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (keyed["_sha"] == kept["_sha"]), "left_semi")
-    first = Window.partitionBy(F.col(id_col), "_sha").orderBy(F.desc("_chars"))
-    return one.withColumn("_again", F.row_number().over(first)).filter("_again = 1").select(*docs.columns)
+    columns = docs.columns
+    keyed = with_row_keys(docs, "radix-rows")
+    texts = keyed.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    single, many = _with_kept(radix_groups(texts, "rid", "id", "text"))
+    kept = materialize(single.select("rid").unionByName(many.filter("rid = best.rid").select("rid")), "radix-kept")
+    return keyed.join(kept.hint("merge"), "rid", "left_semi").select(*[F.col(f"row.`{c}`") for c in columns])
