@@ -3,7 +3,8 @@
 Every document of a source gets the same expected number of copies, target / source size. Its whole
 part is taken; the fraction is settled by pairing documents and moving probability mass between the two,
 in words, until one of them is integral. The words of a pair stay the same, so a source's words
-stay on target up to the last open document. Blocks of bounded size are folded in parallel; each
+stay on target up to the last open document, which goes by its own
+probability; one other document of about the size of what that leaves over or short is then exchanged. Blocks of bounded size are folded in parallel; each
 leaves one open document, and these are combined level by level in a reduction tree.
 """
 
@@ -14,14 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careledger.llm.storage import materialize
+from careledger.llm.storage import discard, materialize, with_row_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEAT = 3
 #: Documents in a block of the tree, about; a block that came out larger is cut at twice as many.
 BLOCK = 64
 
-ITEM = "struct<h:bigint,blk:bigint,rn:bigint,doc_id:{id},size:bigint,m:double>"
+ITEM = "struct<h:bigint,blk:bigint,rn:bigint,rid:bigint,size:bigint,m:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -47,12 +48,12 @@ def source_targets(sized: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return by.select("source", "n_docs", "source_size", F.least(cap, F.max("share").over(every) * F.col("weight")).alias("target"))
 
 
-def _fold(id_type: str) -> str:
+def _fold() -> str:
     """SQL that settles an array ``items`` of open documents down to one: struct(r: the open one, done: the settled ones)."""
-    done = f"struct<blk:bigint,rn:bigint,doc_id:{id_type},size:bigint,up:int>"
+    done = "struct<h:bigint,rid:bigint,size:bigint,up:int>"
     moved = "named_struct('a', acc.r.m + if(s.u * (s.d1 + s.d2) < s.d2, s.d1, -s.d2), 'b', x.m - if(s.u * (s.d1 + s.d2) < s.d2, s.d1, -s.d2))"
-    settle = "named_struct('blk', {0}.blk, 'rn', {0}.rn, 'doc_id', {0}.doc_id, 'size', {0}.size, 'up', if({1} * 2 > {0}.size, 1, 0))"
-    open_ = "named_struct('h', {0}.h, 'blk', {0}.blk, 'rn', {0}.rn, 'doc_id', {0}.doc_id, 'size', {0}.size, 'm', {1})"
+    settle = "named_struct('h', {0}.h, 'rid', {0}.rid, 'size', {0}.size, 'up', if({1} * 2 > {0}.size, 1, 0))"
+    open_ = "named_struct('h', {0}.h, 'blk', {0}.blk, 'rn', {0}.rn, 'rid', {0}.rid, 'size', {0}.size, 'm', {1})"
     whole = "t.a <= 1e-9 * acc.r.size or t.a >= (1 - 1e-9) * acc.r.size"
     step = f"""if({whole},
         named_struct('r', {open_.format('x', 't.b')}, 'done', concat(acc.done, array({settle.format('acc.r', 't.a')}))),
@@ -65,33 +66,25 @@ def _fold(id_type: str) -> str:
             s -> {moved}), t -> {step})[0])"""
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
-
-    ``copies`` is whole and at most MAX_REPEAT; taken = copies * size. Choices depend on ids, sizes and the seed only, so
-    reruns agree. Null and empty texts have size 0, get the whole part of their copies and take no words.
-    Null sources form a source of their own. Repeated rows are separate documents. An empty table gives no rows.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    item = ITEM.format(id=id_type)
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    targets = materialize(source_targets(sized), "mix-targets")
+def _decide(rows: DataFrame, seed: int) -> DataFrame:
+    """rid, source, size, source_size, target, copies of ``rows`` (rid: unique; id, source, size, text_hash)."""
+    targets = materialize(source_targets(rows), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + 1e-9)
     rated = targets.select("*", base.cast("int").alias("base"), F.greatest(rate - base, F.lit(0.0)).alias("frac"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK)).alias("nblk"))
-    rows = sized.join(rated, sized["source"].eqNullSafe(rated["source"])).drop(rated["source"])
+    rows = rows.join(rated, rows["source"].eqNullSafe(rated["source"])).drop(rated["source"])
     is_open = (F.col("frac") > 1e-9) & (F.col("size") > 0)
 
-    # Leaves: blocks by hash; within one, rows are numbered, so that even many repeats of an id can't make a large block.
-    leaf = rows.filter(is_open).withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
+    # Leaves: blocks by a hash of id and text; within one, rows are numbered, so that even many repeats can't make a large array.
+    leaf = rows.filter(is_open).withColumn("h", F.xxhash64("id", "text_hash", F.lit(seed)))
     leaf = leaf.withColumn("blk", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("nblk")))
-    leaf = leaf.withColumn("rn", F.row_number().over(Window.partitionBy("source", "blk").orderBy("h", "doc_id")).cast("long"))
-    level = leaf.select("source", "nblk", F.col("blk").alias("at"), F.floor(F.col("rn") / (2 * BLOCK)).alias("cut"), F.struct("h", "blk", "rn", "doc_id", "size", (F.col("frac") * F.col("size")).alias("m")).cast(item).alias("item"))
+    leaf = leaf.withColumn("rn", F.row_number().over(Window.partitionBy("source", "blk").orderBy("h", "id", "text_hash", "rid")).cast("long"))
+    level = leaf.select("source", "nblk", F.col("blk").alias("at"), F.floor(F.col("rn") / (2 * BLOCK)).alias("cut"), F.struct("h", "blk", "rn", "rid", "size", (F.col("frac") * F.col("size")).alias("m")).cast(ITEM).alias("item"))
     width = targets.agg(F.max("n_docs")).first()[0] or 0
     parts = []
     while True:
         folded = level.groupBy("source", "nblk", "at", "cut").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        folded = materialize(folded.select("source", "nblk", "at", F.expr(_fold(id_type)).alias("f")), "mix-level")
+        folded = materialize(folded.select("source", "nblk", "at", F.expr(_fold()).alias("f")), "mix-level")
         parts.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         width = -(-width // BLOCK)
         if width <= 1 and folded.groupBy("source").count().filter("count > 1").isEmpty():
@@ -99,34 +92,49 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Each level has so many fewer groups; cuts of a large leaf meet again here.
         fewer = F.greatest(F.lit(1), F.ceil(F.col("nblk") / BLOCK))
         level = folded.select("source", fewer.alias("nblk"), F.pmod(F.col("at"), fewer).alias("at"), F.lit(0).cast("long").alias("cut"), F.col("f.r").alias("item"))
-    last = folded.select("source", F.col("f.r.*"))
 
-    # What the last open document of a source leaves open is closed by one exchange: it goes and the document nearest in size to its open words comes, or
-    # it comes and the taken document nearest to the surplus goes; or neither, if no exchange comes nearer.
+    # The last open document of a source has no partner left: it is taken by its own probability. Then one settled document of about the
+    # size of what this leaves over or short changes sides, if that brings the source's words nearer to the target.
     settled = materialize(reduce(DataFrame.unionByName, parts), "mix-settled")
-    end = materialize(last.select(F.col("source").alias("_s"), "blk", "rn", "doc_id", "size", F.col("m").alias("owed"), (F.col("size") - F.col("m")).alias("over")), "mix-last")
-    facing = settled.join(end.select("_s", "owed", "over"), settled["source"].eqNullSafe(F.col("_s")))
-    exchange = facing.select("source", F.when(F.col("up") == 0, F.abs(F.col("size") - F.col("owed"))).otherwise(F.abs(F.col("size") - F.col("over"))).alias("off"), "up", "blk", "rn")
-    neither = end.select(F.col("_s").alias("source"), F.least("owed", "over").alias("off"), (F.col("owed") > F.col("over")).cast("int").alias("up"), F.lit(-1).cast("long").alias("blk"), F.lit(-1).cast("long").alias("rn"))
-    pick = exchange.unionByName(neither).groupBy("source").agg(F.min(F.struct("off", "up", "blk", "rn")).alias("p")).select(F.col("source").alias("_s"), "p.*")
-    pick = materialize(pick.select("_s", F.col("blk").alias("_blk"), F.col("rn").alias("_rn"), F.col("up").alias("last_up")), "mix-exchange")
-    same = settled["source"].eqNullSafe(pick["_s"]) & (settled["blk"] == pick["_blk"]) & (settled["rn"] == pick["_rn"])
-    settled = settled.join(pick, same, "left").select("source", "doc_id", "size", F.when(F.col("_rn").isNotNull(), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
-    closing = end.join(pick.select(F.col("_s").alias("_t"), "last_up"), F.col("_s").eqNullSafe(F.col("_t"))).select(F.col("_s").alias("source"), "doc_id", "size", F.col("last_up").alias("up"))
-    settled = settled.unionByName(closing)
-    rounded = settled.join(rated, settled["source"].eqNullSafe(rated["source"])).drop(rated["source"])
-    every = rows.filter(~is_open).withColumn("up", F.lit(0)).select("source", "doc_id", "size", "up", "source_size", "target", "base")
-    every = every.unionByName(rounded.select(*every.columns))
-    copies = (F.col("base") + F.col("up")).cast("int")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as mix_sources takes it; rows that it doesn't take go. All columns are kept."""
-    keys = ["_id", "_source", "_size"]
-    nth = Window.partitionBy(*keys).orderBy(F.lit(1))
-    mixed = mix_sources(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    mixed = mixed.withColumn("_nth", F.row_number().over(nth)).filter("copies > 0").select(*[F.col(c).alias(f"_m{c}") for c in [*keys, "_nth"]], F.col("copies").alias("_copies"))
-    keyed = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": word_count(F.col(text_col))}).withColumn("_nth", F.row_number().over(nth))
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in [*keys, "_nth"]])
-    return keyed.join(mixed, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    chance = F.shiftrightunsigned(F.xxhash64("h", F.lit(seed + 2)), 11) / F.lit(float(1 << 53))
+    last = folded.select("source", F.col("f.r.*")).withColumn("last_up", (chance * F.col("size") < F.col("m")).cast("int"))
+    last = last.withColumn("gap", F.when(F.col("last_up") == 1, F.col("size") - F.col("m")).otherwise(F.col("m")))
+    last = materialize(last.select(F.col("source").alias("_s"), "rid", "size", "last_up", "gap"), "mix-last")
+    facing = settled.join(last.select("_s", "last_up", "gap"), settled["source"].eqNullSafe(F.col("_s")) & (F.col("up") == F.col("last_up")))
+    exchange = facing.select("source", F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h").alias("tie"), "rid")
+    neither = last.select(F.col("_s").alias("source"), F.col("gap").alias("off"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast("long").alias("rid"))
+    pick = exchange.unionByName(neither).groupBy("source").agg(F.min(F.struct("off", "tie", "rid")).alias("p")).select(F.col("p.rid").alias("_rid")).filter("_rid is not null")
+    pick = materialize(pick, "mix-exchange")
+    changed = settled.join(pick, F.col("rid") == F.col("_rid"), "left").select("rid", F.when(F.col("_rid").isNotNull(), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
+    rounded = changed.unionByName(last.select("rid", F.col("last_up").alias("up")))
+    decided = rows.join(rounded, "rid", "left").withColumn("copies", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int"))
+    decided = materialize(decided.select("rid", "id", "source", "size", "source_size", "target", "copies"), "mix-decided")
+    discard(targets, settled, last, pick)
+    return decided
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    ``copies`` is whole and at most MAX_REPEAT; taken = copies * size. Choices depend on ids, texts and the seed only, so
+    reruns agree. Null and empty texts have size 0, get the whole part of their copies and take no words.
+    Null sources form a source of their own. Repeated rows are separate documents, alike in all that decides; null ids are ids like others.
+    An empty table gives no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+    return _decide(rows, seed).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+    """``docs`` with each row as often as mix_sources takes it; rows that it doesn't take go. All columns are kept, whatever their names.
+
+    Rows are told apart by a key of their own, so ids may repeat or be null. A null or empty text has no words; such a row is taken by the whole
+    part of its source's rate only. An empty table gives no rows.
+    """
+    columns = docs.columns
+    keyed = with_row_keys(docs, "mix-rows", size=word_count(F.col(text_col)), text_hash=F.xxhash64(text_col))
+    rows = keyed.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{source_col}`").alias("source"), "size", "text_hash")
+    taken = _decide(rows, seed).filter("copies > 0").select("rid", "copies")
+    repeated = keyed.select("rid", "row").join(taken.hint("merge"), "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"row.`{c}`") for c in columns])
