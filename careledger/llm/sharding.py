@@ -14,10 +14,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careledger.llm.storage import materialize
+
 #: Cells of the ring, a power of two. Bounds what is collected and broadcast.
 GRID_BITS = 14
 GRID = 1 << GRID_BITS
 VNODES = 64
+#: Lanes in which the rows of a cell are ranked.
+LANES = 32
 
 
 def ring_points(n_shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -67,22 +71,33 @@ def cell_of(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - GRID_BITS).cast("int")
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def bounded_ring_shards(df: DataFrame, key: str, n_shards: int, vnodes: int = VNODES) -> DataFrame:
     """``df`` with shard (int) and slot (long, gapless from 0 in each shard); counts differ by one at most.
 
-    Ties in the ring's order are broken by the key. Rows that repeat a key, or have none, share a cell and
-    take neighbouring ranks, in which they are interchangeable. An empty table gives no rows.
-    Columns named shard or slot are replaced.
+    Rows of a cell follow one another by a hash of the whole row in LANES lanes, so that a key, null included, which holds a large
+    part of all rows is ranked by many tasks; rows alike in all columns are interchangeable. Reruns agree. An empty table gives no rows.
+    Other columns are kept whatever their names; columns named shard or slot are replaced.
     """
+    columns = [c for c in df.columns if c not in ("shard", "slot")]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    tie = _row_hash(df)
+    keyed = df.select(row, F.xxhash64(F.col(key)).alias("at"), tie.alias("tie"), cell_of(F.col(key)).alias("cell"), F.pmod(F.xxhash64(tie), F.lit(LANES)).alias("lane"))
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.select(cell_of(F.col(key)).alias("cell")).groupBy("cell").count().collect()}
+    # At most GRID * LANES counts; of them the driver sees the GRID sums of cells only.
+    lanes = materialize(keyed.groupBy("cell", "lane").agg(F.count(F.lit(1)).alias("n")), "ring-lanes")
+    counts = {r[0]: r[1] for r in lanes.groupBy("cell").agg(F.sum("n")).collect()}
     total = sum(counts.values())
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     runs = walk_ring(counts, ring_points(n_shards, vnodes), capacity)
-    plan = spark.createDataFrame(runs, "_cell int, _first long, _end long, shard int, _slot long")
-    rest = [c for c in df.columns if c not in ("shard", "slot")]
-    order = Window.partitionBy("_cell").orderBy(F.xxhash64(F.col(key)), F.col(key))
-    ranked = df.select(*rest, cell_of(F.col(key)).alias("_cell")).withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    plan = spark.createDataFrame(runs, "cell int, first long, end long, shard int, slot0 long")
+    before = lanes.select("cell", "lane", (F.sum("n").over(Window.partitionBy("cell").orderBy("lane")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("cell", "lane").orderBy("at", "tie")
+    ranked = keyed.withColumn("nth", F.row_number().over(order).cast("long") - 1).join(before, ["cell", "lane"]).withColumn("rank", F.col("before") + F.col("nth"))
     # The plan has at most GRID runs plus a few splits per shard, whatever the size of df.
-    placed = ranked.join(F.broadcast(plan), "_cell").filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    return placed.select(*rest, "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"))
+    placed = ranked.join(F.broadcast(plan), "cell").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return placed.select(*[F.col(f"row.`{c}`") for c in columns], "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))
