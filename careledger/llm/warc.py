@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careledger.llm.storage import materialize, shared_path
+from careledger.llm.storage import bounded_batches, materialize, shared_path, tidy
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT = 100
 #: A file is closed at this size; ranges up to GAP apart are read at once, up to SPAN bytes.
 FILE_BYTES, GAP, SPAN = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that one task reads, about.
+READ_BYTES = 128 << 20
 
 INDEX = "page_id {id}, file string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}"
@@ -39,6 +41,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     narrow = rows.filter(F.octet_length("payload") >= min_revisit).select("page_id", "digest")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written before it is joined: of two plain shuffles Spark can split the part of a payload that very many pages share.
+    first = materialize(first, "warc-first")
     again = narrow.join(first, "digest").filter("page_id > refers_to").distinct()
     return rows.join(again, ["page_id", "digest"], "left")
 
@@ -78,6 +82,7 @@ def _value(x):
 
 def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the rows of plan_records as archives under ``path``; returns the index, stored in ``path``/index."""
+    bounded_batches(records.sparkSession)
     id_type = records.schema["page_id"].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +114,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> D
                 out.close()
 
     ordered = records.select("page_id", "url", "payload", "digest", "refers_to")
-    ordered.mapInPandas(write, INDEX.format(id=id_type)).write.parquet(f"{path}/index")
+    ordered.mapInPandas(tidy(write), INDEX.format(id=id_type)).write.parquet(f"{path}/index")
     return read_index(records.sparkSession, path)
 
 
@@ -120,8 +125,11 @@ def read_index(spark, path: str) -> DataFrame:
 def read_warc(index: DataFrame, path: str) -> DataFrame:
     """Read the records that ``index`` lists (all, or a selection of read_index) and check their payloads' digests.
 
-    Ranges are sorted by file and offset; neighbours are fetched by one read.
+    Ranges are sorted by file and offset; neighbours are fetched by one read. Tasks share the bytes to read, not the rows of the index.
+    An empty index gives no rows.
     """
+    spark = index.sparkSession
+    bounded_batches(spark)
     id_type = index.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,11 +160,18 @@ def read_warc(index: DataFrame, path: str) -> DataFrame:
                 frame = frame.astype({"page_id": "Int64", "refers_to": "Int64"})
             yield frame
 
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInPandas(read, RECORD.format(id=id_type))
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    ordered = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInPandas(tidy(read), RECORD.format(id=id_type))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives in the shared folder and read them back by their index."""
+    """Write all pages to archives in the shared folder and read them back by their index.
+
+    One row per row of ``pages``: page_id, url, payload_bytes, payload_digest, record_type, refers_to. A null html is an empty payload, a null url
+    stays null; rows with a null id and repeats of a response's id are responses. Payloads of any length are one record.
+    An empty table gives no rows; other columns are ignored, whatever their names.
+    """
     path = shared_path(pages.sparkSession, "warc")
     return materialize(read_warc(write_warc(plan_records(pages), path), path), "warc-read")
