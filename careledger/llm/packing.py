@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careledger.llm.storage import materialize
+from careledger.llm.storage import bounded_batches, materialize, tidy
 
 WIDTH, END_ID = 1024, 0
 DIMS, BITS = 3, 10
@@ -117,7 +117,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> Da
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(encode, f"doc_id {id_type}, n long, key long, wide boolean, ids binary")
+    return rows.mapInPandas(tidy(encode), f"doc_id {id_type}, n long, key long, wide boolean, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, tokenizer: str | None = None) -> DataFrame:
@@ -127,6 +127,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     one sequence; long documents span many. Every sequence but the last is full. Ties on the curve are ordered by a hash of the id;
     repeated rows are separate documents. An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     tokens = tokenized(docs, id_col, text_col, tokenizer or default_tokenizer()).withColumn("rid", F.monotonically_increasing_id())
     tokens = materialize(tokens, "pack-tokens")
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield pd.DataFrame({"rid": batch["rid"], "run": batch["run"], "before": end - batch["n"], "end": end})
             before = int(end.iloc[-1]) if len(end) else before
 
-    places = runs.select("rid", "n", F.spark_partition_id().alias("run")).mapInPandas(total, "rid long, run int, before long, end long")
+    places = runs.select("rid", "n", F.spark_partition_id().alias("run")).mapInPandas(tidy(total), "rid long, run int, before long, end long")
     places = materialize(places, "pack-places")
     # One row per sorted run: as many as shuffle partitions.
     ends = places.groupBy("run").agg(F.max("end").alias("total"))
@@ -163,4 +164,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield frame.astype({"doc_id": batch["doc_id"].dtype})
 
     out = tokens.join(placed.hint("merge"), "rid").select("doc_id", "at", "n", "wide", "ids")
-    return out.mapInPandas(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.mapInPandas(tidy(cut), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

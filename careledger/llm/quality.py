@@ -85,7 +85,7 @@ class RuleEnsemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE) -> RuleEnsemble:
-    """Fit on a sample of the labels for which ``where`` holds. Without any, or with one label only, the score is constant."""
+    """Fit on a sample of the labels for which ``where`` holds. Without any, the score is 0.5; with one label only it is a constant on that label's side."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample:
     data = materialize(stats, "quality-statistics").repartition(8, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
     have = {r[0]: r[1] for r in data.groupBy("label").count().collect()}
     if len(have) < 2:
-        return RuleEnsemble(4.0 if have.get(1.0) or not have else -4.0, [])
+        return RuleEnsemble(math.log((have.get(1.0, 0) + 1) / (have.get(0.0, 0) + 1)), [])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data).select("label", "features", *FEATURES)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, seed=3, featureSubsetStrategy="0.5").fit(vectors)
     rules = list(dict.fromkeys(r for tree in forest.trees for r in tree_rules(tree.toDebugString)))
