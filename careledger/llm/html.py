@@ -13,10 +13,13 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from careledger.llm.storage import bounded_batches, tidy
+
 # Elements of HTML by what they do.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -37,22 +40,114 @@ BOILER = re.compile(
 BESIDE = re.compile(r"(?:has|no|not|with|without|layout)[_-]", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(\s*+=\s*+)?+")
+BARE_VALUE = re.compile(r"[^\s>]*+")
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 SPACES = re.compile(r"\s+")
 PUNCT = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
-HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
-ITEM = re.compile(r"/(?:li|dt|dd|td|th|caption|figcaption|pre)(?:[./]|$)")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ITEMS = {"li", "dt", "dd", "td", "th", "caption", "figcaption", "pre"}
+#: Names that make an article element one of the readers' comments.
+SAID = re.compile(r"(?:^|[_-])(?:comments?\w*|reply|replies|respond)(?:$|[_-])", re.I)
 #: Weight of blocks inside an article or main element; marks a block from which on text in links counts as prose.
 INSIDE, PROSE = 4, 3
 #: Factors for names of boilerplate and for names that content has as well; share of a page's text from which on a name is no penalty.
 NAMED, MAYBE_NAMED, MOST = 0.003, 0.3, 2 / 3
+#: The same share for names of readers' comments inside an article or main element, which may be longer than the article.
+MOST_SAID = 0.95
+
+
+@dataclass
+class Block:
+    """A piece of text: path is the number of its tag path, name that of the innermost name around most of it (-1: none)."""
+
+    path: int
+    text: str
+    linked: int
+    inside: bool
+    name: int
+    heading: bool
+    item: bool
+
+
+@dataclass
+class Open:
+    """An open element. path, item and name hold for what is in it; block and closer are the places of the nearest elements, itself included, that are no inline ones, or that an end may be implied for."""
+
+    tag: str
+    skipped: bool
+    path: int
+    item: bool
+    name: int
+    block: int
+    closer: int
+
+
+class Names:
+    """Class and id names of boilerplate as a forest: each has the one around it, the path of its element, and whether only boilerplate has it."""
 
-Names = tuple[tuple[str, str, bool], ...]
+    def __init__(self):
+        self.up: list[int] = []
+        self.part: list[str] = []
+        self.sure: list[bool] = []
+        self.most: list[float] = []
+        self._known: dict[tuple[int, int, str], int] = {}
 
+    def add(self, up: int, path: int, part: str, sure: bool, inside: bool) -> int:
+        k = self._known.setdefault((up, path, part), len(self.up))
+        if k == len(self.up):
+            self.up.append(up), self.part.append(part), self.sure.append(sure), self.most.append(MOST_SAID if inside and SAID.search(part) else MOST)
+        return k
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)}
+    def held(self, own: dict[int, int]) -> list[int]:
+        """Sum of ``own`` in each name and those in it."""
+        total = [own.get(k, 0) for k in range(len(self.up))]
+        for k in range(len(total) - 1, -1, -1):
+            if self.up[k] >= 0:
+                total[self.up[k]] += total[k]
+        return total
+
+    def spans(self) -> tuple[list[int], list[int]]:
+        """First and last number of each name in an order in which what is in a name follows it without a gap."""
+        size = self.held(dict.fromkeys(range(len(self.up)), 1))
+        first, free = [], []
+        at = 0
+        for k, up in enumerate(self.up):
+            if up < 0:
+                first.append(at)
+                at += size[k]
+            else:
+                first.append(free[up])
+                free[up] += size[k]
+            free.append(first[k] + 1)
+        return first, [f + n - 1 for f, n in zip(first, size, strict=True)]
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int, bool]:
+    """(attributes, place after the tag, whether it closes itself) of a tag whose name ends at ``at``; a quote without an end ends with the tag."""
+    found: dict[str, str] = {}
+    end = len(page)
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        at = m.end()
+        if at >= end:
+            return found, end, False
+        if m[1]:
+            value = ""
+            if m[2]:
+                quote = page[at]
+                if quote in "\"'" and last[quote] > at:
+                    stop = page.index(quote, at + 1)
+                    value, at = page[at + 1 : stop], stop + 1
+                else:
+                    bare = BARE_VALUE.match(page, at)
+                    value, at = bare[0].strip("\"'"), bare.end()
+            found.setdefault(m[1].lower(), value)
+        elif page[at] == ">":
+            return found, at + 1, page[at - 1] == "/"
+        elif not m[0]:
+            at += 1
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
@@ -65,107 +160,146 @@ def _is_boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bo
     return attrs.get("role", "").lower() in ROLES
 
 
-def _named(tag: str, attrs: dict[str, str], path: str) -> Names:
-    """What the element's class and id names say: (path, part of a name, whether only boilerplate has it)."""
-    if tag in ("html", "body", "article", "main"):
-        return ()
+def _names(tag: str, attrs: dict[str, str], inside: bool) -> list[tuple[str, bool]]:
+    """What the element's class and id names say: (part of a name, whether only boilerplate has it). Of an article element only the names of a reader's comment count, unless it is in another one."""
+    if tag in ("html", "body", "main"):
+        return []
     found = []
     for k in ("class", "id", "itemprop"):
         for name in attrs.get(k, "").split():
-            m = None if BESIDE.match(name) else BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name))
-            if m:
-                found.append((path, (m[1] or m[2]).lower(), m[1] is not None))
-    return tuple(found)
-
-
-def blocks_of(page: str) -> list[tuple[str, str, int, bool, Names]]:
-    """(tag path, text, characters in links, inside an article or main element, names of the elements around most of it) of each block outside elements that never hold content."""
-    stack: list[tuple[str, bool, str, Names]] = []  # tag, skipped, name in the path, names around
-    out: list[tuple[str, str, int, bool, Names]] = []
-    parts: list[str] = []
-    under: dict[Names, int] = {}
-    linked = 0
-    path, at, end = "", 0, len(page)
-
-    def flush() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = SPACES.sub(" ", "".join(parts)).strip()
-            if text:
-                out.append((path, text, linked, any(x[0] in ("article", "main") for x in stack), max(under, key=under.get, default=())))
-            parts, linked = [], 0
-            under.clear()
-
-    def rebuild() -> None:
-        nonlocal path
-        path = "/".join(x[2] for x in stack if x[0] not in INLINE)
-
-    def pop(to: int) -> None:
-        if any(x[0] not in INLINE for x in stack[to:]):
-            flush()
-        del stack[to:]
-        rebuild()
-
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not (stack and stack[-1][1]):
-            text = html.unescape(page[at:stop])
-            parts.append(text)
-            around = stack[-1][3] if stack else ()
-            under[around] = under.get(around, 0) + len(text.strip())
-            if any(x[0] == "a" for x in stack):
-                linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not (stack and stack[-1][1]):
-                parts.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if tag in ("script", "style") else at)
-            continue
-        if tag in VOID:
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "hr":
-                flush()
-            continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-            if stack[k][0] in CLOSES[tag]:
-                pop(k)
+            plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
+            m = None if BESIDE.match(name) else BOILER.search(plain)
+            if m and (tag != "article" or inside or SAID.search(plain)):
+                found.append(((m[1] or m[2]).lower(), m[1] is not None))
+    return found
+
+
+class Parser:
+    """Blocks of a page in one pass: each step looks at the next tag and the top of the stack only, so the time is in proportion to the page, however it is nested or broken."""
+
+    def __init__(self, page: str):
+        self.page, self.names, self.blocks = page, Names(), []
+        self.stack: list[Open] = []
+        self.open: dict[str, int] = defaultdict(int)
+        self.paths: dict[tuple[int, str], int] = {}
+        self.parts: list[str] = []
+        self.linked, self.under = 0, defaultdict(int)
+        self.unclosed: set[str] = set()
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.parse()
+
+    def inside(self) -> bool:
+        return bool(self.open["article"] or self.open["main"])
+
+    def flush(self) -> None:
+        if not self.parts:
+            return
+        text = SPACES.sub(" ", "".join(self.parts)).strip()
+        if text:
+            top = self.stack[-1] if self.stack else None
+            leaf = self.stack[top.block].tag if top and top.block >= 0 else ""
+            self.blocks.append(Block(top.path if top else 0, text, self.linked, self.inside(), max(self.under, key=self.under.get), leaf in HEADINGS, bool(top and top.item)))
+        self.parts, self.linked = [], 0
+        self.under.clear()
+
+    def pop(self, to: int) -> None:
+        if self.stack[-1].block >= to:
+            self.flush()
+        for x in self.stack[to:]:
+            self.open[x.tag] -= 1
+        del self.stack[to:]
+
+    def text(self, raw: str) -> None:
+        top = self.stack[-1] if self.stack else None
+        if top and top.skipped:
+            return
+        text = html.unescape(raw)
+        n = len(text.strip())
+        self.parts.append(text)
+        self.under[top.name if top else -1] += n
+        if self.open["a"]:
+            self.linked += n
+
+    def end_tag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        k = len(self.stack) - 1
+        while self.stack[k].tag != tag:
+            k -= 1
+        self.pop(k)
+
+    def imply_ends(self, tag: str) -> None:
+        if tag in ENDS_P and self.stack and self.stack[-1].block >= 0 and self.stack[self.stack[-1].block].tag == "p":
+            self.pop(self.stack[-1].block)
+        ends = CLOSES.get(tag)
+        k = self.stack[-1].closer if ends and self.stack else -1
+        while k >= 0 and self.stack[k].tag not in STOP:
+            if self.stack[k].tag in ends:
+                self.pop(k)
                 break
-            if stack[k][0] in STOP:
+            k = self.stack[k - 1].closer if k else -1
+
+    def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
+        self.imply_ends(tag)
+        inline = tag in INLINE
+        if not inline:
+            self.flush()
+        at, top = len(self.stack), self.stack[-1] if self.stack else Open("", False, 0, False, -1, -1, -1)
+        inside = self.inside()
+        skipped = top.skipped or _is_boilerplate(tag, attrs, inside)
+        kind = attrs.get("class", "").split()
+        path, name = top.path, top.name
+        if not inline:
+            path = self.paths.setdefault((path, f"{tag}.{kind[0]}" if kind else tag), len(self.paths) + 1)
+        if attrs and not skipped:
+            for part, sure in _names(tag, attrs, inside):
+                name = self.names.add(name, path, part, sure, inside)
+        self.stack.append(Open(tag, skipped, path, top.item or tag in ITEMS, name, top.block if inline else at, at if tag in STOP or tag in CLOSES else top.closer))
+        self.open[tag] += 1
+
+    def parse(self) -> None:
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            lt = page.find("<", at)
+            if lt < 0:
                 break
-        if tag not in INLINE:
-            flush()
-        attrs = _attributes(m[3]) if m[3] and m[3] != "/" else {}
-        skipped = bool(stack and stack[-1][1]) or _is_boilerplate(tag, attrs, any(x[0] in ("article", "main") for x in stack))
-        name = tag + ("." + attrs["class"].split()[0] if attrs.get("class", "").split() else "")
-        if m[3].rstrip().endswith("/") and tag in ("path", "circle", "rect", "use"):
-            continue
-        around = stack[-1][3] if stack else ()
-        named = _named(tag, attrs, f"{path}/{name}") if attrs and not skipped else ()
-        stack.append((tag, skipped, name, around + named))
-        rebuild()
-    flush()
-    return out
+            after = page[lt + 1 : lt + 2]
+            m = TAG_NAME.match(page, lt + 2 if after == "/" else lt + 1)
+            if not m and after not in ("!", "?", "/"):
+                self.text(page[at : lt + 1])  # a lone sign, not a tag
+                at = lt + 1
+                continue
+            if lt > at:
+                self.text(page[at:lt])
+            if not m:
+                stop = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+                to = page.find(stop, lt + (4 if stop == "-->" else 1))
+                if stop == "]]>":
+                    self.text(html.escape(page[lt + 9 : to if to >= 0 else end]))
+                at = to + len(stop) if to >= 0 else end
+                continue
+            tag = m[0].lower()
+            attrs, at, alone = _attributes(page, m.end(), self.last)
+            if after == "/":
+                self.end_tag(tag)
+            elif tag in RAW:
+                close = None if tag in self.unclosed else RAW_END[tag].search(page, at)
+                if close:
+                    at = page.find(">", close.end() - 1) + 1 or end
+                else:
+                    self.unclosed.add(tag)
+                    at = end if tag in ("script", "style") else at
+            elif tag in VOID:
+                if tag == "br":
+                    self.parts.append(" ")
+                    self.under[self.stack[-1].name if self.stack else -1] += 0
+                elif tag == "hr":
+                    self.flush()
+            elif not (alone and tag in ("path", "circle", "rect", "use")):
+                self.start_tag(tag, attrs)
+        if at < end:
+            self.text(page[at:])
+        self.flush()
 
 
 def main_text(page: str | None) -> str:
@@ -177,65 +311,82 @@ def main_text(page: str | None) -> str:
     that hold most of the page's text. Headings follow the block after them; lists and tables in an
     article or main element follow the text around them.
     """
-    blocks = blocks_of(page or "")
+    parsed = Parser(page or "")
+    blocks, names = parsed.blocks, parsed.names
     if not blocks:
         return ""
     n = len(blocks)
-    count: dict[str, int] = defaultdict(int)
-    chars: dict[str, int] = defaultdict(int)
-    links: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    dots = [len(PUNCT.findall(b[1])) for b in blocks]
-    for (path, text, linked, *_), d in zip(blocks, dots, strict=True):
-        count[path] += 1
-        chars[path] += len(text)
-        links[path] += min(linked, len(text))
-        marks[path] += d
+    count: dict[int, int] = defaultdict(int)
+    chars: dict[int, int] = defaultdict(int)
+    links: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    dots = [len(PUNCT.findall(b.text)) for b in blocks]
+    for b, d in zip(blocks, dots, strict=True):
+        count[b.path] += 1
+        chars[b.path] += len(b.text)
+        links[b.path] += min(b.linked, len(b.text))
+        marks[b.path] += d
     ratio = {p: (chars[p] - links[p] * max(0.0, 1 - marks[p] / k / PROSE)) / k * (1 + marks[p] / k) for p, k in count.items()}
     # What names hold of the page's text; text in an article or main element weighs more.
-    weight = [(len(b[1]) - min(b[2], len(b[1]))) * (INSIDE if b[3] else 1) for b in blocks]
-    held: dict[tuple[str, str, bool], int] = defaultdict(int)
-    for b, w in zip(blocks, weight, strict=True):
-        for name in set(b[4]):
-            held[name] += w
-    factor = [min((NAMED if x[2] else MAYBE_NAMED for x in b[4] if held[x] < MOST * sum(weight)), default=1.0) for b in blocks]
-    zone = [(b[3], f) for b, f in zip(blocks, factor, strict=True)]
-    raw = [math.log1p(ratio[b[0]]) for b in blocks]
+    own: dict[int, int] = defaultdict(int)
+    whole = 0
+    for b in blocks:
+        weight = (len(b.text) - min(b.linked, len(b.text))) * (INSIDE if b.inside else 1)
+        whole += weight
+        own[b.name] += weight
+    penalty = [1.0] * len(names.up)
+    for k, held in enumerate(names.held(own)):
+        around = penalty[names.up[k]] if names.up[k] >= 0 else 1.0
+        penalty[k] = min(around, (NAMED if names.sure[k] else MAYBE_NAMED) if held < names.most[k] * whole else 1.0)
+    factor = [penalty[b.name] if b.name >= 0 else 1.0 for b in blocks]
+    zone = [(b.inside, f) for b, f in zip(blocks, factor, strict=True)]
+    raw = [math.log1p(ratio[b.path]) for b in blocks]
     near = lambda i, j: raw[j] if 0 <= j < n and zone[j] == zone[i] else raw[i]
     # Neighbours lift a block of prose; a small one doesn't pull down its neighbour's path.
-    score = [math.expm1(max(raw[i], (0.5 * raw[i] + 0.25 * near(i, i - 1) + 0.25 * near(i, i + 1)) * (marks[b[0]] > 0))) * (INSIDE if b[3] else 1) * factor[i] for i, b in enumerate(blocks)]
+    score = [math.expm1(max(raw[i], (0.5 * raw[i] + 0.25 * near(i, i - 1) + 0.25 * near(i, i + 1)) * (marks[b.path] > 0))) * (INSIDE if b.inside else 1) * factor[i] for i, b in enumerate(blocks)]
     # Boilerplate by name has no part in the mean if there is other text.
     counted = [s for s, f in zip(score, factor, strict=True) if f != NAMED] or score
     level = 0.1 * sum(counted) / len(counted)
 
     def listed(i: int) -> bool:
-        path, text, linked, inside, _ = blocks[i]
-        part, whole, d = (links[path], chars[path], marks[path] / count[path]) if inside else (linked, len(text), dots[i])
-        return part >= 0.5 * whole and d < PROSE
+        b = blocks[i]
+        part, all_, d = (links[b.path], chars[b.path], marks[b.path] / count[b.path]) if b.inside else (b.linked, len(b.text), dots[i])
+        return part >= 0.5 * all_ and d < PROSE
 
     keep = [score[i] >= level and not listed(i) for i in range(n)]
     # Items between blocks of text: kept with either neighbour of their run.
     i = 0
     while i < n:
         j = i
-        while j < n and blocks[j][3] and ITEM.search("/" + blocks[j][0]):
+        while j < n and blocks[j].inside and blocks[j].item:
             j += 1
         if j > i and ((i > 0 and zone[i - 1] == zone[i] and keep[i - 1]) or (j < n and zone[j] == zone[i] and keep[j])):
             for k in range(i, j):
                 keep[k] = not listed(k)
         i = max(j, i + 1)
+    # A heading goes with what follows it; one in a header of its own with what comes after that header.
+    first, last = names.spans()
+    own_header = [b.name if b.heading and b.name >= 0 and names.part[b.name] == "header" else -1 for b in blocks]
+    beyond: dict[int, int] = {}  # of a header: the block after the run that its last heading seen is in
     for i in range(n - 2, -1, -1):
-        if HEADING.search("/" + blocks[i][0]):
-            # A heading in a header of its own belongs to what comes after the header.
-            j = i + 1
-            while blocks[i][4] and blocks[i][4][-1][1] == "header" and j < n - 1 and blocks[i][4][-1] in blocks[j][4]:
-                j += 1
-            keep[i] = keep[j]
-    return "\n".join(b[1] for b, k in zip(blocks, keep, strict=True) if k)
+        if not blocks[i].heading:
+            continue
+        j, header = i + 1, own_header[i]
+        if header >= 0:
+            while j < n - 1 and blocks[j].name >= 0 and first[header] <= first[blocks[j].name] <= last[header]:
+                j = max(j + 1, beyond.get(own_header[j], 0))
+            beyond[header] = j
+        keep[i] = keep[j]
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text, n_chars. Narrow: pages are never shuffled and each is parsed whole, on its own."""
+    """Per page: page_id, url, text, n_chars. Narrow: pages are never shuffled and each is parsed whole, on its own.
+
+    A null or empty html gives an empty text; null ids and urls stay null, repeated rows are rows like others. Broken and very long pages are parsed
+    in time in proportion to their length. An empty table gives no rows; other columns are ignored.
+    """
+    bounded_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,4 +395,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(x) for x in text]})
 
     rows = pages.selectExpr(f"`{id_col}` as page_id", f"`{url_col}` as url", f"`{html_col}` as html")
-    return rows.mapInPandas(extract, f"page_id {id_type}, url string, text string, n_chars long")
+    return rows.mapInPandas(tidy(extract), f"page_id {id_type}, url string, text string, n_chars long")
