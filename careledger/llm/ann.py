@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample; every vector is then put in the leaf that its path of nearest centres leads to.
-A query walks the tree through a priority queue of centres and visits as many leaves, nearest first, as the
-calibration on the sample needed for the target recall. Equal vectors are searched once. Queries and
-leaves meet in blocks, by a join on the leaf, and each pair of blocks is one matrix product.
+The upper levels of the tree are fitted on a bounded sample, the deeper the more rows there are; every vector is put in the upper leaf that its path
+of nearest centres leads to, and a leaf is cut into blocks of bounded size. The lower levels are fitted in each block on all its rows, down to bins of a few rows, so
+the number of bins grows with the table. A query walks the upper levels through a priority queue and, in each block that it reaches,
+takes the bins whose centres are near enough. How far it goes is calibrated on queries of the table itself against their exact answers and widened until
+the measured recall is reached; a query that has found too few candidates goes on through all of them. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -14,30 +15,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careledger.llm.storage import materialize
+from careledger.llm.storage import bounded_batches, discard, materialize, tidy
 
-#: Most vectors that the tree is fitted on.
-SAMPLE = 16_000
-BRANCH, DEPTH, LEAST_LEAF = 16, 2, 24
-RECALL, CALIBRATION_QUERIES = 0.96, 200
-#: Rows in a block, about.
-BLOCK = 512
+#: Most vectors, and bytes of them, that the upper levels are fitted on.
+SAMPLE, SAMPLE_BYTES = 16_000, 16 << 20
+BRANCH = 16
+#: Rows in an upper leaf, a block and a bin, about; queries in a group.
+LEAF_ROWS, BLOCK_ROWS, BIN_ROWS, GROUP = 2048, 4096, 6, 256
+#: Recall to be measured on CALIBRATION queries, and the share of neighbours that the upper levels alone may lose of what is left.
+RECALL, CALIBRATION, UPPER_LOSS = 0.94, 128, 0.3
+
+INDEX = "leaf long, vecs binary, centers binary, bins binary, ids array<{id}>, n array<int>, starts binary"
+FOUND = "qid {id}, vec_id {id}, n int, score double, bin double, leaf long, compared long"
 
 
 @dataclass
 class Tree:
-    """Nodes in arrays; a node without children is a leaf."""
+    """Nodes in arrays; a node without children is a leaf. rows: of all vectors in each leaf."""
 
     centers: np.ndarray
     children: list[list[int]]
     leaf_of: dict[int, int]
-
-    @property
-    def n_leaves(self) -> int:
-        return len(self.leaf_of)
+    rows: np.ndarray
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each unit vector, going to the nearest child from the root on."""
@@ -52,66 +54,66 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def leaves(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first traversal for the unit vector ``q``."""
-        score, found, heap = self.centers @ q, [], [(0.0, 0)]
-        while heap and len(found) < visits:
+    def leaves(self, q: np.ndarray, bound: float, least: int) -> list[int]:
+        """Leaves of a best-bin-first traversal for the unit vector ``q``: down to the priority ``bound``, and on until they hold ``least`` rows."""
+        score, found, held, heap = self.centers @ q, [], 0, [(-np.inf, 0)]
+        while heap and (-heap[0][0] >= bound or held < least):
             _, node = heapq.heappop(heap)
             if not self.children[node]:
                 found.append(self.leaf_of[node])
+                held += int(self.rows[self.leaf_of[node]])
             for child in self.children[node]:
                 heapq.heappush(heap, (-float(score[child]), child))
         return found
 
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """For each leaf the bound from which on a traversal for ``q`` gets there: the least score on its path."""
+        score, out = self.centers @ q, np.zeros(len(self.leaf_of))
+        todo = [(0, 1.0)]
+        while todo:
+            node, low = todo.pop()
+            if not self.children[node]:
+                out[self.leaf_of[node]] = low
+            todo += [(child, min(low, float(score[child]))) for child in self.children[node]]
+        return out
+
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     centers = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         near = np.argmax(x @ centers.T, axis=1)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, x)
+        sums = (near[None, :] == np.arange(k)[:, None]).astype(x.dtype) @ x
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centers = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centers)
     return centers, np.argmax(x @ centers.T, axis=1)
 
 
-def fit_tree(x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, least: int = LEAST_LEAF) -> Tree:
+def fit_tree(x: np.ndarray, most: float, branch: int = BRANCH) -> Tree:
+    """A tree over the unit vectors ``x`` whose leaves hold up to about ``most`` of them, if they can be told apart."""
     rng = np.random.default_rng(11)
     centers, children = [np.zeros(x.shape[1], x.dtype)], [[]]
-    todo = [(0, np.arange(len(x)), 0)]
+    todo, rows_of = [(0, np.arange(len(x)))], {}
     while todo:
-        node, rows, level = todo.pop()
-        if level == depth or len(rows) < max(2, branch) or len(rows) <= least:
+        node, rows = todo.pop()
+        k = int(min(branch, np.ceil(len(rows) / max(most, 1)), len(rows)))
+        found, near = _kmeans(x[rows], k, rng) if k > 1 else (None, np.zeros(len(rows), int))
+        if len(np.unique(near)) < 2:
+            rows_of[node] = rows
             continue
-        found, near = _kmeans(x[rows], branch, rng)
-        for k in range(branch):
-            if (near == k).any():
-                children[node].append(len(centers))
-                centers.append(found[k])
-                children.append([])
-                todo.append((len(centers) - 1, rows[near == k], level + 1))
-    return Tree(np.array(centers), children, {n: i for i, n in enumerate(i for i, c in enumerate(children) if not c)})
-
-
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float = RECALL, queries: int = CALIBRATION_QUERIES) -> int:
-    """The fewest leaf visits that find a share ``recall`` of the true k nearest of sampled queries among the sample."""
-    if len(x) < 2:
-        return tree.n_leaves
-    ask = np.random.default_rng(5).choice(len(x), min(queries, len(x)), replace=False)
-    score = x[ask] @ x.T
-    score[np.arange(len(ask)), ask] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-    leaf = tree.leaf(x)
-    found = np.zeros(tree.n_leaves + 1)
-    for q, own in zip(ask, near, strict=True):
-        rank = {at: i + 1 for i, at in enumerate(tree.leaves(x[q], tree.n_leaves))}
-        for j in own:
-            found[rank[leaf[j]]] += 1
-    return int(np.argmax(np.cumsum(found) >= recall * near.size - 1e-9))
+        for i in np.unique(near):
+            children[node].append(len(centers))
+            centers.append(found[i])
+            children.append([])
+            todo.append((len(centers) - 1, rows[near == i]))
+    leaf_of = {n: i for i, n in enumerate(i for i, c in enumerate(children) if not c)}
+    return Tree(np.array(centers), children, leaf_of, np.array([len(rows_of[n]) for n in leaf_of]))
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column])
+    """Rows as doubles, each scaled by the power of two that brings its largest component near 1: exact, and norms can't over- or underflow."""
+    x = np.array([np.asarray(v, np.float64) for v in column])
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -123,93 +125,176 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, vec (array<double>) of the rows that take part: a vector of finite components, not all zero, and an id."""
+def usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
+    """vec_id, vec (array<double>), ask of the rows that take part: an id, and a vector of finite components, not all zero, of the most common length."""
     vec = F.col(vec_col).cast("array<double>")
     ok = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
-    return df.select(F.col(id_col).alias("vec_id"), vec.alias("vec")).filter(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    rows = df.select(F.col(id_col).alias("vec_id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("ask"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    length = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return rows.filter(F.size("vec") == (length["d"] if length else 0))
 
 
-def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def _index(members: DataFrame, id_type: str) -> DataFrame:
+    """The blocks of members (leaf, blk, vec, ids): their vectors in bins by a tree of the block's own."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for leaf, rows in zip(batch["leaf"], batch["m"], strict=True):
+                x = _matrix([r["vec"] for r in rows])
+                tree = fit_tree(_units(x), BIN_ROWS)
+                place = tree.leaf(_units(x))
+                order = np.argsort(place, kind="stable")
+                ids = [rows[i]["ids"] for i in order]
+                centers = tree.centers[list(tree.leaf_of)]
+                raw = lambda a, kind: np.ascontiguousarray(a, kind).tobytes()
+                yield pd.DataFrame(
+                    {"leaf": [leaf], "vecs": [raw(x[order], "f8")], "centers": [raw(centers, "f8")], "bins": [raw(np.searchsorted(place[order], np.arange(len(centers) + 1)), "i8")],
+                     "ids": [[i["id"] for own in ids for i in own]], "n": [[i["n"] for own in ids for i in own]], "starts": [raw(np.cumsum([0, *map(len, ids)]), "i8")]}
+                )
+
+    grouped = members.groupBy("leaf", "blk").agg(F.collect_list(F.struct("vec", "ids")).alias("m")).select("leaf", "m")
+    return grouped.mapInPandas(tidy(build), INDEX.format(id=id_type))
+
+
+def _search(met: DataFrame, bound: float, k: int, id_type: str) -> DataFrame:
+    """The nearest of each query in each block that it meets: candidates in bins from ``bound`` on, down to the one that completes k + 1 different ids."""
+
+    def best(row: np.ndarray, spread: list[list]) -> Iterator[int]:
+        seen, last = set(), -np.inf
+        for i in np.argsort(-row, kind="stable"):
+            # Candidates within rounding of the last one stay, so that the exact scores decide ties.
+            if row[i] == -np.inf or row[i] < last - 1e-12:
+                return
+            yield int(i)
+            seen.update(spread[i])
+            if len(seen) > k and last == -np.inf:
+                last = row[i]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                b = batch.iloc[at]
+                q = _matrix([r["vec"] for r in b["q"]])
+                d = q.shape[1]
+                x, centers, bins, starts = np.frombuffer(b["vecs"]).reshape(-1, d), np.frombuffer(b["centers"]).reshape(-1, d), np.frombuffer(b["bins"], "i8"), np.frombuffer(b["starts"], "i8")
+                unit_q, unit_x = _units(q), _units(x)
+                near = unit_q @ centers.T
+                rough, bin_of = np.full((len(q), len(x)), -np.inf), np.repeat(np.arange(len(centers)), np.diff(bins))
+                for j in np.flatnonzero((near >= bound).any(axis=0)):
+                    ask = np.flatnonzero(near[:, j] >= bound)
+                    rough[ask, bins[j] : bins[j + 1]] = unit_q[ask] @ unit_x[bins[j] : bins[j + 1]].T
+                spread = [list(b["ids"][starts[i] : starts[i + 1]]) for i in range(len(x))]
+                out = []
+                for r, row in enumerate(rough):
+                    hit = list(best(row, spread))
+                    compared = int((row > -np.inf).sum())
+                    for i, s in zip(hit, _cosines(np.repeat(q[r : r + 1], len(hit), axis=0), x[hit]), strict=True):
+                        for t in range(starts[i], starts[i + 1]):
+                            out.append((b["q"][r]["qid"], b["ids"][t], b["n"][t], float(s), float(near[r, bin_of[i]]), b["leaf"], compared))
+                            compared = 0
+                if out:
+                    yield pd.DataFrame(out, columns=["qid", "vec_id", "n", "score", "bin", "leaf", "compared"])
+
+    return met.mapInPandas(tidy(search), FOUND.format(id=id_type))
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """Of each query the rows of its k + 1 nearest ids, up to k each: enough for the k nearest whatever the query's own id is."""
+    per_id = Window.partitionBy("qid", "vec_id")
+    few = found.withColumn("r", F.row_number().over(per_id.orderBy(F.desc("score")))).filter(F.col("r") <= k).withColumn("best", F.max("score").over(per_id))
+    order = Window.partitionBy("qid").orderBy(F.desc("best"), "vec_id")
+    return few.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k + 1).drop("r", "best")
+
+
+def _fit_upper(distinct: DataFrame, n: int, sample: int) -> Tree:
+    first = distinct.select("vec").first()[0]
+    most = max(1, min(sample, SAMPLE_BYTES // (8 * len(first))))
+    share = min(1.0, 1.1 * most / n)
+    picked = distinct.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(most).toPandas()["vec"]
+    x = _units(_matrix(picked if len(picked) else [first]))
+    tree = fit_tree(x, LEAF_ROWS * len(x) / n)
+    tree.rows = np.zeros(len(tree.leaf_of), np.int64)
+    return tree
+
+
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = RECALL, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row for which the column ``is_query`` holds.
 
     Candidates are all rows but those with the query's own id. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
-    components take no part; all vectors must be of one length. Repeated rows are separate candidates. Fewer candidates give
-    fewer ranks; an empty table gives no rows.
+    components take no part, nor do rows without an id and vectors that are not of the table's most common length. Repeated rows are separate candidates.
+    A query has k ranks, or as many as it has candidates. An empty table gives no rows; other columns are ignored. ``report`` is given the recall that was measured on
+    a sample of the queries against their exact answers, and the share of all distinct vectors that they were compared with.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = usable(df, id_col, vec_col)
-    queries = rows.filter(is_query)
+    rows = usable(df, id_col, vec_col, is_query)
 
-    # Of equal vectors only the k + 1 smallest ids can be among the nearest of any query.
+    # Of equal vectors only the k + 1 smallest ids, up to k rows each, can be among the nearest of any query.
     order = Window.partitionBy("vec").orderBy("vec_id")
-    least = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
-    distinct = least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("uid", F.monotonically_increasing_id())
+    least = rows.groupBy("vec", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    least = least.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    distinct = least.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("id"), "n"))).alias("ids")).withColumn("uid", F.monotonically_increasing_id())
     distinct = materialize(distinct, "ann-vectors")
-    n = distinct.count()
-    if not n:
+    asked = materialize(rows.filter("ask").groupBy("vec").agg(F.min("vec_id").alias("qid")), "ann-queries")
+    n, n_asked = distinct.count(), asked.count()
+    if not n or not n_asked:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
-    share = min(1.0, 1.1 * sample / n)
-    picked = distinct.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(sample).collect()
-    fitted = _units(_matrix([r[0] for r in picked] or [distinct.select("vec").first()[0]]))
-    tree = fit_tree(fitted)
-    visits = calibrate(tree, fitted, k, recall)
-    # The tree has at most BRANCH ** DEPTH leaves; it is sent as a broadcast of bounded size.
-    shared = spark.sparkContext.broadcast(tree)
+    tree = _fit_upper(distinct, n, sample)
+    placing = spark.sparkContext.broadcast(tree)  # as many nodes as the bounded sample allows
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(leaf=shared.value.leaf(_units(_matrix(batch["vec"]))))
-
-    members = materialize(distinct.mapInPandas(place, f"vec array<double>, ids array<{id_type}>, uid long, leaf long"), "ann-leaves")
-    blocks = members.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    members = members.join(F.broadcast(blocks), "leaf").groupBy("leaf", F.pmod("uid", "n").alias("blk")).agg(F.collect_list(F.struct("vec", "ids")).alias("m"))
-
-    # Each distinct query vector once; its rows come back by the number it got.
-    asked = materialize(queries.groupBy("vec").agg(F.min("vec_id").alias("qid")), "ann-queries")
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(leaves=[shared.value.leaves(q, visits) for q in _units(_matrix(batch["vec"]))])
-
-    visited = asked.mapInPandas(visit, f"vec array<double>, qid {id_type}, leaves array<bigint>").select("qid", "vec", F.explode("leaves").alias("leaf"))
-    part = F.pmod(F.xxhash64("qid"), F.greatest(F.lit(1), F.lit(asked.count() // BLOCK)))
-    visited = visited.groupBy("leaf", part.alias("part")).agg(F.collect_list(F.struct("qid", "vec")).alias("q"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-
-        def flush() -> pd.DataFrame:
-            out = [(q, i, s) for q, found in best.items() for s, i in sorted(((-s, i) for s, i in found))[: k + 1]]
-            best.clear()
-            return pd.DataFrame([(q, i, -s) for q, i, s in out], columns=["qid", "vec_id", "score"])
-
-        for batch in batches:
-            for qs, ms in zip(batch["q"], batch["m"], strict=True):
-                q, x = _matrix([r["vec"] for r in qs]), _matrix([r["vec"] for r in ms])
-                rough = _units(q) @ _units(x).T
-                # Candidates within rounding of the last place stay, so that the exact scores decide ties.
-                last = np.partition(rough, max(0, len(ms) - k - 1), axis=1)[:, max(0, len(ms) - k - 1)]
-                i, j = np.nonzero(rough >= last[:, None] - 1e-12)
-                for a, b, s in zip(i, j, _cosines(q[i], x[j]), strict=True):
-                    best.setdefault(qs[a]["qid"], []).extend((float(s), v) for v in ms[b]["ids"])
-                for r in qs:
-                    found = best.get(r["qid"])
-                    if found and len(found) > 8 * k:
-                        best[r["qid"]] = sorted(found, key=lambda f: (-f[0], f[1]))[: k + 1]
-                if len(best) > 20_000:
-                    yield flush()
-        yield flush()
-
-    met = visited.join(members, "leaf").select("q", "m")
-    found = met.mapInPandas(search, f"qid {id_type}, vec_id {id_type}, score double")
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    # Rows that repeat an id share it; their k + 1 best places are enough whatever the query's own id is, unless it repeats too.
-    found = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= 2 * (k + 1)).drop("r")
-    owners = queries.join(asked, "vec").select(F.col("vec_id").alias("query_id"), "qid").distinct()
-    ranked = owners.join(found, "qid").filter("query_id <> vec_id")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                yield batch.assign(leaf=placing.value.leaf(_units(_matrix(batch["vec"]))))
+
+    members = materialize(distinct.mapInPandas(tidy(place), f"vec array<double>, ids array<struct<id:{id_type},n:int>>, uid long, leaf long"), "ann-leaves")
+    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
+    for r in sizes.collect():  # one row per leaf of the bounded tree
+        tree.rows[r["leaf"]] = r["size"]
+    cut = members.join(F.broadcast(sizes), "leaf").withColumn("blk", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / BLOCK_ROWS)))
+    index = materialize(_index(cut, id_type), "ann-index")
+    sized = spark.sparkContext.broadcast(tree)
+
+    def meet(queries: DataFrame, bound: float) -> DataFrame:
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(leaves=[sized.value.leaves(q, bound, k + 1) for q in _units(_matrix(batch["vec"]))])
+
+        visited = queries.select("vec", "qid").mapInPandas(tidy(visit), f"vec array<double>, qid {id_type}, leaves array<bigint>").select("qid", "vec", F.explode("leaves").alias("leaf"))
+        part = F.pmod(F.xxhash64("qid"), F.lit(max(1, n_asked // GROUP)))
+        return visited.groupBy("leaf", part.alias("part")).agg(F.collect_list(F.struct("qid", "vec")).alias("q")).join(index, "leaf")
+
+    # Exact answers of some queries; how far a search has to go for the recall, and what it then finds.
+    trial = asked.orderBy(F.xxhash64("vec")).limit(CALIBRATION)
+    exact = _top(_search(meet(trial, -np.inf), -np.inf, k, id_type), k).filter("qid <> vec_id").toPandas()
+    vectors = {r["qid"]: _units(_matrix([r["vec"]]))[0] for r in trial.collect()}
+    reach = {q: tree.reach(v) for q, v in vectors.items()}
+    upper = np.array([reach[q][leaf] for q, leaf in zip(exact["qid"], exact["leaf"], strict=True)])
+    goal = recall if len(exact) else 1.0
+    while True:
+        bound = float(np.quantile(upper, (1 - goal) * UPPER_LOSS)) - 1e-9 if goal < 1 else -np.inf
+        within = np.sort(np.where(upper >= bound, exact["bin"].to_numpy(), -np.inf))
+        inner = float(within[int((1 - goal) * len(within))]) - 1e-9 if goal < 1 else -np.inf
+        tried = materialize(_search(meet(trial, bound), inner, k, id_type), "ann-trial")
+        got = _top(tried, k).select("qid", "vec_id", "score").distinct().toPandas()
+        measured = len(exact.merge(got, on=["qid", "vec_id", "score"])) / len(exact) if len(exact) else 1.0
+        if report is not None:
+            report.update(recall=measured, compared=tried.agg(F.sum("compared")).first()[0] / (n * len(vectors)), rows=n, leaves=len(tree.leaf_of))
+        discard(tried)
+        if measured >= recall - 0.005 or goal >= 1:
+            break
+        goal = min(1.0, goal + (1 - goal) / 3 + 0.005)
+
+    found = materialize(_top(_search(meet(asked, bound), inner, k, id_type), k).select("qid", "vec_id", "n", "score"), "ann-found")
+    # Queries whose bins held too few candidates go through all of them.
+    enough = found.groupBy("qid").agg(F.count_distinct("vec_id").alias("ids")).filter(F.col("ids") > k)
+    short = materialize(asked.join(enough, "qid", "left_anti"), "ann-short")
+    again = _top(_search(meet(short, -np.inf), -np.inf, k, id_type), k).select("qid", "vec_id", "n", "score")
+    found = found.join(short.select("qid"), "qid", "left_anti").unionByName(again)
+    owners = rows.filter("ask").select("vec", F.col("vec_id").alias("query_id")).distinct().join(asked, "vec").select("query_id", "qid", "vec")
+    ranked = owners.join(found, "qid").filter("query_id <> vec_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    last = Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

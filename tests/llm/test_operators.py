@@ -236,6 +236,39 @@ def test_neighbours_match_brute_force(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_at_size_compare_few_rows(spark):
+    report = {}
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = ann.nearest(df, F.col("vec_id") % 50 == 0, report=report).toPandas()
+    rows = df.toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array([np.asarray(v, float) for v in rows["embedding"]])
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    asked = ids[ids % 50 == 0]
+    for q in asked:
+        score = unit @ unit[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -2
+        hit += len(set(ids[np.argsort(-score)[:5]]) & set(found[found["query_id"] == q]["vec_id"]))
+    assert hit / (5 * len(asked)) >= 0.9 and report["recall"] >= 0.9 and report["compared"] < 0.3
+
+
+def test_neighbours_of_extreme_vectors_and_small_tables(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e-200, 2.1e-200]), (50, [1e200, 2e200]), (3, [1.0, -1.0]), (4, [5.0, 1.0]), (7, [1.0]), (100, None), (150, [float("inf"), 1.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    by = {q: [(r.vec_id, round(r.score, 9)) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50)}
+    assert len(found) == 8 and [i for i, _ in by[0]] == [50, 1, 4, 3] and [i for i, _ in by[50]] == [0, 1, 4, 3]
+    assert by[0][0][1] == 1.0 and by[0][3][1] == round(-1 / 10**0.5, 9)
+
+
+def test_neighbours_when_ids_repeat(spark):
+    rows = [(0, [1.0, 0.001 * i]) for i in range(8)] + [(i, [1.0, 0.01 * i]) for i in range(1, 8)] + [(1, [1.0, 0.01])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, qid int")
+    found = ann.nearest(docs, F.col("vec_id") == 0).toPandas()
+    nearest = found[found["score"] <= 1].groupby(["query_id"]).size()
+    assert nearest[0] == 8 * 5 and not (found["vec_id"] == 0).any()
+    exact = found.sort_values("rank").groupby("rank")["vec_id"].agg(set)
+    assert exact[1] == exact[2] == {1}
+
+
 def test_classifiers_hold_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
