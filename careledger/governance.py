@@ -15,8 +15,16 @@ from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 # Keys that never reach an audit row, and field names that would state an assessment.
-FORBIDDEN_KEYS = ["name", "patient", "address", "identifier", "verbatim", "transcript", "utterance", "value", "text", "symptom", "medication", "note", "summary"]
-ASSESSMENT_FIELDS = ["diagnosis", "differential", "assessment", "impression", "prognosis", "treatment_plan", "recommendation", "likely_condition", "probability"]
+FORBIDDEN_KEYS = [
+    "name", "patient", "patientName", "birthDate", "address", "telecom", "identifier", "entry", "resource", "contained", "photo", "gender", "verbatim", "verbatim_translated", "transcript", "utterance",
+    "value", "text", "chief_complaint", "symptom", "medication", "note", "ocr_text", "summary",
+]
+ASSESSMENT_FIELDS = [
+    "diagnosis", "diagnoses", "differential", "differential_diagnosis", "assessment", "impression", "probability", "likelihood", "suspected_condition", "provisional", "icd_suggestion", "disease_probability",
+    "prognosis", "treatment", "prescription", "plan", "recommendation", "advice", "therapy", "management", "specialty_referral",
+]
+#: What stands for a payload that isn't JSON: nothing of it can be known to be safe.
+UNREADABLE = '"<unreadable>"'
 
 
 def _scrub(x):
@@ -27,12 +35,21 @@ def _scrub(x):
 
 @F.pandas_udf(T.StringType())
 def _scrub_json(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda s: None if s is None else json.dumps(_scrub(json.loads(s)), sort_keys=True))
+    def scrub(s):
+        try:
+            return None if s is None else json.dumps(_scrub(json.loads(s)), sort_keys=True)
+        except ValueError:
+            return UNREADABLE
+
+    return rows.map(scrub)
 
 
 def scrub_payload(payload: Column) -> Column:
-    """JSON text with forbidden keys redacted at any depth and lists as their length; rows with neither pass by unparsed."""
-    risky = payload.rlike('"(' + "|".join(FORBIDDEN_KEYS) + r')"|\[|\{.*\{')
+    """JSON text with forbidden keys redacted at any depth and lists as their length; flat objects without either pass by unparsed.
+
+    Escapes may spell a key, so texts with any are parsed; a text that isn't an object and can't be read is withheld.
+    """
+    risky = payload.rlike('"(' + "|".join(FORBIDDEN_KEYS) + r')"|\[|\\|\{[\s\S]*\{') | ~payload.rlike(r"^\s*\{[\s\S]*\}\s*$")
     return F.when(risky, _scrub_json(payload)).otherwise(payload)
 
 
@@ -46,12 +63,18 @@ def _walk(x, trail: str, out: list):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _assessment_fields(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda s: [] if s is None else _walk(json.loads(s), "$", []))
+    def walk(s):
+        try:
+            return [] if s is None else _walk(json.loads(s), "$", [])
+        except ValueError:
+            return ["<unreadable>@$"]
+
+    return rows.map(walk)
 
 
 def scan_assessment_fields(payload: Column) -> Column:
-    """field@trail of every assessment-shaped key in JSON text; texts that name none of them aren't parsed."""
-    return F.when(F.lower(payload).rlike("|".join(ASSESSMENT_FIELDS)), _assessment_fields(payload)).otherwise(F.array().cast("array<string>"))
+    """field@trail of every assessment-shaped key in JSON text; texts that name none of them, escaped or not, aren't parsed."""
+    return F.when(F.lower(payload).rlike("|".join(ASSESSMENT_FIELDS) + r"|\\"), _assessment_fields(payload)).otherwise(F.array().cast("array<string>"))
 
 
 def audit_payload(*columns: str) -> Column:
@@ -59,6 +82,11 @@ def audit_payload(*columns: str) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("null"))) for c in sorted(columns)]), F.lit("}"))
 
 
+def audit_hash(prev_hash: Column, payload: Column) -> Column:
+    """Hash of an audit row: of the hash before it and its canonical text."""
+    return F.sha2(F.concat(prev_hash, payload), 256)
+
+
 def append_chain(rows: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
     """``rows`` with prev_hash and hash: a sequential chain per key over its payloads in order.
 
@@ -86,7 +114,7 @@ def verify_chain(rows: DataFrame, chain: str, order: str) -> DataFrame:
     by = Window.partitionBy(chain).orderBy(order)
     before = F.coalesce(F.lag("hash").over(by), F.lit(GENESIS))
     at = F.row_number().over(by).cast("long") - 1
-    kind = F.when(F.col("prev_hash") != before, "inserted or removed").when(F.col("hash") != F.sha2(F.concat("prev_hash", "payload"), 256), "modified")
+    kind = F.when(F.col("prev_hash") != before, "inserted or removed").when(F.col("hash") != audit_hash(F.col("prev_hash"), F.col("payload")), "modified")
     rows = rows.select(chain, at.alias("at"), kind.alias("kind"))
     first = F.min(F.when(F.col("kind").isNotNull(), F.struct("at", "kind")))
     return rows.groupBy(chain).agg(F.count(F.lit(1)).alias("rows"), first.alias("f")).select(chain, "rows", F.col("f.at").alias("first_break"), F.col("f.kind").alias("kind"))
@@ -184,12 +212,12 @@ def table_counts(tables: dict[str, DataFrame], key: str) -> DataFrame:
 def apply_policy(requests: DataFrame, grants: DataFrame, purposes: DataFrame) -> DataFrame:
     """Requests (role, purpose, action) with allowed and the first reason against: unknown role, wrong purpose, wrong action.
 
-    ``grants``: role, purpose, action; ``purposes``: purpose, strip_identifiers, aggregate_only. Both are configuration, so they are broadcast.
+    ``grants``: role, purpose, action; ``purposes``: purpose, strip_identifiers, aggregate_only. Both are configuration.
     """
-    small = lambda *c: F.broadcast(grants.select(*c).distinct().withColumn("_" + c[-1], F.lit(True)))
+    small = lambda *c: grants.select(*c).distinct().withColumn("_" + c[-1], F.lit(True))
     rows = requests.join(small("role"), "role", "left").join(small("role", "purpose"), ["role", "purpose"], "left").join(small("role", "purpose", "action"), ["role", "purpose", "action"], "left")
     reason = F.when(F.col("_role").isNull(), "unknown role").when(F.col("_purpose").isNull(), "wrong purpose").when(F.col("_action").isNull(), "wrong action")
-    return rows.withColumns({"reason": reason, "allowed": reason.isNull()}).join(F.broadcast(purposes), "purpose", "left").drop("_role", "_purpose", "_action")
+    return rows.withColumns({"reason": reason, "allowed": reason.isNull()}).join(purposes, "purpose", "left").drop("_role", "_purpose", "_action")
 
 
 @F.pandas_udf(T.StringType())
@@ -209,17 +237,36 @@ def fold_text(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.join(distinct, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
+def newest_concepts(systems: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Concepts (url, version, ...) of the newest active version of each code system (url, version, is_active, created_at)."""
+    newest = systems.filter("is_active").groupBy("url").agg(F.max_by("version", F.struct("created_at", "version")).alias("version"))
+    return concepts.join(newest, ["url", "version"], "left_semi")
+
+
+def _grams(text: Column) -> Column:
+    """All stretches of one to three letters of a text, each once."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(text, i, n)))))
+
+
 def lookup_terms(terms: DataFrame, concepts: DataFrame, limit: int = 5) -> DataFrame:
     """Terms (term, key) against concepts (code, display_normalized): exact, display contains term, term contains display; five at most.
 
-    Exact hits come by an equi-join; the containment classes compare distinct terms with the broadcast terminology.
+    What contains a text contains its first three letters: each class is an equi-join, on the whole text or on these letters, and containment is
+    verified on the pairs that meet. Displays are few letters long and have few such stretches. Empty displays match nothing.
     """
     keys = terms.select("key").distinct().filter("length(key) >= 3")
-    rank = F.when(F.col("key") == F.col("display_normalized"), 0).when(F.col("display_normalized").contains(F.col("key")), 1).otherwise(2)
-    hits = keys.join(F.broadcast(concepts), F.col("display_normalized").contains(F.col("key")) | F.col("key").contains(F.col("display_normalized")))
+    shown = concepts.select("code", "display_normalized").filter("display_normalized <> ''")
+    start = lambda c: F.substring(c, 1, 3)
+    exact = keys.join(shown, F.col("key") == F.col("display_normalized")).withColumn("class", F.lit(0))
+    inner = keys.withColumn("g", start("key")).join(shown.withColumn("g", F.explode(_grams(F.col("display_normalized")))), "g")
+    inner = inner.filter(F.col("display_normalized").contains(F.col("key")) & (F.col("key") != F.col("display_normalized"))).withColumn("class", F.lit(1))
+    outer = keys.withColumn("g", F.explode(_grams(F.col("key")))).join(shown.withColumn("g", start("display_normalized")), "g")
+    outer = outer.filter(F.col("key").contains(F.col("display_normalized")) & (F.col("key") != F.col("display_normalized"))).withColumn("class", F.lit(2))
+    columns = ["key", "code", "class"]
+    hits = exact.select(*columns).unionByName(inner.select(*columns)).unionByName(outer.select(*columns))
     order = Window.partitionBy("key").orderBy("class", "code")
-    hits = hits.withColumn("class", rank).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
-    return hits.select("key", "code", "class", "rank")
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("key", "code", "class", "rank")
 
 
 def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -231,7 +278,7 @@ def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
 def verify_codes(items: DataFrame, systems: DataFrame, concepts: DataFrame) -> DataFrame:
     """Items (url, version, code): unknown system, version mismatch, unknown code, not selectable, or ok."""
     known = systems.select("url", F.col("version").alias("active_version"))
-    rows = items.join(F.broadcast(known), "url", "left").join(concepts.select("url", "code", "is_selectable"), ["url", "code"], "left")
+    rows = items.join(known, "url", "left").join(concepts.select("url", "code", "is_selectable"), ["url", "code"], "left")
     verdict = (
         F.when(F.col("active_version").isNull(), "unknown system")
         .when(F.col("version").isNotNull() & (F.col("version") != F.col("active_version")), "version mismatch")
