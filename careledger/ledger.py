@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The operators of conditions, in the order in which they apply.
+OPERATORS = ["recorded", "not_recorded", "eq", "ne", "in", "not_in", "contains", "gt", "lt", "gte", "lte"]
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 
 
@@ -18,20 +20,21 @@ def value_of(values: Column, path: str) -> Column:
 def condition_expr(clause: dict, values: Column) -> Column:
     """One condition as a column that is never null: a missing path makes every operator false but not_recorded.
 
-    Of several operators the first, in the clause's own order, applies. Booleans ('true', 'false') never compare as numbers.
+    Of several operators the first in OPERATORS applies. Booleans ('true', 'false') and lists never compare as numbers; contains looks for a
+    text within any element, without regard to case.
     """
     found = value_of(values, clause["path"])
-    op, arg = next((k, v) for k, v in clause.items() if k != "path")
+    op, arg = next((k, clause[k]) for k in OPERATORS if k in clause)
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
     listed = lambda v: F.array(*[F.lit(text(x)) for x in (v if isinstance(v, (list, tuple)) else [v])])
-    number = F.get(found, F.lit(0)).try_cast("double")
+    number = F.when(F.size(found) == 1, F.get(found, F.lit(0)).try_cast("double"))
     if op == "recorded":
         return found.isNotNull() if arg else found.isNull()
     if op == "not_recorded":
         return found.isNull() if arg else found.isNotNull()
     out = {
         "eq": lambda: F.array_contains(found, text(arg)),
-        "contains": lambda: F.array_contains(found, text(arg)),
+        "contains": lambda: F.exists(found, lambda x: F.contains(F.lower(x), F.lit(text(arg).lower()))),
         "ne": lambda: ~F.array_contains(found, text(arg)),
         "in": lambda: F.arrays_overlap(found, listed(arg)),
         "not_in": lambda: ~F.arrays_overlap(found, listed(arg)),
@@ -44,13 +47,13 @@ def condition_expr(clause: dict, values: Column) -> Column:
 
 
 def rule_expr(rule: dict | list, values: Column) -> Column:
-    """all / any of conditions, or one condition; a list means all. An empty list holds for all and not for any."""
+    """all / any of conditions, or one condition; a list means all. An empty list holds for all, but not for any nor within one."""
     if isinstance(rule, list):
         return reduce(lambda a, b: a & b, [rule_expr(r, values) for r in rule], F.lit(True))
     if "all" in rule:
         return rule_expr(rule["all"], values)
     if "any" in rule:
-        return reduce(lambda a, b: a | b, [rule_expr(r, values) for r in rule["any"]], F.lit(False))
+        return reduce(lambda a, b: a | b, [rule_expr(r, values) for r in rule["any"] if r.get("all") != []], F.lit(False))
     return condition_expr(rule, values)
 
 
@@ -84,22 +87,33 @@ def value_is_echoed(value: Column, verbatim: Column) -> Column:
     return F.coalesce((hay == "") | hay.contains(v) | v.contains(hay), F.lit(False)) | F.coalesce(same, F.lit(False)) | F.coalesce(all_words, F.lit(False))
 
 
-def validate_facts(facts: DataFrame, known_paths: list[str], granted: DataFrame | None = None) -> DataFrame:
+def validate_facts(facts: DataFrame, known_paths: list[str], granted: DataFrame | None = None, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """``facts`` with reject_reason: the first check that fails, null for an accepted fact.
 
-    Checks in order: blank verbatim, null value, confirmed without a question, unknown path, consent scope (sessions in
-    ``granted``), value not echoed.
+    Checks in order: span kind, blank verbatim, null value, tier against span (a document's fact needs a document span, others an utterance),
+    confirmed without a question, unknown path, consent scope (sessions in ``granted``), closed vocabulary (of the paths in ``vocabulary``), and
+    for other paths: a tapped value is among the selected ones, any other is echoed. Columns span_kind and selected_values count where ``facts`` has them.
     """
     if granted is not None:
         facts = facts.join(granted.select("session_id").distinct().withColumn("_granted", F.lit(True)), "session_id", "left")
     no_scope = F.col("_granted").isNull() if granted is not None else F.lit(False)
+    kind = F.col("span_kind") if "span_kind" in facts.columns else F.when(F.col("tier") == "document", "document").otherwise("utterance")
+    coded, outside = F.col("path").isin(list(vocabulary or {})), F.lit(False)
+    for path, options in (vocabulary or {}).items():
+        outside = outside | ((F.col("path") == path) & ~F.col("value").isin(options))
+    selected = F.array_contains("selected_values", F.col("value")) if "selected_values" in facts.columns else F.lit(True)
+    backed = F.when(F.col("modality") == "touch", F.coalesce(selected, F.lit(False))).otherwise(value_is_echoed(F.col("value"), F.col("verbatim")))
     reason = (
-        F.when(F.coalesce(F.trim("verbatim"), F.lit("")) == "", "blank verbatim")
+        F.when(~F.coalesce(kind.isin("utterance", "document"), F.lit(False)), "no source span")
+        .when(F.coalesce(F.trim("verbatim"), F.lit("")) == "", "blank verbatim")
         .when(F.col("value").isNull(), "null value")
+        .when((F.col("tier") == "document") & (kind != "document"), "document tier without document span")
+        .when(F.col("tier").isin("stated", "confirmed") & (kind != "utterance"), "tier without utterance span")
         .when((F.col("tier") == "confirmed") & F.col("question_id").isNull(), "confirmed without question")
         .when(~F.col("path").isin(known_paths), "unknown path")
         .when(no_scope, "scope not granted")
-        .when((F.col("modality") != "touch") & ~value_is_echoed(F.col("value"), F.col("verbatim")), "value not in span")
+        .when(outside, "not in vocabulary")
+        .when(~coded & ~backed, "value not in span")
     )
     return facts.withColumn("reject_reason", reason).drop("_granted")
 
@@ -131,7 +145,7 @@ def number_group_entries(entries: DataFrame, used: DataFrame) -> DataFrame:
 
 def locate_span(quote: Column, text: Column) -> tuple[Column, Column]:
     """(start, end) of a quote in its text: exact, else without regard to case, else 0."""
-    at = F.when(F.locate_exact(quote, text) > 0, F.locate_exact(quote, text)) if hasattr(F, "locate_exact") else F.when(F.position(quote, text) > 0, F.position(quote, text))
+    at = F.when(F.position(quote, text) > 0, F.position(quote, text))
     at = at.when(F.position(F.lower(quote), F.lower(text)) > 0, F.position(F.lower(quote), F.lower(text)))
     start = F.coalesce(at - 1, F.lit(0)).cast("long")
     return start, (start + F.length(quote)).cast("long")
@@ -149,9 +163,10 @@ def physician_edit(facts: DataFrame, edits: DataFrame) -> DataFrame:
     return supersede_facts(facts.select(*new.columns).unionByName(new))
 
 
-def absences(sessions: DataFrame, questions: DataFrame, facts: DataFrame, declined: DataFrame) -> DataFrame:
-    """Per session and question without a fact: reason declined or not_asked. Questions are few, so they are broadcast."""
-    every = sessions.select("session_id").distinct().crossJoin(F.broadcast(questions.select("question_id", "path")))
+def absences(sessions: DataFrame, questions: list[dict], facts: DataFrame, declined: DataFrame) -> DataFrame:
+    """Per session and question (id, path) without a fact: reason declined or not_asked."""
+    asked = F.array(*[F.struct(F.lit(q["id"]).alias("question_id"), F.lit(q["path"]).alias("path")) for q in questions])
+    every = sessions.select("session_id").distinct().select("session_id", F.inline(asked))
     missing = every.join(facts.select("session_id", "path").distinct(), ["session_id", "path"], "left_anti")
     said = declined.select("session_id", "question_id").distinct().withColumn("_d", F.lit(1))
     return missing.join(said, ["session_id", "question_id"], "left").select("session_id", "question_id", F.when(F.col("_d") == 1, "declined").otherwise("not_asked").alias("reason"))
@@ -200,9 +215,15 @@ def next_open_question(session_values: DataFrame, questions: list[dict], visits:
 
 
 def session_values(facts: DataFrame) -> DataFrame:
-    """session_id, values: the last active value of each path as map<string, array<string>>. Paths of a session are few."""
-    last = facts.filter("superseded_by is null").groupBy("session_id", "path").agg(F.max_by("value", "seq").alias("value"))
-    return last.groupBy("session_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.array("value"))))).alias("values"))
+    """session_id, values and fact_ids: the last active value of each path as map<string, array<string>>, and the ids of all its active facts in order. Paths of a session are few.
+
+    A value may be a text or an array of texts.
+    """
+    value = F.col("value") if dict(facts.dtypes)["value"].startswith("array") else F.array("value")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "fact_id"))), lambda x: x["fact_id"])
+    last = facts.filter("superseded_by is null").groupBy("session_id", "path").agg(F.max_by(value, "seq").alias("value"), ids.alias("ids"))
+    map_of = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", c)))).alias
+    return last.groupBy("session_id").agg(map_of("value")("values"), map_of("ids")("fact_ids"))
 
 
 def inspect_counts(facts: DataFrame) -> DataFrame:

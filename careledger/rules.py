@@ -5,8 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careledger.ledger import rule_expr
-
+from careledger.ledger import condition_expr, rule_expr
+
+_ROS = "review_of_systems."
+
+
+def _has(path: str, *options: str) -> dict:
+    return {"path": path, "in": list(options)}
+
+
+def _is(path: str, value: str) -> dict:
+    return {"path": path, "eq": value}
+
+
+def _least(path: str, number: int) -> dict:
+    return {"path": path, "gte": number}
+
+
+def _any(*groups: list[dict]) -> dict:
+    return {"any": [{"all": g} for g in groups]}
+
+
+_CHEST, _BELLY, _SUDDEN = _is("hpi.site", "chest"), _is("hpi.site", "abdomen"), _is("hpi.onset", "sudden")
+_COUGH, _PREGNANT = _has(_ROS + "respiratory", "cough_3wk"), _has("personal_history.pregnancy", "yes", "maybe")
+# The escalation rules by id, with the level that they raise to.
+ESCALATIONS: list[dict] = [
+    {"id": "RF-CARD-01", "level": "immediate", "when": _any([_CHEST, _has("hpi.associated", "sweating", "breathlessness", "palpitations")], [_CHEST, _has("hpi.radiation", "left_arm", "jaw_neck")], [_CHEST, _SUDDEN, _least("hpi.severity", 7)])},
+    {"id": "RF-CARD-02", "level": "urgent", "when": _any([_has(_ROS + "cardiovascular", "chest_pain_exertion")], [_CHEST, _has("hpi.exacerbating", "worse_effort")])},
+    {"id": "RF-CARD-03", "level": "urgent", "when": {"all": [_has(_ROS + "cardiovascular", "orthopnoea"), _has(_ROS + "cardiovascular", "ankle_swelling")]}},
+    {"id": "RF-NEURO-01", "level": "immediate", "when": _any(*[[_has(_ROS + "neurological", x)] for x in ("limb_weakness", "facial_droop", "speech", "vision_loss")], *[[_has("hpi.associated", x)] for x in ("weakness_limb", "speech_trouble")])},
+    {"id": "RF-NEURO-02", "level": "immediate", "when": _any([_has(_ROS + "neurological", "thunderclap")], [_is("hpi.site", "head"), _SUDDEN, _least("hpi.severity", 8)])},
+    {"id": "RF-NEURO-03", "level": "immediate", "when": {"all": [_has(_ROS + "neurological", "neck_stiff")]}},
+    {"id": "RF-NEURO-04", "level": "urgent", "when": {"all": [_has(_ROS + "neurological", "fits")]}},
+    {"id": "RF-BLEED-01", "level": "immediate", "when": _any([_has(_ROS + "gastrointestinal", "haematemesis")], [_has(_ROS + "gastrointestinal", "melaena")])},
+    {"id": "RF-BLEED-02", "level": "urgent", "when": {"all": [_has(_ROS + "respiratory", "haemoptysis")]}},
+    {"id": "RF-BLEED-03", "level": "urgent", "when": _any([_has("hpi.associated", "bleeding")], [_has(_ROS + "general", "bleeding_any")], [_has(_ROS + "genitourinary", "haematuria")])},
+    {"id": "RF-RESP-01", "level": "immediate", "when": {"all": [_has("hpi.associated", "breathlessness")]}},
+    {"id": "RF-RESP-02", "level": "urgent", "when": _any([_COUGH, _has(_ROS + "respiratory", "night_sweats")], [_COUGH, _has(_ROS + "general", "weight_loss")], [_COUGH, _has(_ROS + "general", "fever_persistent")])},
+    {"id": "RF-ABDO-01", "level": "immediate", "when": {"all": [_BELLY, _SUDDEN, _least("hpi.severity", 7)]}},
+    {"id": "RF-ABDO-02", "level": "urgent", "when": {"all": [_BELLY, _has("hpi.radiation", "back")]}},
+    {"id": "RF-ABDO-03", "level": "urgent", "when": {"all": [_has(_ROS + "gastrointestinal", "jaundice")]}},
+    {"id": "RF-SYS-01", "level": "urgent", "when": _any([_has("hpi.associated", "weight_loss")], [_has(_ROS + "general", "weight_loss")], [_has(_ROS + "gastrointestinal", "weight_loss")])},
+    {"id": "RF-SYS-02", "level": "immediate", "when": _any(*[[_is("drug_allergy.allergy_reaction", x)] for x in ("swelling", "breathing", "collapse")])},
+    {"id": "RF-SYS-03", "level": "urgent", "when": _any([_has(_ROS + "neurological", "fainting")], [_has("hpi.associated", "dizziness")])},
+    {"id": "RF-SYS-04", "level": "urgent", "when": {"all": [_has(_ROS + "gastrointestinal", "swallowing")]}},
+    {"id": "RF-SYS-05", "level": "immediate", "when": {"all": [_has(_ROS + "genitourinary", "retention")]}},
+    {"id": "RF-OBS-01", "level": "immediate", "when": _any([_PREGNANT, _BELLY], [_PREGNANT, _has("hpi.associated", "bleeding")])},
+    {"id": "RF-PAIN-01", "level": "urgent", "when": {"all": [_least("hpi.severity", 9)]}},
+]
 RANK = {"routine": 0, "urgent": 1, "immediate": 2}
 
 
@@ -18,23 +64,28 @@ def priority_of(rank: Column) -> Column:
     return F.when(rank == 2, "immediate").when(rank == 1, "urgent").otherwise("routine")
 
 
-def paths_in(rule: dict | list) -> list[str]:
-    """All paths that a rule reads, sorted."""
-    parts = rule if isinstance(rule, list) else rule.get("all") or rule.get("any")
-    return sorted({p for r in parts for p in paths_in(r)}) if parts else [rule["path"]]
+def conditions_of(rule: dict | list) -> list[dict]:
+    """All single conditions of a rule."""
+    parts = rule if isinstance(rule, list) else rule.get("all", rule.get("any"))
+    return [rule] if parts is None else [c for r in parts for c in conditions_of(r)]
 
 
 def evaluate_red_flags(session_values: DataFrame, rules: list[dict]) -> DataFrame:
-    """Every rule for every session, fired or not, with the recorded paths it reads. Rules compile to columns once; no shuffle."""
-    values = F.col("values")
-    results = [
-        F.struct(
-            F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), rule_expr(r["when"], values).alias("fired"),
-            F.array_join(F.array_intersect(F.array(*[F.lit(p) for p in paths_in(r["when"])]), F.map_keys(values)), ",").alias("paths"),
-        )
-        for r in rules
-    ]
-    return session_values.select("session_id", F.explode(F.array(*results)).alias("r")).select("session_id", "r.*")
+    """Every rule for every session, fired or not; of a fired one the paths whose conditions hold, sorted, and the ids of the active facts there.
+
+    Rules compile to columns once; no shuffle.
+    """
+    values, ids = F.col("values"), F.col("fact_ids")
+
+    def result(r: dict) -> Column:
+        fired = rule_expr(r["when"], values)
+        held = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(condition_expr(c, values), c["path"]) for c in conditions_of(r["when"])]))))
+        paths = F.when(fired, held).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), fired.alias("fired"), paths.alias("p"))
+
+    rows = session_values.select("session_id", "fact_ids", F.explode(F.array(*[result(r) for r in rules])).alias("r"))
+    of = F.flatten(F.transform("r.p", lambda p: F.coalesce(F.try_element_at(ids, p), F.array().cast("array<string>"))))
+    return rows.select("session_id", "r.rule_id", "r.level", "r.fired", F.array_join("r.p", ",").alias("paths"), F.array_join(of, ",").alias("fact_ids"))
 
 
 def session_priority(sessions: DataFrame, flags: DataFrame) -> DataFrame:
@@ -48,7 +99,7 @@ def adjudicate_candidates(candidates: DataFrame, flags: DataFrame) -> DataFrame:
     """External proposals (session_id, rule_id): unknown rule, agreed with a fired one, or logged as not fired."""
     known = flags.select("rule_id").distinct().withColumn("known", F.lit(True))
     fired = flags.filter("fired").select("session_id", "rule_id").distinct().withColumn("hit", F.lit(True))
-    rows = candidates.join(F.broadcast(known), "rule_id", "left").join(fired, ["session_id", "rule_id"], "left")
+    rows = candidates.join(known, "rule_id", "left").join(fired, ["session_id", "rule_id"], "left")
     return rows.select("session_id", "rule_id", F.when(F.col("known").isNull(), "discarded").when(F.col("hit"), "agreed").otherwise("not fired").alias("outcome"))
 
 
