@@ -42,12 +42,12 @@ def runs_to_lines(runs: DataFrame, page_width: float, page_height: float) -> Dat
 
 
 def validate_taps(taps: DataFrame, questions: DataFrame) -> DataFrame:
-    """Taps (session_id, question_id, selected) against their question (kind, options, exclusive, low, high; few, broadcast).
+    """Taps (session_id, question_id, selected) against their question (kind, options, exclusive, low, high; few).
 
     Gives the values taken and the reason for refusal, null where accepted: a choice names listed options only, an exclusive option
     stands alone, several need at least one, a scale has bounds.
     """
-    rows = taps.join(F.broadcast(questions), "question_id", "left")
+    rows = taps.join(questions, "question_id", "left")
     number = F.get("selected", F.lit(0)).try_cast("long")
     choice = F.col("kind").isin("single", "multi")
     reason = (
@@ -69,11 +69,11 @@ def scale_anchor(number: Column, high: int, anchors: list[str]) -> Column:
 def gate_proposals(proposals: DataFrame, utterances: DataFrame, allowed: DataFrame) -> DataFrame:
     """Proposed slots (session_id, turn_id, path, value, quote, confidence) that their turn backs, with the reason for others.
 
-    The quote must stand in the turn, the path be known (``allowed``: path, options; few, broadcast), a choice be an option and
+    The quote must stand in the turn, the path be known (``allowed``: path, options; few), a choice be an option and
     free text be echoed. The confidence is at most that of the recognised speech.
     """
     turns = utterances.select("session_id", "turn_id", F.col("text").alias("_text"), "asr_confidence")
-    rows = proposals.join(turns, ["session_id", "turn_id"], "left").join(F.broadcast(allowed.select("path", "options")), "path", "left")
+    rows = proposals.join(turns, ["session_id", "turn_id"], "left").join(allowed.select("path", "options"), "path", "left")
     free = F.size("options") == 0
     reason = (
         F.when(~F.coalesce(F.contains(F.lower("_text"), F.lower("quote")), F.lit(False)), "quote not in turn").when(F.col("options").isNull(), "unknown path")
@@ -89,12 +89,12 @@ NO = ["no", "nahin", "nahi", "never", "kabhi nahin", "not", "illa", "false"]
 
 
 def extract_slots(utterances: DataFrame, questions: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """One slot per utterance by its question's kind (few, broadcast), or none, and then the text is unplaced.
+    """One slot per utterance by its question's kind (few), or none, and then the text is unplaced.
 
     ``hits`` (of documents.match_options) decide choices: the best one for a single choice, all but none for several, with the
     least of their scores. Refusal beats agreement, as whole words; a scale takes the first whole number to 10; open text is itself.
     """
-    rows = utterances.join(F.broadcast(questions.select("question_id", "kind")), "question_id", "left")
+    rows = utterances.join(questions.select("question_id", "kind"), "question_id", "left")
     none = F.lit(None).cast("string")
     if hits is not None:
         some = F.filter(F.array_sort(F.collect_list(F.struct("rank", "option_value", "score"))), lambda h: h["option_value"] != "none")
@@ -114,22 +114,15 @@ def extract_slots(utterances: DataFrame, questions: DataFrame, hits: DataFrame |
     return rows.select("session_id", "turn_id", value.alias("value"), F.when(value.isNotNull(), given).alias("confidence"), F.when(value.isNull(), text).alias("unplaced"))
 
 
-DIAGNOSIS = r"(?i)\b(?:diagnosis|impression|diagnosed with)\b\s*[:\-]?\s*(.+)$"
-PROCEDURE = r"(?i)\b(?:procedure|surgery|operation)\b\s*[:\-]?\s*(.+)$"
-HEADINGS = r"(?i)^(?:date|name|age|sex|patient|ref|dr|reg|opd|uhid)"
-
-
 def extract_entities(lines: DataFrame) -> DataFrame:
     """At most one entity a line (a diagnosis before a procedure, an investigation, a medicine) with its document's date.
 
     A line without a date takes its document's, and says so in date_source; needs_check where the reading is unsure.
     """
     text = F.col("text")
-    cue = lambda p: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, p, 1), r"[ .;,]+$", "")), F.lit(""))
-    label, name = F.regexp_extract(text, documents.INVESTIGATION, 1), F.trim(F.regexp_extract(text, documents.MEDICATION, 2))
+    label, (diagnosis, procedure) = F.regexp_extract(text, documents.INVESTIGATION, 1), documents.cued_terms(text)
     lab = F.when(documents.match_analyte(label).isNotNull(), F.trim(label))
-    medicine = F.when((F.length(name) >= 3) & ~name.rlike(HEADINGS), name)
-    kinds = [("diagnosis", cue(DIAGNOSIS)), ("procedure", cue(PROCEDURE)), ("investigation", lab), ("medication", medicine)]
+    kinds = [("diagnosis", diagnosis), ("procedure", procedure), ("investigation", lab), ("medication", documents.medicine_parts(text)["name"])]
     entity = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), c.alias("label"))) for k, c in kinds])
     own, _ = documents.parse_dates(text)
     rows = lines.withColumns({"entity": entity, "own": own}).filter("entity is not null")
@@ -139,6 +132,18 @@ def extract_entities(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "entity.kind", "entity.label", F.coalesce("own", "document_date").alias("observed_on"), source.alias("date_source"), check.alias("needs_check"))
 
 
+def verification_queue(entities: DataFrame) -> DataFrame:
+    """All items of a document in one list: recorded ones by their number among the confident, then pending ones by theirs among all, each with its band.
+
+    ``entities`` has doc_id, ord, text, confidence and handwritten. An item that needs checking is pending and of the band verify.
+    """
+    rows = entities.withColumn("band", documents.confidence_band(F.col("confidence"), F.col("handwritten"))).withColumn("pending", F.col("band") == "verify")
+    lane = F.row_number().over(Window.partitionBy("doc_id", "pending").orderBy("ord")) - 1
+    every = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    item = F.when(F.col("pending"), F.concat(F.lit("pending:"), every.cast("string"))).otherwise(F.concat(F.lit("recorded:"), lane.cast("string")))
+    return rows.select("doc_id", "ord", item.alias("item_id"), "text", "pending", F.col("band").alias("confidence_band"))
+
+
 def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     """Items (item_id, pending, text) after their last review: pending ones stay out until confirmed or corrected; a dispute rejects a pending item and only marks a recorded one."""
     last = reviews.groupBy("item_id").agg(F.max_by(F.struct("action", "corrected_text", "actor"), "at").alias("r"))
@@ -184,8 +189,8 @@ def promote_timeline(encounters: DataFrame, medications: DataFrame, observations
 
 
 def problems_from_choices(facts: DataFrame, terms: DataFrame, start: DataFrame) -> DataFrame:
-    """Chosen conditions (session_id, seq, value array) that have a term (few, broadcast), numbered on from the session's ``next_idx``."""
-    rows = facts.select("session_id", "seq", F.posexplode("value").alias("pos", "key")).join(F.broadcast(terms), "key")
+    """Chosen conditions (session_id, seq, value array) that have a term (few), numbered on from the session's ``next_idx``."""
+    rows = facts.select("session_id", "seq", F.posexplode("value").alias("pos", "key")).join(terms, "key")
     order = Window.partitionBy("session_id").orderBy("seq", "pos")
     rows = rows.join(start, "session_id", "left").withColumn("idx", F.row_number().over(order) - 1 + F.coalesce("next_idx", F.lit(0)))
     return rows.select("session_id", F.col("idx").cast("long").alias("idx"), "term")
@@ -289,6 +294,14 @@ def register(query) -> None:
         end = t("part").filter("p_partkey % 3 = 0").selectExpr("p_partkey as doc_id", "1 as page", "3 as line_no", "'Diagnosis: type ' || p_type || '.' as text", "0.95D as confidence", "false as handwritten")
         return globals()["extract_entities"](t("drug_line").select(cols).unionByName(t("lab_line").select(cols)).unionByName(head).unionByName(end))
 
+    @query("""WITH e AS (SELECT p_size AS doc_id, p_partkey AS ord, p_name AS text, CAST(50 + p_partkey % 50 AS DOUBLE) / 100 AS c, p_partkey % 41 = 0 AS h FROM part),
+        b AS (SELECT *, h OR c <= 0.72 AS pending, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS k FROM e)
+        SELECT doc_id, ord, CASE WHEN pending THEN 'pending:' || CAST(k AS VARCHAR) ELSE 'recorded:' || CAST(row_number() OVER (PARTITION BY doc_id, pending ORDER BY ord) - 1 AS VARCHAR) END AS item_id, text, pending,
+        CASE WHEN pending THEN 'verify' WHEN c >= 0.9 THEN 'high' ELSE 'medium' END AS confidence_band FROM b""")
+    def verification_queue(t):
+        key = F.col("p_partkey")
+        return globals()["verification_queue"](t("part").select(F.col("p_size").alias("doc_id"), key.alias("ord"), F.col("p_name").alias("text"), ((50 + key % 50).cast("double") / 100).alias("confidence"), (key % 41 == 0).alias("handwritten")))
+
     @query("""WITH i AS (SELECT p_partkey AS item_id, p_partkey % 2 = 0 AS pending, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 END AS a FROM part),
         s AS (SELECT *, CASE WHEN a IS NULL THEN CASE WHEN pending THEN 'waiting' ELSE 'recorded' END WHEN a = 0 THEN 'confirmed' WHEN a = 3 THEN 'corrected' WHEN pending THEN 'rejected' ELSE 'disputed' END AS state FROM i)
         SELECT item_id, state, CASE WHEN a = 3 THEN 'read ' || p_name ELSE p_name END AS text, CASE WHEN a = 3 THEN 'dr' END AS read_by, state NOT IN ('waiting', 'rejected') AS is_fact FROM s""")
@@ -335,11 +348,11 @@ def register(query) -> None:
         return globals()["problems_from_choices"](e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), value.alias("value")), terms, start)
 
     @query("""WITH l AS (SELECT encounter_id, path, bool_or(value <> 'none') AS has FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL GROUP BY 1, 2),
-        p AS (SELECT * FROM (VALUES (1, 'chief_complaint'), (2, 'hpi.site'), (3, 'hpi.onset'), (4, 'hpi.other')) v(i, path))
+        p AS (SELECT * FROM (VALUES (1, 'chief_complaint.text'), (2, 'hpi.site'), (3, 'hpi.onset'), (4, 'hpi.other')) v(i, path))
         SELECT e.encounter_id, coalesce(string_agg(p.path, ',' ORDER BY i) FILTER (has), '') AS collected, coalesce(string_agg(p.path, ',' ORDER BY i) FILTER (NOT has), '') AS declined, coalesce(string_agg(p.path, ',' ORDER BY i) FILTER (has IS NULL), '') AS missing
         FROM encounter e CROSS JOIN p LEFT JOIN l ON l.encounter_id = e.encounter_id AND l.path = p.path GROUP BY 1""")
     def brief_completeness(t):
-        return globals()["brief_completeness"](t("encounter"), t("clinical_fact"), ["chief_complaint", "hpi.site", "hpi.onset", "hpi.other"])
+        return globals()["brief_completeness"](t("encounter"), t("clinical_fact"), ["chief_complaint.text", "hpi.site", "hpi.onset", "hpi.other"])
 
     @query("""WITH e AS (SELECT fact_id, string_agg(CAST(evidence_id AS VARCHAR) || ':' || source_type, ',' ORDER BY evidence_id, source_type) AS x FROM evidence GROUP BY 1) SELECT f.fact_id, coalesce(x, '') AS evidence FROM clinical_fact f LEFT JOIN e ON f.fact_id = e.fact_id""")
     def evidence_for_facts(t):
@@ -347,7 +360,7 @@ def register(query) -> None:
 
     @query("""WITH s AS (SELECT encounter_id, analyte_key, count(*) AS points, min({'day': observed_on, 'value': CAST(value AS DOUBLE)}) AS f, max({'day': observed_on, 'value': CAST(value AS DOUBLE)}) AS g FROM observation WHERE value IS NOT NULL AND observed_on IS NOT NULL GROUP BY 1, 2),
         c AS (SELECT encounter_id, count(*) FILTER (superseded_by IS NULL) AS fresh, count(*) FILTER (superseded_by IS NOT NULL) AS same FROM clinical_fact GROUP BY 1),
-        l AS (SELECT encounter_id, CASE path WHEN 'hpi.site' THEN 'Where it is' WHEN 'chief_complaint' THEN 'What brought you in' ELSE path END AS label, value, tier FROM clinical_fact)
+        l AS (SELECT encounter_id, CASE path WHEN 'hpi.site' THEN 'Where it is' WHEN 'chief_complaint.text' THEN 'What brought you in' ELSE path END AS label, value, tier FROM clinical_fact)
         SELECT encounter_id, CASE WHEN tier = 'document' THEN 'from documents' ELSE 'told us' END AS part, label, value FROM l UNION ALL SELECT encounter_id, 'awaiting verification', label, value FROM l WHERE tier <> 'confirmed'
         UNION ALL SELECT encounter_id, CASE status WHEN 'documented' THEN 'from documents' ELSE 'previous visits' END, CASE status WHEN 'documented' THEN 'Medicine on your prescription' ELSE 'Medicine from an earlier visit' END, name || ' ' || dose FROM medication WHERE status <> 'stopped-reported'
         UNION ALL SELECT encounter_id, 'previous visits', analyte_key || ' over time', f.value || ' on ' || f.day || ', ' || g.value || ' on ' || g.day FROM s WHERE points >= 2
@@ -358,7 +371,7 @@ def register(query) -> None:
         point = F.struct(F.col("observed_on").alias("day"), F.col("value").cast("double").alias("value"))
         series = t("observation").filter("value is not null and observed_on is not null").groupBy("encounter_id", F.col("analyte_key").alias("display")).agg(F.count(F.lit(1)).alias("points"), F.min(point).alias("first"), F.max(point).alias("last"))
         changes = t("clinical_fact").groupBy("encounter_id").agg(F.count_if(F.col("superseded_by").isNull()).alias("fresh"), F.count_if(F.col("superseded_by").isNotNull()).alias("same"))
-        return globals()["patient_view"](lines, {"hpi.site": "Where it is", "chief_complaint": "What brought you in"}, medicines, series, changes)
+        return globals()["patient_view"](lines, {"hpi.site": "Where it is", "chief_complaint.text": "What brought you in"}, medicines, series, changes)
 
     @query("""SELECT session_id, 0 AS section_no, 'facts' AS section, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS line_no, value AS text FROM fact
         UNION ALL SELECT * FROM (SELECT session_id, 1, 'turns', row_number() OVER (PARTITION BY session_id ORDER BY turn_id) AS r, text FROM utterance) WHERE r <= 12""")
