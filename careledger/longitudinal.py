@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The paths by which encounters are alike.
-SIMILARITY_PATHS = ["hpi.site", "hpi.onset", "hpi.associated", "chief_complaint"]
+SIMILARITY_PATHS = ["chief_complaint.text", "hpi.site", "hpi.character", "hpi.radiation", "hpi.timing", "hpi.associated", "hpi.exacerbating", "past_medical.conditions"]
 HOW_WE_KNOW = {"documented": "from a document", "stopped-reported": "reported stopped", "patient-reported-current": "told by the patient"}
 
 
@@ -103,16 +103,30 @@ def feature_sets(facts: DataFrame, paths: list[str] | None = None) -> DataFrame:
 def similar_encounters(features: DataFrame, encounters: DataFrame, top: int = 3) -> DataFrame:
     """For each encounter the same patient's encounters that share most features; ties go to the oldest.
 
-    The join is keyed by patient, path and value, so patients never meet.
+    The join is keyed by patient, path and value, so patients never meet. Encounters of a patient with the same features are alike in all but their
+    age: they meet others as one set, of which only the ``top`` + 1 oldest can be among the nearest of any. Sets are counted by
+    number, and their features are put in words for the ranked ones only.
     """
-    rows = features.join(encounters.select("encounter_id", "patient_id", "occurred_at"), "encounter_id")
-    other = rows.select("patient_id", "path", "value", F.col("encounter_id").alias("similar_id"), F.col("occurred_at").alias("similar_at"))
-    pairs = rows.join(other, ["patient_id", "path", "value"]).filter("encounter_id <> similar_id")
-    pairs = pairs.groupBy("patient_id", "encounter_id", "similar_id", "similar_at").agg(F.count(F.lit(1)).alias("shared"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "value"))), ",").alias("shared_features"))
-    order = Window.partitionBy("encounter_id").orderBy(F.desc("shared"), "similar_at", "similar_id")
+    feature = F.struct("path", "value")
+    by = features.groupBy("encounter_id").agg(F.array_sort(F.collect_set(feature)).alias("f"))
+    rows = by.join(encounters.select("encounter_id", "patient_id", "occurred_at"), "encounter_id")
+    age = Window.partitionBy("patient_id", "f").orderBy("occurred_at", "encounter_id")
+    oldest = rows.withColumn("r", F.row_number().over(age)).filter(F.col("r") <= top + 1)
+    sets = rows.select("patient_id", "f").distinct().withColumn("set_id", F.xxhash64("f"))
+    each = sets.select("patient_id", "set_id", F.posexplode("f").alias("at", "x"))
+    other = each.select("patient_id", "x", F.col("set_id").alias("other_id"))
+    pairs = each.join(other, ["patient_id", "x"]).groupBy("patient_id", "set_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
+    of = lambda df, name: df.withColumn(name, F.xxhash64("f")).withColumnRenamed("f", f"{name}_f")
+    alike = of(oldest, "other_id").select("patient_id", "other_id", "other_id_f", F.col("encounter_id").alias("similar_id"), F.col("occurred_at").alias("similar_at"))
+    # Best sets with their oldest encounters first, once per set; then each encounter leaves itself out.
+    first = Window.partitionBy("patient_id", "set_id").orderBy(F.desc("shared"), "similar_at", "similar_id")
+    near = pairs.join(alike, ["patient_id", "other_id"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top + 1)
+    order = Window.partitionBy("encounter_id").orderBy("r")
+    met = of(rows, "set_id").join(near, ["patient_id", "set_id"]).filter("encounter_id <> similar_id")
+    ranked = met.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    words = F.array_join(F.array_sort(F.transform(F.array_intersect("set_id_f", "other_id_f"), lambda x: F.concat_ws("=", x["path"], x["value"]))), ",")
     band = F.when(F.col("shared") >= 4, "many").when(F.col("shared") >= 2, "some").otherwise("one")
-    ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return ranked.select("encounter_id", "similar_id", "shared", "shared_features", band.alias("band"), "rank")
+    return ranked.select("encounter_id", "similar_id", "shared", words.alias("shared_features"), band.alias("band"), "rank")
 
 
 def observation_series(observations: DataFrame) -> DataFrame:
