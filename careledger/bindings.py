@@ -36,7 +36,7 @@ BINDINGS: dict[str, str] = {
         't' || CAST(event_id % 40 AS STRING) AS turn_id, CASE WHEN event_id % 37 = 0 THEN NULL ELSE 'q' || event_type END AS question_id,
         CASE event_id % 5 WHEN 0 THEN 'speech' WHEN 1 THEN 'touch' ELSE 'typed' END AS modality FROM {events}""",
     "clinical_fact": """SELECT 'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS fact_id, l_orderkey AS encounter_id,
-        CASE l_linenumber % 4 WHEN 0 THEN 'hpi.site' WHEN 1 THEN 'hpi.onset' WHEN 2 THEN 'hpi.associated' ELSE 'chief_complaint' END AS path,
+        CASE l_linenumber % 4 WHEN 0 THEN 'hpi.site' WHEN 1 THEN 'hpi.onset' WHEN 2 THEN 'hpi.associated' ELSE 'chief_complaint.text' END AS path,
         CASE WHEN min(l_partkey) % 9 = 0 THEN 'none' ELSE 'v' || CAST(min(l_partkey) % 6 AS STRING) END AS value,
         CASE min(l_suppkey) % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'confirmed' ELSE 'document' END AS tier,
         CASE WHEN min(l_suppkey) % 10 = 0 THEN 'f0' END AS superseded_by, CASE WHEN min(l_suppkey) % 14 = 1 THEN 'error' END AS invalidated_reason,

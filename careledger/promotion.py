@@ -30,6 +30,12 @@ def promote_facts(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", "path", "value", F.col("tier").alias("state"), F.col("recorded_at").alias("valid_from"), status.alias("confidence_status"))
 
 
+def promote_evidence(facts: DataFrame) -> DataFrame:
+    """One evidence row for each fact: its span's kind, verbatim, turn or page, and how it was given."""
+    source = F.when(F.col("tier") == "document", "document").otherwise("utterance")
+    return facts.select(F.concat(F.lit("ev-"), "fact_id").alias("evidence_id"), "fact_id", source.alias("source_type"), "verbatim", F.when(source == "utterance", F.col("turn_id")).alias("turn_id"), F.when(source == "utterance", F.col("modality")).alias("modality"))
+
+
 def link_consent(encounters: DataFrame, consents: DataFrame) -> DataFrame:
     """Encounters with the latest consent of their session where they have none."""
     last = consents.groupBy("session_ref").agg(F.max_by("consent_ref", F.struct("granted_at", "consent_ref")).alias("found"))
@@ -166,7 +172,7 @@ def stream_activity(events: DataFrame, width: str = "6 hours") -> DataFrame:
 
 def register(query) -> None:
     """The queries of this module."""
-    fields = ["chief_complaint", "hpi.site", "hpi.onset"]
+    fields = ["chief_complaint.text", "hpi.site", "hpi.onset"]
 
     @query("""WITH n AS (SELECT 'abha:' || CAST(c_custkey * 2 AS VARCHAR) AS abha_ref, 'New ' || c_name AS nn, 'other' AS ng FROM customer), o AS (SELECT * FROM patient WHERE abha_ref IS NOT NULL)
         SELECT coalesce(o.abha_ref, n.abha_ref) AS abha_ref, coalesce(display_name, nn) AS display_name, coalesce(gender, ng) AS gender FROM o FULL JOIN n ON o.abha_ref = n.abha_ref
@@ -183,6 +189,10 @@ def register(query) -> None:
     def promote_facts_evidence(t):
         return promote_facts(t("fact").withColumn("confidence", F.when(F.col("seq") % 10 != 0, F.col("confidence"))))
 
+    @query("SELECT 'ev-' || fact_id AS evidence_id, fact_id, CASE WHEN tier = 'document' THEN 'document' ELSE 'utterance' END AS source_type, verbatim, CASE WHEN tier <> 'document' THEN turn_id END AS turn_id, CASE WHEN tier <> 'document' THEN modality END AS modality FROM fact")
+    def promote_evidence(t):
+        return globals()["promote_evidence"](t("fact"))
+
     @query("""WITH c AS (SELECT 's' || CAST(user_id AS VARCHAR) AS session_ref, arg_max('k' || CAST(event_id AS VARCHAR), event_id) AS found FROM events GROUP BY 1)
         SELECT encounter_id, coalesce(consent_ref, found) AS consent_ref FROM encounter e LEFT JOIN c ON e.session_ref = c.session_ref""")
     def link_consent(t):
@@ -195,8 +205,8 @@ def register(query) -> None:
         return globals()["promotion_counts"](t("encounter"), facts=t("clinical_fact"), medications=t("medication"))
 
     lines = """e AS (SELECT fact_id, count(*) AS sources, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS kinds FROM evidence GROUP BY 1),
-        s AS (SELECT encounter_id, f.fact_id, CAST(list_position(['chief_complaint', 'hpi.site', 'hpi.onset'], path) AS BIGINT) AS place, value, sources, kinds FROM clinical_fact f JOIN e ON f.fact_id = e.fact_id
-          WHERE superseded_by IS NULL AND invalidated_reason IS NULL AND path IN ('chief_complaint', 'hpi.site', 'hpi.onset'))"""
+        s AS (SELECT encounter_id, f.fact_id, CAST(list_position(['chief_complaint.text', 'hpi.site', 'hpi.onset'], path) AS BIGINT) AS place, value, sources, kinds FROM clinical_fact f JOIN e ON f.fact_id = e.fact_id
+          WHERE superseded_by IS NULL AND invalidated_reason IS NULL AND path IN ('chief_complaint.text', 'hpi.site', 'hpi.onset'))"""
 
     @query(f"WITH {lines} SELECT * FROM s")
     def snapshot_lines(t):

@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams, tables
 from careledger.bindings import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 PATHS = ["hpi.click", "hpi.view", "hpi.purchase", "hpi.error"]
-RULES = [
-    {"id": "R1", "level": "immediate", "when": {"all": [{"path": "hpi.error", "gte": 9}, {"path": "hpi.click", "recorded": True}]}},
-    {"id": "R2", "level": "urgent", "when": {"any": [{"path": "hpi.view", "in": ["1", "2", "3"]}, {"path": "hpi.purchase", "eq": "7"}]}},
-    {"id": "R3", "level": "urgent", "when": {"all": [{"path": "hpi.signup", "not_recorded": True}, {"path": "hpi.click", "ne": "0"}]}},
-]
+#: Answers of the sessions in the queries of escalation rules, several of a path joined by a comma.
+ANSWERS = {
+    "hpi.site": ["chest", "abdomen", "head", "knee"],
+    "hpi.onset": ["sudden", "slow"],
+    "hpi.severity": ["3", "7", "8", "9", "true"],
+    "hpi.associated": ["sweating", "breathlessness,bleeding", "dizziness", "weight_loss", "speech_trouble", "nausea"],
+    "hpi.radiation": ["left_arm", "back", "leg"],
+    "hpi.exacerbating": ["worse_effort", "rest"],
+    "review_of_systems.cardiovascular": ["orthopnoea,ankle_swelling", "orthopnoea", "chest_pain_exertion", "no"],
+    "review_of_systems.neurological": ["thunderclap", "neck_stiff,fits", "fainting", "facial_droop,speech", "no", "tingling"],
+    "review_of_systems.gastrointestinal": ["melaena", "jaundice", "swallowing,weight_loss", "no"],
+    "review_of_systems.respiratory": ["cough_3wk,night_sweats", "cough_3wk", "haemoptysis", "no"],
+    "review_of_systems.general": ["weight_loss", "fever_persistent", "bleeding_any", "no"],
+    "review_of_systems.genitourinary": ["retention", "haematuria", "no"],
+    "drug_allergy.allergy_reaction": ["swelling", "rash", "collapse"],
+    "personal_history.pregnancy": ["maybe", "no", "yes"],
+}
 
 
 def query(sql: str | None = None):
@@ -33,6 +45,20 @@ def query(sql: str | None = None):
     return add
 
 
+# ---- sources
+
+_ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"
+
+
+def _read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by a declared schema, per status: how many, and the last day."""
+    rows = tables.read_table(spark, f"{sf_dir}/orders.parquet", _ORDERS)
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderkey").alias("last_key"), F.max(F.col("o_orderdate").cast("date")).alias("last_day"))
+
+
+QUERIES["read_tables"] = _read_tables
+ORACLE_SQL["read_tables"] = "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last_key, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY 1"
+
 # ---- longitudinal read models
 
 @query("""WITH p AS (SELECT *, lag(value) OVER w AS previous, lead(1) OVER w AS after, count(*) OVER (PARTITION BY patient_id, analyte_key) AS points,
@@ -102,7 +128,7 @@ def reconcile_live(t):
     return longitudinal.reconcile_live(t("medication"), live)
 
 
-_FEATURES = "f AS (SELECT DISTINCT encounter_id, path, value FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL AND value <> 'none')"
+_FEATURES = "f AS (SELECT DISTINCT encounter_id, path, value FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL AND value <> 'none' AND path <> 'hpi.onset')"
 
 
 @query(f"WITH {_FEATURES} SELECT * FROM f")
@@ -196,16 +222,36 @@ _ECHO = r"""(trim(regexp_replace(lower(verbatim), '[^a-z0-9]+', ' ', 'g')) = ''
     OR contains(value, trim(regexp_replace(lower(verbatim), '[^a-z0-9]+', ' ', 'g'))) OR list_contains(regexp_extract_all(verbatim, '-?[0-9]+(?:\.[0-9]+)?'), value))"""
 
 
+@query(f"""WITH {_VALUES} SELECT session_id, coalesce(error = '3', false) OR (coalesce(view IN ('1', '2'), false) AND coalesce(click <> '4', false)) AS any_group, false AS any_of_none, true AS all_of_none,
+    error IS NOT NULL AND (coalesce(view = '5', false) OR purchase IS NULL) AS nested FROM s""")
+def rule_expr(t):
+    r = lambda name, rule: ledger.rule_expr(rule, F.col("values")).alias(name)
+    groups = {"any": [{"all": [{"path": "hpi.error", "eq": "3"}]}, {"all": [{"path": "hpi.view", "in": ["1", "2"]}, {"path": "hpi.click", "ne": "4"}]}, {"all": []}]}
+    nested = [{"path": "hpi.error", "recorded": True}, {"any": [{"path": "hpi.view", "eq": "5"}, {"path": "hpi.purchase", "not_recorded": True}]}]
+    return _values(t).select("session_id", r("any_group", groups), r("any_of_none", {"any": [{"all": []}]}), r("all_of_none", {"all": []}), r("nested", nested))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Pressed' WHEN 'view' THEN 'Yes' WHEN 'error' THEN 'No' ELSE event_type END AS shown FROM events")
+def display_values(t):
+    value = F.when(F.col("event_type") == "view", "true").when(F.col("event_type") == "error", "false").otherwise(F.col("event_type"))
+    return t("events").select("event_id", ledger.display_values(value, {"click": "Pressed"}).alias("shown"))
+
+
 @query(f"SELECT fact_id, {_ECHO} AS echoed FROM fact")
 def value_is_echoed(t):
     return t("fact").select("fact_id", ledger.value_is_echoed(F.col("value"), F.col("verbatim")).alias("echoed"))
 
 
-@query(f"""SELECT fact_id, CASE WHEN trim(verbatim) = '' THEN 'blank verbatim' WHEN tier = 'confirmed' AND question_id IS NULL THEN 'confirmed without question'
-    WHEN path NOT IN ('hpi.click', 'hpi.view', 'hpi.purchase', 'hpi.error') THEN 'unknown path' WHEN session_id % 6 = 0 THEN 'scope not granted'
-    WHEN modality <> 'touch' AND NOT {_ECHO} THEN 'value not in span' END AS reject_reason FROM fact""")
+_SPAN = "CASE WHEN seq % 43 = 0 THEN NULL WHEN seq % 53 = 0 THEN 'picture' WHEN (tier = 'document') <> (seq % 47 = 0) THEN 'document' ELSE 'utterance' END"
+
+
+@query(f"""WITH f AS (SELECT *, {_SPAN} AS kind FROM fact) SELECT fact_id, CASE WHEN kind IS NULL OR kind = 'picture' THEN 'no source span' WHEN trim(verbatim) = '' THEN 'blank verbatim' WHEN tier = 'document' AND kind <> 'document' THEN 'document tier without document span'
+    WHEN tier <> 'document' AND kind <> 'utterance' THEN 'tier without utterance span' WHEN tier = 'confirmed' AND question_id IS NULL THEN 'confirmed without question'
+    WHEN path NOT IN ('hpi.click', 'hpi.view', 'hpi.purchase', 'hpi.error') THEN 'unknown path' WHEN session_id % 6 = 0 THEN 'scope not granted' WHEN path = 'hpi.click' AND value NOT IN ('1', '2', '3', '10') THEN 'not in vocabulary'
+    WHEN path <> 'hpi.click' AND CASE WHEN modality = 'touch' THEN value <> '7' ELSE NOT {_ECHO} END THEN 'value not in span' END AS reject_reason FROM f""")
 def validate_facts(t):
-    return ledger.validate_facts(t("fact"), PATHS, t("session").filter("purged_at is null")).select("fact_id", "reject_reason")
+    facts = t("fact").withColumns({"span_kind": F.expr(_SPAN), "selected_values": F.array(F.lit("7"), F.lit("x"))})
+    return ledger.validate_facts(facts, PATHS, t("session").filter("purged_at is null"), {"hpi.click": ["1", "2", "3", "10"]}).select("fact_id", "reject_reason")
 
 
 @query("""WITH u AS (SELECT session_id, path AS grp, max(seq) AS top FROM fact WHERE tier = 'document' GROUP BY 1, 2)
@@ -225,8 +271,7 @@ def locate_span(t):
     m AS (SELECT s.session_id, q.question_id FROM session s CROSS JOIN q WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.session_id = s.session_id AND f.path = q.path AND tier = 'stated' AND seq % 2 = 0))
     SELECT session_id, question_id, CASE WHEN session_id % 3 = 0 AND question_id = 'q2' THEN 'declined' ELSE 'not_asked' END AS reason FROM m""")
 def absences(t):
-    spark = t("session").sparkSession
-    questions = spark.createDataFrame([("q1", "hpi.click"), ("q2", "hpi.signup"), ("q3", "hpi.error"), ("q4", "hpi.purchase")], "question_id string, path string")
+    questions = [{"id": i, "path": p} for i, p in (("q1", "hpi.click"), ("q2", "hpi.signup"), ("q3", "hpi.error"), ("q4", "hpi.purchase"))]
     declined = t("session").filter("session_id % 3 = 0").select("session_id", F.lit("q2").alias("question_id"))
     return ledger.absences(t("session"), questions, t("fact").filter("tier = 'stated' and seq % 2 = 0"), declined)
 
@@ -266,9 +311,9 @@ QUESTIONS = [
 ]
 
 
-@query(f"""WITH {_VALUES} SELECT session_id, CASE WHEN click IS NULL THEN 'q1' WHEN error IS NULL AND click IS NOT NULL THEN 'q2' WHEN view IN ('1', '2', '3') AND purchase IS NULL THEN 'q3' END AS next_question FROM s""")
+@query(f"""WITH {_VALUES} SELECT session_id, CASE WHEN click IS NULL THEN 'q1' WHEN error IS NULL AND click IS NOT NULL AND session_id % 6 < 4 THEN 'q2' WHEN view IN ('1', '2', '3') AND purchase IS NULL THEN 'q3' END AS next_question FROM s""")
 def next_open_question(t):
-    return ledger.next_open_question(_values(t), QUESTIONS, F.create_map(F.lit("q9"), F.lit(1)))
+    return ledger.next_open_question(_values(t), QUESTIONS, F.create_map(F.lit("q2"), F.col("session_id") % 6))
 
 
 @query(f"""WITH {_VALUES} SELECT session_id, CASE WHEN try_cast(error AS DOUBLE) < 3 THEN 'mild' WHEN try_cast(error AS DOUBLE) <= 7 THEN 'moderate' WHEN try_cast(error AS DOUBLE) > 7 THEN 'severe' END AS band FROM s""")
@@ -278,33 +323,73 @@ def derive_bands(t):
 
 
 @query(f"""WITH {_VALUES} SELECT session_id, coalesce(error = '3', false) AS c_eq, coalesce(error <> '3', false) AS c_ne, coalesce(error IN ('1', '5'), false) AS c_in, coalesce(error NOT IN ('1', '5'), false) AS c_not_in,
-    coalesce(try_cast(error AS DOUBLE) >= 4, false) AS c_gte, error IS NULL AS c_not_recorded FROM s""")
+    coalesce(try_cast(error AS DOUBLE) >= 4, false) AS c_gte, coalesce(try_cast(error AS DOUBLE) > 4, false) AS c_gt, coalesce(try_cast(error AS DOUBLE) < 4, false) AS c_lt, coalesce(try_cast(error AS DOUBLE) <= 4, false) AS c_lte,
+    coalesce(contains(error, '1'), false) AS c_contains, error IS NOT NULL AS c_recorded, error IS NULL AS c_unrecorded, error IS NULL AS c_not_recorded, coalesce(error = '3', false) AS c_first FROM s""")
 def condition_expr(t):
     c = lambda name, **k: ledger.condition_expr({"path": "hpi.error", **k}, F.col("values")).alias(name)
-    return _values(t).select("session_id", c("c_eq", eq="3"), c("c_ne", ne="3"), c("c_in", **{"in": ["1", "5"]}), c("c_not_in", not_in=["1", "5"]), c("c_gte", gte=4), c("c_not_recorded", not_recorded=True))
+    return _values(t).select("session_id", c("c_eq", eq="3"), c("c_ne", ne="3"), c("c_in", **{"in": ["1", "5"]}), c("c_not_in", not_in=["1", "5"]), c("c_gte", gte=4), c("c_gt", gt=4), c("c_lt", lt=4), c("c_lte", lte=4), c("c_contains", contains="1"), c("c_recorded", recorded=True), c("c_unrecorded", recorded=False), c("c_not_recorded", not_recorded=True), c("c_first", gte=0, eq="3"))
+
+
+def _answer_sql() -> str:
+    """Facts (session_id, seq, fact_id, path, value) with the answers above, for either dialect."""
+    paths = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(ANSWERS))
+    values = " ".join(f"WHEN {i} THEN CASE CAST(floor(event_id / {len(ANSWERS)}) AS INT) % {len(v)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(v)) + " END" for i, v in enumerate(ANSWERS.values()))
+    return f"SELECT user_id AS session_id, event_id AS seq, 'f' || CAST(event_id AS STRING) AS fact_id, CASE event_id % {len(ANSWERS)} {paths} END AS path, CASE event_id % {len(ANSWERS)} {values} END AS value FROM {{events}}"
+
 
+def _answers(t):
+    events = t("events")
+    rows = events.sparkSession.sql(_answer_sql(), events=events).withColumns({"value": F.split("value", ","), "superseded_by": F.lit(None).cast("string")})
+    return ledger.session_values(rows)
 
-_FLAGS = f"""{_VALUES}, x AS (SELECT session_id, 'R1' AS rule_id, 'immediate' AS level, coalesce(try_cast(error AS DOUBLE) >= 9, false) AND click IS NOT NULL AS fired, concat_ws(',', CASE WHEN click IS NOT NULL THEN 'hpi.click' END, CASE WHEN error IS NOT NULL THEN 'hpi.error' END) AS paths FROM s
-    UNION ALL SELECT session_id, 'R2', 'urgent', coalesce(view IN ('1', '2', '3'), false) OR coalesce(purchase = '7', false), concat_ws(',', CASE WHEN purchase IS NOT NULL THEN 'hpi.purchase' END, CASE WHEN view IS NOT NULL THEN 'hpi.view' END) FROM s
-    UNION ALL SELECT session_id, 'R3', 'urgent', signup IS NULL AND coalesce(click <> '0', false), concat_ws(',', CASE WHEN click IS NOT NULL THEN 'hpi.click' END, CASE WHEN signup IS NOT NULL THEN 'hpi.signup' END) FROM s)"""
+
+def _flags_sql() -> str:
+    """x: every escalation rule for every session, in SQL over one row a session with a list per path."""
+    name = {p: f"p{i}" for i, p in enumerate(ANSWERS)}
+
+    def holds(c: dict) -> str:
+        at = name[c["path"]]
+        if "gte" in c:
+            return f"coalesce(len({at}) = 1 AND try_cast({at}[1] AS DOUBLE) >= {c['gte']}, false)"
+        options = c["in"] if "in" in c else [c["eq"]]
+        return f"coalesce(list_has_any({at}, [{', '.join(repr(o) for o in options)}]), false)"
+
+    parts = []
+    for r in rules.ESCALATIONS:
+        groups = [g["all"] for g in r["when"]["any"]] if "any" in r["when"] else [r["when"]["all"]]
+        fired = " OR ".join("(" + " AND ".join(holds(c) for c in g) + ")" for g in groups)
+        held = ", ".join(f"CASE WHEN {holds(c)} THEN '{c['path']}' END" for g in groups for c in g)
+        parts.append(f"SELECT session_id, '{r['id']}' AS rule_id, '{r['level']}' AS level, {fired} AS fired, CASE WHEN {fired} THEN list_sort(list_distinct([{held}])) ELSE [] END AS held FROM s")
+    lists = ", ".join(f"max(CASE WHEN path = '{p}' THEN v END) AS {n}" for p, n in name.items())
+    return f"""a AS ({_answer_sql().replace("{events}", "events")}), l AS (SELECT session_id, path, string_split(arg_max(value, seq), ',') AS v, string_agg(fact_id, ',' ORDER BY seq) AS ids FROM a GROUP BY 1, 2),
+        s AS (SELECT session_id, {lists} FROM l GROUP BY 1), y AS ({" UNION ALL ".join(parts)}),
+        i AS (SELECT session_id, rule_id, string_agg(ids, ',' ORDER BY path) AS fact_ids FROM (SELECT session_id, rule_id, unnest(held) AS path FROM y) u JOIN l USING (session_id, path) GROUP BY 1, 2),
+        x AS (SELECT y.session_id, y.rule_id, level, fired, array_to_string(held, ',') AS paths, coalesce(fact_ids, '') AS fact_ids FROM y LEFT JOIN i ON y.session_id = i.session_id AND y.rule_id = i.rule_id)"""
+
+
+_FLAGS = _flags_sql()
 
 
 @query(f"WITH {_FLAGS} SELECT * FROM x")
 def evaluate_red_flags(t):
-    return rules.evaluate_red_flags(_values(t), RULES)
+    return rules.evaluate_red_flags(_answers(t), rules.ESCALATIONS)
 
 
 @query(f"""WITH {_FLAGS} SELECT z.session_id, CASE greatest(CASE z.priority WHEN 'immediate' THEN 2 WHEN 'urgent' THEN 1 ELSE 0 END, coalesce(max(CASE WHEN fired THEN CASE level WHEN 'immediate' THEN 2 ELSE 1 END END), 0))
     WHEN 2 THEN 'immediate' WHEN 1 THEN 'urgent' ELSE 'routine' END AS priority FROM session z LEFT JOIN x ON z.session_id = x.session_id GROUP BY z.session_id, z.priority""")
 def session_priority(t):
-    return rules.session_priority(t("session"), rules.evaluate_red_flags(_values(t), RULES))
+    return rules.session_priority(t("session"), rules.evaluate_red_flags(_answers(t), rules.ESCALATIONS))
+
 
+_PROPOSED = ["RF-CARD-01", "RF-SYS-02", "RF-PAIN-01", "RF-NONE-01"]
 
-@query(f"""WITH {_FLAGS}, c AS (SELECT session_id, 'R' || CAST(1 + session_id % 4 AS VARCHAR) AS rule_id FROM session)
-    SELECT c.*, CASE WHEN c.rule_id = 'R4' THEN 'discarded' WHEN fired THEN 'agreed' ELSE 'not fired' END AS outcome FROM c LEFT JOIN x ON c.session_id = x.session_id AND c.rule_id = x.rule_id""")
+
+@query(f"""WITH {_FLAGS}, c AS (SELECT session_id, {_PROPOSED}[1 + session_id % 4] AS rule_id FROM session)
+    SELECT c.*, CASE WHEN c.rule_id = 'RF-NONE-01' THEN 'discarded' WHEN fired THEN 'agreed' ELSE 'not fired' END AS outcome FROM c LEFT JOIN x ON c.session_id = x.session_id AND c.rule_id = x.rule_id""")
 def adjudicate_candidates(t):
-    candidates = t("session").select("session_id", F.concat(F.lit("R"), (1 + F.col("session_id") % 4).cast("string")).alias("rule_id"))
-    return rules.adjudicate_candidates(candidates, rules.evaluate_red_flags(_values(t), RULES))
+    rule = F.element_at(F.array(*[F.lit(r) for r in _PROPOSED]), (1 + F.col("session_id") % 4).cast("int"))
+    candidates = t("session").select("session_id", rule.alias("rule_id"))
+    return rules.adjudicate_candidates(candidates, rules.evaluate_red_flags(_answers(t), rules.ESCALATIONS))
 
 
 @query("""SELECT d.session_id, 'CX1' AS rule_id, d.fact_id AS denial_id, f.fact_id, 'cx_' || substr(sha256('CX1|' || d.fact_id || '|' || f.fact_id), 1, 10) AS contradiction_id
@@ -453,27 +538,50 @@ def table_counts(t):
     return governance.table_counts({"encounters": t("encounter"), "medications": t("medication")}, "patient_id")
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 4 = 3 THEN 'unknown role' WHEN NOT ((user_id % 4 = 0 AND event_type IN ('click', 'view')) OR (user_id % 4 = 1 AND event_type = 'view')) THEN 'wrong purpose'
-    WHEN NOT (event_id % 2 = 0) THEN 'wrong action' END AS reason FROM events WHERE user_id % 4 <> 2""")
+@query("""SELECT event_id, CASE WHEN user_id % 4 >= 2 THEN 'unknown role' WHEN NOT ((user_id % 4 = 0 AND event_type IN ('click', 'view')) OR (user_id % 4 = 1 AND event_type = 'view')) THEN 'wrong purpose'
+    WHEN NOT (event_id % 2 = 0) THEN 'wrong action' END AS reason FROM events""")
 def apply_policy(t):
     spark = t("events").sparkSession
     grants = spark.createDataFrame([("role0", "click", "read"), ("role0", "view", "read"), ("role1", "view", "read")], "role string, purpose string, action string")
     purposes = spark.createDataFrame([("click", True, False), ("view", False, True)], "purpose string, strip_identifiers boolean, aggregate_only boolean")
-    requests = t("events").filter("user_id % 4 <> 2").select("event_id", F.concat(F.lit("role"), (F.col("user_id") % 4).cast("string")).alias("role"), F.col("event_type").alias("purpose"), F.when(F.col("event_id") % 2 == 0, "read").otherwise("write").alias("action"))
+    requests = t("events").select("event_id", F.concat(F.lit("role"), (F.col("user_id") % 4).cast("string")).alias("role"), F.col("event_type").alias("purpose"), F.when(F.col("event_id") % 2 == 0, "read").otherwise("write").alias("action"))
     return governance.apply_policy(requests, grants, purposes).select("event_id", "reason")
 
 
-@query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS scrubbed FROM events")
+# The keys that never reach an audit row and the assessment's field names, written out here once more, so that a lost one shows.
+_KEYS = "name patient patientName birthDate address telecom identifier entry resource contained photo gender verbatim verbatim_translated transcript utterance value text chief_complaint symptom medication note ocr_text summary".split()
+_FIELDS = "diagnosis diagnoses differential differential_diagnosis assessment impression probability likelihood suspected_condition provisional icd_suggestion disease_probability prognosis treatment prescription plan recommendation advice therapy management specialty_referral".split()
+
+
+def _nth(words: list[str]):
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % len(words) + 1).cast("int"))
+
+
+@query(f"""WITH k AS (SELECT event_id, '{{"' || {_KEYS}[1 + event_id % {len(_KEYS)}] || '": "<redacted>", "~": ' || CAST(user_id AS VARCHAR) || '}}' AS x FROM events)
+    SELECT event_id, CASE event_id % 5 WHEN 0 THEN x WHEN 1 THEN '{{"a": ' || x || '}}' WHEN 2 THEN '{{"a": {{"b": ' || x || '}}, "l": "<2 item(s)>"}}' WHEN 3 THEN '{{"~": "ok"}}' ELSE '"<unreadable>"' END AS scrubbed FROM k""")
 def scrub_payload(t):
-    return t("events").select("event_id", governance.scrub_payload(F.col("props")).alias("scrubbed"))
+    x = F.concat(F.lit('{"'), _nth(_KEYS), F.lit('": {"secret": "x"}, "~": '), F.col("user_id").cast("string"), F.lit("}"))
+    x = F.when(F.col("event_id") % 2 == 0, x).otherwise(F.concat(F.lit('{"'), _nth(_KEYS), F.lit('": "x", "~": '), F.col("user_id").cast("string"), F.lit("}")))
+    kind = F.col("event_id") % 5
+    payload = F.when(kind == 0, x).when(kind == 1, F.concat(F.lit('{"a": '), x, F.lit("}"))).when(kind == 2, F.concat(F.lit('{"l": [1, 2], "a": {"b": '), x, F.lit("}}"))).when(kind == 3, F.lit('{"~": "ok"}')).otherwise(F.lit('{"name": '))
+    return t("events").select("event_id", governance.scrub_payload(payload).alias("scrubbed"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Diagnosis@$.k' ELSE '' END AS found FROM events")
+@query(f"""WITH k AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper({_FIELDS}[1 + event_id % {len(_FIELDS)}]) ELSE {_FIELDS}[1 + event_id % {len(_FIELDS)}] END AS f FROM events)
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN f || '@$' WHEN 1 THEN f || '@$.k' WHEN 2 THEN f || '@$.k[1]' ELSE '' END AS found FROM k""")
 def scan_assessment_fields(t):
-    payload = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"k": {"Diagnosis": '), F.col("props"), F.lit("}}"))).otherwise(F.col("props"))
+    field = F.when(F.col("event_id") % 2 == 0, F.upper(_nth(_FIELDS))).otherwise(_nth(_FIELDS))
+    x, kind = F.concat(F.lit('{"'), field, F.lit('": 1}')), F.col("event_id") % 4
+    payload = F.when(kind == 0, x).when(kind == 1, F.concat(F.lit('{"k": '), x, F.lit("}"))).when(kind == 2, F.concat(F.lit('{"k": [0, '), x, F.lit("]}"))).otherwise(F.col("props"))
     return t("events").select("event_id", F.array_join(governance.scan_assessment_fields(payload), ",").alias("found"))
 
 
+@query("SELECT event_id, sha256(sha256(event_type) || '{\"id\":' || CAST(event_id AS VARCHAR) || '}') AS hash FROM events")
+def audit_hash(t):
+    payload = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}"))
+    return t("events").select("event_id", governance.audit_hash(F.sha2("event_type", 256), payload).alias("hash"))
+
+
 # ---- terminology
 
 _CONCEPTS = "k AS (SELECT DISTINCT 'C-' || p_type AS code, lower(p_type) AS display_normalized FROM part), d AS (SELECT DISTINCT lower(p_brand) AS key FROM part UNION SELECT lower(substr(p_type, 1, 4)) FROM part UNION SELECT lower(p_type) FROM part)"
@@ -494,6 +602,14 @@ def lookup_terms(t):
     return governance.lookup_terms(_terms(t), _concepts(t))
 
 
+@query("""WITH s AS (SELECT DISTINCT p_brand AS url, 'v' || CAST(p_size % 5 AS VARCHAR) AS version, p_size % 5 <> 4 AS is_active FROM part), n AS (SELECT url, max(version) AS version FROM s WHERE is_active GROUP BY 1),
+    c AS (SELECT DISTINCT p_brand AS url, 'v' || CAST(p_size % 5 AS VARCHAR) AS version, p_type AS code FROM part) SELECT c.* FROM c JOIN n ON c.url = n.url AND c.version = n.version""")
+def newest_concepts(t):
+    version = F.concat(F.lit("v"), (F.col("p_size") % 5).cast("string")).alias("version")
+    systems = t("part").select(F.col("p_brand").alias("url"), version, (F.col("p_size") % 5 != 4).alias("is_active"), (F.col("p_size") % 5).alias("created_at")).distinct()
+    return governance.newest_concepts(systems, t("part").select(F.col("p_brand").alias("url"), version, F.col("p_type").alias("code")).distinct())
+
+
 @query(f"WITH {_CONCEPTS} SELECT key AS term, min(code) AS code, CASE WHEN min(code) IS NULL THEN 'unmapped' ELSE 'coded' END AS status FROM d LEFT JOIN k ON key = display_normalized GROUP BY 1")
 def code_terms(t):
     return governance.code_terms(_terms(t), _concepts(t))

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder that is set for the session."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="careledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/careledger/{what}-{uuid.uuid4().hex}"

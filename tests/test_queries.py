@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from careledger import documents, governance, intake, ledger, promotion, queries, streams
+from careledger import documents, governance, intake, ledger, longitudinal, promotion, queries, streams, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,6 +127,100 @@ def test_old_papers_are_not_late(spark, tmp_path):
     assert {(r.document_year, r.documents) for r in rows} == {(1999, 1), (2024, 1)}
 
 
+def day(s):
+    import datetime
+
+    return datetime.datetime.fromisoformat(f"2024-03-01 {s}")
+
+
+def test_stream_dedupe_equals_its_batch(spark, tmp_path):
+    rows = [(1, "p", "d1", day("10:00:00")), (1, "p", "d1", day("10:05:00")), (1, "p", "d2", day("10:06:00")), (2, "p", "d1", day("10:07:00"))]
+    df = spark.createDataFrame(rows, "session_id int, path string, digest string, ts timestamp").coalesce(1)
+    keys = lambda found: sorted((r.session_id, r.path, r.digest) for r in found)
+    assert keys(run_stream(spark, df, tmp_path, "append", promotion.stream_dedupe)) == keys(promotion.stream_dedupe(df).collect()) == [(1, "p", "d1"), (1, "p", "d2"), (2, "p", "d1")]
+
+
+def in_order(spark, parts, schema, tmp_path, mode, make):
+    """Files that arrive one after another as a stream through ``make``; the rows of the sink."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    stream = None
+    source = tmp_path / "in"
+    for i in range(len(parts)):
+        df = spark.read.parquet(str(tmp_path / f"part{i}"))
+        df.write.mode("append").parquet(str(source))
+        if stream is None:
+            out = make(spark.readStream.schema(df.schema).parquet(str(source)))
+            stream = out.writeStream.format("memory").queryName(f"seen_{mode}_{make.__name__}").outputMode(mode).option("checkpointLocation", str(tmp_path / "at")).start()
+        stream.processAllAvailable()
+    stream.stop()
+    return spark.table(f"seen_{mode}_{make.__name__}").collect()
+
+
+def test_priority_only_rises_as_turns_arrive(spark, tmp_path):
+    found = in_order(spark, [[(1, 0)], [(1, 2), (2, 1)], [(1, 1)]], "session_id int, rank int", tmp_path, "update", promotion.stream_priority)
+    assert [r["rank"] for r in found if r.session_id == 1] == [0, 2, 2][: len([r for r in found if r.session_id == 1])] and max(r["rank"] for r in found if r.session_id == 1) == 2
+
+
+def test_late_rows_do_not_reopen_a_session(spark, tmp_path):
+    parts = [[(1, day("08:00:00")), (1, day("08:20:00"))], [(2, day("13:00:00"))], [(1, day("08:30:00"))], [(3, day("18:00:00"))]]
+    found = in_order(spark, parts, "session_id int, ts timestamp", tmp_path, "append", promotion.stream_sessions)
+    assert {(r.session_id, r.events) for r in found} == {(1, 2), (2, 1)}
+
+
+def test_late_rows_do_not_reopen_an_interval(spark, tmp_path):
+    parts = [[("a", day("01:00:00")), ("a", day("02:00:00"))], [("b", day("23:00:00"))], [("a", day("03:00:00"))], [("b", day("23:30:00"))]]
+    found = in_order(spark, parts, "kind string, ts timestamp", tmp_path, "append", promotion.stream_activity)
+    assert {(r.kind, r.events) for r in found} == {("a", 2)}
+
+
+@pytest.mark.parametrize("key", governance.FORBIDDEN_KEYS)
+def test_no_forbidden_key_passes(spark, key):
+    escaped = "".join(f"\\u{ord(c):04x}" for c in key)
+    rows = [(f'{{"{key}": "secret"}}',), (f'{{"a": {{"b": {{"{key}": {{"x": "secret"}}}}}}}}',), (f'{{"{escaped}": "secret"}}',), (f'{{"{key}": "secret"',), (f'{{"l": [{{"{key}": "secret"}}]}}',)]
+    found = spark.createDataFrame(rows, "p string").select(governance.scrub_payload(F.col("p"))).collect()
+    assert not any("secret" in r[0] for r in found)
+
+
+def test_lists_are_no_numbers_and_contains_is_within(spark):
+    df = spark.createDataFrame([({"a": ["Chest pain", "7"]},), ({"a": ["7"]},), ({"a": ["true"]},)], "values map<string,array<string>>")
+    of = lambda **c: [r[0] for r in df.select(ledger.condition_expr({"path": "a", **c}, F.col("values"))).collect()]
+    assert of(gte=1) == [False, True, False] and of(contains="EST") == [True, False, False]
+
+
+def test_typed_sources(spark, tmp_path):
+    (tmp_path / "audit.json").write_text('{"id": 1, "chain": 2, "ts": "2024-01-01T00:00:00Z", "action": "read", "other": 3}\n{"id": "x"}\n')
+    found = tables.read_tables(spark, str(tmp_path), ["audit"], "json")["audit"]
+    assert found.columns == ["id", "chain", "ts", "action", "summary", "consent_ref"] and [r.id for r in found.orderBy("id").collect()] == [None, 1]
+
+
+def test_parsers_know_the_forms_of_the_trade(spark):
+    lines = ["TAB. AMLODIPINE 5MG OD", "Inj Ceftriaxone 1 g Q12H iv for 5 days", "SYP. Cough Relief 10 ml 1-1-1 x 3 days po", "Date: 14/03/2024 1-0-1", "Reg No 12345", "k/c/o diabetes mellitus.", "s/p appendectomy;", "TLC: 8000 cells/cu.mm", "Platelets - 2.5 lakh/cumm low"]
+    df = spark.createDataFrame([(i, 1, 1, t, 0.95, False) for i, t in enumerate(lines)], "doc_id int, page int, line_no int, text string, confidence double, handwritten boolean")
+    meds = {r.doc_id: (r.form, r.name, r.strength, r.frequency, r.duration, r.route) for r in documents.parse_medications(df).collect()}
+    assert meds == {0: ("TAB", "AMLODIPINE", "5MG", "once daily", None, None), 1: meds[1], 2: ("SYP", "Cough Relief", "10 ml", "3× daily (morning, afternoon, night)", "3 days", "oral")}
+    assert meds[1][3] == "Q12H" and meds[1][5] == "intravenous"
+    assert {r.doc_id: (r.kind, r.term) for r in documents.parse_diagnoses_procedures(df).collect()} == {5: ("diagnosis", "diabetes mellitus"), 6: ("procedure", "appendectomy")}
+    assert {r.doc_id: (r.analyte, r.value, r.unit) for r in documents.parse_investigations(df).collect()} == {7: ("wbc", 8000.0, "cells/cu.mm"), 8: ("platelets", 2.5, "lakh/cumm")}
+
+
+def test_likeness_of_many_visits(spark):
+    visits = [(i, 1, i) for i in range(60)] + [(100, 2, 1)]
+    facts = [(i, "hpi.site", f"v{i % 3}") for i in range(60)] + [(i, "hpi.timing", f"t{i % 2}") for i in range(60)] + [(100, "hpi.site", "v0")]
+    found = longitudinal.similar_encounters(spark.createDataFrame(facts, "encounter_id int, path string, value string"), spark.createDataFrame(visits, "encounter_id int, patient_id int, occurred_at int")).collect()
+    sets = {}
+    for e, p, v in facts:
+        sets.setdefault(e, set()).add((p, v))
+    want = {}
+    for e, p, _ in visits:
+        near = sorted((-len(sets[e] & sets[o]), at, o) for o, q, at in visits if o != e and q == p and sets[e] & sets[o])[:3]
+        want[e] = [(o, -n) for n, _, o in near]
+    got = {e: [] for e in want}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got[r.encounter_id].append((r.similar_id, r.shared))
+    assert got == want
+
+
 def test_durable_tables_are_appended(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, kind string")
     for _ in range(2):
