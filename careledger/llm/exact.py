@@ -43,7 +43,7 @@ def radix_groups(docs: DataFrame, row_col: str = "rid", id_col: str = "doc_id",
         F.encode(text, "UTF-8").alias("rest"),
     )
     active = materialize(active.withColumn("gid", F.lit(0).cast("long")), "radix-texts")
-    settled, width, step = [], FIRST_WIDTH, 0
+    settled, rounds, width, step = [], [], FIRST_WIDTH, 0
     while True:
         keyed = active.select("rid", "id", "chars", "text_sha256", "gid", F.expr(f"substring(rest, 1, {width})").alias("digits"), (F.octet_length("rest") < width).alias("ended"))
         groups = materialize(
@@ -54,24 +54,27 @@ def radix_groups(docs: DataFrame, row_col: str = "rid", id_col: str = "doc_id",
         joined = keyed.join(groups.hint("merge"), ["gid", "digits"], "left")
         out = joined.select("rid", "id", "chars", "text_sha256", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.col("next").alias("gid"), (F.col("n").isNotNull() & ~F.col("ended")).alias("open"))
         out = materialize(out, "radix-round")
+        rounds.append(out)
         settled.append(out.filter("not open").select("rid", "id", "chars", "text_sha256", F.lit(step).alias("round"), "gid", "n"))
         still = out.filter("open").select("rid", "gid")
         if still.isEmpty():
             discard(groups, active)
-            return reduce(DataFrame.unionByName, settled)
+            found = reduce(DataFrame.unionByName, settled)
+            found.rests_on = rounds
+            return found
         rest = active.select("rid", "id", "chars", "text_sha256", F.expr(f"substring(rest, {width + 1})").alias("rest")).join(still.hint("merge"), "rid")
         following = materialize(rest, "radix-texts")
         discard(groups, active)
         active, width, step = following, min(width * GROWTH, MAX_WIDTH), step + 1
 
 
-def _with_kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The unique rows of radix_groups, and the others with their group's ``best``: the row (chars, id, rid) that stays."""
+def _with_kept(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The unique rows of radix_groups, and the others with their group's ``best``: the row (chars, id, rid) that stays; and the written table of these."""
     many = rows.filter("n > 1")
     place = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), "rid")
     # Written before it is joined: of two plain shuffles Spark can split the part of a large group.
     best = materialize(many.groupBy("round", "gid").agg(F.min(place).alias("best")), "radix-best")
-    return rows.filter("n = 1"), many.join(best, ["round", "gid"])
+    return rows.filter("n = 1"), many.join(best, ["round", "gid"]), best
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id and length exactly one stays. An empty table gives no rows; other columns are ignored.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    single, many = _with_kept(radix_groups(keyed, "rid", "id", "text"))
+    single, many, _ = _with_kept(radix_groups(keyed, "rid", "id", "text"))
     single = single.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return single.unionByName(
         many.select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
@@ -98,6 +101,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns = docs.columns
     keyed = with_row_keys(docs, "radix-rows")
     texts = keyed.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
-    single, many = _with_kept(radix_groups(texts, "rid", "id", "text"))
+    groups = radix_groups(texts, "rid", "id", "text")
+    single, many, best = _with_kept(groups)
     kept = materialize(single.select("rid").unionByName(many.filter("rid = best.rid").select("rid")), "radix-kept")
+    discard(best, *groups.rests_on)
     return keyed.join(kept.hint("merge"), "rid", "left_semi").select(*[F.col(f"row.`{c}`") for c in columns])

@@ -81,10 +81,11 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
     leaf = leaf.withColumn("rn", F.row_number().over(Window.partitionBy("source", "blk").orderBy("h", "id", "text_hash", "rid")).cast("long"))
     level = leaf.select("source", "nblk", F.col("blk").alias("at"), F.floor(F.col("rn") / (2 * BLOCK)).alias("cut"), F.struct("h", "blk", "rn", "rid", "size", (F.col("frac") * F.col("size")).alias("m")).cast(ITEM).alias("item"))
     width = targets.agg(F.max("n_docs")).first()[0] or 0
-    parts = []
+    parts, levels = [], []
     while True:
         folded = level.groupBy("source", "nblk", "at", "cut").agg(F.sort_array(F.collect_list("item")).alias("items"))
         folded = materialize(folded.select("source", "nblk", "at", F.expr(_fold()).alias("f")), "mix-level")
+        levels.append(folded)
         parts.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         width = -(-width // BLOCK)
         if width <= 1 and folded.groupBy("source").count().filter("count > 1").isEmpty():
@@ -109,7 +110,7 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
     rounded = changed.unionByName(last.select("rid", F.col("last_up").alias("up")))
     decided = rows.join(rounded, "rid", "left").withColumn("copies", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int"))
     decided = materialize(decided.select("rid", "id", "source", "size", "source_size", "target", "copies"), "mix-decided")
-    discard(targets, settled, last, pick)
+    discard(targets, settled, last, pick, *levels)
     return decided
 
 

@@ -132,7 +132,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     reps = wanted.select(F.col("rep").alias("_rep")).distinct()
-    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    # The same plan at every size: representatives grow with the input.
+    texts = rows.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     found = texts.mapInPandas(tidy(sets, _words), f"doc_id {id_type}, node binary, shingles binary")
     # A repeated id may bring other sets along; repeats of the same set are one node.
     found = found.join(wanted.select("nid", "node", F.col("rep").alias("_rep")), "node").filter(F.col("doc_id").eqNullSafe(F.col("_rep")))
@@ -282,7 +283,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(home, links, roots, classes, nodes)
     out = worded.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "copies")
     bare = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return out.unionByName(bare)
+    found = out.unionByName(bare)
+    found.rests_on = [signed, known]
+    return found
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,8 +298,10 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns = docs.columns
     keyed = with_row_keys(docs, "ngram-rows")
     texts = keyed.select("rid", F.col(f"row.{text_col}").alias("text"))
-    classes = ngram_jaccard_join(texts, "rid", "text").select(F.col("doc_id").alias("rid"), "class_id")
+    joined = ngram_jaccard_join(texts, "rid", "text")
+    classes = joined.select(F.col("doc_id").alias("rid"), "class_id")
     place = F.struct(F.col(f"row.{id_col}").isNull().alias("no_id"), F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("digest"), "rid")
     first = keyed.select("rid", place.alias("place")).join(classes, "rid").groupBy("class_id").agg(F.min("place").alias("first"))
     kept = materialize(first.select(F.col("first.rid").alias("rid")), "ngram-kept")
-    return keyed.join(kept, "rid", "left_semi").select(*[F.col(f"row.`{c}`") for c in columns])
+    discard(*joined.rests_on)
+    return keyed.join(kept.hint("merge"), "rid", "left_semi").select(*[F.col(f"row.`{c}`") for c in columns])

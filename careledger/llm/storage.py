@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes in an Arrow batch, about, whatever the size of a row.
 BATCH_BYTES = 4 << 20
+#: Whether Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,18 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages survive a lost executor and don't recompute it."""
+    """Write ``df`` to the shared folder and read it back: later stages survive a lost executor and don't recompute it.
+
+    Once the table is written the shuffle files that led to it are of no use, so Spark may delete them.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
