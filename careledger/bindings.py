@@ -61,6 +61,13 @@ BINDINGS: dict[str, str] = {
         CASE p_partkey % 6 WHEN 0 THEN 'HbA1c' WHEN 1 THEN 'S. Creatinine' WHEN 2 THEN 'Haemoglobin' WHEN 3 THEN 'Fasting Glucose' WHEN 4 THEN 'Serum Urea' ELSE 'Reg No' END || ': ' ||
         CAST(p_size AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.5 % (4.0 - 5.6)' WHEN 1 THEN ' mg/dL < 20' WHEN 2 THEN ' mg/dL > 40' ELSE ' mg/dL' END AS text,
         CASE p_partkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS sex, CAST(50 + p_partkey % 50 AS DOUBLE) / 100 AS confidence, p_partkey % 41 = 0 AS handwritten FROM {part}""",
+    "document_record": """SELECT l_orderkey AS encounter_id, l_linenumber AS doc_no,
+        CASE l_suppkey % 4 WHEN 0 THEN 'prescription' WHEN 1 THEN 'lab_report' WHEN 2 THEN 'discharge_summary' END AS document_kind FROM {lineitem} WHERE l_linenumber < 4""",
+    "ocr_entity": """SELECT l_orderkey AS doc_id, l_linenumber AS place, CASE l_linenumber % 3 WHEN 1 THEN 'medication' WHEN 2 THEN 'investigation' ELSE 'diagnosis' END AS kind, p_name AS text,
+        CASE l_linenumber % 3 WHEN 1 THEN CAST(p_size AS STRING) || ' mg' WHEN 2 THEN 'high' END AS detail,
+        'TAB. ' || upper(replace(p_name, ' ', '-')) || ' x' AS read_text, CASE l_linenumber % 3 WHEN 1 THEN CAST(p_size + CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE 0 END AS STRING) || 'MG' WHEN 2 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'low' ELSE 'high' END END AS read_detail,
+        l_suppkey % 7 <> 0 AS is_true, l_suppkey % 3 <> 0 AS is_read, l_suppkey % 10 < 3 AS needs_check
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l JOIN {part} ON l_partkey = p_partkey""",
     "date_line": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(o_orderkey % 5 AS INT) AS line_no, CASE o_orderkey % 7 WHEN 0 THEN 'Date: ' || strftime(o_orderdate, '%d/%m/%Y')
         WHEN 1 THEN 'on ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN 'seen 12 March ' || strftime(o_orderdate, '%Y') WHEN 3 THEN 'since March ' || strftime(o_orderdate, '%Y')
         WHEN 4 THEN 'operated in ' || strftime(o_orderdate, '%Y') WHEN 5 THEN 'on 31/02/' || strftime(o_orderdate, '%Y') ELSE 'no day given' END AS text FROM {orders}""",

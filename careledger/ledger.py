@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,7 @@ def condition_expr(clause: dict, values: Column) -> Column:
     op, arg = next((k, clause[k]) for k in OPERATORS if k in clause)
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
     listed = lambda v: F.array(*[F.lit(text(x)) for x in (v if isinstance(v, (list, tuple)) else [v])])
-    number = F.when(F.size(found) == 1, F.get(found, F.lit(0)).try_cast("double"))
+    number = lambda: F.when(F.size(found) == 1, F.get(found, F.lit(0)).try_cast("double"))
     if op == "recorded":
         return found.isNotNull() if arg else found.isNull()
     if op == "not_recorded":
@@ -38,23 +39,26 @@ def condition_expr(clause: dict, values: Column) -> Column:
         "ne": lambda: ~F.array_contains(found, text(arg)),
         "in": lambda: F.arrays_overlap(found, listed(arg)),
         "not_in": lambda: ~F.arrays_overlap(found, listed(arg)),
-        "gt": lambda: number > float(arg),
-        "lt": lambda: number < float(arg),
-        "gte": lambda: number >= float(arg),
-        "lte": lambda: number <= float(arg),
+        "gt": lambda: number() > float(arg),
+        "lt": lambda: number() < float(arg),
+        "gte": lambda: number() >= float(arg),
+        "lte": lambda: number() <= float(arg),
     }[op]()
     return F.coalesce(out, F.lit(False))
 
 
-def rule_expr(rule: dict | list, values: Column) -> Column:
-    """all / any of conditions, or one condition; a list means all. An empty list holds for all, but not for any nor within one."""
+def rule_expr(rule: dict | list, of: Column | Callable[[dict], Column]) -> Column:
+    """all / any of conditions, or one condition; a list means all. An empty list holds for all, but not for any nor within one.
+
+    ``of`` is the map of values, or a function that gives the column of a condition.
+    """
     if isinstance(rule, list):
-        return reduce(lambda a, b: a & b, [rule_expr(r, values) for r in rule], F.lit(True))
+        return reduce(lambda a, b: a & b, [rule_expr(r, of) for r in rule], F.lit(True))
     if "all" in rule:
-        return rule_expr(rule["all"], values)
+        return rule_expr(rule["all"], of)
     if "any" in rule:
-        return reduce(lambda a, b: a | b, [rule_expr(r, values) for r in rule["any"] if r.get("all") != []], F.lit(False))
-    return condition_expr(rule, values)
+        return reduce(lambda a, b: a | b, [rule_expr(r, of) for r in rule["any"] if r.get("all") != []], F.lit(False))
+    return condition_expr(rule, of) if isinstance(of, Column) else of(rule)
 
 
 def derive_bands(number: Column, bands: list[tuple[str, float, str]]) -> Column:

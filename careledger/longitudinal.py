@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,25 @@ def mask_identifier(ref: Column) -> Column:
     return F.concat(F.lit("**** **** "), F.right(ref, F.lit(4)))
 
 
-def patient_overview(patients: DataFrame, encounters: DataFrame, medications: DataFrame, observations: DataFrame, recent: int = 6) -> DataFrame:
-    """Per patient: counts of each child table, each aggregated alone before it is joined, and the most recent encounters."""
+def patient_overview(patients: DataFrame, encounters: DataFrame, papers: DataFrame, medications: DataFrame, observations: DataFrame, recent: int = 6) -> DataFrame:
+    """Per patient: counts of encounters, papers (encounter_id, document_kind) by kind, different medicines and observations, and the most recent encounters.
+
+    All children meet in one aggregation by patient, so none multiplies another.
+    """
     newest = Window.partitionBy("patient_id").orderBy(F.desc("occurred_at"), F.desc("encounter_id"))
-    last = encounters.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= recent)
+    last = encounters.select("patient_id", "encounter_id", "occurred_at").withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= recent)
     last = last.groupBy("patient_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "encounter_id"))), lambda x: x["encounter_id"].cast("string")), ",").alias("recent_encounters"))
-    by = encounters.groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters"), F.count_if(F.col("kind") == "document").alias("documents"))
-    meds = medications.groupBy("patient_id").agg(F.count_distinct(normalize_name(F.col("name"))).alias("medicines"))
-    obs = observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("observations"))
-    out = patients.select("patient_id", mask_identifier(F.col("abha_ref")).alias("masked_ref"))
-    for side in (by, meds, obs, last):
-        out = out.join(side, "patient_id", "left")
-    return out.fillna(0, ["encounters", "documents", "medicines", "observations"])
+    what = F.when(F.col("document_kind") == "prescription", "prescriptions").when(F.col("document_kind") == "lab_report", "lab_reports").otherwise("other_documents")
+    medicines = medications.select("patient_id", normalize_name(F.col("name")).alias("n")).filter("n is not null").distinct()
+    each = [
+        (encounters, F.lit("encounters")), (papers.join(encounters.select("encounter_id", "patient_id"), "encounter_id"), what),
+        (medicines, F.lit("medicines")), (observations, F.lit("observations")),
+    ]
+    children = reduce(DataFrame.unionByName, [df.select("patient_id", kind.alias("what")) for df, kind in each])
+    counts = ["encounters", "prescriptions", "lab_reports", "other_documents", "medicines", "observations"]
+    by = children.groupBy("patient_id").agg(*[F.count_if(F.col("what") == c).alias(c) for c in counts])
+    rows = patients.select("patient_id", mask_identifier(F.col("abha_ref")).alias("masked_ref")).join(by, "patient_id", "left").join(last, "patient_id", "left")
+    return rows.fillna(0, counts)
 
 
 def patient_timeline(encounters: DataFrame, medications: DataFrame, observations: DataFrame) -> DataFrame:

@@ -84,16 +84,18 @@ def latest_observations(t):
     return longitudinal.latest_observations(t("observation"))
 
 
-@query("""WITH e AS (SELECT patient_id, count(*) AS encounters, sum(CASE WHEN kind = 'document' THEN 1 ELSE 0 END) AS documents FROM encounter GROUP BY 1),
+@query("""WITH e AS (SELECT patient_id, count(*) AS encounters FROM encounter GROUP BY 1),
+    d AS (SELECT patient_id, count(*) FILTER (document_kind = 'prescription') AS prescriptions, count(*) FILTER (document_kind = 'lab_report') AS lab_reports,
+      count(*) FILTER (coalesce(document_kind, '') NOT IN ('prescription', 'lab_report')) AS other_documents FROM document_record r JOIN encounter c ON r.encounter_id = c.encounter_id GROUP BY 1),
     m AS (SELECT patient_id, count(DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))) AS medicines FROM medication GROUP BY 1),
     o AS (SELECT patient_id, count(*) AS observations FROM observation GROUP BY 1),
     l AS (SELECT patient_id, string_agg(CAST(encounter_id AS VARCHAR), ',' ORDER BY r) AS recent_encounters FROM
       (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY occurred_at DESC, encounter_id DESC) AS r FROM encounter) WHERE r <= 6 GROUP BY 1)
-    SELECT p.patient_id, '**** **** ' || right(abha_ref, 4) AS masked_ref, coalesce(encounters, 0) AS encounters, CAST(coalesce(documents, 0) AS BIGINT) AS documents,
+    SELECT p.patient_id, '**** **** ' || right(abha_ref, 4) AS masked_ref, coalesce(encounters, 0) AS encounters, coalesce(prescriptions, 0) AS prescriptions, coalesce(lab_reports, 0) AS lab_reports, coalesce(other_documents, 0) AS other_documents,
     coalesce(medicines, 0) AS medicines, coalesce(observations, 0) AS observations, recent_encounters
-    FROM patient p LEFT JOIN e ON p.patient_id = e.patient_id LEFT JOIN m ON p.patient_id = m.patient_id LEFT JOIN o ON p.patient_id = o.patient_id LEFT JOIN l ON p.patient_id = l.patient_id""")
+    FROM patient p LEFT JOIN e ON p.patient_id = e.patient_id LEFT JOIN d ON p.patient_id = d.patient_id LEFT JOIN m ON p.patient_id = m.patient_id LEFT JOIN o ON p.patient_id = o.patient_id LEFT JOIN l ON p.patient_id = l.patient_id""")
 def patient_overview(t):
-    return longitudinal.patient_overview(t("patient"), t("encounter"), t("medication"), t("observation"))
+    return longitudinal.patient_overview(t("patient"), t("encounter"), t("document_record"), t("medication"), t("observation"))
 
 
 @query("""WITH v AS (SELECT patient_id, encounter_id, occurred_at AS occurred_on, 'encounter' AS kind, priority AS label, 0 AS k FROM encounter

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,19 +76,26 @@ def conditions_of(rule: dict | list) -> list[dict]:
 def evaluate_red_flags(session_values: DataFrame, rules: list[dict]) -> DataFrame:
     """Every rule for every session, fired or not; of a fired one the paths whose conditions hold, sorted, and the ids of the active facts there.
 
-    Rules compile to columns once; no shuffle.
+    Each different condition is evaluated once per session, rules read the results by position; no shuffle.
     """
-    values, ids = F.col("values"), F.col("fact_ids")
+    clauses = {json.dumps(c, sort_keys=True): c for r in rules for c in conditions_of(r["when"])}
+    holds = F.col("holds")
+    at = {key: holds[i] for i, key in enumerate(clauses)}
+    held = lambda c: at[json.dumps(c, sort_keys=True)]
+    marked = session_values.select("session_id", "fact_ids", F.array(*[condition_expr(c, F.col("values")) for c in clauses.values()]).alias("holds"))
+    none = F.array().cast("array<string>")
 
     def result(r: dict) -> Column:
-        fired = rule_expr(r["when"], values)
-        held = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(condition_expr(c, values), c["path"]) for c in conditions_of(r["when"])]))))
-        paths = F.when(fired, held).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), fired.alias("fired"), paths.alias("p"))
-
-    rows = session_values.select("session_id", "fact_ids", F.explode(F.array(*[result(r) for r in rules])).alias("r"))
-    of = F.flatten(F.transform("r.p", lambda p: F.coalesce(F.try_element_at(ids, p), F.array().cast("array<string>"))))
-    return rows.select("session_id", "r.rule_id", "r.level", "r.fired", F.array_join("r.p", ",").alias("paths"), F.array_join(of, ",").alias("fact_ids"))
+        by_path: dict[str, list[Column]] = {}
+        for c in conditions_of(r["when"]):
+            by_path.setdefault(c["path"], []).append(held(c))
+        paths = F.array(*[F.when(reduce(Column.__or__, by_path[p]), F.lit(p)) for p in sorted(by_path)])
+        return F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), rule_expr(r["when"], held).alias("fired"), paths.alias("p"))
+
+    rows = marked.select("session_id", "fact_ids", F.inline(F.array(*[result(r) for r in rules])))
+    rows = rows.withColumn("p", F.when(F.col("fired"), F.array_compact("p")).otherwise(none))
+    of = F.flatten(F.transform("p", lambda p: F.coalesce(F.try_element_at("fact_ids", p), none)))
+    return rows.select("session_id", "rule_id", "level", "fired", F.array_join("p", ",").alias("paths"), F.array_join(of, ",").alias("fact_ids"))
 
 
 def session_priority(sessions: DataFrame, flags: DataFrame) -> DataFrame:

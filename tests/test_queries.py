@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from careledger import documents, governance, intake, ledger, longitudinal, promotion, queries, streams, tables
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, queries, streams, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,3 +227,19 @@ def test_durable_tables_are_appended(spark, tmp_path):
         promotion.write_durable({"patient": df, "fact": df}, str(tmp_path), {"fact": "kind"})
     assert spark.read.parquet(str(tmp_path / "patient")).count() == 4
     assert spark.read.parquet(str(tmp_path / "fact" / "kind=a")).count() == 2
+
+
+def test_readings_are_scored_by_kind(spark):
+    truth = [
+        (1, 1, "medication", "Metformin Hcl", "500 mg"), (1, 2, "medication", "--", "1"), (1, 3, "investigation", "HbA1c", "high"), (1, 4, "diagnosis", "Type 2 diabetes mellitus", None),
+        (2, 1, "medication", "Aspirin", "75mg"), (3, 1, "investigation", "Urea", None),
+    ]
+    found = [
+        (1, 1, "medication", "TAB. MET-FORMIN", "500MG", True), (1, 2, "medication", "metformin", "850 mg", False), (1, 3, "investigation", "HbA1c 7", "low", False), (1, 4, "diagnosis", "type-2 DIABETES", None, False),
+        (3, 1, "investigation", "s. urea 30", None, False), (4, 1, "medication", "x", None, True),
+    ]
+    truth = spark.createDataFrame(truth, "doc_id int, item int, kind string, text string, detail string")
+    found = spark.createDataFrame(found, "doc_id int, place int, kind string, text string, detail string, needs_check boolean")
+    rows = evaluation.score_ocr(truth, found, ["doc_id"]).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 4, 0.5, 1.0, 1.0, 0.0, 1.0, 0.25), (2, 0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0), (3, 1, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0), (4, 1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    assert evaluation.score_ocr(truth.limit(0), found.limit(0), ["doc_id"]).count() == 0
