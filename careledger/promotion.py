@@ -107,27 +107,33 @@ def fhir_observations(observations: DataFrame) -> DataFrame:
 
 
 def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame, observations: DataFrame, problems: DataFrame, flags: DataFrame, papers: DataFrame) -> DataFrame:
-    """One document bundle as JSON per encounter: Composition, Patient, Consent, Conditions (problems: term; never confirmed), MedicationStatements, Observations,
-    Flags (level, label), DocumentReferences (papers: title), then a Provenance per fact.
+    """One document bundle as JSON per encounter: Composition, Patient, Consent, Conditions (problems: term, fact_id; never confirmed), MedicationStatements (fact_id beside the usual columns), Observations,
+    Flags (level, label), DocumentReferences (papers: title). A problem or medicine whose fact_id is not null is followed by the Provenance of that fact, with its
+    tier and value; facts that back neither have none.
 
     Absent elements are left out, never empty. Entries of a visit are few.
     """
     kind = lambda name: F.lit(name).alias("resourceType")
-    of = lambda df, place, order, *fields: df.select("encounter_id", F.lit(place).alias("place"), order.alias("at"), F.to_json(F.struct(F.struct(*fields).alias("resource"))).alias("entry"))
+    of = lambda df, place, order, *fields, after=0: df.select("encounter_id", F.lit(place).alias("place"), order.alias("at"), F.lit(after).alias("after"), F.to_json(F.struct(F.struct(*fields).alias("resource"))).alias("entry"))
     key, subject = F.col("encounter_id").cast("string"), F.struct(F.concat(F.lit("Patient/"), F.col("patient_id").cast("string")).alias("reference")).alias("subject")
     taken = F.when(F.col("status") == "patient-reported-current", "active").otherwise("unknown").alias("status")
+    backing = facts.select("encounter_id", "fact_id", F.col("tier").alias("activity"), F.col("value").alias("entity"))
+    term, medicine = F.concat_ws("|", "term", "fact_id"), F.concat_ws("|", "name", "status", "fact_id")
+    of_fact = lambda df, place, order, target: of(df.join(backing, ["encounter_id", "fact_id"]), place, order, kind("Provenance"), F.concat(F.lit(f"{target}/"), "fact_id").alias("target"), F.col("activity"), F.col("entity"), after=1)
+    identity = F.col("fact_id").alias("id")
     entries = (
         of(encounters, 0, F.lit(""), kind("Composition"), F.lit("preliminary").alias("status"), subject)
         .unionByName(of(encounters, 1, F.lit(""), kind("Patient"), F.col("patient_id").cast("string").alias("id")))
         .unionByName(of(encounters.filter("consent_ref is not null"), 2, F.lit(""), kind("Consent"), F.col("consent_ref").alias("id")))
-        .unionByName(of(problems, 3, F.col("term"), kind("Condition"), F.lit("unconfirmed").alias("verificationStatus"), F.col("term").alias("code")))
-        .unionByName(of(medications, 4, F.concat_ws("|", "name", "status"), kind("MedicationStatement"), taken, F.col("name").alias("medication")))
+        .unionByName(of(problems, 3, term, kind("Condition"), identity, F.lit("unconfirmed").alias("verificationStatus"), F.col("term").alias("code")))
+        .unionByName(of_fact(problems, 3, term, "Condition"))
+        .unionByName(of(medications, 4, medicine, kind("MedicationStatement"), identity, taken, F.col("name").alias("medication")))
+        .unionByName(of_fact(medications, 4, medicine, "MedicationStatement"))
         .unionByName(of(observations.filter("value is not null"), 5, F.concat_ws("|", "analyte_key", F.col("value").cast("string"), "unit"), kind("Observation"), F.col("analyte_key").alias("code"), F.struct("value", "unit").alias("valueQuantity")))
         .unionByName(of(flags, 6, F.concat_ws("|", "level", "label"), kind("Flag"), F.lit("active").alias("status"), F.concat(F.lit("["), F.upper("level"), F.lit("] "), F.col("label")).alias("code")))
         .unionByName(of(papers, 7, F.col("title"), kind("DocumentReference"), F.lit("current").alias("status"), F.col("title").alias("description")))
-        .unionByName(of(facts, 8, F.col("fact_id"), kind("Provenance"), F.col("fact_id").alias("target")))
     )
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "at", "entry"))), lambda e: e["entry"]), ",")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "at", "after", "entry"))), lambda e: e["entry"]), ",")
     bundles = entries.groupBy("encounter_id").agg(F.concat(F.lit('{"resourceType":"Bundle","type":"document","entry":['), body, F.lit("]}")).alias("bundle"))
     return encounters.select("encounter_id").join(bundles, "encounter_id", "left").select("encounter_id", "bundle")
 
@@ -258,26 +264,30 @@ def register(query) -> None:
         rows = t("events").select(F.col("event_type").alias("difficulty"), F.col("event_id").alias("expected_value"), F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("actual_value"))
         return globals()["by_difficulty"](rows)
 
-    entry = lambda place, at, body, source: f"SELECT encounter_id, {place} AS place, {at} AS k, '{{\"resource\":' || {body} || '}}' AS entry FROM {source}"
+    entry = lambda place, at, body, source, after=0: f"SELECT encounter_id, {place} AS place, {at} AS k, {after} AS after, '{{\"resource\":' || {body} || '}}' AS entry FROM {source}"
+    provenance = lambda target: f"""'{{"resourceType":"Provenance","target":"{target}/' || fact_id || '","activity":"' || tier || '","entity":"' || value || '"}}'"""
     sources = [
         entry(0, "''", """'{"resourceType":"Composition","status":"preliminary","subject":{"reference":"Patient/' || patient_id || '"}}'""", "encounter"),
         entry(1, "''", """'{"resourceType":"Patient","id":"' || patient_id || '"}'""", "encounter"),
         entry(2, "''", """'{"resourceType":"Consent","id":"' || consent_ref || '"}'""", "encounter WHERE consent_ref IS NOT NULL"),
-        entry(3, "term", """'{"resourceType":"Condition","verificationStatus":"unconfirmed","code":"' || term || '"}'""", "(SELECT encounter_id, value AS term FROM clinical_fact WHERE path = 'hpi.associated' AND value <> 'none')"),
-        entry(4, "name || '|' || status", """'{"resourceType":"MedicationStatement","status":"' || CASE status WHEN 'patient-reported-current' THEN 'active' ELSE 'unknown' END || '","medication":"' || name || '"}'""", "medication"),
+        entry(3, "term || '|' || fact_id", """'{"resourceType":"Condition","id":"' || fact_id || '","verificationStatus":"unconfirmed","code":"' || term || '"}'""", "pr"),
+        entry(3, "term || '|' || fact_id", provenance("Condition"), "(SELECT pr.*, tier, value FROM pr JOIN clinical_fact f ON pr.encounter_id = f.encounter_id AND pr.fact_id = f.fact_id)", 1),
+        entry(4, "name || '|' || status || '|' || fact_id", """'{"resourceType":"MedicationStatement","id":"' || fact_id || '","status":"' || CASE status WHEN 'patient-reported-current' THEN 'active' ELSE 'unknown' END || '","medication":"' || name || '"}'""", "md"),
+        entry(4, "name || '|' || status || '|' || fact_id", provenance("MedicationStatement"), "(SELECT md.*, tier, value FROM md JOIN clinical_fact f ON md.encounter_id = f.encounter_id AND md.fact_id = f.fact_id)", 1),
         entry(5, "concat_ws('|', analyte_key, CAST(CAST(value AS DOUBLE) AS VARCHAR), unit)", """'{"resourceType":"Observation","code":"' || analyte_key || '","valueQuantity":{"value":' || CAST(CAST(value AS DOUBLE) AS VARCHAR) || coalesce(',"unit":"' || unit || '"', '') || '}}'""", "observation WHERE value IS NOT NULL"),
         entry(6, "level || '|R2'", """'{"resourceType":"Flag","status":"active","code":"[' || upper(level) || '] R2"}'""", "(SELECT encounter_id, priority AS level FROM encounter WHERE priority <> 'routine')"),
         entry(7, "title", """'{"resourceType":"DocumentReference","status":"current","description":"' || title || '"}'""", "(SELECT encounter_id, 'paper ' || encounter_id AS title FROM encounter WHERE kind = 'document')"),
-        entry(8, "fact_id", """'{"resourceType":"Provenance","target":"' || fact_id || '"}'""", "clinical_fact"),
     ]
 
-    @query(f"""WITH x AS ({" UNION ALL ".join(sources)}), b AS (SELECT encounter_id, '{{"resourceType":"Bundle","type":"document","entry":[' || string_agg(entry, ',' ORDER BY place, k, entry) || ']}}' AS bundle FROM x GROUP BY 1)
+    @query(f"""WITH pr AS (SELECT encounter_id, value AS term, fact_id FROM clinical_fact WHERE path = 'hpi.associated' AND value <> 'none'), md AS (SELECT *, 'f' || encounter_id || '-' || line_no AS fact_id FROM medication),
+        x AS ({" UNION ALL ".join(sources)}), b AS (SELECT encounter_id, '{{"resourceType":"Bundle","type":"document","entry":[' || string_agg(entry, ',' ORDER BY place, k, after, entry) || ']}}' AS bundle FROM x GROUP BY 1)
         SELECT e.encounter_id, bundle FROM encounter e LEFT JOIN b ON e.encounter_id = b.encounter_id""")
     def to_fhir_bundles(t):
-        problems = t("clinical_fact").filter("path = 'hpi.associated' and value <> 'none'").select("encounter_id", F.col("value").alias("term"))
+        problems = t("clinical_fact").filter("path = 'hpi.associated' and value <> 'none'").select("encounter_id", F.col("value").alias("term"), "fact_id")
+        medications = t("medication").withColumn("fact_id", F.concat(F.lit("f"), F.col("encounter_id").cast("string"), F.lit("-"), F.col("line_no").cast("string")))
         flags = t("encounter").filter("priority <> 'routine'").select("encounter_id", F.col("priority").alias("level"), F.lit("R2").alias("label"))
         papers = t("encounter").filter("kind = 'document'").select("encounter_id", F.concat(F.lit("paper "), F.col("encounter_id").cast("string")).alias("title"))
-        return fhir_bundles(t("encounter"), t("clinical_fact"), t("medication"), t("observation"), problems, flags, papers)
+        return fhir_bundles(t("encounter"), t("clinical_fact"), medications, t("observation"), problems, flags, papers)
 
     @query("SELECT 'Observation' AS resource_type, patient_id, count(*) AS n FROM observation WHERE value IS NOT NULL GROUP BY 2")
     def bundle_resource_counts(t):
