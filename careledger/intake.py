@@ -121,15 +121,14 @@ def extract_entities(lines: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     label, (diagnosis, procedure) = F.regexp_extract(text, documents.INVESTIGATION, 1), documents.cued_terms(text)
-    lab = F.when(documents.match_analyte(label).isNotNull(), F.trim(label))
+    lab = documents.once(label, lambda x: F.when(documents.match_analyte(x).isNotNull(), F.trim(x)))
     kinds = [("diagnosis", diagnosis), ("procedure", procedure), ("investigation", lab), ("medication", documents.medicine_parts(text)["name"])]
-    entity = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), c.alias("label"))) for k, c in kinds])
     own, _ = documents.parse_dates(text)
-    rows = lines.withColumns({"entity": entity, "own": own}).filter("entity is not null")
+    rows = lines.select("doc_id", "line_no", own.alias("own"), "confidence", "handwritten", F.inline(documents.first_named(kinds, "label")))
     rows = rows.join(documents.document_date(lines).select("doc_id", "document_date"), "doc_id", "left")
     source = F.when(F.col("own").isNotNull(), "line").when(F.col("document_date").isNotNull(), "document").otherwise("none")
     check = documents.confidence_band(F.col("confidence"), F.col("handwritten")) == "verify"
-    return rows.select("doc_id", "line_no", "entity.kind", "entity.label", F.coalesce("own", "document_date").alias("observed_on"), source.alias("date_source"), check.alias("needs_check"))
+    return rows.select("doc_id", "line_no", "kind", "label", F.coalesce("own", "document_date").alias("observed_on"), source.alias("date_source"), check.alias("needs_check"))
 
 
 def verification_queue(entities: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careledger.ledger import condition_expr, rule_expr
+from careledger.ledger import condition_expr
 
 _ROS = "review_of_systems."
 
@@ -73,27 +73,43 @@ def conditions_of(rule: dict | list) -> list[dict]:
     return [rule] if parts is None else [c for r in parts for c in conditions_of(r)]
 
 
+def groups_of(rule: dict | list) -> list[list[dict]]:
+    """The groups of conditions any of which, when all of it holds, makes the rule hold; empty lists count as in rule_expr."""
+    if isinstance(rule, list):
+        return [[c for group in groups for c in group] for groups in product(*map(groups_of, rule))]
+    if "all" in rule:
+        return groups_of(rule["all"])
+    if "any" in rule:
+        return [group for r in rule["any"] if r.get("all") != [] for group in groups_of(r)]
+    return [[rule]]
+
+
+_RULES = "array<struct<rule_id: string, level: string, groups: array<array<int>>, by_path: array<struct<path: string, at: array<int>>>>>"
+
+
 def evaluate_red_flags(session_values: DataFrame, rules: list[dict]) -> DataFrame:
     """Every rule for every session, fired or not; of a fired one the paths whose conditions hold, sorted, and the ids of the active facts there.
 
-    Each different condition is evaluated once per session, rules read the results by position; no shuffle.
+    Each different condition is evaluated once per session; the rules are a constant table that names conditions by position. No shuffle.
     """
-    clauses = {json.dumps(c, sort_keys=True): c for r in rules for c in conditions_of(r["when"])}
-    holds = F.col("holds")
-    at = {key: holds[i] for i, key in enumerate(clauses)}
-    held = lambda c: at[json.dumps(c, sort_keys=True)]
-    marked = session_values.select("session_id", "fact_ids", F.array(*[condition_expr(c, F.col("values")) for c in clauses.values()]).alias("holds"))
-    none = F.array().cast("array<string>")
-
-    def result(r: dict) -> Column:
-        by_path: dict[str, list[Column]] = {}
+    name = lambda c: json.dumps(c, sort_keys=True)
+    clauses = {name(c): c for r in rules for c in conditions_of(r["when"])}
+    place = {key: i for i, key in enumerate(clauses)}
+    known = []
+    for r in rules:
+        by_path: dict[str, list[int]] = {}
         for c in conditions_of(r["when"]):
-            by_path.setdefault(c["path"], []).append(held(c))
-        paths = F.array(*[F.when(reduce(Column.__or__, by_path[p]), F.lit(p)) for p in sorted(by_path)])
-        return F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), rule_expr(r["when"], held).alias("fired"), paths.alias("p"))
-
-    rows = marked.select("session_id", "fact_ids", F.inline(F.array(*[result(r) for r in rules])))
-    rows = rows.withColumn("p", F.when(F.col("fired"), F.array_compact("p")).otherwise(none))
+            by_path.setdefault(c["path"], []).append(place[name(c)])
+        groups = [[place[name(c)] for c in group] for group in groups_of(r["when"])]
+        known.append({"rule_id": r["id"], "level": r["level"], "groups": groups, "by_path": [{"path": p, "at": sorted(set(by_path[p]))} for p in sorted(by_path)]})
+    holds = F.array(*[condition_expr(c, F.col("values")) for c in clauses.values()]).cast("array<boolean>")
+    marked = session_values.select("session_id", "fact_ids", holds.alias("holds"))
+    rows = marked.select("session_id", "fact_ids", "holds", F.inline(F.from_json(F.lit(json.dumps(known)), _RULES)))
+    held = lambda i: F.get("holds", i)
+    rows = rows.withColumn("fired", F.exists("groups", lambda g: F.forall(g, held)))
+    paths = F.transform(F.filter("by_path", lambda p: F.exists(p["at"], held)), lambda p: p["path"])
+    none = F.array().cast("array<string>")
+    rows = rows.select("session_id", "rule_id", "level", "fired", "fact_ids", F.when(F.col("fired"), paths).otherwise(none).alias("p"))
     of = F.flatten(F.transform("p", lambda p: F.coalesce(F.try_element_at("fact_ids", p), none)))
     return rows.select("session_id", "rule_id", "level", "fired", F.array_join("p", ",").alias("paths"), F.array_join(of, ",").alias("fact_ids"))
 

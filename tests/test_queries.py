@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, queries, streams, tables
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, queries, rules, streams, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -243,3 +243,27 @@ def test_readings_are_scored_by_kind(spark):
     rows = evaluation.score_ocr(truth, found, ["doc_id"]).orderBy("doc_id").collect()
     assert [tuple(r) for r in rows] == [(1, 4, 0.5, 1.0, 1.0, 0.0, 1.0, 0.25), (2, 0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0), (3, 1, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0), (4, 1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
     assert evaluation.score_ocr(truth.limit(0), found.limit(0), ["doc_id"]).count() == 0
+
+
+def test_nested_rules_as_groups_equal_their_expression(spark):
+    a, b, c = ({"path": p, "eq": "1"} for p in "abc")
+    whens = [{"all": []}, {"any": []}, {"any": [{"all": []}, a]}, {"all": [{"any": [a, b]}, c]}, {"any": [{"all": [a, {"any": [b, c]}]}, {"all": [b, c]}]}, [a, {"all": [b]}]]
+    known = [{"id": f"r{i}", "level": "urgent", "when": w} for i, w in enumerate(whens)]
+    rows = [(n, {p: ["1" if n >> i & 1 else "0"] for i, p in enumerate("abc")}, {p: [f"f{p}"] for p in "abc"}) for n in range(8)] + [(8, {}, {})]
+    df = spark.createDataFrame(rows, "session_id long, values map<string,array<string>>, fact_ids map<string,array<string>>")
+    plain_rules = df.select("session_id", *[ledger.rule_expr(r["when"], F.col("values")).alias(r["id"]) for r in known]).collect()
+    want = {(r["session_id"], k["id"]): r[k["id"]] for r in plain_rules for k in known}
+    found = {(r["session_id"], r["rule_id"]): r for r in rules.evaluate_red_flags(df, known).collect()}
+    assert {k: r["fired"] for k, r in found.items()} == want
+    assert (found[7, "r3"]["paths"], found[7, "r3"]["fact_ids"], found[5, "r3"]["paths"], found[2, "r3"]["paths"]) == ("a,b,c", "fa,fb,fc", "a,c", "")
+
+
+def test_dates_of_all_forms(spark):
+    said = {
+        "on 3/4/2021": ("2021-04-03", "exact"), "2021.04.03": ("2021-04-03", "exact"), "12th Sept, 2019": ("2019-09-12", "exact"), "since December 2018": ("2018-12-01", "month"), "in 1999": ("1999-01-01", "year"),
+        "31/02/2020 then": ("2020-01-01", "year"), "31 Feb 2020": ("2020-02-01", "month"), "": (None, "unknown"), "1/2/20": (None, "unknown"), "may 5": (None, "unknown"),
+    }
+    df = spark.createDataFrame([(t,) for t in [*said, None]], "t string")
+    day, precision = documents.parse_dates(F.col("t"))
+    found = {r["t"]: (r["day"] and str(r["day"]), r["precision"]) for r in df.select("t", day.alias("day"), precision.alias("precision")).collect()}
+    assert found == {**said, None: (None, "unknown")}
