@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams, tables
+from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
 from careledger.bindings import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +632,4 @@ evaluation.register(query)
 intake.register(query)
 promotion.register(query)
 streams.register(query)
+summary.register(query)
