@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger.llm import ann, exact, html, mixing, ngram_join, packing, quality, sharding, toxicity, warc
+from careledger.llm import ann, exact, html, mixing, ngram_join, packing, quality, runs, sharding, simhash, toxicity, warc, whitening
 from careledger.llm.storage import table
 
 SHARDS = 16
@@ -61,6 +61,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by a checksum of the id, is given a periodic tail first."""
+    found = runs.detect_runs(table(spark, sf_dir, "documents"), prepare=runs.periodic_tail)
+    found = found.select("doc_id", "runs", "collapsed", runs.longest_run(F.col("runs")).alias("best"))
+    length = -F.col("best.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), runs.digest_of_runs(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring_sharding": op1_ring_sharding,
     "op2_warc": op2_warc,
@@ -72,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_runs": op13_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
