@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from careledger.canonical import canonical_json
+
 GENESIS = "0" * 64
 # Keys that never reach an audit row, and field names that would state an assessment.
 FORBIDDEN_KEYS = [
@@ -77,9 +79,18 @@ def scan_assessment_fields(payload: Column) -> Column:
     return F.when(F.lower(payload).rlike("|".join(ASSESSMENT_FIELDS) + r"|\\"), _assessment_fields(payload)).otherwise(F.array().cast("array<string>"))
 
 
-def audit_payload(*columns: str) -> Column:
-    """Canonical text of an audit row: JSON of its fields by sorted name, nulls kept."""
-    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("null"))) for c in sorted(columns)]), F.lit("}"))
+# The fields of an audit row that its hash covers.
+AUDIT_FIELDS = [
+    "ts", "actor", "actor_role", "purpose_of_use", "abha_ref", "consent_ref", "action", "request_summary", "response_summary", "versions_used", "outcome", "model_name", "model_version", "prompt_hash",
+]
+
+
+def audit_payload(rows: DataFrame, fields: list[str] | None = None) -> Column:
+    """Canonical JSON of an audit row's ``fields``, by name, nulls kept; of any types, nested ones too."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    fields = AUDIT_FIELDS if fields is None else fields
+    of = T.StructType([T.StructField(c, kinds[c]) for c in fields])
+    return canonical_json(F.struct(*[F.col(f"`{c}`") for c in fields]), of)
 
 
 def audit_hash(prev_hash: Column, payload: Column) -> Column:
@@ -109,15 +120,61 @@ def append_chain(rows: DataFrame, chain: str, order: str, payload: Column) -> Da
     return items.mapInArrow(link, T.StructType([*items.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]))
 
 
+def _segments(rows: DataFrame, chain: str, order: str) -> DataFrame:
+    """One row per chain and range of its rows: part, n, first_prev, last_hash, and the first break inside (at: place in the segment; kind)."""
+    items = rows.select(F.col(chain), F.col(order).alias("_order"), "prev_hash", "hash", "payload")
+    # By ranges of chain and order, so that a chain with most of the rows is read by many tasks.
+    items = items.repartitionByRange(chain, "_order").sortWithinPartitions(chain, "_order")
+    columns = ["part", "n", "first_prev", "last_hash", "at", "kind"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, key, now, done = TaskContext.get().partitionId(), object(), None, []
+
+        def out(key_type: pa.DataType) -> pa.RecordBatch:
+            keys = pa.array([k for k, _ in done], key_type)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([keys, *[pa.array([x[c] for _, x in done], t) for c, t in zip(columns, kinds, strict=True)]], [chain, *columns])
+
+        for batch in batches:
+            names, _, before, after, payload = (c.to_pylist() for c in batch.columns)
+            for k, p, h, text in zip(names, before, after, payload, strict=True):
+                if not (k == key or (k != k and key != key)):  # NaN is one key
+                    if now:
+                        done.append((key, now))
+                    key, now = k, {"part": part, "n": 0, "first_prev": p, "last_hash": None, "at": None, "kind": None}
+                if now["at"] is None:
+                    if now["n"] and p is not None and p != (GENESIS if now["last_hash"] is None else now["last_hash"]):
+                        now["at"], now["kind"] = now["n"], "inserted or removed"
+                    elif None not in (p, h, text) and h != hashlib.sha256((p + text).encode()).hexdigest():
+                        now["at"], now["kind"] = now["n"], "modified"
+                now["n"] += 1
+                now["last_hash"] = h
+            if done:
+                yield out(batch.schema.field(0).type)
+                done.clear()
+        if now:
+            done.append((key, now))
+            yield out(batch.schema.field(0).type)
+
+    kind = T.StructType([rows.schema[chain], *[T.StructField(c, T.StringType() if c in ("first_prev", "last_hash", "kind") else T.LongType()) for c in columns]])
+    return items.mapInArrow(walk, kind)
+
+
 def verify_chain(rows: DataFrame, chain: str, order: str) -> DataFrame:
-    """Per chain: rows, and the first index and kind of break (a wrong link: inserted or removed; a wrong hash: modified); null if intact."""
-    by = Window.partitionBy(chain).orderBy(order)
-    before = F.coalesce(F.lag("hash").over(by), F.lit(GENESIS))
-    at = F.row_number().over(by).cast("long") - 1
-    kind = F.when(F.col("prev_hash") != before, "inserted or removed").when(F.col("hash") != audit_hash(F.col("prev_hash"), F.col("payload")), "modified")
-    rows = rows.select(chain, at.alias("at"), kind.alias("kind"))
-    first = F.min(F.when(F.col("kind").isNotNull(), F.struct("at", "kind")))
-    return rows.groupBy(chain).agg(F.count(F.lit(1)).alias("rows"), first.alias("f")).select(chain, "rows", F.col("f.at").alias("first_break"), F.col("f.kind").alias("kind"))
+    """Per chain: rows, and the first index and kind of break (a wrong link: inserted or removed; a wrong hash: modified); null if intact.
+
+    ``rows`` (chain, order, prev_hash, hash, payload) are dealt by ranges of chain and order and checked there; a table of the ranges' first links and last hashes, one
+    row per range and chain, joins the ranges. ``rows`` is read twice, once to find the ranges, so it should be a stored table. A null hash counts
+    as none before; null links and payloads can't be held against anything.
+    """
+    by = Window.partitionBy(chain).orderBy("part")
+    before = F.coalesce(F.lag("last_hash").over(by), F.lit(GENESIS))
+    offset = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    joined = _segments(rows, chain, order).select(chain, "n", F.coalesce(offset, F.lit(0)).alias("offset"), (F.col("first_prev") != before).alias("cut"), "at", "kind")
+    first = F.when(F.col("cut"), F.struct(F.col("offset").alias("at"), F.lit("inserted or removed").alias("kind"))).when(F.col("at").isNotNull(), F.struct((F.col("offset") + F.col("at")).alias("at"), F.col("kind").alias("kind")))
+    return joined.groupBy(chain).agg(F.sum("n").alias("rows"), F.min(first).alias("f")).select(chain, "rows", F.col("f.at").alias("first_break"), F.col("f.kind").alias("kind"))
 
 
 def encounter_audit_trail(encounters: DataFrame, audit: DataFrame) -> DataFrame:

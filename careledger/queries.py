@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
 from careledger.bindings import load, oracle
+from careledger.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -440,13 +441,48 @@ def fold_text(t):
 
 # ---- audit, consent, retention, policy
 
-_CHAIN = """r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY id) AS n, '{"action":"' || action || '","id":"' || CAST(id AS VARCHAR) || '","summary":"' || summary || '"}' AS payload FROM audit),
+def _json_sql(x: str) -> str:
+    """A text as a canonical JSON string, in DuckDB's SQL."""
+    code = r"""CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(9) THEN '\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+        WHEN unicode(c) > 65535 THEN printf('\u%04x\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) ELSE printf('\u%04x', unicode(c)) END"""
+    return f"""coalesce('"' || array_to_string(list_transform(string_split({x}, ''), lambda c: {code}), '') || '"', 'null')"""
+
+
+_ACTORS = ['Dr. "Ann" O\\N', "Zoë\t", "डॉ. सिंह", "x😀\x01\x7f", 'v","b":"w']
+#: Audit rows with all 14 fields: texts with quotes, accents and control characters, numbers, nulls and nested summaries.
+_EVENT_SQL = f"""SELECT id, chain, '{{"abha_ref":' || {_json_sql("CASE WHEN id % 3 = 0 THEN 'abha:' || chain END")} || ',"action":' || {_json_sql("action")} || ',"actor":' || {_json_sql("CASE id % 6 " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in enumerate(_ACTORS)) + " END")}
+    || ',"actor_role":"physician","consent_ref":' || {_json_sql("consent_ref")} || ',"model_name":null,"model_version":' || {_json_sql("CASE WHEN id % 2 = 0 THEN '1.0' END")} || ',"outcome":"ok","prompt_hash":' || {_json_sql("sha256(action)")}
+    || ',"purpose_of_use":"care","request_summary":' || CASE WHEN id % 4 = 0 THEN 'null' ELSE '{{"inner":{{"note":' || {_json_sql("summary || ' mg/dl “é”'")} || ',"tags":["a",null]}},"n":' || id || ',"ok":' || CASE WHEN id % 5 < 2 THEN 'true' ELSE 'false' END || ',"score":' || CASE WHEN id % 5 = 4 THEN 'null' ELSE
+      CASE id % 5 WHEN 0 THEN '0.00025' WHEN 1 THEN '1.25e+20' WHEN 2 THEN '-12500000.0' ELSE '2.5e-07' END END || '}}' END || ',"response_summary":' || CASE WHEN id % 7 = 0 THEN 'null' ELSE '{{"a":{{"b":1,"z":"\\u00e9\\u000b\\\\u000B"}},"k":[true,null,"x"],"n":' || id || '}}' END
+    || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","versions_used":{{"ontology":"2","rules":"' || id % 3 || '"}}}}' AS payload FROM audit"""
+
+
+def _audit_events(t):
+    pick = lambda n, values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("id") % n).cast("int"))
+    note = F.struct(F.concat("summary", F.lit(" mg/dl “é”")).alias("note"), F.array(F.lit("a"), F.lit(None).cast("string")).alias("tags"))
+    request = F.struct(F.col("id").alias("n"), (F.col("id") % 5 < 2).alias("ok"), note.alias("inner"), pick(5, [0.00025, 1.25e20, -1.25e7, 2.5e-7]).alias("score"))
+    response = F.parse_json(F.concat(F.lit('{"n": '), F.col("id").cast("string"), F.lit(', "k": [true, null, "x"], "a": {"z": "é\\u000b\\\\u000B", "b": 1}}')))
+    return t("audit").withColumns({
+        "actor": pick(6, _ACTORS), "actor_role": F.lit("physician"), "purpose_of_use": F.lit("care"), "abha_ref": F.when(F.col("id") % 3 == 0, F.concat(F.lit("abha:"), F.col("chain").cast("string"))),
+        "request_summary": F.when(F.col("id") % 4 != 0, request), "response_summary": F.when(F.col("id") % 7 != 0, response), "versions_used": F.create_map(F.lit("rules"), (F.col("id") % 3).cast("string"), F.lit("ontology"), F.lit("2")),
+        "outcome": F.lit("ok"), "model_name": F.lit(None).cast("string"), "model_version": F.when(F.col("id") % 2 == 0, "1.0"), "prompt_hash": F.sha2("action", 256),
+    })
+
+
+_CHAIN = f"""r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY id) AS n FROM ({_EVENT_SQL})),
     h AS (SELECT chain, id, n, payload, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || payload) AS hash FROM r WHERE n = 1
       UNION ALL SELECT r.chain, r.id, r.n, r.payload, h.hash, sha256(h.hash || r.payload) FROM h JOIN r ON r.chain = h.chain AND r.n = h.n + 1)"""
 
 
 def _chain(t):
-    return governance.append_chain(t("audit"), "chain", "id", governance.audit_payload("id", "action", "summary"))
+    events = _audit_events(t)
+    return governance.append_chain(events, "chain", "id", governance.audit_payload(events))
+
+
+@query(f"SELECT id, payload FROM ({_EVENT_SQL})")
+def audit_payload(t):
+    events = _audit_events(t)
+    return events.select("id", governance.audit_payload(events).alias("payload"))
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT chain, id, prev_hash, hash FROM h")
@@ -458,7 +494,9 @@ def append_chain(t):
     m AS (SELECT chain, row_number() OVER w - 1 AS pos, CASE WHEN prev_hash <> coalesce(lag(hash) OVER w, repeat('0', 64)) THEN 'inserted or removed' WHEN hash <> sha256(prev_hash || payload) THEN 'modified' END AS kind FROM k WINDOW w AS (PARTITION BY chain ORDER BY id))
     SELECT chain, count(*) AS rows, min(pos) FILTER (kind IS NOT NULL) AS first_break, arg_min(kind, pos) FILTER (kind IS NOT NULL) AS kind FROM m GROUP BY 1""")
 def verify_chain(t):
-    tampered = _chain(t).filter("id % 499 <> 7").withColumn("payload", F.when(F.col("id") % 997 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    spark, path = t("audit").sparkSession, shared_path(t("audit").sparkSession, "chain")
+    _chain(t).write.parquet(path)
+    tampered = spark.read.parquet(path).filter("id % 499 <> 7").withColumn("payload", F.when(F.col("id") % 997 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
     return governance.verify_chain(tampered, "chain", "id")
 
 
