@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careledger.canonical import canonical_json
+from careledger.evidence import words_of
 
 GENESIS = "0" * 64
 # Keys that never reach an audit row, and field names that would state an assessment.
@@ -192,13 +193,46 @@ def provenance_completeness(facts: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def check_traceability(lines: DataFrame, vocabulary: DataFrame, static: list[str]) -> DataFrame:
-    """Per session: words of three letters or more in its lines that neither its vocabulary (session_id, token) nor the static list has."""
-    words = lines.select("session_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token")).distinct()
+    """Per session: words of three letters or more in its lines, of any kept script, that neither its vocabulary (session_id, token) nor the static list has.
+
+    Each distinct word is asked for once a session.
+    """
+    words = lines.select("session_id", F.explode(words_of(F.col("text"))).alias("token")).distinct()
     loose = words.filter(~F.col("token").isin(static)).join(vocabulary.select("session_id", "token").distinct(), ["session_id", "token"], "left_anti")
     bad = loose.groupBy("session_id").agg(F.count(F.lit(1)).alias("untraced"))
     return lines.select("session_id").distinct().join(bad, "session_id", "left").select("session_id", F.coalesce("untraced", F.lit(0)).cast("long").alias("untraced"), F.col("untraced").isNull().alias("traceable"))
 
 
+def supported_words(facts: DataFrame) -> DataFrame:
+    """session_id, token: every word that a session's facts license, by value, verbatim, translation, path or document."""
+    parts = [F.col(c).cast("string") for c in ("value", "verbatim", "verbatim_translated", "document_id") if c in facts.columns]
+    chunks = F.concat_ws(" ", *parts, F.translate("path", "._", "  "))
+    return facts.select("session_id", F.explode(words_of(chunks)).alias("token")).distinct()
+
+
+def trace_lines(lines: DataFrame, facts: DataFrame, static: list[str]) -> DataFrame:
+    """Per session the whole check of its lines (session_id, kind, text, fact_ids): fact_lines, untraced_lines (without a fact id), dangling_ids (of no fact of the
+    session), unsupported (words that no fact, nor ``static``, has) and ok, which a session is only with none of these.
+
+    Lines of another kind than ``fact`` claim nothing; of a line without ids the words aren't asked for, as it fails as it is. ``static`` are the words of
+    authored texts, which are few.
+    """
+    claims = lines.filter("kind = 'fact'").select("session_id", "text", "fact_ids")
+    held = F.size("fact_ids") > 0
+    by = claims.groupBy("session_id").agg(F.count(F.lit(1)).alias("fact_lines"), F.count_if(~F.coalesce(held, F.lit(False))).alias("untraced_lines"))
+    ids = claims.select("session_id", F.explode("fact_ids").alias("fact_id"))
+    dangling = ids.join(facts.select("session_id", "fact_id").distinct(), ["session_id", "fact_id"], "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("dangling_ids"))
+    words = claims.filter(held).select("session_id", F.explode(words_of(F.col("text"))).alias("token"))
+    words = words.groupBy("session_id", "token").agg(F.count(F.lit(1)).alias("n")).filter(~F.col("token").isin(static))
+    loose = words.join(supported_words(facts), ["session_id", "token"], "left_anti").groupBy("session_id").agg(F.sum("n").alias("unsupported"))
+    every = lines.select("session_id").distinct()
+    for part in (by, dangling, loose):
+        every = every.join(part, "session_id", "left")
+    counts = ["fact_lines", "untraced_lines", "dangling_ids", "unsupported"]
+    every = every.fillna(0, counts)
+    return every.select("session_id", *counts, (F.col("untraced_lines") + F.col("dangling_ids") + F.col("unsupported") == 0).alias("ok"))
+
+
 def prompt_fingerprint(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 

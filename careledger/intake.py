@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careledger import documents
-from careledger.ledger import value_is_echoed
+from careledger.evidence import value_is_echoed
 from careledger.shared import shared_path
 
 GOLD_SCRIPT = """id string, title string, language string, difficulty string, expected map<string,string>, expected_red_flags array<string>, forbidden_red_flags array<string>, expected_priority string,

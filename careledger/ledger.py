@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careledger.evidence import in_vocabulary, typed_value_is_echoed, value_is_echoed
+
 # The operators of conditions, in the order in which they apply.
 OPERATORS = ["recorded", "not_recorded", "eq", "ne", "in", "not_in", "contains", "gt", "lt", "gte", "lte"]
-NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 
 
 def value_of(values: Column, path: str) -> Column:
@@ -76,41 +77,37 @@ def display_values(value: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(known, value), value)
 
 
-def folded(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-
-
-def value_is_echoed(value: Column, verbatim: Column) -> Column:
-    """A value is backed by its span: as folded text either way, as the same number, or by all its words of more than two letters."""
-    v, hay = folded(value), folded(verbatim)
-    number = F.regexp_extract(F.trim(value), f"^{NUMBER}$", 0).try_cast("double")
-    numbers = F.transform(F.regexp_extract_all(verbatim, F.lit(NUMBER), F.lit(0)), lambda x: x.try_cast("double"))
-    same = F.exists(numbers, lambda x: F.abs(x - number) < 1e-9)
-    words = F.filter(F.split(v, " "), lambda w: F.length(w) > 2)
-    all_words = (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(F.split(hay, " "), w))
-    return F.coalesce((hay == "") | hay.contains(v) | v.contains(hay), F.lit(False)) | F.coalesce(same, F.lit(False)) | F.coalesce(all_words, F.lit(False))
-
-
 def validate_facts(facts: DataFrame, known_paths: list[str], granted: DataFrame | None = None, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """``facts`` with reject_reason: the first check that fails, null for an accepted fact.
 
     Checks in order: span kind, blank verbatim, null value, tier against span (a document's fact needs a document span, others an utterance),
     confirmed without a question, unknown path, consent scope (sessions in ``granted``), closed vocabulary (of the paths in ``vocabulary``), and
-    for other paths: a tapped value is among the selected ones, any other is echoed. Columns span_kind and selected_values count where ``facts`` has them.
+    for other paths: a tapped value is among the selected ones, any other is echoed. Columns span_kind, selected_values, verbatim_translated and human_reading count where
+    ``facts`` has them. A value may be a text or a VARIANT: of a list every entry must pass, numbers and booleans need no echo.
     """
     if granted is not None:
         facts = facts.join(granted.select("session_id").distinct().withColumn("_granted", F.lit(True)), "session_id", "left")
     no_scope = F.col("_granted").isNull() if granted is not None else F.lit(False)
     kind = F.col("span_kind") if "span_kind" in facts.columns else F.when(F.col("tier") == "document", "document").otherwise("utterance")
+    typed, value = dict(facts.dtypes)["value"] == "variant", F.col("value")
     coded, outside = F.col("path").isin(list(vocabulary or {})), F.lit(False)
     for path, options in (vocabulary or {}).items():
-        outside = outside | ((F.col("path") == path) & ~F.col("value").isin(options))
-    selected = F.array_contains("selected_values", F.col("value")) if "selected_values" in facts.columns else F.lit(True)
-    backed = F.when(F.col("modality") == "touch", F.coalesce(selected, F.lit(False))).otherwise(value_is_echoed(F.col("value"), F.col("verbatim")))
+        outside = outside | ((F.col("path") == path) & ~(in_vocabulary(value, options) if typed else value.isin(options)))
+    more = [F.col(c) for c in ("verbatim_translated", "human_reading") if c in facts.columns]
+    if typed:
+        # Without the options that were pressed there is nothing to hold a tapped value against.
+        pressed = F.when(F.col("modality") == "touch", F.coalesce("selected_values", F.array().cast("array<string>"))) if "selected_values" in facts.columns else None
+        backed = typed_value_is_echoed(value, F.col("verbatim"), *more, selected=pressed)
+        backed = backed if pressed is not None else backed | (F.col("modality") == "touch")
+        missing = value.isNull() | F.is_variant_null(value)
+    else:
+        selected = F.array_contains("selected_values", value) if "selected_values" in facts.columns else F.lit(True)
+        backed = F.when(F.col("modality") == "touch", F.coalesce(selected, F.lit(False))).otherwise(value_is_echoed(value, F.col("verbatim"), *more))
+        missing = value.isNull()
     reason = (
         F.when(~F.coalesce(kind.isin("utterance", "document"), F.lit(False)), "no source span")
         .when(F.coalesce(F.trim("verbatim"), F.lit("")) == "", "blank verbatim")
-        .when(F.col("value").isNull(), "null value")
+        .when(missing, "null value")
         .when((F.col("tier") == "document") & (kind != "document"), "document tier without document span")
         .when(F.col("tier").isin("stated", "confirmed") & (kind != "utterance"), "tier without utterance span")
         .when((F.col("tier") == "confirmed") & F.col("question_id").isNull(), "confirmed without question")

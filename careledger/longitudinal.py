@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careledger.evidence import texts_of
+
 #: The paths by which encounters are alike.
 SIMILARITY_PATHS = ["chief_complaint.text", "hpi.site", "hpi.character", "hpi.radiation", "hpi.timing", "hpi.associated", "hpi.exacerbating", "past_medical.conditions"]
 HOW_WE_KNOW = {"documented": "from a document", "stopped-reported": "reported stopped", "patient-reported-current": "told by the patient"}
@@ -103,39 +105,79 @@ def reconcile_live(medications: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def feature_sets(facts: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """encounter_id, path, value: distinct live values of the likeness paths; null, empty and 'none' dropped."""
-    value = F.col("value")
-    rows = live_facts(facts).filter(F.col("path").isin(paths or SIMILARITY_PATHS) & value.isNotNull() & (value != "") & (F.lower(value) != "none"))
-    return rows.select("encounter_id", "path", "value").distinct()
+    """encounter_id, path, value: distinct values of the likeness paths, of superseded facts, too; null, empty and 'none' dropped, lists (an array or a VARIANT) taken apart."""
+    kind, value = dict(facts.dtypes)["value"], F.col("value")
+    values = texts_of(value) if kind == "variant" else value if kind.startswith("array") else F.array(value)
+    rows = facts.filter(F.col("path").isin(paths or SIMILARITY_PATHS)).select("encounter_id", "path", F.explode(values).alias("value"))
+    return rows.filter(F.col("value").isNotNull() & ~F.col("value").isin("", "none")).distinct()
+
+
+def live_features(facts: DataFrame) -> DataFrame:
+    """encounter_id, path, value of all live facts of any path: the other set that visits are compared by."""
+    return live_facts(facts).filter("value is not null").select("encounter_id", "path", F.col("value").cast("string").alias("value")).distinct()
+
+
+#: Patients with up to so many visits are compared visit by visit; beyond it, and for sets of up to so many features, by what they share.
+DIRECT_VISITS, SUBSET_FEATURES = 64, 10
+
+
+def _near_of_few(rows: DataFrame, top: int) -> DataFrame:
+    """encounter_id and ``near``, its best others, of patients with few visits: one bounded array a patient."""
+    def nearest(me: Column, every: Column) -> Column:
+        met = F.transform(every, lambda o: F.struct(F.array_intersect(me["f"], o["f"]).alias("both"), o["at"].alias("at"), o["id"].alias("id")))
+        met = F.filter(met, lambda o: (F.size(o["both"]) > 0) & (o["id"] != me["id"]))
+        order = F.array_sort(F.transform(met, lambda o: F.struct((-F.size(o["both"])).alias("less"), o["at"].alias("at"), o["id"].alias("id"), o["both"].alias("both"))))
+        return F.struct(me["id"].alias("encounter_id"), F.slice(order, 1, top).alias("near"))
 
+    visits = rows.groupBy("patient_id").agg(F.collect_list(F.struct(F.col("occurred_at").alias("at"), F.col("encounter_id").alias("id"), "f")).alias("v"))
+    return visits.select(F.explode(F.transform("v", lambda me: nearest(me, F.col("v")))).alias("x")).select("x.*")
 
-def similar_encounters(features: DataFrame, encounters: DataFrame, top: int = 3) -> DataFrame:
+
+def _near_of_many(rows: DataFrame, top: int) -> DataFrame:
+    """The same for patients with many visits, without pairs of them.
+
+    Visits with the same features are one set, of which the ``top`` + 1 oldest count. The index has, for each part of a set, the ``top`` + 1 oldest visits with
+    that part; what shares exactly a part with a visit and isn't among them is behind ``top`` others that share as much and are older. So
+    a visit finds its nearest in the lists of its own parts. Parts are named by the exclusive or of their features' hashes, and what meets is verified on the sets.
+    Sets of more than SUBSET_FEATURES features have too many parts; they meet all others by single features.
+    """
+    sets = rows.withColumn("set_id", F.xxhash64("f"))
+    age = Window.partitionBy("patient_id", "set_id").orderBy("occurred_at", "encounter_id")
+    oldest = sets.withColumn("r", F.row_number().over(age)).filter(F.col("r") <= top + 1).drop("r")
+    wide = F.size("f") > SUBSET_FEATURES
+    parts = F.aggregate(F.transform("f", lambda x: F.xxhash64(x)), F.array(F.lit(0).cast("long")), lambda acc, h: F.concat(acc, F.transform(acc, lambda p: p.bitwiseXOR(h))))
+    part = F.explode(F.slice(parts, 2, (1 << SUBSET_FEATURES) - 1)).alias("part")
+    first = Window.partitionBy("patient_id", "part").orderBy("occurred_at", "encounter_id")
+    other = [F.col("encounter_id").alias("id"), F.col("occurred_at").alias("at"), F.col("f").alias("of")]
+    index = oldest.filter(~wide).select("patient_id", "encounter_id", "occurred_at", "f", part).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top + 1)
+    each = sets.select("patient_id", "set_id", "f").dropDuplicates(["patient_id", "set_id"])
+    met = each.filter(~wide).select("patient_id", "set_id", "f", part).join(index.select("patient_id", "part", *other), ["patient_id", "part"])
+    single = lambda df: df.withColumn("x", F.explode("f"))
+    by_one = single(each).join(single(oldest).select("patient_id", "x", wide.alias("wide"), *other), ["patient_id", "x"]).filter(wide | F.col("wide"))
+    columns = ["patient_id", "set_id", "f", "at", "id", "of"]
+    met = met.select(columns).unionByName(by_one.select(columns)).dropDuplicates(["patient_id", "set_id", "id"])
+    met = met.withColumn("both", F.array_intersect("f", "of")).withColumn("less", -F.size("both")).filter("less < 0")
+    best = Window.partitionBy("patient_id", "set_id").orderBy("less", "at", "id")
+    best = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top + 1)
+    lists = best.groupBy("patient_id", "set_id").agg(F.array_sort(F.collect_list(F.struct("less", "at", "id", "both"))).alias("all"))
+    near = F.slice(F.filter("all", lambda o: o["id"] != F.col("encounter_id")), 1, top).alias("near")
+    return sets.select("patient_id", "set_id", "encounter_id").join(lists, ["patient_id", "set_id"]).select("encounter_id", near)
+
+
+def similar_encounters(features: DataFrame, encounters: DataFrame, top: int = 3, direct: int = DIRECT_VISITS) -> DataFrame:
     """For each encounter the same patient's encounters that share most features; ties go to the oldest.
 
-    The join is keyed by patient, path and value, so patients never meet. Encounters of a patient with the same features are alike in all but their
-    age: they meet others as one set, of which only the ``top`` + 1 oldest can be among the nearest of any. Sets are counted by
-    number, and their features are put in words for the ranked ones only.
+    Patients never meet. Those with up to ``direct`` visits are compared within one bounded array, others by an index of the parts of their sets of features.
     """
-    feature = F.struct("path", "value")
+    feature = F.concat_ws("=", "path", "value")
     by = features.groupBy("encounter_id").agg(F.array_sort(F.collect_set(feature)).alias("f"))
     rows = by.join(encounters.select("encounter_id", "patient_id", "occurred_at"), "encounter_id")
-    age = Window.partitionBy("patient_id", "f").orderBy("occurred_at", "encounter_id")
-    oldest = rows.withColumn("r", F.row_number().over(age)).filter(F.col("r") <= top + 1)
-    sets = rows.select("patient_id", "f").distinct().withColumn("set_id", F.xxhash64("f"))
-    each = sets.select("patient_id", "set_id", F.posexplode("f").alias("at", "x"))
-    other = each.select("patient_id", "x", F.col("set_id").alias("other_id"))
-    pairs = each.join(other, ["patient_id", "x"]).groupBy("patient_id", "set_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
-    of = lambda df, name: df.withColumn(name, F.xxhash64("f")).withColumnRenamed("f", f"{name}_f")
-    alike = of(oldest, "other_id").select("patient_id", "other_id", "other_id_f", F.col("encounter_id").alias("similar_id"), F.col("occurred_at").alias("similar_at"))
-    # Best sets with their oldest encounters first, once per set; then each encounter leaves itself out.
-    first = Window.partitionBy("patient_id", "set_id").orderBy(F.desc("shared"), "similar_at", "similar_id")
-    near = pairs.join(alike, ["patient_id", "other_id"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top + 1)
-    order = Window.partitionBy("encounter_id").orderBy("r")
-    met = of(rows, "set_id").join(near, ["patient_id", "set_id"]).filter("encounter_id <> similar_id")
-    ranked = met.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    words = F.array_join(F.array_sort(F.transform(F.array_intersect("set_id_f", "other_id_f"), lambda x: F.concat_ws("=", x["path"], x["value"]))), ",")
-    band = F.when(F.col("shared") >= 4, "many").when(F.col("shared") >= 2, "some").otherwise("one")
-    return ranked.select("encounter_id", "similar_id", "shared", words.alias("shared_features"), band.alias("band"), "rank")
+    many = encounters.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct).select("patient_id")
+    near = _near_of_few(rows.join(many, "patient_id", "left_anti"), top).unionByName(_near_of_many(rows.join(many, "patient_id", "left_semi"), top))
+    ranked = near.select("encounter_id", F.posexplode("near").alias("at", "o"))
+    shared = (-F.col("o.less")).cast("long")
+    band = F.when(shared >= 4, "many").when(shared >= 2, "some").otherwise("one")
+    return ranked.select("encounter_id", F.col("o.id").alias("similar_id"), shared.alias("shared"), F.array_join(F.array_sort("o.both"), ",").alias("shared_features"), band.alias("band"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def observation_series(observations: DataFrame) -> DataFrame:
@@ -180,13 +222,18 @@ def previous_encounter(encounters: DataFrame) -> DataFrame:
 
 
 def what_changed(features: DataFrame, encounters: DataFrame) -> DataFrame:
-    """new, resolved and persisting features between each encounter and its previous one."""
-    pairs = previous_encounter(encounters).filter("previous_id is not null").select("encounter_id", "previous_id")
-    now = features.join(pairs.select("encounter_id"), "encounter_id", "left_semi").withColumn("now", F.lit(1))
-    before = pairs.join(features.withColumnRenamed("encounter_id", "previous_id"), "previous_id").select("encounter_id", "path", "value", F.lit(1).alias("before"))
-    both = now.join(before, ["encounter_id", "path", "value"], "full_outer")
-    change = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "resolved").otherwise("persisting")
-    return both.select("encounter_id", "path", "value", change.alias("change"))
+    """new, resolved and persisting features between each encounter and its previous one; ``features`` of either kind (feature_sets, live_features).
+
+    Features are gathered once an encounter (they are few), and each encounter gets those of the one before it in the patient's order.
+    """
+    sets = features.groupBy("encounter_id").agg(F.collect_set(F.struct("path", "value")).alias("f"))
+    none = F.array().cast(sets.schema["f"].dataType)
+    rows = encounters.select("encounter_id", "patient_id", "occurred_at").join(sets, "encounter_id", "left").withColumn("f", F.coalesce("f", none))
+    order = Window.partitionBy("patient_id").orderBy("occurred_at", "encounter_id")
+    rows = rows.withColumn("then", F.lag("f").over(order)).filter("then is not null")
+    told = lambda kind, items: F.transform(items, lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"), F.lit(kind).alias("change")))
+    changes = F.concat(told("new", F.array_except("f", "then")), told("resolved", F.array_except("then", "f")), told("persisting", F.array_intersect("f", "then")))
+    return rows.select("encounter_id", F.inline(changes))
 
 
 def cohort_pairs(patients: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
+from careledger import documents, evaluation, evidence, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
 from careledger.bindings import load, oracle
 from careledger.shared import shared_path
 
@@ -131,7 +131,7 @@ def reconcile_live(t):
     return longitudinal.reconcile_live(t("medication"), live)
 
 
-_FEATURES = "f AS (SELECT DISTINCT encounter_id, path, value FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL AND value <> 'none' AND path <> 'hpi.onset')"
+_FEATURES = "f AS (SELECT DISTINCT encounter_id, path, value FROM clinical_fact WHERE value NOT IN ('none', '') AND path <> 'hpi.onset')"
 
 
 @query(f"WITH {_FEATURES} SELECT * FROM f")
@@ -167,6 +167,15 @@ def what_changed(t):
     return longitudinal.what_changed(longitudinal.feature_sets(t("clinical_fact")), t("encounter"))
 
 
+@query("""WITH f AS (SELECT DISTINCT encounter_id, path, value FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL), v AS (SELECT encounter_id, lag(encounter_id) OVER (PARTITION BY patient_id ORDER BY occurred_at, encounter_id) AS pid FROM encounter),
+    n AS (SELECT f.* FROM f JOIN v ON f.encounter_id = v.encounter_id WHERE pid IS NOT NULL), b AS (SELECT v.encounter_id, path, value FROM v JOIN f ON f.encounter_id = pid)
+    SELECT coalesce(n.encounter_id, b.encounter_id) AS encounter_id, coalesce(n.path, b.path) AS path, coalesce(n.value, b.value) AS value,
+    CASE WHEN b.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'resolved' ELSE 'persisting' END AS change
+    FROM n FULL JOIN b ON n.encounter_id = b.encounter_id AND n.path = b.path AND n.value = b.value""")
+def what_changed_live(t):
+    return longitudinal.what_changed(longitudinal.live_features(t("clinical_fact")), t("encounter"))
+
+
 @query("SELECT fact_id, encounter_id, path, value FROM clinical_fact WHERE superseded_by IS NULL AND invalidated_reason IS NULL")
 def live_facts(t):
     return longitudinal.live_facts(t("clinical_fact")).select("fact_id", "encounter_id", "path", "value")
@@ -242,7 +251,39 @@ def display_values(t):
 
 @query(f"SELECT fact_id, {_ECHO} AS echoed FROM fact")
 def value_is_echoed(t):
-    return t("fact").select("fact_id", ledger.value_is_echoed(F.col("value"), F.col("verbatim")).alias("echoed"))
+    return t("fact").select("fact_id", evidence.value_is_echoed(F.col("value"), F.col("verbatim")).alias("echoed"))
+
+
+#: Typed values (JSON, the list of their entries, and of which type), and what patients said, in several scripts.
+_TYPED = [('"cancer"', ["cancer"], "text"), ('["chest pain","fever"]', ["chest pain", "fever"], "list"), ("true", ["True"], "bare"), ("34.0", ["34.0"], "bare"), ('"34.0"', ["34.0"], "text"), ('["fever",2]', ["fever", "2"], "list"), ("[]", [], "list"), ('"छाती में दर्द"', ["छाती में दर्द"], "text"), ("null", ["null"], "null")]
+_SAID = ["मुझे छाती में दर्द है", "Fever and Chest-Pain since 2 days", "ESR 34 mm/hr", "fever", "कैंसर (cancer) नहीं"]
+
+
+def _pick_sql(n: str, values: list[str]) -> str:
+    return f"CASE {n} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+_FOLD_SQL = "trim(regexp_replace(lower({}), '[^a-z0-9\\x{{0900}}-\\x{{0DFF}}]+', ' ', 'g'))"
+_TYPED_ECHO = f"""t AS (SELECT fact_id, seq, path, {_pick_sql("seq", [repr(e) for _, e, _ in _TYPED])} AS entries, {_pick_sql("seq", [repr(k) for _, _, k in _TYPED])} AS kind, {_pick_sql("(seq // 3)", [repr(x) for x in _SAID])} AS verbatim FROM fact),
+    e AS (SELECT *, kind = 'bare' OR (len(entries) > 0 AND len(list_filter(entries, lambda x: NOT (x = '2' OR contains({_FOLD_SQL.format("verbatim")}, {_FOLD_SQL.format("x")}) OR contains({_FOLD_SQL.format("x")}, {_FOLD_SQL.format("verbatim")})
+      OR CASE WHEN x = '34.0' THEN contains(verbatim, '34') ELSE len(list_filter(string_split({_FOLD_SQL.format("x")}, ' '), lambda w: length(w) > 2)) > 0 AND len(list_filter(string_split({_FOLD_SQL.format("x")}, ' '), lambda w: length(w) > 2 AND NOT contains({_FOLD_SQL.format("verbatim")}, w))) = 0 END))) = 0) AS echoed FROM t)"""
+
+
+def _typed_facts(t):
+    pick = lambda n, values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    return t("fact").withColumns({"value": F.parse_json(pick(F.col("seq"), [j for j, _, _ in _TYPED])), "verbatim": pick(F.floor(F.col("seq") / 3), _SAID)})
+
+
+@query(f"WITH {_TYPED_ECHO} SELECT fact_id, CASE WHEN kind = 'null' THEN true ELSE echoed END AS echoed FROM e")
+def typed_value_is_echoed(t):
+    return _typed_facts(t).select("fact_id", evidence.typed_value_is_echoed(F.col("value"), F.col("verbatim")).alias("echoed"))
+
+
+@query(f"""WITH {_TYPED_ECHO} SELECT fact_id, CASE WHEN kind = 'null' THEN 'null value' WHEN path = 'hpi.click' AND len(list_filter(entries, lambda x: x NOT IN ('fever', 'chest pain', '34.0', 'True'))) > 0 THEN 'not in vocabulary'
+    WHEN path <> 'hpi.click' AND NOT echoed THEN 'value not in span' END AS reject_reason FROM e""")
+def validate_typed_facts(t):
+    facts = _typed_facts(t).withColumns({"tier": F.lit("stated"), "span_kind": F.lit("utterance"), "modality": F.lit("speech")})
+    return ledger.validate_facts(facts, [*PATHS, "hpi.signup"], None, {"hpi.click": ["fever", "chest pain", "34.0", "True"]}).select("fact_id", "reject_reason")
 
 
 _SPAN = "CASE WHEN seq % 43 = 0 THEN NULL WHEN seq % 53 = 0 THEN 'picture' WHEN (tier = 'document') <> (seq % 47 = 0) THEN 'document' ELSE 'utterance' END"

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, governance, intake, ledger, longitudinal, promotion, queries, rules, streams, tables
+from careledger import documents, evaluation, evidence, governance, intake, ledger, longitudinal, promotion, queries, rules, streams, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_conditions_are_false_for_a_missing_path(spark):
 
 def test_numbers_echo_whatever_their_form(spark):
     df = spark.createDataFrame([("34.0", "ESR 34 mm/hr"), ("34.0", "ESR 340 mm/hr")], "v string, t string")
-    assert [r[0] for r in df.select(ledger.value_is_echoed(F.col("v"), F.col("t"))).collect()] == [True, False]
+    assert [r[0] for r in df.select(evidence.value_is_echoed(F.col("v"), F.col("t"))).collect()] == [True, False]
 
 
 def test_negation_stops_at_a_clause(spark):
