@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from careledger.rules import rank_of
 from careledger.shared import shared_path
+from careledger.streams import stream_priority
 
 
 def upsert_patients(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,9 +72,10 @@ def assemble_brief(encounters: DataFrame, facts: DataFrame, evidence: DataFrame,
     return encounters.join(lines, "encounter_id", "left").select("encounter_id", F.to_json(body).alias("brief"))
 
 
-def write_snapshots(briefs: DataFrame, path: str, version: str, generated_at) -> None:
-    """Append rendered briefs with their version."""
-    briefs.select("*", F.lit(version).alias("version"), F.lit(generated_at).cast("timestamp").alias("generated_at")).write.mode("append").parquet(path)
+def write_snapshots(briefs: DataFrame, path: str, version: str, generated_at, batch_id: str | None = None) -> None:
+    """Add rendered briefs with their version. A batch (by default that of the version) that is written again replaces itself."""
+    rows = briefs.select("*", F.lit(version).alias("version"), F.lit(generated_at).cast("timestamp").alias("generated_at"))
+    write_batch(rows, path, batch_id or version)
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
@@ -138,11 +140,59 @@ def fhir_bundles(encounters: DataFrame, facts: DataFrame, medications: DataFrame
     return encounters.select("encounter_id").join(bundles, "encounter_id", "left").select("encounter_id", "bundle")
 
 
-def write_durable(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None) -> None:
-    """Append each durable table under ``path``, partitioned by its column in ``partition_by`` if it has one."""
+BATCH = "batch_id"
+
+
+def write_batch(df: DataFrame, path: str, batch_id: str, partition_by: str | None = None) -> None:
+    """Write ``df`` as the one content of its batch's partition under ``path``: a rerun, after a failure or not, replaces what the batch wrote before,
+    and other batches stay. Until the job is committed readers see the batch as it was before."""
+    by = [partition_by] if partition_by else []
+    (df.write.partitionBy(*by) if by else df.write).mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{BATCH}={batch_id}")
+
+
+def write_durable(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None, batch_id: str | None = None) -> None:
+    """Add each durable table under ``path``, partitioned by its column in ``partition_by`` if it has one.
+
+    With a ``batch_id`` (of the promotion) a rerun writes nothing twice; without one rows are appended as they come.
+    """
     for name, df in tables.items():
         by = (partition_by or {}).get(name)
-        (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{path}/{name}")
+        if batch_id is None:
+            (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{path}/{name}")
+        else:
+            write_batch(df, f"{path}/{name}", batch_id, by)
+
+
+def _committed(spark, path: str) -> list[str]:
+    """Names of the finished versions under ``path``, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder)]
+    return sorted(p.getName() for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_patients(spark, path: str) -> DataFrame | None:
+    """The newest finished version of the patients under ``path``; None where there is none."""
+    versions = _committed(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
+
+
+def merge_patients(new: DataFrame, path: str, batch_id: str) -> DataFrame:
+    """Upsert ``new`` into the patients under ``path`` and return them: upsert_patients as a merge on disk.
+
+    A merge writes a version of its own, named by its number and batch, and a version counts once it is finished; so a job that dies leaves
+    the patients as they were, and a batch that is merged already isn't merged again. One writer at a time is expected.
+    """
+    spark = new.sparkSession
+    done = _committed(spark, path)
+    if any(v.endswith(f"-{batch_id}") for v in done):
+        return read_patients(spark, path)
+    old = read_patients(spark, path)
+    merged = upsert_patients(new.limit(0) if old is None else old, new)
+    merged.write.mode("overwrite").parquet(f"{path}/version={len(done):08d}-{batch_id}")
+    return read_patients(spark, path)
 
 
 def bundle_resource_counts(resources: DataFrame) -> DataFrame:
@@ -159,11 +209,6 @@ def stream_dedupe(facts: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
-def stream_priority(turns: DataFrame) -> DataFrame:
-    """The highest rank that a session has had so far."""
-    return turns.groupBy("session_id").agg(F.max("rank").alias("rank"))
-
-
 def stream_sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     """Sessions of activity that end after ``gap`` without any."""
     by = events.withWatermark("ts", gap).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
@@ -241,7 +286,8 @@ def register(query) -> None:
     def write_durable(t):
         spark = t("encounter").sparkSession
         path = shared_path(spark, "durable")
-        globals()["write_durable"]({"encounter": t("encounter"), "medication": t("medication")}, path, {"encounter": "kind"})
+        for _ in range(2):  # a rerun of the batch changes nothing
+            globals()["write_durable"]({"encounter": t("encounter"), "medication": t("medication")}, path, {"encounter": "kind"}, "b1")
         of = lambda name, by: spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("name"), F.col(by).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
         return of("encounter", "kind").unionByName(of("medication", "status"))
 
@@ -250,6 +296,17 @@ def register(query) -> None:
         rows = t("orders").select(F.col("o_custkey").alias("encounter_id"), F.col("o_orderstatus").alias("audience"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("generated_at"))
         return globals()["latest_snapshot"](rows).select("encounter_id", "audience", "id")
 
+    @query("""WITH n AS (SELECT * FROM patient WHERE patient_id % 3 <> 0), o AS (SELECT abha_ref, display_name, CAST(NULL AS VARCHAR) AS gender FROM patient WHERE patient_id % 3 <> 1),
+        k AS (SELECT coalesce(o.abha_ref, n.abha_ref) AS abha_ref, coalesce(o.display_name, n.display_name) AS display_name, coalesce(o.gender, n.gender) AS gender FROM (SELECT * FROM o WHERE abha_ref IS NOT NULL) o FULL JOIN (SELECT * FROM n WHERE abha_ref IS NOT NULL) n ON o.abha_ref = n.abha_ref)
+        SELECT * FROM k UNION ALL SELECT abha_ref, display_name, gender FROM o WHERE abha_ref IS NULL UNION ALL SELECT abha_ref, display_name, gender FROM n WHERE abha_ref IS NULL""")
+    def merge_patients(t):
+        path = shared_path(t("patient").sparkSession, "patients")
+        first = t("patient").filter("patient_id % 3 <> 1").select("abha_ref", "display_name", F.lit(None).cast("string").alias("gender"))
+        second = t("patient").filter("patient_id % 3 <> 0").select("abha_ref", "display_name", "gender")
+        globals()["merge_patients"](first, path, "b1")
+        globals()["merge_patients"](second, path, "b2")
+        return globals()["merge_patients"](second, path, "b2")  # once more: nothing changes
+
     @query("""SELECT session_id, CASE priority WHEN 'immediate' THEN 2 WHEN 'urgent' THEN 1 ELSE 0 END AS rank, CAST(floor((epoch(TIMESTAMP '2024-03-01 00:00:00') - epoch(created_at)) / 60) AS BIGINT) AS waiting_minutes FROM session WHERE purged_at IS NULL""")
     def triage_queue(t):
         return globals()["triage_queue"](t("session"), "2024-03-01 00:00:00")
