@@ -4,8 +4,9 @@ Every document of a source gets the same expected number of copies, target / sou
 part is taken; the fraction is settled by pairing documents and moving probability mass between the two,
 in words, until one of them is integral. The words of a pair stay the same, so a source's words
 stay on target up to the last open document, which goes by its own
-probability; one other document of about the size of what that leaves over or short is then exchanged. Blocks of bounded size are folded in parallel; each
-leaves one open document, and these are combined level by level in a reduction tree.
+probability. Blocks of bounded size are folded in parallel; each leaves one open document, and these are combined level by level in a reduction tree. A block is
+folded from its largest document to its smallest, so that large ones are settled against their like and what is left open is small. What the last one leaves over or
+short is then made good by changing sides of some settled documents, a bounded choice of each order of size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ MAX_REPEAT = 3
 #: Documents in a block of the tree, about; a block that came out larger is cut at twice as many.
 BLOCK = 64
 
-ITEM = "struct<h:bigint,blk:bigint,rn:bigint,rid:bigint,size:bigint,m:double>"
+#: Documents of each order of size that may change sides in the end.
+MAKE_GOOD = 64
+#: Share of its target that a source may be off before other choices are tried, and how many.
+NEAR, TRIES = 0.002, 1024
+
+#: By falling size first: that is the order in which a block is folded.
+ITEM = "struct<less:bigint,h:bigint,blk:bigint,rn:bigint,rid:bigint,size:bigint,m:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +60,7 @@ def _fold() -> str:
     done = "struct<h:bigint,rid:bigint,size:bigint,up:int>"
     moved = "named_struct('a', acc.r.m + if(s.u * (s.d1 + s.d2) < s.d2, s.d1, -s.d2), 'b', x.m - if(s.u * (s.d1 + s.d2) < s.d2, s.d1, -s.d2))"
     settle = "named_struct('h', {0}.h, 'rid', {0}.rid, 'size', {0}.size, 'up', if({1} * 2 > {0}.size, 1, 0))"
-    open_ = "named_struct('h', {0}.h, 'blk', {0}.blk, 'rn', {0}.rn, 'rid', {0}.rid, 'size', {0}.size, 'm', {1})"
+    open_ = "named_struct('less', {0}.less, 'h', {0}.h, 'blk', {0}.blk, 'rn', {0}.rn, 'rid', {0}.rid, 'size', {0}.size, 'm', {1})"
     whole = "t.a <= 1e-9 * acc.r.size or t.a >= (1 - 1e-9) * acc.r.size"
     step = f"""if({whole},
         named_struct('r', {open_.format('x', 't.b')}, 'done', concat(acc.done, array({settle.format('acc.r', 't.a')}))),
@@ -66,6 +73,36 @@ def _fold() -> str:
             s -> {moved}), t -> {step})[0])"""
 
 
+def _make_good(decided: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
+    """rid, changed (true) of the documents that change sides so that what a source is ``over`` (or short, below 0) all but goes.
+
+    Of each side and order of size MAKE_GOOD documents are looked at, by a hash. From large to small, one on the side that is too full changes if
+    it is no larger than what is left to make good. Where more than NEAR of the target is left then, as in sources of few unequal documents, those that were looked
+    at are taken anew in TRIES random orders, each as long as it fits or is hardly over, and the nearest outcome replaces the present one, if it is nearer.
+    """
+    gaps = gaps.select(F.col("source").alias("_s"), "over", "target").filter("over <> 0")
+    rows = decided.join(gaps, decided["source"].eqNullSafe(F.col("_s"))).withColumn("full", F.col("up") == (F.col("over") > 0).cast("int")).withColumn("tie", F.xxhash64("h", F.lit(seed + 3)))
+    some = Window.partitionBy("source", "full", F.floor(F.log2("size"))).orderBy("tie", "rid")
+    rows = rows.withColumn("nth", F.row_number().over(some)).filter(F.col("nth") <= MAKE_GOOD)
+    item = F.struct((-F.col("size")).alias("less"), "tie", "rid", "size")
+    by = rows.groupBy("source").agg(F.first("over").alias("over"), F.first(F.abs("over")).alias("off"), F.first("target").alias("target"), F.sort_array(F.collect_list(F.when(F.col("full"), item))).alias("items"), F.sort_array(F.collect_list(F.when(~F.col("full"), item))).alias("others"))
+    fold = """aggregate(items, named_struct('left', off, 'rids', cast(array() as array<bigint>)), (acc, x) ->
+        if(x.size <= acc.left, named_struct('left', acc.left - x.size, 'rids', concat(acc.rids, array(x.rid))), acc))"""
+    by = by.withColumn("f", F.expr(fold))
+    # What is left under the smallest size can't be made good by whole documents but by chance.
+    least = "array_min(transform(concat(items, others), x -> x.size))"
+    by = by.withColumn("taken", F.expr("if(over > 0, items, others)")).withColumn("want", F.expr("aggregate(taken, -over, (acc, x) -> acc + x.size)"))
+    order = "array_sort(transform(concat(items, others), x -> struct(xxhash64(x.tie, k) as h, x.size as size, x.rid as rid)))"
+    attempt = f"""aggregate({order}, named_struct('left', want + k % 4 * {NEAR} * target, 'rids', cast(array() as array<bigint>)), (acc, x) ->
+        if(x.size <= acc.left, named_struct('left', acc.left - x.size, 'rids', concat(acc.rids, array(x.rid))), acc))"""
+    best = f"array_min(transform(sequence(1, {TRIES}), k -> transform(array({attempt}), t -> named_struct('off', abs(t.left - k % 4 * {NEAR} * target), 'k', k, 'rids', t.rids))[0]))"
+    by = by.withColumn("best", F.when(F.expr(f"f.left > greatest({least}, {NEAR} * target)"), F.expr(best)))
+    before = F.transform("taken", lambda x: x["rid"])
+    other = F.concat(F.array_except(before, "best.rids"), F.array_except("best.rids", before))
+    rids = F.when(F.col("best.off") < F.col("f.left"), other).otherwise(F.col("f.rids"))
+    return by.select(F.explode(rids).alias("rid"), F.lit(True).alias("changed"))
+
+
 def _decide(rows: DataFrame, seed: int) -> DataFrame:
     """rid, source, size, source_size, target, copies of ``rows`` (rid: unique; id, source, size, text_hash)."""
     targets = materialize(source_targets(rows), "mix-targets")
@@ -79,7 +116,7 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
     leaf = rows.filter(is_open).withColumn("h", F.xxhash64("id", "text_hash", F.lit(seed)))
     leaf = leaf.withColumn("blk", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("nblk")))
     leaf = leaf.withColumn("rn", F.row_number().over(Window.partitionBy("source", "blk").orderBy("h", "id", "text_hash", "rid")).cast("long"))
-    level = leaf.select("source", "nblk", F.col("blk").alias("at"), F.floor(F.col("rn") / (2 * BLOCK)).alias("cut"), F.struct("h", "blk", "rn", "rid", "size", (F.col("frac") * F.col("size")).alias("m")).cast(ITEM).alias("item"))
+    level = leaf.select("source", "nblk", F.col("blk").alias("at"), F.floor(F.col("rn") / (2 * BLOCK)).alias("cut"), F.struct((-F.col("size")).alias("less"), "h", "blk", "rn", "rid", "size", (F.col("frac") * F.col("size")).alias("m")).cast(ITEM).alias("item"))
     width = targets.agg(F.max("n_docs")).first()[0] or 0
     parts, levels = [], []
     while True:
@@ -94,23 +131,18 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
         fewer = F.greatest(F.lit(1), F.ceil(F.col("nblk") / BLOCK))
         level = folded.select("source", fewer.alias("nblk"), F.pmod(F.col("at"), fewer).alias("at"), F.lit(0).cast("long").alias("cut"), F.col("f.r").alias("item"))
 
-    # The last open document of a source has no partner left: it is taken by its own probability. Then one settled document of about the
-    # size of what this leaves over or short changes sides, if that brings the source's words nearer to the target.
+    # The last open document of a source has no partner left: it is taken by its own probability.
     settled = materialize(reduce(DataFrame.unionByName, parts), "mix-settled")
     chance = F.shiftrightunsigned(F.xxhash64("h", F.lit(seed + 2)), 11) / F.lit(float(1 << 53))
-    last = folded.select("source", F.col("f.r.*")).withColumn("last_up", (chance * F.col("size") < F.col("m")).cast("int"))
-    last = last.withColumn("gap", F.when(F.col("last_up") == 1, F.col("size") - F.col("m")).otherwise(F.col("m")))
-    last = materialize(last.select(F.col("source").alias("_s"), "rid", "size", "last_up", "gap"), "mix-last")
-    facing = settled.join(last.select("_s", "last_up", "gap"), settled["source"].eqNullSafe(F.col("_s")) & (F.col("up") == F.col("last_up")))
-    exchange = facing.select("source", F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h").alias("tie"), "rid")
-    neither = last.select(F.col("_s").alias("source"), F.col("gap").alias("off"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast("long").alias("rid"))
-    pick = exchange.unionByName(neither).groupBy("source").agg(F.min(F.struct("off", "tie", "rid")).alias("p")).select(F.col("p.rid").alias("_rid")).filter("_rid is not null")
-    pick = materialize(pick, "mix-exchange")
-    changed = settled.join(pick, F.col("rid") == F.col("_rid"), "left").select("rid", F.when(F.col("_rid").isNotNull(), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
-    rounded = changed.unionByName(last.select("rid", F.col("last_up").alias("up")))
+    last = folded.select("source", F.col("f.r.*")).withColumn("up", (chance * F.col("size") < F.col("m")).cast("int"))
+    last = materialize(last.select("source", "h", "rid", "size", "up", (F.when(F.col("up") == 1, F.col("size")).otherwise(0) - F.col("m")).alias("over")), "mix-last")
+    decided_ = settled.select("source", "h", "rid", "size", "up").unionByName(last.drop("over"))
+    gaps = last.select("source", "over").join(targets.select(F.col("source").alias("_t"), "target"), F.col("source").eqNullSafe(F.col("_t")))
+    change = materialize(_make_good(decided_, gaps, seed), "mix-change")
+    rounded = decided_.join(change.hint("merge"), "rid", "left").select("rid", F.when(F.col("changed"), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
     decided = rows.join(rounded, "rid", "left").withColumn("copies", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int"))
     decided = materialize(decided.select("rid", "id", "source", "size", "source_size", "target", "copies"), "mix-decided")
-    discard(targets, settled, last, pick, *levels)
+    discard(targets, settled, last, change, *levels)
     return decided
 
 
