@@ -248,13 +248,30 @@ def grant_consent(requests: DataFrame, known: list[str], required: list[str], tt
     )
 
 
+def _owned(has: Column) -> Column:
+    """Whether a scope, as ``has`` tells of one, owns a fact."""
+    return (has("documents") & (F.col("tier") == "document")) | (has("voice") & F.coalesce(F.col("modality") == "speech", F.lit(False))) | (has("ayush") & F.col("path").startswith("ayush."))
+
+
 def revoke_consent(facts: DataFrame, revocations: DataFrame) -> DataFrame:
     """Facts that survive: 'documents' takes document facts, 'voice' spoken ones, 'ayush' paths under ayush.; other scopes take none."""
-    owned = F.when(F.col("scope") == "documents", F.col("tier") == "document").when(F.col("scope") == "voice", F.col("modality") == "speech").when(F.col("scope") == "ayush", F.col("path").startswith("ayush."))
-    gone = facts.join(revocations.select("session_id", "scope").distinct(), "session_id").filter(owned)
+    gone = facts.join(revocations.select("session_id", "scope").distinct(), "session_id").filter(_owned(lambda s: F.col("scope") == s))
     return facts.join(gone.select("session_id", "fact_id").distinct(), ["session_id", "fact_id"], "left_anti")
 
 
+def withdraw_consent(consents: DataFrame, facts: DataFrame, required: list[str]) -> DataFrame:
+    """What is left of each consent (session_id, granted, refused, scopes: those withdrawn; null or none: all): revoked_scopes, remaining_scopes and refused_scopes, each sorted, facts_purged
+    (that revoke_consent takes), and session_ended: no required scope is left. One row per row of ``consents``, which has a session once.
+    """
+    all_ = F.size(F.coalesce("scopes", F.array().cast("array<string>"))) == 0
+    targets = F.array_sort(F.array_distinct(F.when(all_, F.col("granted")).otherwise(F.col("scopes"))))
+    rows = consents.select("session_id", targets.alias("revoked_scopes"), F.array_sort(F.array_except("granted", targets)).alias("remaining_scopes"), F.array_sort(F.array_union("refused", targets)).alias("refused_scopes"))
+    owned = facts.join(rows.select("session_id", "revoked_scopes"), "session_id").filter(_owned(lambda s: F.array_contains("revoked_scopes", s)))
+    purged = owned.groupBy("session_id").agg(F.count(F.lit(1)).alias("facts_purged"))
+    ended = ~F.arrays_overlap("remaining_scopes", F.array(*[F.lit(s) for s in required]))
+    return rows.join(purged, "session_id", "left").fillna(0, ["facts_purged"]).withColumn("session_ended", ended)
+
+
 def active_consents(consents: DataFrame, scope: str, now: Column) -> DataFrame:
     """Consents that aren't revoked, haven't expired and grant ``scope``."""
     return consents.filter(F.col("revoked_at").isNull() & (F.col("expires_at") > now) & F.array_contains("scopes", scope))

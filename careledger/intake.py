@@ -88,30 +88,42 @@ YES = ["yes", "yeah", "haan", "haa", "ji haan", "ho", "aan", "correct", "true",
 NO = ["no", "nahin", "nahi", "never", "kabhi nahin", "not", "illa", "false"]
 
 
+def _cue(words: list[str]) -> Column:
+    """The slice of the text where the longest of these words stands that is a whole word anywhere in it; null where none is."""
+    said = [F.when(F.col("text").rlike(rf"(?i)(?<!\w){w}(?!\w)"), F.substr("text", F.instr(F.lower("text"), w), F.lit(len(w)))) for w in sorted(words, key=len, reverse=True)]
+    return F.coalesce(*said)
+
+
 def extract_slots(utterances: DataFrame, questions: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """One slot per utterance by its question's kind (few), or none, and then the text is unplaced.
+    """One slot per utterance by its question's kind (few) with its quote, or none, and then the text is unplaced.
 
     ``hits`` (of documents.match_options) decide choices: the best one for a single choice, all but none for several, with the
-    least of their scores. Refusal beats agreement, as whole words; a scale takes the first whole number to 10; open text is itself.
+    least of their scores and the smallest slice of the text that covers them all. Refusal beats agreement, as whole words; a scale takes the first whole number to 10; open text is
+    itself. A quote always stands in its turn.
     """
     rows = utterances.join(questions.select("question_id", "kind"), "question_id", "left")
     none = F.lit(None).cast("string")
     if hits is not None:
-        some = F.filter(F.array_sort(F.collect_list(F.struct("rank", "option_value", "score"))), lambda h: h["option_value"] != "none")
-        by = hits.groupBy("session_id", "turn_id").agg(F.min_by("option_value", "rank").alias("_top"), F.max_by("score", -F.col("rank")).alias("_score"), some.alias("_all"))
+        some = F.filter(F.array_sort(F.collect_list(F.struct("rank", "option_value", "score", "at", (F.col("at") + F.length("quote")).alias("end")))), lambda h: h["option_value"] != "none")
+        by = hits.groupBy("session_id", "turn_id").agg(F.min_by("option_value", "rank").alias("_top"), F.min_by("quote", "rank").alias("_quote"), F.max_by("score", -F.col("rank")).alias("_score"), some.alias("_all"))
         rows = rows.join(by, ["session_id", "turn_id"], "left")
         single, several = F.col("_top"), F.when(F.size("_all") > 0, F.array_join(F.transform("_all", lambda h: h["option_value"]), ","))
         sure = F.when(F.col("kind") == "multi", F.array_min(F.transform("_all", lambda h: h["score"]))).otherwise(F.col("_score"))
+        begin, end = F.array_min(F.transform("_all", lambda h: h["at"])), F.array_max(F.transform("_all", lambda h: h["end"]))
+        quoted, covering = F.col("_quote"), F.substr("text", (begin + 1).cast("int"), (end - begin).cast("int"))
     else:
-        single, several, sure = none, none, F.lit(None).cast("double")
+        single, several, sure, quoted, covering = none, none, F.lit(None).cast("double"), none, none
     word = lambda w: F.lower("text").rlike(rf"(?<!\w)(?:{'|'.join(w)})(?!\w)")
     kind, text = F.col("kind"), F.nullif(F.trim("text"), F.lit(""))
+    number = F.nullif(F.regexp_extract("text", r"\b(10|[0-9])\b", 1), F.lit(""))
     value = (
         F.when(kind == "single", single).when(kind == "multi", several).when(kind == "boolean", F.when(word(NO), "false").when(word(YES), "true"))
-        .when(kind == "scale", F.nullif(F.regexp_extract("text", r"\b(10|[0-9])\b", 1), F.lit(""))).otherwise(F.coalesce(single, text))
+        .when(kind == "scale", number).otherwise(F.coalesce(single, text))
     )
+    quote = F.when(kind == "multi", covering).when(kind == "boolean", F.when(word(NO), _cue(NO)).otherwise(_cue(YES))).when(kind == "scale", number).when((kind == "single") | single.isNotNull(), quoted).otherwise(text)
     given = F.when(kind == "boolean", 0.8).when(kind == "scale", 0.75).when(kind.isin("single", "multi") | single.isNotNull(), sure).otherwise(0.9)
-    return rows.select("session_id", "turn_id", value.alias("value"), F.when(value.isNotNull(), given).alias("confidence"), F.when(value.isNull(), text).alias("unplaced"))
+    there = value.isNotNull()
+    return rows.select("session_id", "turn_id", value.alias("value"), F.when(there, quote).alias("quote"), F.when(there, given).alias("confidence"), F.when(~there, text).alias("unplaced"))
 
 
 def extract_entities(lines: DataFrame) -> DataFrame:
@@ -389,15 +401,16 @@ def register(query) -> None:
         return found.groupBy("id").agg(F.count(F.lit(1)).alias("turns"), F.count_if("t.decline").alias("declined"), F.round(F.sum("t.asr_confidence"), 6).alias("confidence"))
 
     yes, no = "|".join(YES), "|".join(NO)
+    cue = lambda words: "CASE " + " ".join(f"WHEN regexp_matches(lower(whole), '\\b{w}\\b') THEN substr(whole, instr(lower(whole), '{w}'), {len(w)})" for w in sorted(words, key=len, reverse=True)) + " END"
 
     @query(f"""WITH v AS (SELECT session_id, turn_id, question_id, nullif(trim(text), '') AS text, CASE question_id WHEN 'q0' THEN CASE WHEN regexp_matches(lower(text), '\\b({no})\\b') THEN 'false' WHEN regexp_matches(lower(text), '\\b({yes})\\b') THEN 'true' END
-        WHEN 'q1' THEN nullif(regexp_extract(text, '\\b(10|[0-9])\\b', 1), '') ELSE nullif(trim(text), '') END AS value FROM utterance)
-        SELECT session_id, turn_id, value, CAST(CASE WHEN value IS NOT NULL THEN CASE question_id WHEN 'q0' THEN 0.8 WHEN 'q1' THEN 0.75 ELSE 0.9 END END AS DOUBLE) AS confidence, CASE WHEN value IS NULL THEN text END AS unplaced FROM v""")
+        WHEN 'q1' THEN nullif(regexp_extract(text, '\\b(10|[0-9])\\b', 1), '') ELSE nullif(trim(text), '') END AS value, text AS whole FROM utterance)
+        SELECT session_id, turn_id, value, CASE WHEN question_id <> 'q0' THEN value WHEN value = 'false' THEN {cue(NO)} WHEN value = 'true' THEN {cue(YES)} END AS quote, CAST(CASE WHEN value IS NOT NULL THEN CASE question_id WHEN 'q0' THEN 0.8 WHEN 'q1' THEN 0.75 ELSE 0.9 END END AS DOUBLE) AS confidence, CASE WHEN value IS NULL THEN text END AS unplaced FROM v""")
     def extract_slots(t):
         u = t("utterance")
         return globals()["extract_slots"](u, u.sparkSession.createDataFrame([("q0", "boolean"), ("q1", "scale"), ("q2", "open")], "question_id string, kind string"))
 
-    @query("""WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS n, doc_id % 7 = 0 AS cued, CASE WHEN doc_id % 7 IN (0, 1) THEN CAST(o_orderdate AS DATE) WHEN doc_id % 7 = 2 THEN make_date(year(o_orderdate), 3, 12) WHEN doc_id % 7 = 3 THEN make_date(year(o_orderdate), 3, 1) WHEN doc_id % 7 IN (4, 5) THEN make_date(year(o_orderdate), 1, 1) END AS day,
+    @query("""WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS n, doc_id % 7 IN (0, 1, 5) AS cued, CASE WHEN doc_id % 7 IN (0, 1) THEN CAST(o_orderdate AS DATE) WHEN doc_id % 7 = 2 THEN make_date(year(o_orderdate), 3, 12) WHEN doc_id % 7 = 3 THEN make_date(year(o_orderdate), 3, 1) WHEN doc_id % 7 IN (4, 5) THEN make_date(year(o_orderdate), 1, 1) END AS day,
         CASE WHEN doc_id % 7 < 3 THEN 'exact' WHEN doc_id % 7 = 3 THEN 'month' ELSE 'year' END AS precision FROM date_line d JOIN orders ON d.doc_id = o_orderkey),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT cued, n) AS r FROM l WHERE day IS NOT NULL) SELECT doc_id, day AS document_date, precision FROM r WHERE r = 1""".replace("doc_id % 7", "d.doc_id % 7"))
     def document_date(t):

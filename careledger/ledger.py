@@ -199,13 +199,40 @@ def completeness(slots: DataFrame) -> DataFrame:
     return by.select("session_id", "section", "recorded", F.coalesce(F.round(F.col("recorded") / of, 4), F.lit(0.0)).alias("completeness"))
 
 
+def _progress(questions: list[dict], values: Column, declined: Column | None) -> tuple[Column, Column]:
+    """How many of the questions are open, and how many of these are answered or declined; derived ones are not asked."""
+    zero, open_, done = F.lit(0), [], []
+    for q in questions:
+        if q.get("kind") != "derived":
+            asked, settled = rule_expr(q.get("ask_if", []), values), value_of(values, q["path"]).isNotNull()
+            if declined is not None:
+                settled = settled | F.coalesce(F.array_contains(declined, q["id"]), F.lit(False))
+            open_.append(asked.cast("int"))
+            done.append((asked & settled).cast("int"))
+    return reduce(lambda a, b: a + b, open_, zero).cast("long"), reduce(lambda a, b: a + b, done, zero).cast("long")
+
+
 def askable_progress(session_values: DataFrame, questions: list[dict]) -> DataFrame:
-    """Per session: how many questions are open by their ``ask_if`` (a rule), how many of these are answered, and the percentage."""
-    values = F.col("values")
-    asks = [rule_expr(q.get("ask_if", []), values) for q in questions]
-    open_ = reduce(lambda a, b: a + b, [a.cast("int") for a in asks])
-    done = reduce(lambda a, b: a + b, [(a & value_of(values, q["path"]).isNotNull()).cast("int") for a, q in zip(asks, questions, strict=True)])
-    return session_values.select("session_id", open_.cast("long").alias("askable"), done.cast("long").alias("answered"), F.round(100 * done / F.greatest(open_, F.lit(1)), 4).alias("percent"))
+    """Per session: how many questions are open by their ``ask_if`` (a rule), how many of these are answered or declined, and the percentage; 100 where none is open.
+
+    Derived questions (kind) don't count. Declined ones are the ids in the column ``declined``, where the sessions have it.
+    """
+    declined = F.col("declined") if "declined" in session_values.columns else None
+    open_, done = _progress(questions, F.col("values"), declined)
+    return session_values.select("session_id", open_.alias("askable"), done.alias("answered"), F.when(open_ > 0, F.round(100 * done / open_, 4)).otherwise(100.0).alias("percent"))
+
+
+def section_progress(session_values: DataFrame, questions: list[dict]) -> DataFrame:
+    """askable_progress per session and section of the questions, in the order in which sections first occur; complete where all open ones, of one at least, are done."""
+    declined = F.col("declined") if "declined" in session_values.columns else None
+    sections: dict[str, list[dict]] = {}
+    for q in questions:
+        sections.setdefault(q["section"], []).append(q)
+    each = []
+    for section, own in sections.items():
+        open_, done = _progress(own, F.col("values"), declined)
+        each.append(F.struct(F.lit(section).alias("section"), done.alias("answered"), open_.alias("total"), ((open_ > 0) & (open_ == done)).alias("complete")))
+    return session_values.select("session_id", F.inline(F.array(*each)))
 
 
 def next_open_question(session_values: DataFrame, questions: list[dict], visits: Column, most: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careledger.evidence import texts_of
+from careledger.evidence import casefolded, texts_of
 
 #: The paths by which encounters are alike.
 SIMILARITY_PATHS = ["chief_complaint.text", "hpi.site", "hpi.character", "hpi.radiation", "hpi.timing", "hpi.associated", "hpi.exacerbating", "past_medical.conditions"]
@@ -181,8 +181,13 @@ def similar_encounters(features: DataFrame, encounters: DataFrame, top: int = 3,
 
 
 def observation_series(observations: DataFrame) -> DataFrame:
-    """Per patient and analyte with two dated numbers or more: points, last value, its change from the one before, readings out of range."""
+    """Per patient and analyte with two dated numbers or more: points, last value, its change from the one before, readings out of range.
+
+    A reading without a key goes by its display in lower case, where observations have it.
+    """
     points = observations.filter("value is not null and observed_on is not null")
+    if "display" in points.columns:
+        points = points.withColumn("analyte_key", F.coalesce(F.nullif("analyte_key", F.lit("")), casefolded(F.col("display"))))
     key = ["patient_id", "analyte_key"]
     order = Window.partitionBy(*key).orderBy("observed_on", "tie", "encounter_id", "value")
     # Only the last point is kept after the window, so nothing is collected.

