@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careledger import documents, evaluation, evidence, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
+from careledger import bundles, documents, evaluation, evidence, governance, intake, ledger, longitudinal, promotion, rules, streams, summary, tables
 from careledger.bindings import load, oracle
 from careledger.shared import shared_path
 
@@ -760,6 +760,7 @@ def verify_codes(t):
     return items.join(verdicts, ["url", "version", "code"]).select("p_partkey", "verdict")
 
 
+bundles.register(query)
 documents.register(query)
 evaluation.register(query)
 intake.register(query)
