@@ -351,28 +351,43 @@ def newest_concepts(systems: DataFrame, concepts: DataFrame) -> DataFrame:
     return concepts.join(newest, ["url", "version"], "left_semi")
 
 
-def _grams(text: Column) -> Column:
-    """All stretches of one to three letters of a text, each once."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(text, i, n)))))
+def _pieces(text: Column, n: int = 3) -> Column:
+    """All stretches of n letters of a text, each once; a shorter text is its own."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def _hits_by_rare_piece(inner: DataFrame, outer: DataFrame, n: int) -> DataFrame:
+    """Pairs of ``inner`` (a text of n letters or more) and ``outer`` texts that contain them, both tables of distinct texts.
+
+    What contains a text contains its rarest piece; so an inner text stands under that piece only, and the outer ones meet it by their pieces that some
+    inner text stands under. Pieces that are common among outer texts serve an inner text only if it has no rarer one.
+    """
+    each = outer.select("outer", F.explode(_pieces(F.col("outer"), n)).alias("piece"))
+    common = each.groupBy("piece").agg(F.count(F.lit(1)).alias("held"))
+    own = inner.select("inner", F.explode(_pieces(F.col("inner"), n)).alias("piece"))
+    # A piece that no outer text has rules the inner text out: it is the rarest, and meets nothing.
+    rarest = own.join(common, "piece", "left").groupBy("inner").agg(F.min_by("piece", F.struct(F.coalesce("held", F.lit(0)), "piece")).alias("piece"))
+    return rarest.join(each, "piece").filter(F.col("outer").contains(F.col("inner")) & (F.col("outer") != F.col("inner"))).select("inner", "outer")
 
 
 def lookup_terms(terms: DataFrame, concepts: DataFrame, limit: int = 5) -> DataFrame:
     """Terms (term, key) against concepts (code, display_normalized): exact, display contains term, term contains display; five at most.
 
-    What contains a text contains its first three letters: each class is an equi-join, on the whole text or on these letters, and containment is
-    verified on the pairs that meet. Displays are few letters long and have few such stretches. Empty displays match nothing.
+    Each class is an equi-join: on the whole text, or on the rarest piece of three letters of what is to be contained, so that texts which all begin alike don't meet; containment is verified on
+    the pairs that meet. Displays of one or two letters are few; they are looked for among a key's stretches of their length. Empty displays match nothing.
     """
     keys = terms.select("key").distinct().filter("length(key) >= 3")
     shown = concepts.select("code", "display_normalized").filter("display_normalized <> ''")
-    start = lambda c: F.substring(c, 1, 3)
-    exact = keys.join(shown, F.col("key") == F.col("display_normalized")).withColumn("class", F.lit(0))
-    inner = keys.withColumn("g", start("key")).join(shown.withColumn("g", F.explode(_grams(F.col("display_normalized")))), "g")
-    inner = inner.filter(F.col("display_normalized").contains(F.col("key")) & (F.col("key") != F.col("display_normalized"))).withColumn("class", F.lit(1))
-    outer = keys.withColumn("g", F.explode(_grams(F.col("key")))).join(shown.withColumn("g", start("display_normalized")), "g")
-    outer = outer.filter(F.col("key").contains(F.col("display_normalized")) & (F.col("key") != F.col("display_normalized"))).withColumn("class", F.lit(2))
-    columns = ["key", "code", "class"]
-    hits = exact.select(*columns).unionByName(inner.select(*columns)).unionByName(outer.select(*columns))
+    displays = shown.select("display_normalized").distinct()
+    exact = keys.join(shown, F.col("key") == F.col("display_normalized")).select("key", "code", F.lit(0).alias("class"))
+    pairs = _hits_by_rare_piece(keys.select(F.col("key").alias("inner")), displays.select(F.col("display_normalized").alias("outer")), 3).select(F.col("inner").alias("key"), F.col("outer").alias("display_normalized"), F.lit(1).alias("class"))
+    long_ = displays.filter(F.length("display_normalized") >= 3).select(F.col("display_normalized").alias("inner"))
+    pairs = pairs.unionByName(_hits_by_rare_piece(long_, keys.select(F.col("key").alias("outer")), 3).select(F.col("outer").alias("key"), F.col("inner").alias("display_normalized"), F.lit(2).alias("class")))
+    for n in (1, 2):
+        short = displays.filter(F.length("display_normalized") == n)
+        pairs = pairs.unionByName(keys.select("key", F.explode(_pieces(F.col("key"), n)).alias("display_normalized"), F.lit(2).alias("class")).join(short, "display_normalized", "left_semi").select("key", "display_normalized", "class"))
+    hits = exact.unionByName(pairs.join(shown, "display_normalized").select("key", "code", "class"))
     order = Window.partitionBy("key").orderBy("class", "code")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("key", "code", "class", "rank")
 

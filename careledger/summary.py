@@ -7,18 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careledger.governance import trace_lines
+
 # The sections in reading order.
 SECTIONS = [
-    "chief_complaint", "hpi", "red_flags", "past_medical", "past_surgical", "drug_allergy", "contradictions", "documents", "family_history", "personal_history",
+    "patient", "chief_complaint", "hpi", "red_flags", "past_medical", "past_surgical", "drug_allergy", "contradictions", "documents", "family_history", "personal_history",
     "review_of_systems", "ayush", "gaps",
 ]
 NO_FLAG = "No emergency rule fired on the history captured. This is not a statement that the patient is low-priority."
 MOST_EVENTS, MOST_GAPS = 12, 10
 
 
-def _lines(df: DataFrame, section: str | Column, part: int, ord: Column, text: Column) -> DataFrame:
+#: Under this share of the applicable history a summary says how little it rests on.
+LEAST_COMPLETE = 0.6
+
+
+def _ids(df: DataFrame, *columns: str) -> Column:
+    """The fact ids that a line rests on, in order and without nulls, from what of these columns there is: ids, or arrays of them."""
+    kinds = dict(df.dtypes)
+    held = [F.col(c) if kinds[c].startswith("array") else F.array(c) for c in columns if c in kinds]
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(none, *[F.coalesce(h, none) for h in held])))
+
+
+def _lines(df: DataFrame, section: str | Column, part: int, ord: Column, text: Column, kind: str = "fact", ids: Column | None = None) -> DataFrame:
+    """Lines of a section. One of kind ``fact`` claims something and rests on facts; a structural one claims nothing."""
     section = F.lit(section) if isinstance(section, str) else section
-    return df.select("session_id", section.alias("section"), F.lit(part).alias("part"), ord.cast("string").alias("ord"), text.alias("text"))
+    ids = _ids(df, "fact_id", "fact_ids") if ids is None else ids
+    return df.select("session_id", section.alias("section"), F.lit(part).alias("part"), ord.cast("string").alias("ord"), text.alias("text"), F.lit(kind).alias("kind"), ids.alias("fact_ids"))
+
+
+def header_lines(patients: DataFrame) -> DataFrame:
+    """Age and gender (session_id, age_years, gender), as far as known; sessions of which neither is known have no header."""
+    age = F.when(F.col("age_years") > 0, F.concat(F.col("age_years").cast("string"), F.lit(" years")))
+    text = F.concat_ws(", ", age, F.nullif("gender", F.lit("")))
+    return _lines(patients.filter(text != ""), "patient", 0, F.lit(""), text, "structural")
+
+
+def completeness_warnings(completeness: DataFrame) -> DataFrame:
+    """session_id, warning of the sessions (session_id, completeness: a share) with less than LEAST_COMPLETE of the applicable history."""
+    said = F.format_string("Only %d%% of the applicable history was captured. Treat the gaps as unknown, not as negative findings.", F.bround(F.col("completeness") * 100).cast("int"))
+    return completeness.filter(F.col("completeness") < LEAST_COMPLETE).select("session_id", said.alias("warning"))
 
 
 def slot_lines(slots: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -31,7 +60,7 @@ def flag_lines(sessions: DataFrame, flags: DataFrame) -> DataFrame:
     """[LEVEL] label — rationale, immediate first; a session without flags says so, since a blank would read as nothing found."""
     order = F.concat(F.when(F.col("level") == "immediate", "0").otherwise("1"), F.col("label"))
     fired = _lines(flags, "red_flags", 0, order, F.concat(F.lit("["), F.upper("level"), F.lit("] "), F.concat_ws(" — ", "label", "rationale")))
-    return fired.unionByName(_lines(sessions.join(flags.select("session_id"), "session_id", "left_anti"), "red_flags", 0, F.lit(""), F.lit(NO_FLAG)))
+    return fired.unionByName(_lines(sessions.join(flags.select("session_id"), "session_id", "left_anti"), "red_flags", 0, F.lit(""), F.lit(NO_FLAG), "structural"))
 
 
 def _code(otherwise: str) -> Column:
@@ -53,7 +82,7 @@ def problem_lines(problems: DataFrame) -> DataFrame:
 def contradiction_lines(contradictions: DataFrame) -> DataFrame:
     """Both sides of every disagreement, never a resolution."""
     text = F.format_string("%s — patient: “%s” vs %s: “%s”", "label", "patient_verbatim", "origin", "document_verbatim")
-    return _lines(contradictions, "contradictions", 0, F.col("label"), text)
+    return _lines(contradictions, "contradictions", 0, F.col("label"), text, ids=_ids(contradictions, "patient_fact_id", "document_fact_id"))
 
 
 def document_lines(papers: DataFrame, events: DataFrame) -> DataFrame:
@@ -62,7 +91,9 @@ def document_lines(papers: DataFrame, events: DataFrame) -> DataFrame:
     read = F.format_string("%s: %d page(s), read by %s at %d%% mean confidence", "filename", "pages", "backend", F.round(F.col("confidence") * 100).cast("int"))
     first = events.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy("place", "label"))).filter(F.col("nth") <= MOST_EVENTS)
     day = F.coalesce(F.col("occurred_on").cast("string"), F.lit("undated"))
-    return _lines(papers, "documents", 0, F.col("filename"), F.concat(read, unsure)).unionByName(_lines(first, "documents", 1, F.lpad(F.col("nth").cast("string"), 4, "0"), F.concat_ws(" — ", day, "label")))
+    dated = _lines(first, "documents", 1, F.lpad(F.col("nth").cast("string"), 4, "0"), F.concat_ws(" — ", day, "label"))
+    dated = dated.withColumn("kind", F.when(F.size("fact_ids") > 0, "fact").otherwise("structural"))
+    return _lines(papers, "documents", 0, F.col("filename"), F.concat(read, unsure), "structural").unionByName(dated)
 
 
 def gap_lines(gaps: DataFrame) -> DataFrame:
@@ -70,50 +101,72 @@ def gap_lines(gaps: DataFrame) -> DataFrame:
     of = lambda state: F.sort_array(F.collect_set(F.when(F.col("state") == state, F.col("path")))).alias(state)
     by = gaps.groupBy("session_id").agg(of("declined"), of("not_asked"))
     n, more = F.size("not_asked"), F.when(F.size("not_asked") > MOST_GAPS, "…").otherwise("")
-    declined = _lines(by.filter(F.size("declined") > 0), "gaps", 0, F.lit(""), F.concat(F.lit("Patient declined to answer: "), F.array_join("declined", ", ")))
+    declined = _lines(by.filter(F.size("declined") > 0), "gaps", 0, F.lit(""), F.concat(F.lit("Patient declined to answer: "), F.array_join("declined", ", ")), "structural")
     asked = F.concat(F.lit("Not asked ("), n.cast("string"), F.lit("): "), F.array_join(F.slice("not_asked", 1, MOST_GAPS), ", "), more)
-    return declined.unionByName(_lines(by.filter(n > 0), "gaps", 1, F.lit(""), asked))
+    return declined.unionByName(_lines(by.filter(n > 0), "gaps", 1, F.lit(""), asked, "structural"))
 
 
 def number_lines(lines: list[DataFrame]) -> DataFrame:
     """The lines of one summary a session, numbered in their sections; one shuffle, on session and section. Lines of no known section are left out."""
     every = reduce(DataFrame.unionByName, lines)
     place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    w = Window.partitionBy("session_id", "section").orderBy("part", "ord", "text")
-    return every.filter(F.col("section").isin(SECTIONS)).select("session_id", place.alias("section_no"), "section", F.row_number().over(w).cast("long").alias("line_no"), "text")
+    w = Window.partitionBy("session_id", "section").orderBy("part", "ord", "text", F.array_join("fact_ids", ","))
+    return every.filter(F.col("section").isin(SECTIONS)).select("session_id", place.alias("section_no"), "section", F.row_number().over(w).cast("long").alias("line_no"), "text", "kind", "fact_ids")
 
 
 def register(query) -> None:
     """The query of this module: all sections over the visits."""
     known = ", ".join(f"'{s}'" for s in SECTIONS)
 
-    @query(f"""WITH s AS (SELECT encounter_id AS k, path, min(value) AS value FROM clinical_fact WHERE value <> 'none' GROUP BY 1, 2),
+    @query(f"""WITH s AS (SELECT encounter_id AS k, path, min(value) AS value, list_sort(list(fact_id)) AS ids FROM clinical_fact WHERE value <> 'none' GROUP BY 1, 2),
         n AS (SELECT encounter_id AS k, list_sort(list(DISTINCT path) FILTER (value = 'none')) AS d, list_sort(list(DISTINCT path || fact_id) FILTER (invalidated_reason IS NOT NULL)) AS a FROM clinical_fact GROUP BY 1),
-        x AS (SELECT k, split_part(path, '.', 1) AS section, 0 AS part, path AS o, CASE path WHEN 'hpi.site' THEN 'Site' ELSE path END || ': ' || value AS text FROM s
-        UNION ALL SELECT encounter_id, 'red_flags', 0, '', CASE priority WHEN 'routine' THEN '{NO_FLAG}' ELSE '[' || upper(priority) || '] R2 — headline' END FROM encounter
-        UNION ALL SELECT encounter_id, 'drug_allergy', 1, name, 'Medication: ' || name || ' ' || dose || CASE WHEN line_no % 2 = 0 THEN ' [c' || line_no || ' coded]' ELSE '' END FROM medication
-        UNION ALL SELECT k, 'past_medical', 1, value, 'Reported: ' || value || CASE WHEN k % 2 = 0 THEN ' (2001)' ELSE '' END || ' [unmapped]' FROM s WHERE path = 'hpi.associated'
-        UNION ALL SELECT encounter_id, 'contradictions', 0, path, path || ' — patient: “' || value || '” vs paper: “' || superseded_by || '”' FROM clinical_fact WHERE superseded_by IS NOT NULL
-        UNION ALL SELECT encounter_id, 'documents', 0, 'paper ' || doc_no, 'paper ' || doc_no || ': 2 page(s), read by ocr at ' || (50 + doc_no * 10) || '% mean confidence' || CASE WHEN doc_no = 1 THEN ' — 1 page(s) need verification' ELSE '' END FROM document_record
-        UNION ALL SELECT k, 'documents', 1, lpad(CAST(r AS VARCHAR), 4, '0'), coalesce(CAST(d AS VARCHAR), 'undated') || ' — ' || label FROM
-          (SELECT patient_id AS k, observed_on AS d, analyte_key || ' ' || CAST(floor(tie) AS BIGINT) AS label, row_number() OVER (PARTITION BY patient_id ORDER BY observed_on NULLS FIRST, analyte_key || ' ' || CAST(floor(tie) AS BIGINT)) AS r FROM observation) WHERE r <= {MOST_EVENTS}
-        UNION ALL SELECT k, 'gaps', 0, '', 'Patient declined to answer: ' || array_to_string(d, ', ') FROM n WHERE len(d) > 0
-        UNION ALL SELECT k, 'gaps', 1, '', 'Not asked (' || len(a) || '): ' || array_to_string(a[1:{MOST_GAPS}], ', ') || CASE WHEN len(a) > {MOST_GAPS} THEN '…' ELSE '' END FROM n WHERE len(a) > 0)
-        SELECT k AS session_id, CAST(list_position([{known}], section) AS BIGINT) AS section_no, section, row_number() OVER (PARTITION BY k, section ORDER BY part, o, text) AS line_no, text FROM x""")
+        v AS (SELECT observation.encounter_id AS k, observed_on AS d, analyte_key || ' ' || CAST(floor(tie) AS BIGINT) AS label, row_number() OVER (PARTITION BY observation.encounter_id ORDER BY observed_on NULLS FIRST, analyte_key || ' ' || CAST(floor(tie) AS BIGINT)) AS r FROM observation),
+        x AS (SELECT k, split_part(path, '.', 1) AS section, 0 AS part, path AS o, CASE path WHEN 'hpi.site' THEN 'Site' ELSE path END || ': ' || value AS text, 'fact' AS kind, ids FROM s
+        UNION ALL SELECT encounter_id, 'patient', 0, '', concat_ws(', ', CASE WHEN year_of_birth IS NOT NULL THEN (2024 - year_of_birth) || ' years' END, gender), 'structural', [] FROM encounter c JOIN patient p ON c.patient_id = p.patient_id
+        UNION ALL SELECT encounter_id, 'red_flags', 0, '', CASE priority WHEN 'routine' THEN '{NO_FLAG}' ELSE '[' || upper(priority) || '] R2 — headline' END, CASE priority WHEN 'routine' THEN 'structural' ELSE 'fact' END, CASE priority WHEN 'routine' THEN [] ELSE ['f' || encounter_id || '-1'] END FROM encounter
+        UNION ALL SELECT encounter_id, 'drug_allergy', 1, name, 'Medication: ' || name || ' ' || dose || CASE WHEN line_no % 2 = 0 THEN ' [c' || line_no || ' coded]' ELSE '' END, 'fact', ['f' || encounter_id || '-' || line_no] FROM medication
+        UNION ALL SELECT k, 'past_medical', 1, value, 'Reported: ' || value || CASE WHEN k % 2 = 0 THEN ' (2001)' ELSE '' END || ' [unmapped]', 'fact', ids FROM s WHERE path = 'hpi.associated'
+        UNION ALL SELECT encounter_id, 'contradictions', 0, path, path || ' — patient: “' || value || '” vs paper: “' || superseded_by || '”', 'fact', [fact_id, superseded_by] FROM clinical_fact WHERE superseded_by IS NOT NULL
+        UNION ALL SELECT encounter_id, 'documents', 0, 'paper ' || doc_no, 'paper ' || doc_no || ': 2 page(s), read by ocr at ' || (50 + doc_no * 10) || '% mean confidence' || CASE WHEN doc_no = 1 THEN ' — 1 page(s) need verification' ELSE '' END, 'structural', [] FROM document_record
+        UNION ALL SELECT k, 'documents', 1, lpad(CAST(r AS VARCHAR), 4, '0'), coalesce(CAST(d AS VARCHAR), 'undated') || ' — ' || label, 'structural', [] FROM v WHERE r <= {MOST_EVENTS}
+        UNION ALL SELECT k, 'gaps', 0, '', 'Patient declined to answer: ' || array_to_string(d, ', '), 'structural', [] FROM n WHERE len(d) > 0
+        UNION ALL SELECT k, 'gaps', 1, '', 'Not asked (' || len(a) || '): ' || array_to_string(a[1:{MOST_GAPS}], ', ') || CASE WHEN len(a) > {MOST_GAPS} THEN '…' ELSE '' END, 'structural', [] FROM n WHERE len(a) > 0)
+        SELECT k AS session_id, CAST(list_position([{known}], section) AS BIGINT) AS section_no, section, row_number() OVER (PARTITION BY k, section ORDER BY part, o, text, array_to_string(ids, ',')) AS line_no, text, kind, array_to_string(ids, ',') AS fact_ids FROM x""")
     def build_summary(t):
+        return _summary(t).withColumn("fact_ids", F.array_join("fact_ids", ","))
+
+    # The id f0 of what superseded a fact is none of the session's own, and the words of the second side of a contradiction are in no fact.
+    @query(f"""WITH c AS (SELECT encounter_id AS k, count(*) AS n FROM clinical_fact WHERE superseded_by IS NOT NULL GROUP BY 1), s AS (SELECT encounter_id AS k, path FROM clinical_fact WHERE value <> 'none' GROUP BY 1, 2),
+        m AS (SELECT encounter_id AS k, count(*) AS n, count(*) FILTER (CAST(substr(fact_id, strpos(fact_id, '-') + 1) AS BIGINT) > 0 AND NOT EXISTS (SELECT 1 FROM clinical_fact f WHERE f.encounter_id = m.encounter_id AND f.fact_id = m.fact_id)) AS d FROM (SELECT *, 'f' || encounter_id || '-' || line_no AS fact_id FROM medication) m GROUP BY 1),
+        g AS (SELECT encounter_id AS k, 1 AS n, CASE WHEN EXISTS (SELECT 1 FROM clinical_fact f WHERE f.encounter_id = e.encounter_id AND f.fact_id = 'f' || e.encounter_id || '-1') THEN 0 ELSE 1 END AS d FROM encounter e WHERE priority <> 'routine'),
+        p AS (SELECT k, count(*) + count(*) FILTER (path = 'hpi.associated') AS n FROM s GROUP BY 1)
+        SELECT e.encounter_id AS session_id, coalesce(p.n, 0) + coalesce(m.n, 0) + coalesce(g.n, 0) + coalesce(c.n, 0) AS fact_lines, 0 AS untraced_lines, coalesce(m.d, 0) + coalesce(g.d, 0) + coalesce(c.n, 0) AS dangling_ids
+        FROM encounter e LEFT JOIN p ON e.encounter_id = p.k LEFT JOIN m ON e.encounter_id = m.k LEFT JOIN g ON e.encounter_id = g.k LEFT JOIN c ON e.encounter_id = c.k""")
+    def trace_summary(t):
+        facts = t("clinical_fact").select(F.col("encounter_id").alias("session_id"), "fact_id", "path", "value", F.lit("").alias("verbatim"))
+        return trace_lines(_summary(t), facts, []).select("session_id", "fact_lines", "untraced_lines", "dangling_ids")
+
+    @query("""WITH r AS (SELECT encounter_id, count(*) FILTER (value <> 'none') / count(*) AS c FROM clinical_fact GROUP BY 1)
+        SELECT encounter_id AS session_id, 'Only ' || CAST(round_even(c * 100, 0) AS INT) || '% of the applicable history was captured. Treat the gaps as unknown, not as negative findings.' AS warning FROM r WHERE c < 0.6""")
+    def completeness_warnings(t):
+        share = F.count_if(F.col("value") != "none") / F.count(F.lit(1))
+        return globals()["completeness_warnings"](t("clinical_fact").groupBy(F.col("encounter_id").alias("session_id")).agg(share.alias("completeness")))
+
+    def _summary(t):
         key, none = F.col("encounter_id").alias("session_id"), F.lit(None).cast("string")
         facts, visits = t("clinical_fact"), t("encounter")
-        slots = facts.filter("value <> 'none'").groupBy(key, "path").agg(F.min("value").alias("value"))
-        flags = visits.filter("priority <> 'routine'").select(key, F.col("priority").alias("level"), F.lit("R2").alias("label"), F.lit("headline").alias("rationale"))
+        slots = facts.filter("value <> 'none'").groupBy(key, "path").agg(F.min("value").alias("value"), F.sort_array(F.collect_list("fact_id")).alias("fact_ids"))
+        flags = visits.filter("priority <> 'routine'").select(key, F.col("priority").alias("level"), F.lit("R2").alias("label"), F.lit("headline").alias("rationale"), F.concat(F.lit("f"), F.col("encounter_id").cast("string"), F.lit("-1")).alias("fact_id"))
         code = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("c"), F.col("line_no").cast("string")))
-        medicines = t("medication").select(key, "name", F.col("dose").cast("string"), none.alias("frequency"), none.alias("route"), code.alias("code"), F.lit("coded").alias("display"))
-        problems = slots.filter("path = 'hpi.associated'").select("session_id", F.col("value").alias("term"), F.when(F.col("session_id") % 2 == 0, 2001).alias("year"), none.alias("code"), none.alias("display"))
-        sides = facts.filter("superseded_by is not null").select(key, F.col("path").alias("label"), F.col("value").alias("patient_verbatim"), F.lit("paper").alias("origin"), F.col("superseded_by").alias("document_verbatim"))
+        medicines = t("medication").select(key, "name", F.col("dose").cast("string"), none.alias("frequency"), none.alias("route"), code.alias("code"), F.lit("coded").alias("display"), F.concat(F.lit("f"), F.col("encounter_id").cast("string"), F.lit("-"), F.col("line_no").cast("string")).alias("fact_id"))
+        problems = slots.filter("path = 'hpi.associated'").select("session_id", "fact_ids", F.col("value").alias("term"), F.when(F.col("session_id") % 2 == 0, 2001).alias("year"), none.alias("code"), none.alias("display"))
+        sides = facts.filter("superseded_by is not null").select(key, F.col("path").alias("label"), F.col("value").alias("patient_verbatim"), F.lit("paper").alias("origin"), F.col("superseded_by").alias("document_verbatim"), F.col("fact_id").alias("patient_fact_id"), F.col("superseded_by").alias("document_fact_id"))
         number = F.col("doc_no").cast("int")
         papers = t("document_record").select(key, F.concat(F.lit("paper "), number.cast("string")).alias("filename"), F.lit(2).alias("pages"), F.lit("ocr").alias("backend"), (0.5 + number / 10).alias("confidence"), F.when(number == 1, 1).otherwise(0).alias("unsure_pages"))
         label = F.concat_ws(" ", "analyte_key", F.floor("tie").cast("long").cast("string"))
-        events = t("observation").select(F.col("patient_id").alias("session_id"), F.col("observed_on").alias("occurred_on"), F.col("observed_on").alias("place"), label.alias("label"))
+        events = t("observation").select(key, F.col("observed_on").alias("occurred_on"), F.col("observed_on").alias("place"), label.alias("label"))
         state = F.when(F.col("value") == "none", "declined")
         gaps = facts.select(key, "path", state.alias("state")).unionByName(facts.filter("invalidated_reason is not null").select(key, F.concat("path", "fact_id").alias("path"), F.lit("not_asked").alias("state")))
-        lines = [slot_lines(slots, {"hpi.site": "Site"}), flag_lines(visits.select(key), flags), medication_lines(medicines), problem_lines(problems), contradiction_lines(sides), document_lines(papers, events), gap_lines(gaps)]
+        people = visits.join(t("patient").select("patient_id", "gender", (2024 - F.col("year_of_birth")).alias("age_years")), "patient_id").select(key, "age_years", "gender")
+        lines = [header_lines(people), slot_lines(slots, {"hpi.site": "Site"}), flag_lines(visits.select(key), flags), medication_lines(medicines), problem_lines(problems), contradiction_lines(sides), document_lines(papers, events), gap_lines(gaps)]
         return number_lines(lines)

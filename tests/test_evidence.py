@@ -85,3 +85,18 @@ def test_a_patient_of_very_many_visits_makes_no_pairs(spark):
     encounters = spark.range(n).select(F.col("id").alias("encounter_id"), F.lit(1).alias("patient_id"), F.col("id").alias("occurred_at"))
     found = longitudinal.similar_encounters(rows.select("encounter_id", "x.*"), encounters)
     assert found.count() == 3 * n
+
+
+def test_texts_that_begin_alike_do_not_meet(spark):
+    n = 20_000
+    shown = spark.range(n).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("code"), F.concat(F.lit("chronic disease number "), F.lower(F.lpad(F.hex("id"), 6, "0"))).alias("display_normalized"))
+    terms = spark.createDataFrame([("chronic disease number 000fff",), ("number 0000aa",), ("chronic",), ("of chronic disease number 000001 again",), ("zzz",), ("er",)], "key string").withColumn("term", F.col("key"))
+    found = {}
+    for r in governance.lookup_terms(terms, shown.unionByName(spark.createDataFrame([("S1", "o"), ("S2", "of")], shown.schema))).collect():
+        found.setdefault(r.key, []).append((r["class"], r.code))
+    assert {k: sorted(v)[:2] for k, v in found.items()} == {
+        "chronic disease number 000fff": [(0, f"C{0xFFF}"), (2, "S1")], "number 0000aa": [(1, f"C{0xAA}")], "chronic": [(1, "C0"), (1, "C1")],
+        "of chronic disease number 000001 again": [(2, "C1"), (2, "S1")],
+    }
+    rare = governance._hits_by_rare_piece(terms.filter("key like 'number%'").select(F.col("key").alias("inner")), shown.select(F.col("display_normalized").alias("outer")), 3)
+    assert rare.count() == 1
