@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The upper levels of the tree are fitted on a bounded sample, the deeper the more rows there are; every vector is put in the upper leaf that its path
-of nearest centres leads to, and a leaf is cut into blocks of bounded size. The lower levels are fitted in each block on all its rows, down to bins of a few rows, so
-the number of bins grows with the table. A query walks the upper levels through a priority queue and, in each block that it reaches,
-takes the bins whose centres are near enough. How far it goes is calibrated on queries of the table itself against their exact answers and widened until
-the measured recall is reached; a query that has found too few candidates goes on through all of them. Equal vectors are searched once.
+The upper levels of the tree are fitted on a bounded sample; every vector is put in the upper leaf that its path of nearest centres leads to, and a leaf is cut
+into blocks of bounded size. The lower levels are fitted in each block on all its rows, down to bins of a few rows, so the number of bins grows with the table. A
+query walks from the root to bins through a priority queue, which goes on in the blocks of the upper leaves that it reaches. Scores of upper nodes, lower nodes and bins differ in scale, so a node's priority is
+its score less a bound of its kind, or that of a node above it, if lower, and the queue ends at zero. The bounds are widened, so that more leaves are visited, until queries other than those that set them reach
+the recall against their exact answers; a query that has found too few candidates goes on through all of them. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -23,13 +23,17 @@ from careledger.llm.storage import bounded_batches, discard, materialize, tidy
 #: Most vectors, and bytes of them, that the upper levels are fitted on.
 SAMPLE, SAMPLE_BYTES = 16_000, 16 << 20
 BRANCH = 16
-#: Rows in an upper leaf, a block and a bin, about; queries in a group.
-LEAF_ROWS, BLOCK_ROWS, BIN_ROWS, GROUP = 2048, 4096, 6, 256
-#: Recall to be measured on CALIBRATION queries, and the share of neighbours that the upper levels alone may lose of what is left.
-RECALL, CALIBRATION, UPPER_LOSS = 0.94, 128, 0.3
+#: Vectors of the sample in an upper leaf at least; queries compared with a block at once.
+LEAST_SAMPLE, _TOGETHER = 8, 256
+#: Rows in an upper leaf, a block and a bin, about; queries that a block meets at once.
+LEAF_ROWS, BLOCK_ROWS, BIN_ROWS, GROUP = 256, 4096, 4, 8192
+#: Recall to be measured on a quarter of CALIBRATION queries; the others set the bounds.
+RECALL, CALIBRATION = 0.93, 256
+#: Share of the neighbours to be lost that upper and lower nodes may lose.
+UPPER_LOSS, INNER_LOSS = 0.2, 0.1
 
-INDEX = "leaf long, vecs binary, centers binary, bins binary, ids array<{id}>, n array<int>, starts binary"
-FOUND = "qid {id}, vec_id {id}, n int, score double, bin double, leaf long, compared long"
+INDEX = "leaf long, vecs binary, centers binary, parents binary, bins binary, ids array<{id}>, n array<int>, starts binary"
+FOUND = "qid {id}, vec_id {id}, n int, score double, upper double, inner double, bin double, compared long, centres long"
 
 
 @dataclass
@@ -54,28 +58,60 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def leaves(self, q: np.ndarray, bound: float, least: int) -> list[int]:
-        """Leaves of a best-bin-first traversal for the unit vector ``q``: down to the priority ``bound``, and on until they hold ``least`` rows."""
-        score, found, held, heap = self.centers @ q, [], 0, [(-np.inf, 0)]
+    def leaves(self, q: np.ndarray, bound: float, least: int) -> tuple[list[int], list[float], int]:
+        """Leaves of a best-bin-first traversal for the unit vector ``q``, down to the priority ``bound`` and on until they hold ``least`` rows, with the
+        priority of each, which is the least score on its path; and the number of centres scored."""
+        found, lows, held, scored, heap = [], [], 0, 0, [(-np.inf, 0)]
         while heap and (-heap[0][0] >= bound or held < least):
-            _, node = heapq.heappop(heap)
+            low, node = heapq.heappop(heap)
             if not self.children[node]:
                 found.append(self.leaf_of[node])
+                lows.append(min(1.0, -low))
                 held += int(self.rows[self.leaf_of[node]])
-            for child in self.children[node]:
-                heapq.heappush(heap, (-float(score[child]), child))
-        return found
-
-    def reach(self, q: np.ndarray) -> np.ndarray:
-        """For each leaf the bound from which on a traversal for ``q`` gets there: the least score on its path."""
-        score, out = self.centers @ q, np.zeros(len(self.leaf_of))
-        todo = [(0, 1.0)]
+                continue
+            score = self.centers[self.children[node]] @ q
+            scored += len(score)
+            for child, s in zip(self.children[node], score, strict=True):
+                heapq.heappush(heap, (max(low, -float(s)), child))
+        return found, lows, scored
+
+    def reach(self, q: np.ndarray, inner: float, bin_: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for many queries within a block: score of each bin, -inf for those not reached, the least score on the way to it, and centres scored.
+
+        Nodes go on from the score ``inner``, bins from ``bin_``.
+        """
+        out, lows, scored = np.full((len(q), len(self.leaf_of)), -np.inf), np.full((len(q), len(self.leaf_of)), 1.0), np.zeros(len(q), np.int64)
+        if not self.children[0]:
+            out[:] = 1.0
+            return out, lows, scored
+        todo = [(0, np.arange(len(q)), np.ones(len(q)))]
         while todo:
-            node, low = todo.pop()
-            if not self.children[node]:
-                out[self.leaf_of[node]] = low
-            todo += [(child, min(low, float(score[child]))) for child in self.children[node]]
-        return out
+            node, rows, low = todo.pop()
+            score = q[rows] @ self.centers[self.children[node]].T
+            scored[rows] += score.shape[1]
+            for k, child in enumerate(self.children[node]):
+                on = score[:, k] >= (inner if self.children[child] else bin_)
+                if on.any() and self.children[child]:
+                    todo.append((child, rows[on], np.minimum(low[on], score[on, k])))
+                elif on.any():
+                    out[rows[on], self.leaf_of[child]], lows[rows[on], self.leaf_of[child]] = score[on, k], low[on]
+        return out, lows, scored
+
+    @property
+    def parents(self) -> np.ndarray:
+        up = np.full(len(self.children), -1)
+        for node, below in enumerate(self.children):
+            up[below] = node
+        return up
+
+    @staticmethod
+    def of(centers: np.ndarray, parents: np.ndarray) -> Tree:
+        children: list[list[int]] = [[] for _ in parents]
+        for node, up in enumerate(parents.tolist()):
+            if up >= 0:
+                children[up].append(node)
+        leaf_of = {n: i for i, n in enumerate(i for i, c in enumerate(children) if not c)}
+        return Tree(centers, children, leaf_of, np.zeros(len(leaf_of), np.int64))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +182,9 @@ def _index(members: DataFrame, id_type: str) -> DataFrame:
                 place = tree.leaf(_units(x))
                 order = np.argsort(place, kind="stable")
                 ids = [rows[i]["ids"] for i in order]
-                centers = tree.centers[list(tree.leaf_of)]
                 raw = lambda a, kind: np.ascontiguousarray(a, kind).tobytes()
                 yield pd.DataFrame(
-                    {"leaf": [leaf], "vecs": [raw(x[order], "f8")], "centers": [raw(centers, "f8")], "bins": [raw(np.searchsorted(place[order], np.arange(len(centers) + 1)), "i8")],
+                    {"leaf": [leaf], "vecs": [raw(x[order], "f8")], "centers": [raw(tree.centers, "f8")], "parents": [raw(tree.parents, "i8")], "bins": [raw(np.searchsorted(place[order], np.arange(len(tree.leaf_of) + 1)), "i8")],
                      "ids": [[i["id"] for own in ids for i in own]], "n": [[i["n"] for own in ids for i in own]], "starts": [raw(np.cumsum([0, *map(len, ids)]), "i8")]}
                 )
 
@@ -157,8 +192,11 @@ def _index(members: DataFrame, id_type: str) -> DataFrame:
     return grouped.mapInPandas(tidy(build), INDEX.format(id=id_type))
 
 
-def _search(met: DataFrame, bound: float, k: int, id_type: str) -> DataFrame:
-    """The nearest of each query in each block that it meets: candidates in bins from ``bound`` on, down to the one that completes k + 1 different ids."""
+def _search(met: DataFrame, inner: float, bin_: float, k: int, id_type: str) -> DataFrame:
+    """The nearest of each query in each block that it meets: candidates in the bins that it reaches, down to the one that completes k + 1 different ids.
+
+    A row without a vec_id only tells what a query was compared with in vain.
+    """
 
     def best(row: np.ndarray, spread: list[list]) -> Iterator[int]:
         seen, last = set(), -np.inf
@@ -175,26 +213,33 @@ def _search(met: DataFrame, bound: float, k: int, id_type: str) -> DataFrame:
         for batch in batches:
             for at in range(len(batch)):
                 b = batch.iloc[at]
-                q = _matrix([r["vec"] for r in b["q"]])
-                d = q.shape[1]
-                x, centers, bins, starts = np.frombuffer(b["vecs"]).reshape(-1, d), np.frombuffer(b["centers"]).reshape(-1, d), np.frombuffer(b["bins"], "i8"), np.frombuffer(b["starts"], "i8")
-                unit_q, unit_x = _units(q), _units(x)
-                near = unit_q @ centers.T
-                rough, bin_of = np.full((len(q), len(x)), -np.inf), np.repeat(np.arange(len(centers)), np.diff(bins))
-                for j in np.flatnonzero((near >= bound).any(axis=0)):
-                    ask = np.flatnonzero(near[:, j] >= bound)
-                    rough[ask, bins[j] : bins[j + 1]] = unit_q[ask] @ unit_x[bins[j] : bins[j + 1]].T
+                every = _matrix([r["vec"] for r in b["q"]])
+                d = every.shape[1]
+                x, bins, starts = np.frombuffer(b["vecs"]).reshape(-1, d), np.frombuffer(b["bins"], "i8"), np.frombuffer(b["starts"], "i8")
+                tree = Tree.of(np.frombuffer(b["centers"]).reshape(-1, d), np.frombuffer(b["parents"], "i8"))
+                unit_x, bin_of = _units(x), np.repeat(np.arange(len(bins) - 1), np.diff(bins))
                 spread = [list(b["ids"][starts[i] : starts[i + 1]]) for i in range(len(x))]
-                out = []
-                for r, row in enumerate(rough):
-                    hit = list(best(row, spread))
-                    compared = int((row > -np.inf).sum())
-                    for i, s in zip(hit, _cosines(np.repeat(q[r : r + 1], len(hit), axis=0), x[hit]), strict=True):
-                        for t in range(starts[i], starts[i + 1]):
-                            out.append((b["q"][r]["qid"], b["ids"][t], b["n"][t], float(s), float(near[r, bin_of[i]]), b["leaf"], compared))
-                            compared = 0
-                if out:
-                    yield pd.DataFrame(out, columns=["qid", "vec_id", "n", "score", "bin", "leaf", "compared"])
+                for part in range(0, len(every), _TOGETHER):
+                    q, asked = every[part : part + _TOGETHER], b["q"][part : part + _TOGETHER]
+                    unit_q = _units(q)
+                    near, lows, scored = tree.reach(unit_q, inner, bin_)
+                    rough = np.full((len(q), len(x)), -np.inf)
+                    for j in np.flatnonzero((near > -np.inf).any(axis=0)):
+                        ask = np.flatnonzero(near[:, j] > -np.inf)
+                        rough[ask, bins[j] : bins[j + 1]] = unit_q[ask] @ unit_x[bins[j] : bins[j + 1]].T
+                    out = []
+                    for r, row in enumerate(rough):
+                        hit = list(best(row, spread))
+                        # What a query was compared with is told with its first candidate, or with none.
+                        compared, centres = int((row > -np.inf).sum()), int(scored[r])
+                        for i, s in zip(hit, _cosines(np.repeat(q[r : r + 1], len(hit), axis=0), x[hit]), strict=True):
+                            for t in range(starts[i], starts[i + 1]):
+                                out.append((asked[r]["qid"], b["ids"][t], b["n"][t], float(s), asked[r]["low"], float(lows[r, bin_of[i]]), float(near[r, bin_of[i]]), compared, centres))
+                                compared = centres = 0
+                        if centres:
+                            out.append((asked[r]["qid"], None, 0, -2.0, 0.0, 0.0, 0.0, compared, centres))
+                    if out:
+                        yield pd.DataFrame(out, columns=["qid", "vec_id", "n", "score", "upper", "inner", "bin", "compared", "centres"])
 
     return met.mapInPandas(tidy(search), FOUND.format(id=id_type))
 
@@ -202,7 +247,7 @@ def _search(met: DataFrame, bound: float, k: int, id_type: str) -> DataFrame:
 def _top(found: DataFrame, k: int) -> DataFrame:
     """Of each query the rows of its k + 1 nearest ids, up to k each: enough for the k nearest whatever the query's own id is."""
     per_id = Window.partitionBy("qid", "vec_id")
-    few = found.withColumn("r", F.row_number().over(per_id.orderBy(F.desc("score")))).filter(F.col("r") <= k).withColumn("best", F.max("score").over(per_id))
+    few = found.filter("vec_id is not null").withColumn("r", F.row_number().over(per_id.orderBy(F.desc("score")))).filter(F.col("r") <= k).withColumn("best", F.max("score").over(per_id))
     order = Window.partitionBy("qid").orderBy(F.desc("best"), "vec_id")
     return few.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k + 1).drop("r", "best")
 
@@ -213,18 +258,27 @@ def _fit_upper(distinct: DataFrame, n: int, sample: int) -> Tree:
     share = min(1.0, 1.1 * most / n)
     picked = distinct.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(most).toPandas()["vec"]
     x = _units(_matrix(picked if len(picked) else [first]))
-    tree = fit_tree(x, LEAF_ROWS * len(x) / n)
+    # A leaf is fitted on LEAST_SAMPLE vectors at least; beyond that the lower levels get deeper.
+    tree = fit_tree(x, max(LEAF_ROWS * len(x) / n, min(LEAST_SAMPLE, LEAF_ROWS)))
     tree.rows = np.zeros(len(tree.leaf_of), np.int64)
     return tree
 
 
+def _bounds(exact: pd.DataFrame, loss: float) -> tuple[float, float, float]:
+    """Bounds of upper nodes, lower nodes and bins at which about the share ``loss`` of these neighbours isn't reached, most of it for its bin."""
+    low = lambda values, share: float(np.sort(values)[int(share * len(values))]) - 1e-9
+    upper, inner = low(exact["upper"].to_numpy(), UPPER_LOSS * loss), low(exact["inner"].to_numpy(), INNER_LOSS * loss)
+    within = np.where((exact["upper"] >= upper) & (exact["inner"] >= inner), exact["bin"], -np.inf)
+    return upper, inner, low(within, loss)
+
+
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = RECALL, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row for which the column ``is_query`` holds.
 
     Candidates are all rows but those with the query's own id. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do rows without an id and vectors that are not of the table's most common length. Repeated rows are separate candidates.
     A query has k ranks, or as many as it has candidates. An empty table gives no rows; other columns are ignored. ``report`` is given the recall that was measured on
-    a sample of the queries against their exact answers, and the share of all distinct vectors that they were compared with.
+    a sample of the queries against their exact answers, other ones than those that set the bound, and the shares of all distinct vectors that were compared, and centres scored, for a query.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -257,42 +311,52 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     index = materialize(_index(cut, id_type), "ann-index")
     sized = spark.sparkContext.broadcast(tree)
 
-    def meet(queries: DataFrame, bound: float) -> DataFrame:
+    def meet(queries: DataFrame, bound: float) -> tuple[DataFrame, DataFrame]:
+        """Queries in groups with each block that they reach, and the written table of what they reach."""
+
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    yield batch.assign(leaves=[sized.value.leaves(q, bound, k + 1) for q in _units(_matrix(batch["vec"]))])
-
-        visited = queries.select("vec", "qid").mapInPandas(tidy(visit), f"vec array<double>, qid {id_type}, leaves array<bigint>").select("qid", "vec", F.explode("leaves").alias("leaf"))
-        part = F.pmod(F.xxhash64("qid"), F.lit(max(1, n_asked // GROUP)))
-        return visited.groupBy("leaf", part.alias("part")).agg(F.collect_list(F.struct("qid", "vec")).alias("q")).join(index, "leaf")
-
-    # Exact answers of some queries; how far a search has to go for the recall, and what it then finds.
-    trial = asked.orderBy(F.xxhash64("vec")).limit(CALIBRATION)
-    exact = _top(_search(meet(trial, -np.inf), -np.inf, k, id_type), k).filter("qid <> vec_id").toPandas()
-    vectors = {r["qid"]: _units(_matrix([r["vec"]]))[0] for r in trial.collect()}
-    reach = {q: tree.reach(v) for q, v in vectors.items()}
-    upper = np.array([reach[q][leaf] for q, leaf in zip(exact["qid"], exact["leaf"], strict=True)])
+                    walks = [sized.value.leaves(q, bound, k + 1) for q in _units(_matrix(batch["vec"]))]
+                    yield pd.DataFrame({"qid": batch["qid"], "leaves": [w[0] for w in walks], "lows": [w[1] for w in walks], "centres": [w[2] for w in walks]})
+
+        walked = materialize(queries.select("vec", "qid").mapInPandas(tidy(visit), f"qid {id_type}, leaves array<bigint>, lows array<double>, centres long"), "ann-walks")
+        visited = walked.select("qid", F.explode(F.arrays_zip("leaves", "lows")).alias("x")).select("qid", F.col("x.leaves").alias("leaf"), F.col("x.lows").alias("low"))
+        # A block goes to a worker once for GROUP of the queries that reach its leaf. There is one count per leaf of the bounded tree.
+        counts = visited.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+        grouped = visited.join(F.broadcast(counts), "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+        grouped = grouped.join(queries.select("qid", "vec"), "qid").groupBy("leaf", "part").agg(F.collect_list(F.struct("qid", "vec", "low")).alias("q"))
+        return grouped.join(index, "leaf"), walked
+
+    # Exact answers of some queries: most of them set the bounds, the others tell the recall at these.
+    trial = materialize(asked.orderBy(F.xxhash64("vec")).limit(CALIBRATION).withColumn("setter", F.row_number().over(Window.orderBy(F.xxhash64("vec"))) % 4 != 0), "ann-trial")
+    met, walks = meet(trial, -np.inf)
+    exact = _top(_search(met, -np.inf, -np.inf, k, id_type), k).filter("qid <> vec_id").join(trial.select("qid", "setter"), "qid").toPandas()
+    discard(walks)
+    setters, held_out = exact[exact["setter"]], exact[~exact["setter"]]
+    held_out = held_out if len(held_out) else exact
+    others = trial.join(spark.createDataFrame([(q,) for q in held_out["qid"].unique().tolist()] or [], f"qid {id_type}"), "qid", "left_semi").select("vec", "qid")
     goal = recall if len(exact) else 1.0
     while True:
-        bound = float(np.quantile(upper, (1 - goal) * UPPER_LOSS)) - 1e-9 if goal < 1 else -np.inf
-        within = np.sort(np.where(upper >= bound, exact["bin"].to_numpy(), -np.inf))
-        inner = float(within[int((1 - goal) * len(within))]) - 1e-9 if goal < 1 else -np.inf
-        tried = materialize(_search(meet(trial, bound), inner, k, id_type), "ann-trial")
+        upper, inner, bin_ = _bounds(setters, 1 - goal) if goal < 1 else (-np.inf,) * 3
+        met, walks = meet(others, upper)
+        tried = materialize(_search(met, inner, bin_, k, id_type), "ann-trial")
         got = _top(tried, k).select("qid", "vec_id", "score").distinct().toPandas()
-        measured = len(exact.merge(got, on=["qid", "vec_id", "score"])) / len(exact) if len(exact) else 1.0
+        measured = len(held_out.merge(got, on=["qid", "vec_id", "score"])) / len(held_out) if len(held_out) else 1.0
         if report is not None:
-            report.update(recall=measured, compared=tried.agg(F.sum("compared")).first()[0] / (n * len(vectors)), rows=n, leaves=len(tree.leaf_of))
-        discard(tried)
+            compared, lower = tried.agg(F.sum("compared"), F.sum("centres")).first()
+            outer, walkers = walks.agg(F.sum("centres"), F.count(F.lit(1))).first()
+            report.update(recall=measured, compared=(compared or 0) / (n * max(walkers, 1)), centres=((lower or 0) + (outer or 0)) / (n * max(walkers, 1)), rows=n, leaves=len(tree.leaf_of))
+        discard(tried, walks)
         if measured >= recall - 0.005 or goal >= 1:
             break
         goal = min(1.0, goal + (1 - goal) / 3 + 0.005)
 
-    found = materialize(_top(_search(meet(asked, bound), inner, k, id_type), k).select("qid", "vec_id", "n", "score"), "ann-found")
+    found = materialize(_top(_search(meet(asked, upper)[0], inner, bin_, k, id_type), k).select("qid", "vec_id", "n", "score"), "ann-found")
     # Queries whose bins held too few candidates go through all of them.
     enough = found.groupBy("qid").agg(F.count_distinct("vec_id").alias("ids")).filter(F.col("ids") > k)
     short = materialize(asked.join(enough, "qid", "left_anti"), "ann-short")
-    again = _top(_search(meet(short, -np.inf), -np.inf, k, id_type), k).select("qid", "vec_id", "n", "score")
+    again = _top(_search(meet(short, -np.inf)[0], -np.inf, -np.inf, k, id_type), k).select("qid", "vec_id", "n", "score")
     found = found.join(short.select("qid"), "qid", "left_anti").unionByName(again)
     owners = rows.filter("ask").select("vec", F.col("vec_id").alias("query_id")).distinct().join(asked, "vec").select("query_id", "qid", "vec")
     ranked = owners.join(found, "qid").filter("query_id <> vec_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
