@@ -37,22 +37,24 @@ def mask_identifier(ref: Column) -> Column:
 def patient_overview(patients: DataFrame, encounters: DataFrame, papers: DataFrame, medications: DataFrame, observations: DataFrame, recent: int = 6) -> DataFrame:
     """Per patient: counts of encounters, papers (encounter_id, document_kind) by kind, different medicines and observations, and the most recent encounters.
 
-    All children meet in one aggregation by patient, so none multiplies another.
+    Each child is counted by patient before it meets another, so none multiplies another; papers are counted by visit first.
     """
-    newest = Window.partitionBy("patient_id").orderBy(F.desc("occurred_at"), F.desc("encounter_id"))
-    last = encounters.select("patient_id", "encounter_id", "occurred_at").withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= recent)
-    last = last.groupBy("patient_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "encounter_id"))), lambda x: x["encounter_id"].cast("string")), ",").alias("recent_encounters"))
     what = F.when(F.col("document_kind") == "prescription", "prescriptions").when(F.col("document_kind") == "lab_report", "lab_reports").otherwise("other_documents")
-    medicines = medications.select("patient_id", normalize_name(F.col("name")).alias("n")).filter("n is not null").distinct()
-    each = [
-        (encounters, F.lit("encounters")), (papers.join(encounters.select("encounter_id", "patient_id"), "encounter_id"), what),
-        (medicines, F.lit("medicines")), (observations, F.lit("observations")),
-    ]
-    children = reduce(DataFrame.unionByName, [df.select("patient_id", kind.alias("what")) for df, kind in each])
-    counts = ["encounters", "prescriptions", "lab_reports", "other_documents", "medicines", "observations"]
-    by = children.groupBy("patient_id").agg(*[F.count_if(F.col("what") == c).alias(c) for c in counts])
-    rows = patients.select("patient_id", mask_identifier(F.col("abha_ref")).alias("masked_ref")).join(by, "patient_id", "left").join(last, "patient_id", "left")
-    return rows.fillna(0, counts)
+    kinds = ["prescriptions", "lab_reports", "other_documents"]
+    by_visit = papers.groupBy("encounter_id").agg(*[F.count_if(what == c).alias(c) for c in kinds])
+    order = Window.partitionBy("patient_id").orderBy(F.desc("occurred_at"), F.desc("encounter_id"))
+    visits = encounters.select("patient_id", "encounter_id", "occurred_at").join(by_visit, "encounter_id", "left")
+    visits = visits.withColumn("late", F.row_number().over(order) <= recent).groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("encounters"), *[F.sum(c).alias(c) for c in kinds], F.sort_array(F.collect_list(F.when(F.col("late"), F.struct("occurred_at", "encounter_id"))), asc=False).alias("last")
+    )
+    # Each spelling of a name is folded once.
+    medicines = medications.select("patient_id", "name").distinct().groupBy("patient_id").agg(F.count_distinct(normalize_name(F.col("name"))).alias("medicines"))
+    readings = observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("observations"))
+    rows = patients.select("patient_id", mask_identifier(F.col("abha_ref")).alias("masked_ref"))
+    for part in (visits, medicines, readings):
+        rows = rows.join(part, "patient_id", "left")
+    rows = rows.withColumn("recent_encounters", F.array_join(F.transform("last", lambda x: x["encounter_id"].cast("string")), ",")).drop("last")
+    return rows.fillna(0, ["encounters", *kinds, "medicines", "observations"])
 
 
 def patient_timeline(encounters: DataFrame, medications: DataFrame, observations: DataFrame) -> DataFrame:

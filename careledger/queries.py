@@ -60,6 +60,29 @@ def _read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["read_tables"] = _read_tables
 ORACLE_SQL["read_tables"] = "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last_key, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY 1"
 
+
+
+#: JSON keeps milliseconds of a time unless it is told otherwise.
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _typed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound tables written as Parquet and as JSON and read again by SCHEMAS: rows, different rows, and rows that the two forms don't share."""
+    path, out = shared_path(spark, "typed"), None
+    for name in ("encounter", "medication", "session", "audit"):
+        for form in ("parquet", "json"):
+            load(spark, sf_dir, name).write.format(form).options(timestampFormat=_MICROS + "XXX", timestampNTZFormat=_MICROS).save(f"{path}/{name}.{form}")
+        one, other = (tables.read_tables(spark, path, [name], form)[name] for form in ("parquet", "json"))
+        key = lambda df: df.select(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        both = key(one).join(key(other).withColumnRenamed("n", "m"), "h", "full_outer")
+        row = both.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"), F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("unshared")).select(F.lit(name).alias("name"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+QUERIES["read_typed_tables"] = _typed_tables
+ORACLE_SQL["read_typed_tables"] = oracle(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT {c} FROM {n})) AS distinct_rows, 0 AS unshared FROM {n}" for n, c in ((n, ", ".join(f.split()[0] for f in tables.SCHEMAS[n].split(", "))) for n in ("encounter", "medication", "session", "audit"))))
+
 # ---- longitudinal read models
 
 @query("""WITH p AS (SELECT *, lag(value) OVER w AS previous, lead(1) OVER w AS after, count(*) OVER (PARTITION BY patient_id, analyte_key) AS points,
