@@ -27,8 +27,8 @@ from careledger.llm.storage import bounded_batches, discard, materialize, tidy,
 NGRAM, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that share a band at least; pairs above it are found more often still.
 RECALL, MAX_HASHES = 0.9999, 300
-#: N-gram hashes in a block of nodes, about; a block is what one step of a task holds of a side.
-BLOCK_GRAMS = 1 << 16
+#: N-gram hashes, and nodes, in a block of nodes, about; a block is what one step of a task holds of a side, and a pair of blocks makes matrices of their nodes.
+BLOCK_GRAMS, BLOCK_NODES = 1 << 16, 1 << 10
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _COLUMNS = 8192
 #: Up to so many candidates in a pair of blocks are intersected one by one.
@@ -155,8 +155,9 @@ def _candidates(left: _Block, right: _Block, threshold: float) -> np.ndarray:
     hit = np.zeros((len(left.nid), len(right.nid)), bool)
     for p, q in zip(left.bands.T, right.bands.T, strict=True):
         hit |= p[:, None] == q[None, :]
-    low, high = np.minimum(left.size[:, None], right.size[None, :]), np.maximum(left.size[:, None], right.size[None, :])
-    return hit & (low >= threshold * high)
+    hit &= left.size[:, None] >= threshold * right.size[None, :]
+    hit &= right.size[None, :] >= threshold * left.size[:, None]
+    return hit
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -225,7 +226,8 @@ def _linked(block_pairs: DataFrame, threshold: float) -> DataFrame:
                 if not len(i):
                     continue
                 names = left.nid if same else np.concatenate([left.nid, right.nid])
-                count = hit @ right.n if same else np.concatenate([hit @ right.n, hit.T @ left.n])
+                count = np.bincount(i, right.n[j], len(left.nid))
+                count = count if same else np.concatenate([count, np.bincount(j, left.n[i], len(right.nid))])
                 root = names[_forest(i, j if same else j + len(left.nid), len(names))]
                 some = count > 0
                 yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (names, root, count)], ["nid", "root", "n"])
@@ -256,7 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     home = hits.groupBy("nid").agg(F.max(F.struct("size", "band")).alias("home"))
     home = home.join(nodes.select("nid", "node", "rep", "copies", "grams", "bands"), "nid").withColumn("home", F.col("home.band"))
     home = materialize(home, "ngram-home")
-    cuts = materialize(home.groupBy("home").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("cuts")), "ngram-cuts")
+    cuts = materialize(home.groupBy("home").agg(F.ceil(F.greatest(F.sum("grams") / BLOCK_GRAMS, F.count(F.lit(1)) / BLOCK_NODES)).alias("cuts")), "ngram-cuts")
     # A block's name may be shared by chance; that only makes a larger block.
     named = materialize(home.select("nid", "home").join(cuts, "home").select("nid", F.xxhash64("home", F.pmod(F.xxhash64("nid"), "cuts")).alias("block")), "ngram-named")
 
