@@ -1,16 +1,19 @@
 import re
 
+import pytest
+
 from careledger import queries
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_bundles_are_not_shuffled_once_built(spark):
+@pytest.mark.parametrize("name", ["linked_bundles", "to_fhir_bundles"])
+def test_bundles_are_not_shuffled_once_built(spark, name):
     """Names and JSON of entries are made after the last exchange; only what meets them by encounter is dealt by it."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = queries.QUERIES["linked_bundles"](spark, SF)
+        found = queries.QUERIES[name](spark, SF)
         plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
