@@ -25,14 +25,16 @@ SAMPLE, SAMPLE_BYTES = 16_000, 16 << 20
 BRANCH = 16
 #: Vectors of the sample in an upper leaf at least; queries compared with a block at once.
 LEAST_SAMPLE, _TOGETHER = 8, 256
-#: Rows in an upper leaf, a block and a bin, about; queries that a block meets at once.
-LEAF_ROWS, BLOCK_ROWS, BIN_ROWS, GROUP = 256, 4096, 4, 8192
+#: Rows in an upper leaf, a block and a bin, about.
+LEAF_ROWS, BLOCK_ROWS, BIN_ROWS = 256, 4096, 4
+#: Groups of blocks, each of which gives one list of candidates for a query; bytes of the queries that a group meets at once.
+UNITS, GROUP_BYTES = 32, 16 << 20
 #: Recall to be measured on a quarter of CALIBRATION queries; the others set the bounds.
 RECALL, CALIBRATION = 0.93, 256
 #: Share of the neighbours to be lost that upper and lower nodes may lose.
 UPPER_LOSS, INNER_LOSS = 0.2, 0.1
 
-INDEX = "leaf long, vecs binary, centers binary, parents binary, bins binary, ids array<{id}>, n array<int>, starts binary"
+INDEX = "leaf long, unit int, vecs binary, centers binary, parents binary, bins binary, ids array<{id}>, n array<int>, starts binary"
 FOUND = "qid {id}, vec_id {id}, n int, score double, upper double, inner double, bin double, compared long, centres long"
 
 
@@ -171,12 +173,17 @@ def usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFr
     return rows.filter(F.size("vec") == (length["d"] if length else 0))
 
 
+def _unit(leaf: Column, blk: Column) -> Column:
+    """The group of a block: leaves in turn, and the blocks of a leaf in different ones."""
+    return F.pmod(leaf + blk, F.lit(UNITS)).cast("int")
+
+
 def _index(members: DataFrame, id_type: str) -> DataFrame:
     """The blocks of members (leaf, blk, vec, ids): their vectors in bins by a tree of the block's own."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for leaf, rows in zip(batch["leaf"], batch["m"], strict=True):
+            for leaf, unit, rows in zip(batch["leaf"], batch["unit"], batch["m"], strict=True):
                 x = _matrix([r["vec"] for r in rows])
                 tree = fit_tree(_units(x), BIN_ROWS)
                 place = tree.leaf(_units(x))
@@ -184,72 +191,130 @@ def _index(members: DataFrame, id_type: str) -> DataFrame:
                 ids = [rows[i]["ids"] for i in order]
                 raw = lambda a, kind: np.ascontiguousarray(a, kind).tobytes()
                 yield pd.DataFrame(
-                    {"leaf": [leaf], "vecs": [raw(x[order], "f8")], "centers": [raw(tree.centers, "f8")], "parents": [raw(tree.parents, "i8")], "bins": [raw(np.searchsorted(place[order], np.arange(len(tree.leaf_of) + 1)), "i8")],
+                    {"leaf": [leaf], "unit": [unit], "vecs": [raw(x[order], "f8")], "centers": [raw(tree.centers, "f8")], "parents": [raw(tree.parents, "i8")], "bins": [raw(np.searchsorted(place[order], np.arange(len(tree.leaf_of) + 1)), "i8")],
                      "ids": [[i["id"] for own in ids for i in own]], "n": [[i["n"] for own in ids for i in own]], "starts": [raw(np.cumsum([0, *map(len, ids)]), "i8")]}
                 )
 
-    grouped = members.groupBy("leaf", "blk").agg(F.collect_list(F.struct("vec", "ids")).alias("m")).select("leaf", "m")
+    grouped = members.groupBy("leaf", "blk").agg(F.collect_list(F.struct("vec", "ids")).alias("m")).select("leaf", _unit(F.col("leaf"), F.col("blk")).alias("unit"), "m")
     return grouped.mapInPandas(tidy(build), INDEX.format(id=id_type))
 
 
-def _search(met: DataFrame, inner: float, bin_: float, k: int, id_type: str) -> DataFrame:
-    """The nearest of each query in each block that it meets: candidates in the bins that it reaches, down to the one that completes k + 1 different ids.
-
-    A row without a vec_id only tells what a query was compared with in vain.
-    """
-
-    def best(row: np.ndarray, spread: list[list]) -> Iterator[int]:
-        seen, last = set(), -np.inf
-        for i in np.argsort(-row, kind="stable"):
-            # Candidates within rounding of the last one stay, so that the exact scores decide ties.
-            if row[i] == -np.inf or row[i] < last - 1e-12:
-                return
-            yield int(i)
+def _best(rows: list[tuple], k: int) -> tuple[list[tuple], float]:
+    """Of candidates (score, vec_id, ...) those down to the one that completes k + 1 different ids, up to k of an id; and its score, -inf if there are fewer."""
+    kept, of = [], {}
+    for row in sorted(rows, key=lambda c: (-c[0], c[1])):
+        of[row[1]] = of.get(row[1], 0) + 1
+        if of[row[1]] <= k:
+            kept.append(row)
+        if len(of) > k:
+            return kept, row[0]
+    return kept, -np.inf
+
+
+class _Asked:
+    """Queries of one group and part (each with qid, vec, leaves, lows), with the best candidates of each among the blocks met so far."""
+
+    def __init__(self, rows: list[tuple], k: int):
+        self.k, self.qids, self.q = k, [r[0] for r in rows], _matrix([r[1] for r in rows])
+        self.unit_q = _units(self.q)
+        n, leaves = len(rows), np.concatenate([np.asarray(r[2], np.int64) for r in rows])
+        of, lows = np.repeat(np.arange(n), [len(r[2]) for r in rows]), np.concatenate([np.asarray(r[3], np.float64) for r in rows])
+        order = np.argsort(leaves, kind="stable")
+        starts = np.flatnonzero(np.diff(leaves[order], prepend=-1))
+        self.at = {int(leaves[order[i]]): (of[order[i:j]], lows[order[i:j]]) for i, j in zip(starts, [*starts[1:], len(order)], strict=True)}
+        self.held, self.floor = [[] for _ in rows], np.full(n, -np.inf)
+        self.compared, self.centres = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def meet(self, b: pd.Series, inner: float, bin_: float) -> None:
+        """Compare the queries that reach a block's leaf with the bins that they reach in it."""
+        if b["leaf"] not in self.at:
+            return
+        every, above = self.at[b["leaf"]]
+        d = self.q.shape[1]
+        x, bins, starts = np.frombuffer(b["vecs"]).reshape(-1, d), np.frombuffer(b["bins"], "i8"), np.frombuffer(b["starts"], "i8")
+        tree = Tree.of(np.frombuffer(b["centers"]).reshape(-1, d), np.frombuffer(b["parents"], "i8"))
+        unit_x, bin_of = _units(x), np.repeat(np.arange(len(bins) - 1), np.diff(bins))
+        spread = [b["ids"][starts[i] : starts[i + 1]].tolist() for i in range(len(x))]
+        for part in range(0, len(every), _TOGETHER):
+            asked, upper = every[part : part + _TOGETHER], above[part : part + _TOGETHER]
+            near, lows, scored = tree.reach(self.unit_q[asked], inner, bin_)
+            rough = np.full((len(asked), len(x)), -np.inf)
+            for j in np.flatnonzero((near > -np.inf).any(axis=0)):
+                ask = np.flatnonzero(near[:, j] > -np.inf)
+                rough[ask, bins[j] : bins[j + 1]] = self.unit_q[asked[ask]] @ unit_x[bins[j] : bins[j + 1]].T
+            self.compared[asked] += (rough > -np.inf).sum(axis=1)
+            self.centres[asked] += scored
+            # Rows within rounding of a query's last candidate stay, so that the exact scores decide ties.
+            rough[rough < self.floor[asked, None] - 1e-12] = -np.inf
+            for r in np.flatnonzero((rough > -np.inf).any(axis=1)):
+                query, hit = asked[r], self._hits(rough[r], spread)
+                scores = _cosines(np.repeat(self.q[query : query + 1], len(hit), axis=0), x[hit])
+                new = [(float(s), b["ids"][t], b["n"][t], float(upper[r]), float(lows[r, bin_of[i]]), float(near[r, bin_of[i]])) for i, s in zip(hit, scores, strict=True) for t in range(starts[i], starts[i + 1])]
+                self.held[query], self.floor[query] = _best(self.held[query] + new, self.k)
+
+    def _hits(self, row: np.ndarray, spread: list[list]) -> list[int]:
+        """Rows of a block by falling score, down to the one that completes k + 1 different ids and those within rounding of it."""
+        out, seen, last, some = [], set(), -np.inf, np.flatnonzero(row > -np.inf)
+        for i in some[np.argsort(-row[some], kind="stable")].tolist():
+            if row[i] < last - 1e-12:
+                break
+            out.append(i)
             seen.update(spread[i])
-            if len(seen) > k and last == -np.inf:
+            if len(seen) > self.k and last == -np.inf:
                 last = row[i]
+        return out
+
+    def found(self) -> pd.DataFrame:
+        """The candidates; what a query was compared with is told with its first one, or with none."""
+        out = []
+        for qid, held, compared, centres in zip(self.qids, self.held, self.compared.tolist(), self.centres.tolist(), strict=True):
+            for score, *rest in held:
+                out.append((qid, rest[0], rest[1], score, *rest[2:], compared, centres))
+                compared = centres = 0
+            if centres:
+                out.append((qid, None, 0, -2.0, 0.0, 0.0, 0.0, compared, centres))
+        return pd.DataFrame(out, columns=["qid", "vec_id", "n", "score", "upper", "inner", "bin", "compared", "centres"])
+
+
+def _search(walked: DataFrame, index: DataFrame, parts: int, inner: float, bin_: float, k: int, id_type: str) -> DataFrame:
+    """The nearest of each query in each group of blocks: candidates in the bins that it reaches, down to the one that completes k + 1 different ids.
+
+    A query's vector goes to a group once, and a query has k + 1 ids from a group, however many blocks it reaches there. A row without a vec_id only tells what a query was
+    compared with in vain.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, waiting, asked = None, [], None
         for batch in batches:
             for at in range(len(batch)):
                 b = batch.iloc[at]
-                every = _matrix([r["vec"] for r in b["q"]])
-                d = every.shape[1]
-                x, bins, starts = np.frombuffer(b["vecs"]).reshape(-1, d), np.frombuffer(b["bins"], "i8"), np.frombuffer(b["starts"], "i8")
-                tree = Tree.of(np.frombuffer(b["centers"]).reshape(-1, d), np.frombuffer(b["parents"], "i8"))
-                unit_x, bin_of = _units(x), np.repeat(np.arange(len(bins) - 1), np.diff(bins))
-                spread = [list(b["ids"][starts[i] : starts[i + 1]]) for i in range(len(x))]
-                for part in range(0, len(every), _TOGETHER):
-                    q, asked = every[part : part + _TOGETHER], b["q"][part : part + _TOGETHER]
-                    unit_q = _units(q)
-                    near, lows, scored = tree.reach(unit_q, inner, bin_)
-                    rough = np.full((len(q), len(x)), -np.inf)
-                    for j in np.flatnonzero((near > -np.inf).any(axis=0)):
-                        ask = np.flatnonzero(near[:, j] > -np.inf)
-                        rough[ask, bins[j] : bins[j + 1]] = unit_q[ask] @ unit_x[bins[j] : bins[j + 1]].T
-                    out = []
-                    for r, row in enumerate(rough):
-                        hit = list(best(row, spread))
-                        # What a query was compared with is told with its first candidate, or with none.
-                        compared, centres = int((row > -np.inf).sum()), int(scored[r])
-                        for i, s in zip(hit, _cosines(np.repeat(q[r : r + 1], len(hit), axis=0), x[hit]), strict=True):
-                            for t in range(starts[i], starts[i + 1]):
-                                out.append((asked[r]["qid"], b["ids"][t], b["n"][t], float(s), asked[r]["low"], float(lows[r, bin_of[i]]), float(near[r, bin_of[i]]), compared, centres))
-                                compared = centres = 0
-                        if centres:
-                            out.append((asked[r]["qid"], None, 0, -2.0, 0.0, 0.0, 0.0, compared, centres))
-                    if out:
-                        yield pd.DataFrame(out, columns=["qid", "vec_id", "n", "score", "upper", "inner", "bin", "compared", "centres"])
-
-    return met.mapInPandas(tidy(search), FOUND.format(id=id_type))
+                if (b["unit"], b["part"]) != key:
+                    if asked:
+                        yield asked.found()
+                    key, waiting, asked = (b["unit"], b["part"]), [], None
+                if b["vecs"] is None:
+                    waiting.append((b["qid"], b["vec"], b["leaves"], b["lows"]))
+                elif waiting or asked:
+                    if waiting:
+                        waiting, asked = [], _Asked(waiting, k)
+                    asked.meet(b, inner, bin_)
+        if asked:
+            yield asked.found()
+
+    each = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = walked.drop("centres").unionByName(each, allowMissingColumns=True)
+    # Queries, which have no leaf, come before the blocks of their group.
+    both = both.repartition("unit", "part").sortWithinPartitions("unit", "part", "leaf")
+    return both.mapInPandas(tidy(search), FOUND.format(id=id_type))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """Of each query the rows of its k + 1 nearest ids, up to k each: enough for the k nearest whatever the query's own id is."""
+    """Of each query the rows of its k + 1 nearest ids, up to k each and none below the last id's best: enough for the k nearest whatever the query's own id is."""
     per_id = Window.partitionBy("qid", "vec_id")
     few = found.filter("vec_id is not null").withColumn("r", F.row_number().over(per_id.orderBy(F.desc("score")))).filter(F.col("r") <= k).withColumn("best", F.max("score").over(per_id))
     order = Window.partitionBy("qid").orderBy(F.desc("best"), "vec_id")
-    return few.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k + 1).drop("r", "best")
+    few = few.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k + 1)
+    return few.withColumn("least", F.min("best").over(Window.partitionBy("qid"))).filter("score >= least").drop("r", "best", "least")
 
 
 def _fit_upper(distinct: DataFrame, n: int, sample: int) -> Tree:
@@ -311,52 +376,67 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     index = materialize(_index(cut, id_type), "ann-index")
     sized = spark.sparkContext.broadcast(tree)
 
-    def meet(queries: DataFrame, bound: float) -> tuple[DataFrame, DataFrame]:
-        """Queries in groups with each block that they reach, and the written table of what they reach."""
+    units: list[set[int]] = [set() for _ in tree.rows]
+    for r in index.select("leaf", "unit").distinct().collect():  # up to UNITS rows per leaf of the bounded tree
+        units[r["leaf"]].add(r["unit"])
+    groups = spark.sparkContext.broadcast(units)
+    group = max(1, GROUP_BYTES // (8 * len(distinct.select("vec").first()[0])))
+
+    def walk(queries: DataFrame, parts: int, bound: float) -> DataFrame:
+        """Queries with the leaves that they reach, a row for each group of blocks; centres: scored on the way, told in the first of them."""
+        columns = ["unit", "part", "qid", "vec", "leaves", "lows", "centres"]
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    walks = [sized.value.leaves(q, bound, k + 1) for q in _units(_matrix(batch["vec"]))]
-                    yield pd.DataFrame({"qid": batch["qid"], "leaves": [w[0] for w in walks], "lows": [w[1] for w in walks], "centres": [w[2] for w in walks]})
-
-        walked = materialize(queries.select("vec", "qid").mapInPandas(tidy(visit), f"qid {id_type}, leaves array<bigint>, lows array<double>, centres long"), "ann-walks")
-        visited = walked.select("qid", F.explode(F.arrays_zip("leaves", "lows")).alias("x")).select("qid", F.col("x.leaves").alias("leaf"), F.col("x.lows").alias("low"))
-        # A block goes to a worker once for GROUP of the queries that reach its leaf. There is one count per leaf of the bounded tree.
-        counts = visited.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-        grouped = visited.join(F.broadcast(counts), "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
-        grouped = grouped.join(queries.select("qid", "vec"), "qid").groupBy("leaf", "part").agg(F.collect_list(F.struct("qid", "vec", "low")).alias("q"))
-        return grouped.join(index, "leaf"), walked
+                for at in range(0, len(batch), _TOGETHER):
+                    some, out = batch.iloc[at : at + _TOGETHER], []
+                    for qid, part, vec, q in zip(some["qid"], some["part"], some["vec"], _units(_matrix(some["vec"])), strict=True):
+                        leaves, lows, centres = sized.value.leaves(q, bound, k + 1)
+                        reached: dict[int, tuple[list, list]] = {}
+                        for leaf, low in zip(leaves, lows, strict=True):
+                            for unit in groups.value[leaf]:
+                                own = reached.setdefault(unit, ([], []))
+                                own[0].append(leaf)
+                                own[1].append(low)
+                        for unit, own in reached.items():
+                            out.append((unit, part, qid, vec, *own, centres))
+                            centres = 0
+                    yield pd.DataFrame(out, columns=columns)
+
+        dealt = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"))
+        return dealt.mapInPandas(tidy(visit), f"unit int, part int, qid {id_type}, vec array<double>, leaves array<bigint>, lows array<double>, centres long")
+
+    def search(queries: DataFrame, bounds: tuple[float, float, float]) -> DataFrame:
+        """What these queries, a written table, find."""
+        parts = max(1, -(-queries.count() // group))
+        return _search(walk(queries, parts, bounds[0]), index, parts, *bounds[1:], k, id_type)
 
     # Exact answers of some queries: most of them set the bounds, the others tell the recall at these.
     trial = materialize(asked.orderBy(F.xxhash64("vec")).limit(CALIBRATION).withColumn("setter", F.row_number().over(Window.orderBy(F.xxhash64("vec"))) % 4 != 0), "ann-trial")
-    met, walks = meet(trial, -np.inf)
-    exact = _top(_search(met, -np.inf, -np.inf, k, id_type), k).filter("qid <> vec_id").join(trial.select("qid", "setter"), "qid").toPandas()
-    discard(walks)
+    exact = _top(search(trial, (-np.inf,) * 3), k).filter("qid <> vec_id").join(trial.select("qid", "setter"), "qid").toPandas()
     setters, held_out = exact[exact["setter"]], exact[~exact["setter"]]
     held_out = held_out if len(held_out) else exact
-    others = trial.join(spark.createDataFrame([(q,) for q in held_out["qid"].unique().tolist()] or [], f"qid {id_type}"), "qid", "left_semi").select("vec", "qid")
+    others = materialize(trial.join(spark.createDataFrame([(q,) for q in held_out["qid"].unique().tolist()] or [], f"qid {id_type}"), "qid", "left_semi").select("vec", "qid"), "ann-others")
     goal = recall if len(exact) else 1.0
     while True:
-        upper, inner, bin_ = _bounds(setters, 1 - goal) if goal < 1 else (-np.inf,) * 3
-        met, walks = meet(others, upper)
-        tried = materialize(_search(met, inner, bin_, k, id_type), "ann-trial")
+        bounds = _bounds(setters, 1 - goal) if goal < 1 else (-np.inf,) * 3
+        tried = materialize(search(others, bounds), "ann-trial")
         got = _top(tried, k).select("qid", "vec_id", "score").distinct().toPandas()
         measured = len(held_out.merge(got, on=["qid", "vec_id", "score"])) / len(held_out) if len(held_out) else 1.0
         if report is not None:
             compared, lower = tried.agg(F.sum("compared"), F.sum("centres")).first()
-            outer, walkers = walks.agg(F.sum("centres"), F.count(F.lit(1))).first()
+            outer, walkers = walk(others, 1, bounds[0]).agg(F.sum("centres"), F.count_distinct("qid")).first()
             report.update(recall=measured, compared=(compared or 0) / (n * max(walkers, 1)), centres=((lower or 0) + (outer or 0)) / (n * max(walkers, 1)), rows=n, leaves=len(tree.leaf_of))
-        discard(tried, walks)
+        discard(tried)
         if measured >= recall - 0.005 or goal >= 1:
             break
         goal = min(1.0, goal + (1 - goal) / 3 + 0.005)
 
-    found = materialize(_top(_search(meet(asked, upper)[0], inner, bin_, k, id_type), k).select("qid", "vec_id", "n", "score"), "ann-found")
+    found = materialize(_top(search(asked, bounds), k).select("qid", "vec_id", "n", "score"), "ann-found")
     # Queries whose bins held too few candidates go through all of them.
     enough = found.groupBy("qid").agg(F.count_distinct("vec_id").alias("ids")).filter(F.col("ids") > k)
     short = materialize(asked.join(enough, "qid", "left_anti"), "ann-short")
-    again = _top(_search(meet(short, -np.inf)[0], -np.inf, -np.inf, k, id_type), k).select("qid", "vec_id", "n", "score")
+    again = _top(search(short, (-np.inf,) * 3), k).select("qid", "vec_id", "n", "score")
     found = found.join(short.select("qid"), "qid", "left_anti").unionByName(again)
     owners = rows.filter("ask").select("vec", F.col("vec_id").alias("query_id")).distinct().join(asked, "vec").select("query_id", "qid", "vec")
     ranked = owners.join(found, "qid").filter("query_id <> vec_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
